@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .mixing import op10_mixing
+from .records import op2_token_records
 from .simhash_dedup import op9_simhash_dedup
 
 QUERIES = {
+    "op2_token_records": op2_token_records,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {}
