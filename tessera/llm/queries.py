@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .kneser_ney import op4_quality_classifier
 from .mixing import op10_mixing
 from .records import op2_token_records
 from .simhash_dedup import op9_simhash_dedup
+from .warc_store import OP3_SQL, op3_warc_store
 
 QUERIES = {
     "op2_token_records": op2_token_records,
+    "op3_warc_store": op3_warc_store,
+    "op4_quality_classifier": op4_quality_classifier,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc_store": OP3_SQL,
+}
