@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontamination
 from .kneser_ney import op4_quality_classifier
 from .mixing import op10_mixing
 from .records import op2_token_records
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_token_records": op2_token_records,
     "op3_warc_store": op3_warc_store,
     "op4_quality_classifier": op4_quality_classifier,
+    "op8_decontamination": op8_decontamination,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_mixing": op10_mixing,
 }
