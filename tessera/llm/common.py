@@ -53,6 +53,20 @@ def open_fs(path: str):
 
 
 
+#: Ids (8 bytes each) up to which a set of them is broadcast; beyond, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def filter_by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """``df`` with (left_semi) or without (left_anti) the rows whose ``key`` is in the one column of ``ids``.
+
+    The ids are counted first: few are broadcast, so that texts are not shuffled; many are not.
+    """
+    ids = ids.toDF("_id").where("_id is not null").distinct()
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, df[key] == ids["_id"], how)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows ``(node, component)`` for every node of ``edges(a, b)`` (long); component: its smallest node.
 

@@ -3,8 +3,8 @@
 A fingerprint is cut into ``m`` blocks. Two that differ in at most ``r`` bits agree on at least ``m - r``
 whole blocks, so they meet under at least one of the C(m, m - r) keys made of that many blocks. Under a
 key only distinct fingerprints meet (copies are aggregated first), and a key that many fingerprints
-share is cut again in the same way over its remaining bits, until a group is bounded by the bits left.
-Within a group a spanning set of the links is emitted, never all pairs.
+share is cut again in the same way over its remaining bits. Small groups are compared pairwise; in a
+larger one a search over the not yet reached members emits a spanning set of links, never all pairs.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Distinct fingerprints of one key that are compared pairwise; larger groups are cut again.
-GROUP = 64
+#: Distinct fingerprints of one key that are compared pairwise; those that one task searches; beyond, the key is cut again.
+GROUP, LIMIT = 64, 16384
 
 
-def fingerprint(text: bytes, k: int = 3) -> int:
-    """The 64-bit SimHash of one text over its ``k``-word shingles, repeats included."""
+def fingerprint(text: bytes, k: int = 3, distinct: bool = False) -> int:
+    """The 64-bit SimHash of one text over its ``k``-word shingles, repeats included unless ``distinct``."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # bytes: A-Z only, and ASCII white space only
@@ -37,7 +37,7 @@ def fingerprint(text: bytes, k: int = 3) -> int:
         ends = (np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1).tolist()
         starts = [0] + [e + 1 for e in ends[: n - k]]
         hashes = [xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends[k - 1 :])]
-    h = np.array(hashes, np.uint64)
+    h = np.array(list(set(hashes)) if distinct else hashes, np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 14):  # bounded memory for very long texts
         part = h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
@@ -45,13 +45,13 @@ def fingerprint(text: bytes, k: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, distinct: bool = False) -> DataFrame:
     """``(doc_id, fp)`` per row; ``fp`` holds the 64 bits as a signed long. A null text has no words: 0."""
 
     def run(batches):
         for b in batches:
             texts = b.column(1).cast(pa.large_binary())
-            got = [fingerprint(x.as_py() or b"", k) for x in texts]
+            got = [fingerprint(x.as_py() or b"", k, distinct) for x in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
     pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -86,42 +86,28 @@ def group_links(key_a: np.ndarray, fp: np.ndarray, r: int) -> tuple[np.ndarray,
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
-def ball_links(fp: np.ndarray, mask_free: int, r: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one large group whose members agree outside ``mask_free``, without pairs.
+def spanning_links(fp: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within a group of distinct fingerprints: fewer links than members.
 
-    Members at ``r`` bits or fewer share a point within ``ceil(r / 2)`` bits of both. Every member names
-    those points, and the members that name a point within reach of it are chained if they are close.
+    A breadth-first search; each member is compared with those not reached yet, so a dense group costs
+    little more than its size. Each link is itself of ``r`` bits or fewer.
     """
-    half = (r + 1) // 2
-    free = [1 << i for i in range(64) if mask_free >> i & 1]
-    flips = np.array([0] + [sum(c) for n in range(1, half + 1) for c in combinations(free, n)], np.uint64)
-    owner = np.repeat(np.arange(len(fp)), len(flips))
-    points = (fp.view(np.uint64)[:, None] ^ flips[None, :]).ravel()
-    order = np.argsort(points, kind="stable")
-    points, owner = points[order], owner[order]
-    if r == 2 * half:  # any two that share a point are close: chain neighbours
-        same = points[1:] == points[:-1]
-        return fp[owner[:-1][same]], fp[owner[1:][same]]
-    return _pairs_by_point(points, owner, fp, r)
-
-
-def _pairs_by_point(points, owner, fp, r):
-    """An odd radius: those that share a point may be one bit too far apart, so each pair is checked.
-
-    A point has at most 1 + free bits (for r = 3: that, squared, over two) owners, whatever the group's size."""
+    rest = fp.view(np.uint64)
     a, b = [], []
-    off = 1
-    while off < len(points):
-        i = np.nonzero(points[off:] == points[:-off])[0]
-        if not len(i):
-            break
-        x, y = fp[owner[i]], fp[owner[i + off]]
-        close = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= r
-        a.append(x[close])
-        b.append(y[close])
-        off += 1
-    empty = np.empty(0, np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
+    while len(rest):
+        queue, rest = [rest[:1]], rest[1:]
+        while queue and len(rest):
+            for x in queue.pop():
+                close = np.bitwise_count(rest ^ x) <= r
+                if close.any():
+                    found = rest[close]
+                    rest = rest[~close]
+                    a.append(np.full(len(found), x))
+                    b.append(found)
+                    queue.append(found)
+    empty = np.empty(0, np.uint64)
+    a, b = (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
+    return a.view(np.int64), b.view(np.int64)
 
 
 def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
@@ -140,7 +126,6 @@ def links(fps: DataFrame, r: int = 2, m: int = 4) -> DataFrame:
     """
     assert 0 < r < m
     masks = block_masks(r, m)
-    subs = [block_masks(r, m, within=~x & (1 << 64) - 1) for x in masks]
     n = common.partitions_for(fps.sparkSession)
 
     def sorted_groups(batches):
@@ -159,49 +144,40 @@ def links(fps: DataFrame, r: int = 2, m: int = 4) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield rest
 
-    def pairwise(batches):
-        for t in sorted_groups(batches):
-            ts, bits, fp = (t[c].to_numpy() for c in ("t", "bits", "fp"))
-            new = np.r_[True, (ts[1:] != ts[:-1]) | (bits[1:] != bits[:-1])]
-            group = np.cumsum(new)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in group_links(group, fp, r)], ["a", "b"])
-
-    def cut_again(batches):
+    def compare(batches):
         for t in sorted_groups(batches):
             ts, bits, fp = (t[c].to_numpy() for c in ("t", "bits", "fp"))
-            new = np.r_[True, (ts[1:] != ts[:-1]) | (bits[1:] != bits[:-1])]
-            at = np.r_[np.nonzero(new)[0], len(fp)]
-            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-                outer, inner = divmod(int(ts[i]), len(subs[0]))
-                free = ~(masks[outer] | subs[outer][inner]) & (1 << 64) - 1
-                a, b = ball_links(fp[i:j], free, r)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            at = np.r_[0, np.nonzero((ts[1:] != ts[:-1]) | (bits[1:] != bits[:-1]))[0] + 1, len(fp)]
+            size = np.diff(at)
+            few = np.repeat(size <= GROUP, size)
+            got = [group_links(np.repeat(np.arange(len(size)), size)[few], fp[few], r)]
+            got += [spanning_links(fp[at[i] : at[i + 1]], r) for i in np.nonzero(size > GROUP)[0].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in got])) for k in (0, 1)], ["a", "b"])
 
     keyed = _keyed(fps.select("fp"), masks)
     sizes = common.written(_sizes(keyed, ["t", "bits"]), "blocks")
-    few = keyed.join(sizes.where(F.col("n") <= GROUP).select("t", "bits"), ["t", "bits"])
-    out = few.repartition(n, "t", "bits").sortWithinPartitions("t", "bits").mapInArrow(pairwise, "a long, b long")
-    big = sizes.where(F.col("n") > GROUP).select("t", "bits")
-    again = keyed.join(big, ["t", "bits"])
-    # Keys of the second level: the outer blocks and m - r of m blocks of the remaining bits. With 64 bits,
-    # r = 2 and m = 4, 16 bits are left: at most 65,536 distinct fingerprints in a group.
-    pick = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(_signed(masks[i] | x)).alias("mask")) for i, s in enumerate(subs) for j, x in enumerate(s)]
-    by_t = F.array(*[F.array(*pick[i * len(subs[0]) : (i + 1) * len(subs[0])]) for i in range(len(masks))])
-    again = again.select("fp", F.explode(F.element_at(by_t, F.col("t") + 1)).alias("s")).select(
-        "fp", (F.col("s.i") * len(subs[0]) + F.col("s.j")).alias("t"), F.col("fp").bitwiseAND(F.col("s.mask")).alias("bits")
-    )
-    again = again.repartition(n, "t", "bits").sortWithinPartitions("t", "bits").mapInArrow(cut_again, "a long, b long")
+    dealt = lambda df: df.repartition(n, "t", "bits").sortWithinPartitions("t", "bits").mapInArrow(compare, "a long, b long")
+    out = dealt(keyed.join(sizes.where(F.col("n") <= LIMIT).select("t", "bits"), ["t", "bits"]))
+    big = sizes.where(F.col("n") > LIMIT).select("t", "bits")
+    if big.isEmpty():
+        return out.where("a <> b").distinct()
+    # Keys of the second level: the outer blocks and m - r of m blocks of the remaining bits. For r = 2 and
+    # m = 4 they leave 16 bits, so that a group has at most 65,536 members.
+    subs = [block_masks(r, m, within=~x & (1 << 64) - 1) for x in masks]
+    pick = [F.array(*[F.struct(F.lit(i * len(s) + j).alias("t"), F.lit(_signed(masks[i] | x)).alias("mask")) for j, x in enumerate(s)]) for i, s in enumerate(subs)]
+    again = keyed.join(big, ["t", "bits"]).select("fp", F.explode(F.element_at(F.array(*pick), F.col("t") + 1)).alias("s"))
+    again = dealt(again.select("fp", "s.t", F.col("fp").bitwiseAND(F.col("s.mask")).alias("bits")))
     return out.unionByName(again).where("a <> b").distinct()
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, r: int = 2, m: int = 4) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, r: int = 2, m: int = 4, distinct: bool = False) -> DataFrame:
     """``(doc_id, fp, component_id)`` per row of ``docs``.
 
     Rows with a null id get a fingerprint and a null component. Repeated ids stay repeated rows. Texts
     without words have fingerprint zero and link like any other. An empty table gives an empty result.
     Other columns of ``docs`` play no part, whatever their names.
     """
-    fps = common.written(fingerprints(docs, id_col, text_col, k), "fingerprints")
+    fps = common.written(fingerprints(docs, id_col, text_col, k, distinct), "fingerprints")
     nodes = common.written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct_fp")
     pairs = links(nodes, r, m)
     rep = pairs.join(nodes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
@@ -211,6 +187,24 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def without_near_copies(docs: DataFrame, r: int = 5, m: int = 7) -> DataFrame:
+    """``docs`` with one document of each group of near copies, that of the smallest id.
+
+    Fingerprints of the distinct words at ``r = 5`` bits: of the pairs with a five-word shingle similarity
+    of 0.8 or more, these reach over nine in ten (three-word shingles at two bits: one in seven). Rows
+    that repeat an id are taken for copies: of each such id one row stays. Rows with a null id stay.
+    """
+    comp = common.written(components(docs, k=1, r=r, m=m, distinct=True), "components")
+    gone = comp.where("component_id < doc_id").select("doc_id")
+    kept = common.filter_by_ids(docs, gone, "doc_id", "left_anti")
+    twice = comp.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    row = F.struct(*[kept[c] for c in kept.columns])
+    single = common.filter_by_ids(kept, twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*")
+    return common.filter_by_ids(kept, twice, "doc_id", "left_anti").unionByName(single)
+
+
 def op9_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's query: 3-word shingles, links at two bits or fewer."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
