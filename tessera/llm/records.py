@@ -29,8 +29,11 @@ CHUNK = 512
 HEADER = "<BBxxq"
 END_ID = 1
 #: Characters tokenized at a time, words kept in a task's cache.
-SLICE_CHARS, CACHE_WORDS = 4_000_000, 400_000
+SLICE_CHARS, CACHE_WORDS = 8_000_000, 1_000_000
+#: Text bytes per file: a task knows a word once, so fewer and larger files cost less.
 FILE_BYTES = 64 << 20
+#: Words whose letters and closing stops the tokenizer keeps apart; composed letters only.
+PLAIN, STOPS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]*$", ".,"
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -83,7 +86,7 @@ def masked_crcs(parts: list[bytes]) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of texts, by way of their words cut at ASCII white space.
+    """Ids of texts, by way of their distinct words, cut at ASCII white space.
 
     Right for tokenizers that drop white space and never join across it (it is checked on load); a word
     is encoded by the library once per cache, texts are put together from the words' ids.
@@ -100,24 +103,67 @@ class WordEncoder:
         self.whole = not _cuts_at_space(json.load(open(path, encoding="utf-8")))
         self.end = [] if end_id is None else [end_id]
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.cache: dict[bytes, np.ndarray] = {}
+        self._reset()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _reset(self) -> None:
+        """Forgets all words. ``at``: a word's number; ``pool``: all words' ids, word n from ``first[n]``, ``count[n]`` of them."""
+        self.at: dict[bytes, int] = {}
+        self.pool, self.first, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (no nulls), with the end id."""
+        end = np.array(self.end, np.uint32)
         if self.whole:
-            got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            got = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
             return [np.array(x.ids + self.end, np.uint32) for x in got]
-        split = [x.encode("utf-8", "replace").split() for x in texts]
-        flat = [w for s in split for w in s]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = [w for w in set(flat) if w not in cache]
-        if new:
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-            for w, x in zip(new, got):
-                cache[w] = np.array(x.ids, np.uint32).tobytes()
-        end = np.array(self.end, np.uint32).tobytes()
-        return [np.frombuffer(b"".join([cache[w] for w in s]) + end, np.uint32) for s in split]
+        if len(self.at) > CACHE_WORDS:
+            self._reset()
+        split = pa.compute.ascii_split_whitespace(texts)
+        lists = split.offsets.to_numpy()
+        words = split.values.slice(int(lists[0]), int(lists[-1] - lists[0])).dictionary_encode()
+        # A word of Latin-1 letters and closing stops is the ids of its lower-cased letters, then those of the stops.
+        plain = pa.compute.match_substring_regex(words.dictionary, PLAIN)
+        stem = pa.compute.utf8_rtrim(words.dictionary, STOPS)
+        stops = pa.compute.utf8_slice_codeunits(words.dictionary, 0, 0)
+        if pa.compute.any(plain).as_py():
+            after = pa.compute.replace_substring_regex(words.dictionary, f"^.*?([{STOPS}]*)$", r"\1")
+            stops = pa.compute.if_else(plain, after, stops)
+        stem = pa.compute.if_else(plain, pa.compute.utf8_lower(stem), words.dictionary)
+        parts = pa.concat_arrays([stem, stops]).dictionary_encode()
+        number = self._numbers(parts.dictionary)[parts.indices.to_numpy()].reshape(2, -1)
+        pool, count = _gather(self.pool, self.first[number.T.ravel()], self.count[number.T.ravel()])
+        count = count.reshape(-1, 2).sum(axis=1)
+        at = words.indices.to_numpy()
+        flat, count = _gather(pool, (np.cumsum(count) - count)[at], count[at])
+        cut = np.r_[0, np.cumsum(count)][lists - lists[0]].tolist()
+        return [np.concatenate([flat[a:b], end]) for a, b in zip(cut[:-1], cut[1:])]
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The words' numbers; those not known yet are encoded, each as a text of its own."""
+        at = self.at
+        keys = words.cast(pa.binary()).to_pylist()
+        out = np.fromiter((at.get(w, -1) for w in keys), np.int64, len(keys))
+        new = np.nonzero(out < 0)[0]
+        if len(new):
+            n = len(at)
+            out[new] = np.arange(n, n + len(new))
+            at.update(zip((keys[i] for i in new.tolist()), range(n, n + len(new))))
+            fresh = words.take(pa.array(new)).to_pylist()
+            parts = [self.tokenizer.encode(fresh[i : i + 4096], is_pretokenized=True, add_special_tokens=False) for i in range(0, len(fresh), 4096)]
+            count = np.zeros(len(fresh), np.int64)
+            for k, x in enumerate(parts):
+                if x.ids:
+                    count[k * 4096 : k * 4096 + 4096] += np.bincount(np.array(x.word_ids, np.int64), minlength=len(fresh[k * 4096 : k * 4096 + 4096]))
+            self.first = np.r_[self.first, len(self.pool) + np.cumsum(count) - count]
+            self.count = np.r_[self.count, count]
+            self.pool = np.concatenate([self.pool, *[np.array(x.ids, np.uint32) for x in parts]])
+        return out
+
+
+def _gather(pool: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs pool[first : first + count], one after another, and their lengths."""
+    ends = np.cumsum(count)
+    return pool[np.repeat(first - (ends - count), count) + np.arange(int(count.sum()))], count
 
 
 def _cuts_at_space(spec: dict) -> bool:
@@ -146,7 +192,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
     spark = docs.sparkSession
     key = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     key = key.withColumn("h", F.xxhash64("text"))
-    n = files or common.partitions_for(spark)
+    n = files or max(1, -(-(key.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
     order = ["doc_id", "h"]
     dealt = key.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("h")
 
@@ -171,7 +217,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
                     out = fs.open_output_stream(at + ".rec")
                 kind = "<u2" if encoder.width == 2 else "<u4"
                 payloads = []
-                for d, x in zip(ids[i:j], encoder.encode(texts.slice(i, j - i).to_pylist())):
+                for d, x in zip(ids[i:j], encoder.encode(texts.slice(i, j - i))):
                     payloads.append(struct.pack(HEADER, d is None, encoder.width, d or 0) + x.astype(kind).tobytes())
                     index.append((d or 0, offset, len(payloads[-1]), len(x)))
                     offset += 16 + len(payloads[-1])
@@ -276,7 +322,7 @@ def read_records(manifest: DataFrame, files: int | None = None) -> DataFrame:
                 if seen != row["records"]:
                     raise ValueError(f"{row['file']}: {seen} records, {row['records']} expected")
 
-    n = files or common.partitions_for(manifest.sparkSession)
+    n = files or max(1, manifest.count())
     dealt = manifest.repartitionByRange(n, "part")
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
