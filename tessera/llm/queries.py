@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op8_decontamination
+from .html_text import op1_html_text
 from .kneser_ney import op4_quality_classifier
 from .mixing import op10_mixing
 from .records import op2_token_records
@@ -10,6 +11,7 @@ from .simhash_dedup import op9_simhash_dedup
 from .warc_store import OP3_SQL, op3_warc_store
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_token_records": op2_token_records,
     "op3_warc_store": op3_warc_store,
     "op4_quality_classifier": op4_quality_classifier,
