@@ -6,6 +6,7 @@ from .decontaminate import op8_decontamination
 from .html_text import op1_html_text
 from .kneser_ney import op4_quality_classifier
 from .mixing import op10_mixing
+from .pii import op7_pii
 from .records import op2_token_records
 from .simhash_dedup import op9_simhash_dedup
 from .warc_store import OP3_SQL, op3_warc_store
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_token_records": op2_token_records,
     "op3_warc_store": op3_warc_store,
     "op4_quality_classifier": op4_quality_classifier,
+    "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_mixing": op10_mixing,
