@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op5_ann
 from .decontaminate import op8_decontamination
 from .html_text import op1_html_text
 from .kneser_ney import op4_quality_classifier
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_token_records": op2_token_records,
     "op3_warc_store": op3_warc_store,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_ann": op5_ann,
     "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
     "op9_simhash_dedup": op9_simhash_dedup,
