@@ -160,7 +160,7 @@ def search(table: DataFrame, is_query, k: int = 20, rerank: int = RERANK, id_col
     right = queries.withColumn("part", F.pmod(F.xxhash64(F.lit(SEED + 1), "vec_id"), F.lit(n_parts)).cast("int"))
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
-    def compare(key, data: pa.Table, qs: pa.Table) -> pa.Table:
+    def compare(key, data, qs):
         out = [[], [], []]
         if data.num_rows and qs.num_rows:
             data = data.sort_by("vec_id")

@@ -10,6 +10,7 @@ from .mixing import op10_mixing
 from .pii import op7_pii
 from .records import op2_token_records
 from .simhash_dedup import op9_simhash_dedup
+from .substring_dedup import op6_substring_dedup
 from .warc_store import OP3_SQL, op3_warc_store
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_warc_store": op3_warc_store,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_ann": op5_ann,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
     "op9_simhash_dedup": op9_simhash_dedup,
