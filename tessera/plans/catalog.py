@@ -1,6 +1,8 @@
-"""Named queries over the driver's tables, each with its DuckDB text."""
+"""Named queries over the driver's tables, each with its DuckDB text where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import cohort, evaluation, matrices, scans, selection, text  # noqa: F401  (they register their queries)
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
