@@ -98,7 +98,7 @@ def multi_choice(text: Column, options: Column, seed: int = 0) -> Column:
     def last(form, fold):
         """The option whose form stands last in the text; of equal places the earlier option."""
         hay = hays[fold]
-        place = lambda o: F.length(F.substring_index(hay, form(o), -1))  # noqa: E731  what follows the last occurrence
+        place = lambda o: F.length(F.call_function("substring_index", hay, form(o), F.lit(-1)))  # noqa: E731  what follows the last occurrence
         got = F.transform(options, lambda o, i: F.when(F.contains(hay, form(o)), F.struct((place(o) + F.length(form(o))).alias("back"), i.alias("i"), o["letter"].alias("letter"))))
         return F.array_min(F.filter(got, lambda x: x.isNotNull()))["letter"]
 

@@ -1 +1,248 @@
-"""Placeholder."""
+"""Scans, projections, joins with defaults, positional joins, set operations, sinks, streams."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessera.functions import nets
+from tessera.sources import readers, writers
+from tessera.session import load
+from tessera.streaming import ingest
+
+from .registry import DEMO_NETS, query, sql_first
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir, else temporary."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT count(*) AS n_rows, max(doc_id) + 1 AS n_ids FROM documents")
+def table_shape(spark, d):
+    return load(spark, d, "documents").agg(F.count(F.lit(1)).alias("n_rows"), (F.max("doc_id") + 1).alias("n_ids"))
+
+
+@query("SELECT doc_id, coalesce(lang, '') AS lang, '' AS missing, source AS series FROM documents")
+def field_scan(spark, d):
+    """Projection by name: an absent column reads as empty, a renamed one by its candidates."""
+    x = load(spark, d, "documents")
+    name = readers.first_present(x, "series_id", "series", "source", required=True)
+    return x.select("doc_id", readers.field(x, "lang").alias("lang"), readers.field(x, "title").alias("missing"), F.col(name).alias("series"))
+
+
+WANTED = (42, 7, 101, 7, 3, 150)
+
+
+@query("SELECT CAST(pos AS INT) AS pos, doc_id, n_chars FROM (VALUES " + ", ".join(f"({i}, {w})" for i, w in enumerate(WANTED)) + ") t(pos, doc_id) JOIN documents USING (doc_id)")
+def lookup_in_order(spark, d):
+    return readers.in_order(load(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", list(WANTED)).select("pos", "doc_id", "n_chars")
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) % 10 AS k, count(*) AS n FROM events GROUP BY ALL")
+def json_props(spark, d):
+    k = F.from_json("props", "k int")["k"] % 10
+    return load(spark, d, "events").groupBy("event_type", k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, text AS decoded FROM documents WHERE doc_id % 10 = 0")
+def byte_decode(spark, d):
+    return load(spark, d, "documents").where("doc_id % 10 = 0").select("doc_id", readers.decoded(F.encode("text", "UTF-8")).alias("decoded"))
+
+
+@query("SELECT p_partkey, p_name, CAST(p_size AS INT) AS p_size FROM part")
+def csv_dimension(spark, d):
+    """A dimension written as CSV and read again with its schema, columns pruned."""
+    path = scratch(spark, "part") + ".csv"
+    writers.csv(load(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), path)
+    return readers.table(spark, path, "p_partkey long, p_name string, p_size int, p_retailprice double").select("p_partkey", "p_name", "p_size")
+
+
+@query("SELECT count(*) FILTER (event_id % 13 <> 0) AS n_good, count(*) FILTER (event_id % 13 = 0) AS n_bad, CAST(sum(CASE WHEN event_id % 13 <> 0 THEN user_id END) AS BIGINT) AS users FROM events")
+def json_lines_damage(spark, d):
+    """JSON lines of which some are cut off: good rows and the number of bad lines."""
+    path = scratch(spark, "events")
+    e = load(spark, d, "events").select("event_id", "user_id")
+    line = F.to_json(F.struct("event_id", "user_id"))
+    e.select(F.when(F.col("event_id") % 13 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(path)
+    good, bad = readers.json_lines(spark, path, "event_id long, user_id long")
+    return good.agg(F.count(F.lit(1)).alias("n_good"), F.sum("user_id").alias("users")).crossJoin(bad).select("n_good", "n_bad", "users")  # one row each
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, c_nationkey AS nation FROM customer")
+def keyed_json(spark, d):
+    """An object of objects, a line of it per segment, opened to rows."""
+    c = load(spark, d, "customer")
+    entry = F.struct(F.col("c_custkey").cast("string").alias("k"), F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).alias("v"))
+    lines = c.groupBy("c_mktsegment", (F.col("c_custkey") % 64).alias("b")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("j"))
+    return readers.keyed_json(lines, "j", "struct<name:string,nation:int>").select("key", "value.name", "value.nation")
+
+
+@query("SELECT CAST(conv_id % 3 AS VARCHAR) AS part, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1")
+def shard_merge(spark, d):
+    """Answer shards in directories of their own, merged by one scan; the shard number is read from the name."""
+    path = scratch(spark, "shards")
+    c = load(spark, d, "conversations").withColumn("shard", F.col("conv_id") % 3)
+    c.write.partitionBy("shard").json(path)
+    got = readers.shards(spark, path, "*.json", "conv_id long, turn long, role string, text string")
+    return got.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT item_id, 'v1_' || CAST(item_id AS VARCHAR) AS qid, CAST(item_id AS INT) AS image_id, text AS caption FROM benchmark")
+def prefix_ids(spark, d):
+    return load(spark, d, "benchmark").select("item_id", F.concat(F.lit("v1_"), F.col("item_id").cast("string")).alias("qid"), F.expr("try_cast(item_id AS int)").alias("image_id"), F.col("text").alias("caption"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_discount >= 0.05 AS INT) AS pred FROM lineitem")
+def threshold_pred(spark, d):
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") >= 0.05).cast("int").alias("pred"))
+
+
+@query("SELECT conv_id, turn, contains(CASE WHEN conv_id % 4 = 0 THEN '<image>' || text ELSE text END, '<image>') AS multimodal FROM conversations")
+def multimodal_flag(spark, d):
+    t = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("<image>"), "text")).otherwise(F.col("text"))
+    return load(spark, d, "conversations").select("conv_id", "turn", F.contains(t, F.lit("<image>")).alias("multimodal"))
+
+
+@query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def left_default_join(spark, d):
+    return load(spark, d, "documents").select("doc_id", "source").join(load(spark, d, "labels"), "doc_id", "left").select("doc_id", "source", "quality", "toxic")
+
+
+@query("SELECT o_orderkey AS sample, c_mktsegment AS segment, n_name AS nation, year(o_orderdate) AS year FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 5 = 0")
+def sample_meta_join(spark, d):
+    o = load(spark, d, "orders").where("o_orderkey % 5 = 0")
+    x = o.join(load(spark, d, "customer"), o.o_custkey == F.col("c_custkey")).join(load(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return x.select(F.col("o_orderkey").alias("sample"), F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation"), F.year("o_orderdate").cast("long").alias("year"))
+
+
+GENES = ("part 1", "PART 20", "Part 7", "absent")
+
+
+@query("SELECT p_partkey, coalesce(upper(p_name) IN (SELECT upper(x) FROM (VALUES " + ", ".join(f"('{g}')" for g in GENES) + ") t(x)), false) AS listed FROM part")
+def gene_list_flag(spark, d):
+    """Case-insensitive membership in a curated list."""
+    listed = spark.createDataFrame([(g,) for g in GENES], "g string").select(F.upper("g").alias("g")).distinct()
+    p = load(spark, d, "part")
+    return p.join(F.broadcast(listed), F.upper("p_name") == F.col("g"), "left").select("p_partkey", F.col("g").isNotNull().alias("listed"))
+
+
+@query("WITH a AS (SELECT conv_id AS qid, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations WHERE conv_id % 3 <> 0) SELECT q.qid, coalesce(a.text, '') AS answer FROM (SELECT DISTINCT conv_id AS qid FROM conversations) q LEFT JOIN a ON a.qid = q.qid AND rn = 1")
+def answers_default(spark, d):
+    """Questions with their last answer, empty where there is none."""
+    c = load(spark, d, "conversations")
+    last = c.where("conv_id % 3 <> 0").groupBy(F.col("conv_id").alias("qid")).agg(F.max_by("text", "turn").alias("text"))
+    return c.select(F.col("conv_id").alias("qid")).distinct().join(last, "qid", "left").select("qid", F.coalesce("text", F.lit("")).alias("answer"))
+
+
+@query("WITH p AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS i FROM benchmark), q AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents) SELECT CAST(p.i - 1 AS BIGINT) AS place, item_id, doc_id FROM p JOIN q USING (i)")
+def positional_zip(spark, d):
+    """Two tables side by side by explicit ordinals; what one has more is left out."""
+    from tessera.operators.sampling import with_row_numbers
+
+    a = with_row_numbers(load(spark, d, "benchmark").select("item_id"), ["item_id"]).select(F.col("row_number").alias("place"), "item_id")
+    b = with_row_numbers(load(spark, d, "documents").select("doc_id"), ["doc_id"]).select(F.col("row_number").alias("place"), "doc_id")
+    return a.join(b, "place").select("place", "item_id", "doc_id")
+
+
+@query("WITH e AS (SELECT * FROM events WHERE event_type IN ('click', 'view', 'purchase')), r AS (SELECT e.event_id, b.i FROM e JOIN (VALUES (0, -1e9::DOUBLE, 10.0::DOUBLE), (1, 10.0::DOUBLE, 40.0::DOUBLE), (2, 40.0::DOUBLE, 1e9::DOUBLE)) b(i, lo, hi) ON value >= lo AND value < hi) SELECT CAST(i AS INT) AS bucket, count(*) AS n FROM r GROUP BY 1")
+def range_buckets(spark, d):
+    """A search in sorted edges: an expression over a literal array instead of a range join."""
+    e = load(spark, d, "events").where(F.col("event_type").isin("click", "view", "purchase"))
+    edges = F.array(F.lit(10.0), F.lit(40.0))
+    return e.groupBy(F.size(F.filter(edges, lambda x: x <= F.col("value"))).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH a AS (SELECT doc_id FROM documents WHERE lang = 'en'), b AS (SELECT doc_id FROM labels) SELECT (SELECT count(*) FROM (SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b)) AS n_union_all, (SELECT count(*) FROM (SELECT doc_id FROM a UNION SELECT doc_id FROM b)) AS n_union, (SELECT count(*) FROM (SELECT doc_id FROM a EXCEPT SELECT doc_id FROM b)) AS n_except, (SELECT count(*) FROM (SELECT doc_id FROM a INTERSECT SELECT doc_id FROM b)) AS n_intersect")
+def set_ops(spark, d):
+    """All four set operations of two id sets out of one grouped union."""
+    a = load(spark, d, "documents").where("lang = 'en'").select("doc_id", F.lit(1).alias("a"), F.lit(0).alias("b"))
+    b = load(spark, d, "labels").select("doc_id", F.lit(0).alias("a"), F.lit(1).alias("b"))
+    g = a.unionByName(b).groupBy("doc_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    n = lambda c: F.count_if(F.expr(c))
+    return g.agg(F.sum(F.col("a") + F.col("b")).alias("n_union_all"), F.count(F.lit(1)).alias("n_union"), n("a > 0 AND b = 0").alias("n_except"), n("a > 0 AND b > 0").alias("n_intersect"))
+
+
+@query("WITH c AS (SELECT conv_id % 5 AS label, conv_id, max(text) AS t FROM conversations WHERE role = 'user' GROUP BY ALL) SELECT conv_id, CAST(label AS BIGINT) AS label, 'human' AS q_from, '<image>\n' || t AS q, 'gpt' AS a_from, 'class ' || CAST(label AS VARCHAR) AS a FROM c")
+def record_build(spark, d):
+    """Nested conversation records as they are exported, opened again for comparison."""
+    c = load(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.max("text").alias("t")).withColumn("label", F.col("conv_id") % 5)
+    turn = lambda who, value: F.struct(F.lit(who).alias("from"), value.alias("value"))
+    rec = c.withColumn("conversations", F.array(turn("human", F.concat(F.lit("<image>\n"), "t")), turn("gpt", F.concat(F.lit("class "), F.col("label").cast("string")))))
+    back = rec.withColumn("j", F.from_json(F.to_json(F.struct("conv_id", "label", "conversations")), "conv_id long, label long, conversations array<struct<from:string,value:string>>"))
+    turn_ = lambda i, f: F.get(F.col("j.conversations"), F.lit(i))[f]
+    return back.select("j.conv_id", "j.label", turn_(0, "from").alias("q_from"), turn_(0, "value").alias("q"), turn_(1, "from").alias("a_from"), turn_(1, "value").alias("a"))
+
+
+@query("SELECT doc_id, " + sql_first("text", DEMO_NETS, nets.UNLABELED) + " AS category FROM documents")
+def stream_labels(spark, d):
+    """Documents labelled as a stream over their directory, all that has landed."""
+    out, mark = scratch(spark, "labels"), scratch(spark, "mark")
+    src = scratch(spark, "landing")
+    load(spark, d, "documents").write.parquet(src)
+    s = ingest.landing(spark, src, spark.read.parquet(src).schema)
+    ingest.run_available(ingest.label_stream(s, "text", DEMO_NETS).select("doc_id", "category"), out, mark)
+    return spark.read.parquet(out)
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    """Event-time windows per day and type, batch form of the streaming operator."""
+    e = load(spark, d, "events")
+    g = e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query("SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+def pricing_summary(spark, d):
+    li = load(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY revenue DESC LIMIT 10")
+def join_revenue(spark, d):
+    li, o, c, n = (load(spark, d, t) for t in ("lineitem", "orders", "customer", "nation"))
+    x = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return x.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("revenue")).limit(10)
+
+
+@query("SELECT conv_id AS id, CAST(turn AS INT) AS line, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1")
+def last_wins(spark, d):
+    """Of repeated keys the last line counts."""
+    c = load(spark, d, "conversations")
+    return c.groupBy(F.col("conv_id").alias("id")).agg(F.max("turn").cast("int").alias("line"), F.max_by("text", "turn").alias("text"))
+
+
+@query("SELECT name, dim FROM (VALUES ('matrix', CAST(3 AS BIGINT)), ('vector', CAST(1 AS BIGINT))) t(name, dim)")
+def npy_scan(spark, d):
+    """Foreign array files, read as binaries: rows per file."""
+    import io
+
+    import numpy as np
+
+    files = []
+    for name, x in (("matrix", np.arange(12.0).reshape(3, 4)), ("vector", np.arange(5.0))):
+        buf = io.BytesIO()
+        np.save(buf, x)
+        files.append((name, bytearray(buf.getvalue())))
+    src = spark.createDataFrame(files, "name string, content binary")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = [len(np.atleast_2d(np.load(io.BytesIO(x.as_py())))) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64())], ["name", "dim"])
+
+    return src.mapInArrow(run, "name string, dim long")
+
+
+@query("SELECT user_id, event_id, CAST(rn AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events) WHERE rn <= 2")
+def result_sort(spark, d):
+    w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
+    return load(spark, d, "events").withColumn("place", F.row_number().over(w)).where("place <= 2").select("user_id", "event_id", "place")
