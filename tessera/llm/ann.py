@@ -56,7 +56,7 @@ def fit(x: np.ndarray, g: float, rounds: int = ROUNDS, seed: int = SEED) -> np.n
     rng = np.random.default_rng(seed)
     n, m = len(x), x.shape[1] // SUB
     parts = x.reshape(n, m, SUB)
-    pick = rng.choice(n, size=(m, CENTROIDS), replace=n < CENTROIDS)
+    pick = np.stack([rng.choice(n, size=CENTROIDS, replace=n < CENTROIDS) for _ in range(m)])
     books = np.stack([parts[pick[j], j] for j in range(m)]).astype(np.float64)
     norm = np.maximum((x**2).sum(axis=1), 1e-30)
     for i in range(rounds):
