@@ -81,6 +81,11 @@ def _mix(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _factors(k: int) -> list[np.uint64]:
+    rng = np.random.default_rng(13 + k)
+    return [np.uint64(int(x) * 2 + 1) for x in rng.integers(1 << 62, size=WINDOW)]
+
+
 class Block:
     """A block's words and windows. Windows of documents without an id take no part."""
 
@@ -104,23 +109,29 @@ class Block:
         per_doc = np.where(self.none, 0, np.maximum(self.counts - WINDOW + 1, 0))
         self.doc = np.repeat(np.arange(len(self.ids)), per_doc)
         self.start = np.repeat(self.first - (np.cumsum(per_doc) - per_doc), per_doc) + np.arange(int(per_doc.sum()))
-        rng = np.random.default_rng(13)
-        both = []
-        for k in (0, 1):
-            h, total = hashes[at, k] if n else np.empty(0, np.uint64), np.zeros(max(n - WINDOW + 1, 0), np.uint64)
-            for j in range(WINDOW):
-                total += h[j : j + len(total)] * np.uint64(int(rng.integers(1 << 62)) * 2 + 1)
-            both.append(_mix(_mix(total, k), 1 - k)[self.start])
-        self.one, self.two = both[0], both[1] >> np.uint64(32)
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct first hashes; whether two documents (by place) have one."""
+        self.hashes, self.at = hashes, at
+        h, total = hashes[at, 0] if n else np.empty(0, np.uint64), np.zeros(max(n - WINDOW + 1, 0), np.uint64)
+        for j, c in enumerate(_factors(0)):
+            total += h[j : j + len(total)] * c
+        self.one = _mix(_mix(total, 0), 1)[self.start]
+
+    def second(self, place: np.ndarray) -> np.ndarray:
+        """Another 32 bits of some windows, from other word hashes."""
+        total, start = np.zeros(len(place), np.uint64), self.start[place]
+        for j, c in enumerate(_factors(1)):
+            total += self.hashes[self.at[start + j], 1] * c
+        return _mix(_mix(total, 1), 0) >> np.uint64(32)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct first hashes; whether two documents (by place) have one; each window's hash by number."""
         order = np.argsort(self.one, kind="stable")
         h, d = self.one[order], self.doc[order]
         new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.empty(0, bool)
         other = np.r_[False, (h[1:] == h[:-1]) & (d[1:] != d[:-1])] if len(h) else new
         at = np.nonzero(new)[0]
-        return h[at], np.logical_or.reduceat(other, at) if len(at) else other
+        number = np.empty(len(h), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return h[at], np.logical_or.reduceat(other, at) if len(at) else other, number
 
 
 def cells_of(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -128,16 +139,21 @@ def cells_of(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (hashes if row == 0 else _mix(hashes, 1)) >> np.uint64(64 - bits)
 
 
-def merge_cells(hashes: np.ndarray, twice: np.ndarray, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct cells, whether a cell has two documents or two windows)."""
-    cells = cells_of(hashes, row, bits)
+def merge_cells(hashes: np.ndarray, twice: np.ndarray, row: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct cells, whether a cell has two documents or two windows, each hash's cell by number)."""
+    cells, order = cells_of(hashes, row, bits), None
     if row:
         order = np.argsort(cells, kind="stable")
         cells, twice = cells[order], twice[order]
     new = np.r_[True, cells[1:] != cells[:-1]] if len(cells) else np.empty(0, bool)
     at = np.nonzero(new)[0]
     size = np.diff(np.r_[at, len(cells)])
-    return cells[at], (size > 1) | (np.logical_or.reduceat(twice, at) if len(at) else False)
+    number = np.cumsum(new) - 1
+    if order is not None:
+        back = np.empty_like(number)
+        back[order] = number
+        number = back
+    return cells[at], (size > 1) | (np.logical_or.reduceat(twice, at) if len(at) else False), number
 
 
 def _gaps(cells: np.ndarray) -> bytes:
@@ -181,15 +197,14 @@ def candidates(block: Block, answers: list[dict], bits: int) -> tuple[np.ndarray
     (places in the block's windows, their entry), then per entry, sorted by fingerprint: first hash, second
     hash, place of the smallest document.
     """
-    h, twice = block.distinct()
+    h, twice, at = block.distinct()
     fine = np.ones(len(h), bool)
     for r in range(ROWS):
-        cells, _ = merge_cells(h, twice, r, bits)
+        cells, _, number = merge_cells(h, twice, r, bits)
         full = _bits([(a["shard"], a["data"]) for a in answers if a["row"] == r], len(cells))
-        fine &= full[np.searchsorted(cells, cells_of(h, r, bits))]
-    at = np.searchsorted(h, block.one)
+        fine &= full[number]
     place = np.nonzero(fine[at])[0] if len(h) else np.empty(0, np.int64)
-    one, two, doc = block.one[place], block.two[place], block.doc[place]
+    one, two, doc = block.one[place], block.second(place), block.doc[place]
     order = np.lexsort((block.ids[doc], two, one))
     one, two, doc, place = one[order], two[order], doc[order], place[order]
     new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])] if len(one) else np.empty(0, bool)
@@ -223,10 +238,10 @@ def _run(docs: DataFrame, id_col, text_col, block_bytes, with_text) -> DataFrame
     def send(batches):
         for b in batches:
             for row in b.to_pylist():
-                h, twice = Block(row).distinct()
+                h, twice, _ = Block(row).distinct()
                 out = []
                 for r in range(ROWS):
-                    cells, full = merge_cells(h, twice, r, bits)
+                    cells, full, _ = merge_cells(h, twice, r, bits)
                     for s, i, j in _parts(cells, shard_bits):
                         out.append({"row": r, "shard": s, "block": row["block"], "cells": _gaps(cells[i:j] - np.uint64(s << shard_bits)), "full": np.packbits(full[i:j]).tobytes()})
                 if out:
