@@ -155,4 +155,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     """The documents that contain benchmark items, over all of ``documents`` and ``benchmark``."""
-    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("hamming")
+
+
+OP8_SQL = """
+WITH d AS (
+  SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL
+), t AS (
+  SELECT item_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM benchmark
+), u AS (
+  SELECT item_id, w, len(w) AS size, least(len(w), 5) AS k FROM t WHERE len(w) > 0
+), ug AS (
+  SELECT item_id, size, k, i, array_to_string(w[i:i+k-1], ' ') AS g FROM (SELECT *, unnest(range(1, size - k + 2)) AS i FROM u)
+), dg AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i+k-1], ' ') AS g FROM (SELECT d.doc_id, d.w, s.k, unnest(range(1, greatest(len(d.w) - s.k + 2, 1))) AS i FROM d, (SELECT DISTINCT k FROM u) s)
+), a AS (
+  SELECT DISTINCT doc_id, ug.k, size, dg.i - ug.i AS start FROM dg JOIN ug ON dg.g = ug.g AND dg.k = ug.k
+), x AS (
+  SELECT DISTINCT a.doc_id, a.k, a.size, a.start, d.w[greatest(start, 0)+1 : least(start + size, len(d.w))] AS w FROM a JOIN d USING (doc_id)
+), xg AS (
+  SELECT doc_id, k, size, start, array_to_string(w[i:i+k-1], ' ') AS g, count(*) AS n FROM (SELECT *, unnest(range(1, greatest(len(w) - k + 2, 1))) AS i FROM x) GROUP BY ALL
+), un AS (
+  SELECT item_id, size, k, g, count(*) AS n FROM ug GROUP BY ALL
+), sh AS (
+  SELECT doc_id, start, xg.size, xg.k, item_id, sum(least(xg.n, un.n) * length(g)) AS m FROM xg JOIN un USING (size, k, g) GROUP BY ALL
+), xw AS (SELECT doc_id, start, size, k, sum(n * length(g)) AS t FROM xg GROUP BY ALL), uw AS (SELECT item_id, sum(n * length(g)) AS t FROM un GROUP BY ALL)
+, s AS (
+  SELECT doc_id, item_id, start, size, CAST(m AS DOUBLE) / (xw.t + uw.t - m) AS similarity FROM sh JOIN xw USING (doc_id, start, size, k) JOIN uw USING (item_id)
+), b AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start, size) AS rn FROM s WHERE similarity >= 0.8
+)
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(size AS INTEGER) AS n_words, similarity FROM b WHERE rn = 1
+"""

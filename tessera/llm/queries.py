@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from .ann import op5_ann
-from .decontaminate import op8_decontamination
+from .ann import OP5_SQL, op5_ann
+from .decontaminate import OP8_SQL, op8_decontamination
 from .html_text import op1_html_text
 from .kneser_ney import op4_quality_classifier
 from .mixing import op10_mixing
 from .pii import op7_pii
 from .records import op2_token_records
 from .simhash_dedup import op9_simhash_dedup
-from .substring_dedup import op6_substring_dedup
+from .substring_dedup import OP6_SQL, op6_substring_dedup
 from .warc_store import OP3_SQL, op3_warc_store
 
 QUERIES = {
@@ -28,4 +28,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_warc_store": OP3_SQL,
+    "op5_ann": OP5_SQL,
+    "op6_substring_dedup": OP6_SQL,
+    "op8_decontamination": OP8_SQL,
 }

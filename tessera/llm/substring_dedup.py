@@ -330,3 +330,25 @@ def _run(docs: DataFrame, id_col, text_col, block_bytes, with_text) -> DataFrame
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's query over all of ``documents``."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d WHERE doc_id IS NOT NULL
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM p
+), m AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM g
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM m WHERE least < doc_id
+), r AS (
+  SELECT doc_id, list(j) AS gone FROM c GROUP BY 1
+), k AS (
+  SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS x,
+    CASE WHEN gone IS NULL THEN w ELSE list_select(w, list_filter(range(1, len(w) + 1), lambda q: NOT list_contains(gone, q))) END AS kept
+  FROM d LEFT JOIN r USING (doc_id)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(x AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
