@@ -76,24 +76,39 @@ def split_ranges(quotas: list[int], n_shards: int, seed: int, shard: int) -> lis
 
 
 def pick_blocks(src: int, sizes: dict[int, int], target: float, capped: bool, most: int, seed: int) -> list[int]:
-    """The draws of one source in order: whole passes, then the blocks of a partial pass, each pass permuted."""
-    blocks = sorted(sizes)
-    total = sum(sizes.values())
+    """The draws of one source in order: whole passes, then the blocks of a partial pass, each pass permuted.
+
+    Blocks of the partial pass are taken in permuted order as they fit. If the sum is off the target by a
+    thousandth or more, single draws are added, left out or exchanged while that brings it nearer; a block
+    is drawn ``most`` times at most.
+    """
+    blocks = np.array(sorted(sizes))
+    words = np.array([sizes[b] for b in blocks.tolist()], np.int64)
+    total = int(words.sum())
     passes = most if capped else int(target // total) if total else 1
-    rest = 0.0 if capped or not total else target - passes * total
-    draws = []
-    for p in range(passes):
-        draws += [blocks[i] for i in np.random.default_rng(_seed(seed, "pass", src, p)).permutation(len(blocks))]
-    if rest > 0:
-        for i in np.random.default_rng(_seed(seed, "pass", src, passes)).permutation(len(blocks)):
-            if sizes[blocks[i]] and sizes[blocks[i]] <= rest:
-                draws.append(blocks[i])
-                rest -= sizes[blocks[i]]
-        left_over = [b for b in blocks if b not in set(draws[passes * len(blocks) :]) and sizes[b]]
-        nearest = min(left_over, key=lambda b: (sizes[b], b), default=None)
-        if nearest is not None and sizes[nearest] - rest < rest:  # one more block comes nearer to the target
-            draws.append(nearest)
-    return draws
+    order = lambda p: np.random.default_rng(_seed(seed, "pass", src, p)).permutation(len(blocks))
+    times = np.full(len(blocks), passes)
+    if total and not capped:
+        rest = target - passes * total
+        for i in order(passes).tolist():
+            if 0 < words[i] <= rest:
+                times[i] += 1
+                rest -= words[i]
+        for _ in range(100):
+            if abs(rest) < target / 1000:
+                break
+            add = np.append(np.where((times < most) & (words > 0), words, 1 << 60), 0)
+            drop = np.append(np.where((times > 0) & (words > 0), words, 1 << 60), 0)
+            left = np.abs(rest - (add[:, None] - drop[None, :]))
+            i, j = np.unravel_index(int(left.argmin()), left.shape)
+            if left[i, j] >= abs(rest):
+                break
+            rest -= int(add[i] - drop[j])
+            if i < len(blocks):
+                times[i] += 1
+            if j < len(blocks):
+                times[j] -= 1
+    return [int(blocks[i]) for p in range(int(times.max(initial=0))) for i in order(p) if times[i] > p]
 
 
 def draw_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(1, 2, 3), most=3, blocks=BLOCKS, shard_words=SHARD_WORDS, seed=SEED):
