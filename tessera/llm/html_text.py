@@ -32,6 +32,8 @@ MARKED = frozenset(
     "header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommended recommendations "
     "related reply respond replies share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Whole class or id names of wrappers that hold an article, whatever else they are called.
+CONTENT = frozenset("content article main post entry story body".split())
 MAIN = frozenset("article main".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)", re.S)
@@ -50,8 +52,12 @@ def _boilerplate(tag: str, attrs: str, in_main: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id") and not MARKED.isdisjoint(x.lower() for x in _NAME.findall(value)):
-            if not (in_main and tag == "header" or {"content", "article"} & {x.lower() for x in _NAME.findall(value)}):
+        if name in ("class", "id"):
+            names = value.lower().split()
+            if not CONTENT.isdisjoint(names):
+                continue
+            marked = MARKED - {"header"} if in_main else MARKED  # an article's own header holds its title
+            if any(x.lower() in marked for n in value.split() for x in _NAME.findall(n)):
                 return True
     return False
 
@@ -88,6 +94,8 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             continue
         tag = tag.lower()
         close = bool(m[1])
+        if skip_tag == "p" and not close and tag in BLOCK:
+            skip_tag = ""  # a paragraph ends where the next block begins
         if skip_tag:
             if tag == skip_tag and not m[0].endswith("/>"):
                 skip_depth += -1 if close else 1

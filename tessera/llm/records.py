@@ -193,8 +193,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
     key = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     key = key.withColumn("h", F.xxhash64("text"))
     n = files or max(1, -(-(key.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
-    order = ["doc_id", "h"]
-    dealt = key.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("h")
+    order = ["doc_id", "h", "salt"]  # the salt lets rows that are alike be dealt to several files
+    dealt = key.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("h", "salt")
 
     def run(batches):
         import os
