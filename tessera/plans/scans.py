@@ -246,3 +246,41 @@ def npy_scan(spark, d):
 def result_sort(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
     return load(spark, d, "events").withColumn("place", F.row_number().over(w)).where("place <= 2").select("user_id", "event_id", "place")
+
+
+@query("SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i:04d}" for i in range(4)) + " FROM embeddings")
+def wide_columns(spark, d):
+    """A vector laid out in columns, and those columns chosen by the pattern of their names."""
+    wide = load(spark, d, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i:04d}") for i in range(4)])
+    return wide.select("vec_id", wide.colRegex("`^e[0-9]+$`"))
+
+
+@query("SELECT '| ' || lang || ' | ' || CAST(count(*) AS VARCHAR) || ' | ' || printf('%.2f', round(avg(n_chars), 2)) || ' |' AS line FROM documents GROUP BY lang")
+def markdown_rows(spark, d):
+    """The rows of a Markdown table, formatted on the executors."""
+    g = load(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 2).alias("m"))
+    return g.select(F.format_string("| %s | %d | %.2f |", "lang", "n", "m").alias("line"))
+
+
+@query("SELECT '{' || string_agg('\"' || source || '\":\"' || CAST(n AS VARCHAR) || '\"', ',' ORDER BY source) || '}' AS json FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")
+def object_export(spark, d):
+    """One JSON object of all keys."""
+    g = load(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    return writers.as_object(g, "source", "n")
+
+
+@query("SELECT '{\"item_id\":' || CAST(item_id AS VARCHAR) || ',\"n\":' || CAST(length(text) AS VARCHAR) || '}' AS json FROM benchmark")
+def json_export(spark, d):
+    b = load(spark, d, "benchmark").select("item_id", F.length("text").alias("n"))
+    return writers.as_json(b)
+
+
+@query()
+def toy_corpus(spark, d):
+    """A synthetic corpus labelled and summed: positives by net and mean library size."""
+    from tessera.sources import toy
+
+    s = toy.samples(spark, 400)
+    size = toy.counts(spark, 60, 400).groupBy("sample_index").agg(F.sum("count").alias("library_size"))
+    label = nets.first_match(nets.haystack(F.col("title"), F.col("source_name_ch1"), F.col("characteristics_ch1")), nets.DISEASE_NETS)
+    return s.join(size, "sample_index", "left").groupBy(label.alias("category")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("library_size", F.lit(0))).alias("mean_size"))
