@@ -60,8 +60,8 @@ def modality_batches(df: DataFrame, id_col: str, length: str, batch: int, worker
         parts.append(own.crossJoin(F.broadcast(last)))  # one row
     both = parts[0].unionByName(parts[1])
     full = both.where("megabatch < last").withColumn("h", F.md5(F.concat("modality", F.lit(":"), F.col("megabatch").cast("string"), F.lit(f":{seed}")).cast("binary")))
-    order = full.select("modality", "megabatch", "h").distinct().withColumn("n", F.row_number().over(Window.orderBy("h", "modality", "megabatch")))
-    full = full.join(F.broadcast(order.drop("h")), ["modality", "megabatch"]).select("id", "length", "modality", F.col("n").cast("long").alias("megabatch"), "place")
+    order = sampling.with_row_numbers(full.select("modality", "megabatch", "h").distinct(), ["h", "modality", "megabatch"]).withColumn("n", F.col("row_number") + 1)
+    full = full.join(order.select("modality", "megabatch", "n"), ["modality", "megabatch"]).select("id", "length", "modality", F.col("n").cast("long").alias("megabatch"), "place")
     mixed = both.where("megabatch = last").withColumn("at", F.row_number().over(Window.orderBy(F.desc("modality"), "place")) - 1)  # two megabatches at most
     n_mixed = mixed.agg(F.count(F.lit(1)).alias("n_mixed"))
     end = order.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_full"))

@@ -10,9 +10,16 @@ def order_of(id_col: str, seed: int) -> list[Column]:
     return [F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")).cast("binary")), F.col(id_col)]
 
 
+#: Draws of up to so many rows are a top-k, which ends in one task; larger ones a distributed sort.
+TOP_K = 100_000
+
+
 def draw(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    """``n`` rows without replacement (all, if fewer): a top-k by hash, no full sort."""
-    return df.orderBy(*order_of(id_col, seed)).limit(n)
+    """``n`` rows without replacement (all, if fewer), the first in hash order."""
+    if n <= TOP_K:
+        return df.orderBy(*order_of(id_col, seed)).limit(n)
+    hashed = df.withColumn("_h", order_of(id_col, seed)[0])
+    return with_row_numbers(hashed, ["_h", id_col]).where(F.col("row_number") < n).drop("_h", "row_number", "n_rows")
 
 
 def draw_per_class(df: DataFrame, label: str, id_col: str, n: int, seed: int) -> DataFrame:

@@ -98,11 +98,13 @@ def test_folds_do_not_leak(spark):
     assert (folds.inner_folds(9), folds.inner_folds(2), folds.inner_folds(1)) == (3, 2, 2)
 
 
-def test_draws(spark):
+def test_draws(spark, monkeypatch):
     x = spark.range(100).toDF("id")
     a = {r[0] for r in sampling.draw(x, "id", 30, 1).collect()}
     assert len(a) == 30 and a == {r[0] for r in sampling.draw(x.repartition(9), "id", 30, 1).collect()}
     assert sampling.draw(x, "id", 1000, 1).count() == 100
+    monkeypatch.setattr(sampling, "TOP_K", 5)
+    assert a == {r[0] for r in sampling.draw(x, "id", 30, 1).collect()} and sampling.draw(x, "id", 1000, 1).columns == ["id"]
     with pytest.raises(ValueError):
         sampling.with_ratio(x, F.col("id") < 0, "id", 3, 1)
     c = {r.id: r.chunk for r in sampling.chunks(spark.range(5).toDF("id"), ["id"], 4).collect()}
