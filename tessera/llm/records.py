@@ -29,7 +29,7 @@ CHUNK = 512
 HEADER = "<BBxxq"
 END_ID = 1
 #: Characters tokenized at a time, words kept in a task's cache.
-SLICE_CHARS, CACHE_WORDS = 8_000_000, 1_000_000
+SLICE_CHARS, CACHE_WORDS = 4_000_000, 600_000
 #: Text bytes per file: a task knows a word once, so fewer and larger files cost less.
 FILE_BYTES = 64 << 20
 #: Words whose letters and closing stops the tokenizer keeps apart; composed letters only.
@@ -231,6 +231,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
             with fs.open_output_stream(at + ".idx") as f:
                 f.write(np.array(index, "<i8").tobytes())
             yield pa.RecordBatch.from_pylist([{"part": part, "file": target + ".rec", "records": records, "tokens": tokens}], schema=_MANIFEST)
+        encoder = b = texts = index = payloads = lengths = None
+        common.release_memory()
 
     manifest = common.written(dealt.mapInArrow(run, "part int, file string, records long, tokens long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

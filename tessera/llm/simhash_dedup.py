@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = b.column(1).cast(pa.large_binary())
             got = [fingerprint(x.as_py() or b"", k, distinct) for x in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], ["doc_id", "fp"])
+        common.release_memory()
 
     pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return pair.mapInArrow(run, "doc_id long, fp long")
