@@ -123,7 +123,8 @@ def block_join(wins: DataFrame, items: DataFrame) -> DataFrame:
         other.append(F.struct(F.lit(i).alias("b"), _block(F.col("fp"), start, size).alias("v")))
     left = items.select("item_id", "size", F.col("fp").alias("item_fp"), F.explode(F.concat(*own)).alias("x")).select("item_id", "size", "item_fp", "x.*")
     right = wins.select("doc_id", "start", "size", "fp", F.explode(F.array(*other)).alias("x")).select("doc_id", "start", "size", "fp", "x.*")
-    pairs = right.join(left, ["size", "b", "v"])
+    # The listed neighbours are many times the items that Spark's estimate sees: never broadcast them.
+    pairs = right.join(left.hint("merge"), ["size", "b", "v"])
     pairs = pairs.withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= RADIUS)
     return pairs.select("doc_id", "start", "size", "item_id", "hamming").distinct()
 
