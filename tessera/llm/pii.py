@@ -3,8 +3,9 @@
 Base spans are e-mail and IP addresses, card and phone numbers, by fixed patterns. They are the seeds of
 a bootstrap: the words before an entity make a lexical pattern; a pattern is scored by how many of the
 distinct instances it introduces are trusted, an instance by the patterns that introduce it, and the
-two scores are iterated over the whole corpus as joins of narrow tables. Identifier-like tokens that a
-high-confidence pattern introduces and no base span covers are added as spans of kind ``id``.
+two scores are iterated over the whole corpus as joins of narrow tables. What else a pattern's words
+precede in the same documents counts against it, so that common words are no patterns. Identifier-like
+tokens that a high-confidence pattern introduces and no base span covers are added as spans of kind ``id``.
 """
 
 from __future__ import annotations
@@ -89,6 +90,22 @@ def context(text: str, start: int) -> list[str]:
     return out + [" ".join(words)] if len(words) == 2 and out else out
 
 
+def other_uses(text: str, contexts: list[list[str]]) -> list[list[tuple[str, int]]]:
+    """The patterns of a text's occurrences, each with the number of places in the text where its words precede
+    something else; stated at a pattern's first occurrence, 0 at the rest."""
+    uses: dict[str, int] = dict.fromkeys((p for c in contexts for p in c), 0)
+    words = text.lower().split()
+    for a, b in zip(words, [*words[1:], ""]):
+        if a in uses:
+            uses[a] += 1
+        if b in uses and (two := f"{a} {b}") in uses:
+            uses[two] += 1
+    for c in contexts:
+        for p in c:
+            uses[p] -= 1
+    return [[(p, max(uses.pop(p, 0), 0)) for p in c] for c in contexts]
+
+
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """Identifier-like tokens with digits that no base span touches, trimmed to letters and digits at both ends."""
     out, last, k = [], 0, 0
@@ -127,17 +144,18 @@ def joined(spans) -> str:
 
 def scan(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """Per row its base spans and its occurrences: ``doc_id, n_*, base, found`` with ``found`` an array of
-    ``(start, end, seed, instance, patterns)``. ``instance`` is a hash of the surface string."""
+    ``(start, end, seed, instance, patterns)``. ``instance`` is a hash of the surface string, a pattern has its ``others``."""
     kinds = KINDS[:4]
     counts = [f"n_{k}" for k in kinds]
-    item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.string()))])
+    item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.struct([("pattern", pa.string()), ("others", pa.int64())])))])
     schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in counts], ("base", pa.string()), ("found", pa.list_(item))])
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
-        def occurrence(text, a, b, seed):
-            return {"start": a, "end": b, "seed": seed, "instance": xxh64_intdigest(text[a:b].lower().encode()) - (1 << 63), "patterns": context(text, a)}
+        def occurrences(text, places):
+            patterns = other_uses(text, [context(text, a) for a, _, _ in places])
+            return [{"start": a, "end": b, "seed": seed, "instance": xxh64_intdigest(text[a:b].lower().encode()) - (1 << 63), "patterns": p} for (a, b, seed), p in zip(places, patterns)]
 
         for b in batches:
             texts = b.column(1)
@@ -149,28 +167,28 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                 base[i] = joined(spans)
                 for k, row in zip(kinds, numbers):
                     row[i] = sum(x[2] == k for x in spans)
-                found[i] = [occurrence(text, x, y, True) for x, y, _ in spans] + [occurrence(text, x, y, False) for x, y in candidates(text, spans)]
+                found[i] = occurrences(text, [(x, y, True) for x, y, _ in spans] + [(x, y, False) for x, y in candidates(text, spans)])
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in numbers], pa.array(base), pa.array(found, pa.list_(item))], schema=schema)
 
     got = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return got.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base string, found array<struct<start long, end long, seed boolean, instance long, patterns array<string>>>")
+    return got.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base string, found array<struct<start long, end long, seed boolean, instance long, patterns array<struct<pattern string, others long>>>>")
 
 
 def pattern_scores(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``pattern, score, seeds`` from distinct ``pattern, instance, seed``; only patterns with enough seeds.
+    """``pattern, score, seeds`` from distinct ``pattern, instance, seed, others``; only patterns with enough seeds.
 
-    A pattern's score is the mean trust in its instances, less for few of them; a seed's trust is 1, any
-    other instance's is 1 - prod(1 - score) over its patterns. Both sides are equi-joins on the graph's links.
+    A pattern's score is the trust in its instances over their number, its other uses and one; a seed's
+    trust is 1, any other instance's is 1 - prod(1 - score) over its patterns. Both sides are equi-joins on the graph's links.
     """
-    base = links.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count(F.lit(1)).alias("n")).where(F.col("seeds") >= LEAST_SEEDS)
+    base = links.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), (F.count(F.lit(1)) + F.sum("others") + 1).alias("n")).where(F.col("seeds") >= LEAST_SEEDS)
     base = common.written(base, "patterns")
     graph = common.written(links.join(base.select("pattern"), "pattern"), "graph")
-    scores = base.select("pattern", "seeds", (F.col("seeds") / (F.col("n") + 1)).alias("score"))
+    scores = base.select("pattern", "seeds", (F.col("seeds") / F.col("n")).alias("score"))
     for _ in range(rounds):
         doubt = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9))))
         trust = graph.where(~F.col("seed")).join(scores.select("pattern", "score"), "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("trust"))
         weight = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("trust", F.lit(0.0)))
-        summed = graph.join(trust, "instance", "left").groupBy("pattern").agg(F.count_if("seed").alias("seeds"), (F.sum(weight) / (F.count(F.lit(1)) + 1)).alias("score"))
+        summed = graph.join(trust, "instance", "left").groupBy("pattern").agg(F.count_if("seed").alias("seeds"), (F.sum(weight) / (F.count(F.lit(1)) + F.sum("others") + 1)).alias("score"))
         scores = common.written(summed, "scores")
     return scores
 
@@ -183,9 +201,9 @@ def find(docs: DataFrame, id_col="doc_id", text_col="text", confidence: float =
     """
     rows = common.written(scan(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "scanned")
     each = rows.select("row", F.explode("found").alias("x")).select("row", "x.*")
-    links = each.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    links = each.select("instance", "seed", F.explode("patterns").alias("p")).groupBy("p.pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("p.others").alias("others"))
     good = pattern_scores(common.written(links, "links")).where((F.col("score") >= confidence) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern")
-    new = each.where("not seed").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi")
+    new = each.where("not seed").select("row", "start", "end", F.explode("patterns.pattern").alias("pattern")).join(good, "pattern", "left_semi")
     added = new.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("added"))
     out = rows.drop("found").join(added, "row", "left")
     # All spans by start, then kind: base spans never overlap added ones, so starts differ.

@@ -172,6 +172,9 @@ def test_pii_query_and_bootstrap(spark, odd_docs, no_docs):
         assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and set(want) <= set(got[i].spans.split(",")) | {""}
         assert got[i].n_email == sum(s.startswith("email") for s in want)
     assert got[200].spans == "id:19:29" and got[201].spans == "" and got[90].spans == "" and got[None].n_email == 1
+    # A common word is no pattern, however many seeds it introduces.
+    rows = [(i, f"the dog and the cat met the fox near the user{i}@mail.com then the end") for i in range(30)] + [(99, "we saw the 7086638319846192 there")]
+    assert all("id:" not in r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert pii.find(odd_docs).count() == odd_docs.count() and pii.find(no_docs).count() == 0
 
 
