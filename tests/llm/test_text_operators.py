@@ -375,7 +375,7 @@ PAGES = [
     ("<article><p>text</p><div class='comments'><p>nice</p></div><form>sign</form><aside>side</aside><p>end</article>", "text end"),
     ("<div id=sidebar>s</div><div class=content><h1>Head</h1><p>" + "long text here " * 10 + "</p><p>short</p><p>" + "more text " * 12 + "</p></div><div class='cookie-notice'>ok</div>", "Head " + ("long text here " * 10).strip() + " short " + ("more text " * 12).strip()),
     ("<p>a<script>var t='</p>'; if (a<b) {}</script>b<!-- <p>x</p> -->c</p>", "abc"),
-    ("plain &lt;b&gt; text", "plain <b> text"), ("", ""), (None, ""), ("<article>cut <p off", "cut"), ("<script>never closed", ""),
+    ("plain &lt;b&gt; text", "plain <b> text"), ("", ""), (None, ""), ("<article>cut <p off", "cut"), ("<script>never closed", ""), ('<p title="x>y</p>z', "y z"), ("<p title='a>b' class=x>y<P>z", "y z"),
     ("<article><div class='entry-header'><h1>H</h1></div><p class=notice>n<p>text</p><div class='content-sidebar'>s</div><div class='content has-sidebar'>in</div><span id='ad-1'>a<span>b</span></span>z</article>", "H text in z"),
     ("<body><div id='header'>site</div><main><p>m</p></main><div class='postComments'>c</div></body>", "m"),
 ]
