@@ -26,6 +26,17 @@ LETTERS = ("A", "B", "C", "D", "E")
 # Fixed values end.
 
 
+def once(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` evaluated a single time, however often ``f`` uses it: bound as a lambda's variable."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def looked_up(w: Column, table: dict) -> Column:
+    """The word's entry, or the word: a hashed membership test spares most words the search of the map."""
+    entries = F.create_map(*[F.lit(v) for kv in table.items() for v in kv])
+    return F.when(w.isin(*table), F.try_element_at(entries, w)).otherwise(w)
+
+
 def strip(x: Column) -> Column:
     """Without white space at both ends, of any kind (``trim`` takes spaces only)."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -40,6 +51,10 @@ def punctuation(x: Column) -> Column:
 
     Stops that no digit follows go. The tests look at the input, not at what earlier marks left.
     """
+    return once(x, _punctuation)
+
+
+def _punctuation(x: Column) -> Column:
     digits = x.rlike("[0-9],[0-9]")
     out = x
     for m in MARKS:
@@ -51,10 +66,9 @@ def punctuation(x: Column) -> Column:
 def digits_articles(x: Column) -> Column:
     """Number words as digits, no articles, contractions with their apostrophes, single spaces."""
     words = F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != "")
-    table = lambda d: F.create_map(*[F.lit(v) for kv in d.items() for v in kv])
-    words = F.transform(words, lambda w: F.coalesce(F.try_element_at(table(NUMBERS), w), w))
+    words = F.transform(words, lambda w: looked_up(w, NUMBERS))
     words = F.filter(words, lambda w: ~w.isin(*ARTICLES))
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table(CONTRACTIONS), w), w)), " ")
+    return F.array_join(F.transform(words, lambda w: looked_up(w, CONTRACTIONS)), " ")
 
 
 def normalize(x: Column) -> Column:

@@ -55,10 +55,9 @@ def breakdown(spark, d):
 
 @query(f"SELECT doc_id, {', '.join(f'{sql_net('text', w)} AS is_{n}' for n, w in DEMO_NETS.items())}, {CATEGORY_SQL} AS category, CAST({' + '.join(f'CAST({sql_net('text', w)} AS INT)' for w in DEMO_NETS.values())} AS INT) AS n_matched FROM documents")
 def multi_match(spark, d):
-    hay = nets.haystack(F.col("text"))
-    every = nets.all_matches(hay, DEMO_NETS)
-    docs = load(spark, d, "documents")
-    return docs.select("doc_id", *[nets.hits(hay, w).alias(f"is_{n}") for n, w in DEMO_NETS.items()], F.coalesce(F.get(every, F.lit(0)), F.lit(nets.UNLABELED)).alias("category"), F.size(every).alias("n_matched"))
+    """All nets that hit, found once; the single flags and the first label follow from the list."""
+    docs = load(spark, d, "documents").select("doc_id", nets.all_matches(nets.haystack(F.col("text")), DEMO_NETS).alias("every"))
+    return docs.select("doc_id", *[F.array_contains("every", n).alias(f"is_{n}") for n in DEMO_NETS], F.coalesce(F.get("every", F.lit(0)), F.lit(nets.UNLABELED)).alias("category"), F.size("every").alias("n_matched"))
 
 
 WEAK = ("src1", "de", "theor")
