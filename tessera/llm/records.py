@@ -92,7 +92,7 @@ class WordEncoder:
     is encoded by the library once per cache, texts are put together from the words' ids.
     """
 
-    def __init__(self, path: str, end_id: int | None = END_ID):
+    def __init__(self, path: str, end_id: int | None = END_ID, cache_words: int = CACHE_WORDS):
         import json
         import os
 
@@ -103,6 +103,7 @@ class WordEncoder:
         self.whole = not _cuts_at_space(json.load(open(path, encoding="utf-8")))
         self.end = [] if end_id is None else [end_id]
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.cache_words = cache_words
         self._reset()
 
     def _reset(self) -> None:
@@ -116,7 +117,7 @@ class WordEncoder:
         if self.whole:
             got = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
             return [np.array(x.ids + self.end, np.uint32) for x in got]
-        if len(self.at) > CACHE_WORDS:
+        if len(self.at) > self.cache_words:
             self._reset()
         split = pa.compute.ascii_split_whitespace(texts)
         lists = split.offsets.to_numpy()
@@ -181,7 +182,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int | None = END_ID, files: int | None = None, id_col="doc_id", text_col="text") -> DataFrame:
+def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int | None = END_ID, files: int | None = None, id_col="doc_id", text_col="text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """Writes all rows in ascending id order as record files under ``folder``; returns the manifest.
 
     Manifest: a row per file with ``part, file, records, tokens, start`` (``start``: ids in all files
@@ -211,7 +212,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
             cuts = cuts[cuts <= len(sizes)]
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if encoder is None:
-                    encoder = WordEncoder(path, end_id)
+                    encoder = WordEncoder(path, end_id, cache_words)
                     fs, at = common.open_fs(target)
                     fs.create_dir(os.path.dirname(at), recursive=True)
                     out = fs.open_output_stream(at + ".rec")
@@ -329,10 +330,12 @@ def read_records(manifest: DataFrame, files: int | None = None) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenize_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Writes ``docs`` as record files in the shared folder and reads them back."""
+def tokenize_and_read(docs: DataFrame, tokenizer: str | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Writes ``docs`` as record files in the shared folder and reads them back.
+
+    ``cache_words`` trades a task's memory (some 140 bytes a word) for time; it changes no result."""
     folder = common.new_path(docs.sparkSession, "records")
-    return read_records(write_records(docs, folder, tokenizer))
+    return read_records(write_records(docs, folder, tokenizer, cache_words=cache_words))
 
 
 def op2_token_records(spark, sf_dir: str) -> DataFrame:
