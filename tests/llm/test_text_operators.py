@@ -1,6 +1,7 @@
 """Operators on texts: contract queries against brute force, odd rows, empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -100,6 +101,43 @@ def test_one_document_of_each_group_stays(spark, odd_docs, no_docs):
     assert simhash_dedup.without_near_copies(no_docs).count() == 0 and simhash_dedup.components(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("group, limit", [(64, 16384), (4, 16384)])
+def test_near_copies_are_those_of_shingle_similarity(spark, group, limit, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "GROUP", group)
+    monkeypatch.setattr(simhash_dedup, "LIMIT", limit)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    texts = []
+    for n in (12, 40, 80, 200):
+        for _ in range(6):
+            words = [word() for _ in range(n)]
+            texts.append(words)
+            for edits in (1, 2, 3, 4, 6):  # similarities on both sides of 0.8
+                other = list(words)
+                for i in rng.sample(range(n), edits):
+                    other[i] = word()
+                texts.append(other)
+            texts.append(sorted(words))  # the same words in another order
+            texts.append(words * 7)  # a loop of the text
+    texts = [" ".join(x) for x in texts]
+    sets = [{tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)} for x in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in simhash_dedup.without_near_copies(docs).collect()}
+    assert got == {i for i in range(len(texts)) if find(i) == i}
+
+
 # --- repeated windows
 
 
