@@ -3,8 +3,9 @@
 Markup is stripped to lines, one per block element. Text that markup itself declares to be no article
 (menus, forms, notices, comments, ...) is left out, text of links counts nothing. Over the remaining
 lines the text lengths are summed in a sliding window; where the sums surge the main text begins, where
-they dive it ends, and the text between is kept. If the text so found lies in an article or main element, that
-element's surge and dive points are its own ends, so short closing or opening lines are not lost.
+they dive it ends, and the text between is kept. A region in an article or main element is widened to that
+element, so short closing or opening lines are not lost. Regions outside of such elements are kept if they hold
+more text than those inside; else they are left out.
 """
 
 from __future__ import annotations
@@ -172,13 +173,17 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     for a, b in found:
         for _, w, m in got[a:b]:
             size[m] = size.get(m, 0) + w
-    held = {m for m in size if m} or {m for _, _, m in got if m}
-    if held:  # several articles: those that hold a surge, teasers of a few words don't
-        best = max(size.get(m, 0) for m in held)
-        held = {m for m in held if size.get(m, 0) * 4 >= best}
+    inside = {m for m in size if m}
+    outside = size.get(0, 0) > sum(size[m] for m in inside)
+    # Elements with a surge of their own are kept whole; teasers of a few words have none.
+    held = {m for m in inside if size[m] >= surge} or (set() if outside else inside)
+    if not found:
+        held = {m for _, _, m in got if m}
+    if found and outside:
+        within = {k for a, b in found for k in range(a, b)}
+        keep = [t for k, (t, _, m) in enumerate(got) if m in held or k in within]
+    elif held:
         keep = [t for t, _, m in got if m in held]
-    elif found:
-        keep = [t for a, b in found for t, _, _ in got[a:b]]
     else:
         keep = [t for t, w, _ in got if w]
     return " ".join(keep)

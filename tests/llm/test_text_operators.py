@@ -424,6 +424,19 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+def test_surges_choose_among_articles_and_the_rest():
+    story = [f"line {i} of a long story " + "with many words " * 8 for i in range(6)]
+    card = "card " + "teaser words " * 8
+    plain = "".join(f"<p>{x}</p>" for x in story)
+    text = " ".join(x.strip() for x in story)
+    empty = "<p><a href=x>link</a></p>" * 4
+    assert text in html_text.main_text(f"<div>{plain}</div>{empty}<article><p>{card}</p></article>")
+    assert html_text.main_text(f"<article><p>few words</p></article>{empty}<div>{plain}</div>") == text
+    assert html_text.main_text(f"<article>{plain}</article>{empty}<article><p>tip</p></article>") == text
+    second = html_text.main_text(f"<article>{plain}</article>{empty}<article><p>{card}</p><p>end</p></article><div><p>{card}</p></div>")
+    assert second == f"{text} {card.strip()} end"
+
+
 def test_pages_query(spark, sf):
     rows = [(i, None if i == 2 else f"u{i}", p, "extra") for i, (p, _) in enumerate(PAGES)] + [(None, None, "<p" * 20_000, "x")]
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
