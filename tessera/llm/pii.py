@@ -4,7 +4,7 @@ Base spans are e-mail and IP addresses, card and phone numbers, by fixed pattern
 a bootstrap: the words before an entity make a lexical pattern; a pattern is scored by how many of the
 distinct instances it introduces are trusted, an instance by the patterns that introduce it, and the
 two scores are iterated over the whole corpus as joins of narrow tables. What else a pattern's words
-precede in the same documents counts against it, so that common words are no patterns. Identifier-like
+precede in any document counts against it, so that common words are no patterns. Identifier-like
 tokens that a high-confidence pattern introduces and no base span covers are added as spans of kind ``id``.
 """
 
@@ -27,6 +27,8 @@ LEAST_SEEDS, CONFIDENCE, ROUNDS = 3, 0.7, 3
 TOKEN_CHARS, TOKEN_DIGITS = 6, 3
 #: Characters before an entity in which its context words are sought.
 CONTEXT = 80
+#: Patterns with enough seeds (some 100 bytes each) up to which they are broadcast.
+BROADCAST_PATTERNS = 100_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -90,20 +92,20 @@ def context(text: str, start: int) -> list[str]:
     return out + [" ".join(words)] if len(words) == 2 and out else out
 
 
-def other_uses(text: str, contexts: list[list[str]]) -> list[list[tuple[str, int]]]:
-    """The patterns of a text's occurrences, each with the number of places in the text where its words precede
-    something else; stated at a pattern's first occurrence, 0 at the rest."""
-    uses: dict[str, int] = dict.fromkeys((p for c in contexts for p in c), 0)
+def other_uses(text: str, patterns, contexts: list[list[str]]) -> dict[str, int]:
+    """Of ``patterns``, those whose words precede something else in a text than its occurrences, with the number of such places."""
+    uses: dict[str, int] = {}
     words = text.lower().split()
     for a, b in zip(words, [*words[1:], ""]):
-        if a in uses:
-            uses[a] += 1
-        if b in uses and (two := f"{a} {b}") in uses:
-            uses[two] += 1
+        if a in patterns:
+            uses[a] = uses.get(a, 0) + 1
+        if b and (two := f"{a} {b}") in patterns:
+            uses[two] = uses.get(two, 0) + 1
     for c in contexts:
         for p in c:
-            uses[p] -= 1
-    return [[(p, max(uses.pop(p, 0), 0)) for p in c] for c in contexts]
+            if p in uses:
+                uses[p] -= 1
+    return {p: n for p, n in uses.items() if n > 0}
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
@@ -134,6 +136,11 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
     return out
 
 
+#: What a text must hold to have spans or candidates.
+HOLDS = "[0-9@]"
+_HELD = re.compile(HOLDS)
+
+
 def _digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -144,22 +151,21 @@ def joined(spans) -> str:
 
 def scan(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """Per row its base spans and its occurrences: ``doc_id, n_*, base, found`` with ``found`` an array of
-    ``(start, end, seed, instance, patterns)``. ``instance`` is a hash of the surface string, a pattern has its ``others``."""
+    ``(start, end, seed, instance, patterns)``. ``instance`` is a hash of the surface string."""
     kinds = KINDS[:4]
     counts = [f"n_{k}" for k in kinds]
-    item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.struct([("pattern", pa.string()), ("others", pa.int64())])))])
+    item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.string()))])
     schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in counts], ("base", pa.string()), ("found", pa.list_(item))])
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         def occurrences(text, places):
-            patterns = other_uses(text, [context(text, a) for a, _, _ in places])
-            return [{"start": a, "end": b, "seed": seed, "instance": xxh64_intdigest(text[a:b].lower().encode()) - (1 << 63), "patterns": p} for (a, b, seed), p in zip(places, patterns)]
+            return [{"start": a, "end": b, "seed": seed, "instance": xxh64_intdigest(text[a:b].lower().encode()) - (1 << 63), "patterns": context(text, a)} for a, b, seed in places]
 
         for b in batches:
             texts = b.column(1)
-            hit = pa.compute.fill_null(pa.compute.match_substring_regex(texts, "[0-9@]"), False)  # nothing else can hold a span
+            hit = pa.compute.fill_null(pa.compute.match_substring_regex(texts, HOLDS), False)
             base, found, numbers = [""] * len(b), [[]] * len(b), [[0] * len(b) for _ in kinds]
             for i in pa.compute.indices_nonzero(hit).to_pylist():
                 text = texts[i].as_py()
@@ -171,25 +177,80 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in numbers], pa.array(base), pa.array(found, pa.list_(item))], schema=schema)
 
     got = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return got.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base string, found array<struct<start long, end long, seed boolean, instance long, patterns array<struct<pattern string, others long>>>>")
+    return got.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base string, found array<struct<start long, end long, seed boolean, instance long, patterns array<string>>>")
+
+
+def count_other_uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``pattern, others``: how often the words of each of ``patterns`` precede something else than its occurrences, over
+    all texts of ``docs(doc_id, text)``, each distinct text once. Few patterns are broadcast; many are joined to the
+    counts of all words. Only texts that repeat are counted by text, those of one row are added up by task."""
+    few = patterns.count() <= BROADCAST_PATTERNS
+    held = docs.sparkSession.sparkContext.broadcast(frozenset(r.pattern for r in patterns.select("pattern").collect())) if few else None
 
+    class Every:
+        def __contains__(self, x):
+            return True
 
-def pattern_scores(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``pattern, score, seeds`` from distinct ``pattern, instance, seed, others``; only patterns with enough seeds.
+    schema = pa.schema([("whole", pa.int64()), ("pattern", pa.string()), ("n", pa.int64())])
 
-    A pattern's score is the trust in its instances over their number, its other uses and one; a seed's
-    trust is 1, any other instance's is 1 - prod(1 - score) over its patterns. Both sides are equi-joins on the graph's links.
+    def run(batches):
+        wanted = held.value if few else Every()
+        total: dict[str, int] = {}
+
+        def rows(got, whole):
+            return pa.RecordBatch.from_arrays([pa.array([whole] * len(got), pa.int64()), pa.array(got.keys(), pa.string()), pa.array(got.values(), pa.int64())], schema=schema)
+
+        for b in batches:
+            for t, w in zip(b.column(0), b.column(1)):
+                text = t.as_py()
+                contexts = []
+                if _HELD.search(text):
+                    spans = base_spans(text)
+                    contexts = [context(text, a) for a in [*[x for x, _, _ in spans], *[x for x, _ in candidates(text, spans)]]]
+                got = other_uses(text, wanted, contexts)
+                if w.is_valid:
+                    yield rows(got, w.as_py())
+                    continue
+                for k, x in got.items():
+                    total[k] = total.get(k, 0) + x
+            if len(total) > 200_000:
+                yield rows(total, None)
+                total = {}
+        yield rows(total, None)
+        common.release_memory()
+
+    texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("whole"))
+    twice = common.written(texts.groupBy("whole").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "repeated")
+    if twice.count() <= common.BROADCAST_IDS:
+        texts = texts.join(F.broadcast(twice), "whole", "left").where("rows is null or first is null or doc_id = first")
+        texts = texts.withColumn("whole", F.when(F.col("rows").isNotNull(), F.col("whole")))
+    got = texts.select("text", "whole").mapInArrow(run, "whole long, pattern string, n long")
+    if not few:
+        got = got.join(patterns.select("pattern"), "pattern", "left_semi")
+    got = common.written(got, "uses")
+    once = got.where("whole is not null").dropDuplicates(["whole", "pattern"]).groupBy("pattern").agg(F.sum("n").alias("n"))
+    rest = got.where("whole is null").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return once.unionByName(rest).groupBy("pattern").agg(F.sum("n").alias("others"))
+
+
+def pattern_scores(links: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``pattern, score, seeds`` from distinct ``pattern, instance, seed``; only patterns with enough seeds.
+
+    A pattern's score is the trust in its instances over their number, its other uses in all of ``docs`` and one; a
+    seed's trust is 1, any other instance's is 1 - prod(1 - score) over its patterns. Both sides are equi-joins on the graph's links.
     """
-    base = links.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), (F.count(F.lit(1)) + F.sum("others") + 1).alias("n")).where(F.col("seeds") >= LEAST_SEEDS)
+    base = links.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count(F.lit(1)).alias("n")).where(F.col("seeds") >= LEAST_SEEDS)
     base = common.written(base, "patterns")
+    base = base.join(common.written(count_other_uses(docs, base), "others"), "pattern", "left")
+    base = common.written(base.select("pattern", "seeds", (F.col("n") + F.coalesce("others", F.lit(0)) + 1).alias("n")), "patterns")
     graph = common.written(links.join(base.select("pattern"), "pattern"), "graph")
     scores = base.select("pattern", "seeds", (F.col("seeds") / F.col("n")).alias("score"))
     for _ in range(rounds):
         doubt = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9))))
         trust = graph.where(~F.col("seed")).join(scores.select("pattern", "score"), "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("trust"))
         weight = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("trust", F.lit(0.0)))
-        summed = graph.join(trust, "instance", "left").groupBy("pattern").agg(F.count_if("seed").alias("seeds"), (F.sum(weight) / (F.count(F.lit(1)) + F.sum("others") + 1)).alias("score"))
-        scores = common.written(summed, "scores")
+        summed = graph.join(trust, "instance", "left").groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.sum(weight).alias("held"))
+        scores = common.written(summed.join(base.select("pattern", "n"), "pattern").select("pattern", "seeds", (F.col("held") / F.col("n")).alias("score")), "scores")
     return scores
 
 
@@ -201,9 +262,10 @@ def find(docs: DataFrame, id_col="doc_id", text_col="text", confidence: float =
     """
     rows = common.written(scan(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "scanned")
     each = rows.select("row", F.explode("found").alias("x")).select("row", "x.*")
-    links = each.select("instance", "seed", F.explode("patterns").alias("p")).groupBy("p.pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("p.others").alias("others"))
-    good = pattern_scores(common.written(links, "links")).where((F.col("score") >= confidence) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern")
-    new = each.where("not seed").select("row", "start", "end", F.explode("patterns.pattern").alias("pattern")).join(good, "pattern", "left_semi")
+    links = each.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    good = pattern_scores(common.written(links, "links"), texts).where((F.col("score") >= confidence) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern")
+    new = each.where("not seed").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi")
     added = new.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("added"))
     out = rows.drop("found").join(added, "row", "left")
     # All spans by start, then kind: base spans never overlap added ones, so starts differ.

@@ -268,6 +268,18 @@ def test_blocks_meet_within_the_radius(spark):
     assert decontaminate.block_join(wins, items).count() == 40
 
 
+def test_other_uses_are_counted_in_all_texts_and_once(spark, monkeypatch):
+    seeds = [(i, f"number user{i}@mail.example.com") for i in range(12)]
+    found = [(20, "number QX-77812-K")]
+    both = [(30 + i, "number zed@mail.example.com and number it") for i in range(40)]  # one text, copied
+    plain = [(100 + i, f"the number {'abcdefghijklmnopqrst'[i]} is odd") for i in range(20)]  # no digit, no @
+    spans = lambda rows: {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for most in (pii.BROADCAST_PATTERNS, 0):
+        monkeypatch.setattr(pii, "BROADCAST_PATTERNS", most)
+        assert "id:7:17" in spans(seeds + found + both)[20]
+        assert spans(seeds + found + plain)[20] == ""
+
+
 # --- quality model
 
 
