@@ -64,11 +64,14 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a written table that nothing reads any more."""
-    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(df.shared_path)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df.shared_path)
 
 
 def partitions_for(spark: SparkSession, least: int = 1) -> int:

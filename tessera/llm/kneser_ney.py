@@ -1,93 +1,204 @@
 """Operator 4, quality by an interpolated modified Kneser-Ney model of trusted text.
 
-The model is of order four over character classes: 48 classes keep letters apart and put capitals,
-digits, accented letters and kinds of marks together, so that counts, contexts and probabilities are at
-most 48**4 rows however large the corpus is. Counts are gathered over all trusted documents (partial
-sums by task, then by n-gram), and continuation counts, context totals and discounts are joined to them
-by context, sharded by Spark. The interpolated probabilities, of that proven size, are laid out densely
-and broadcast; scoring a document is a lookup per character. A document is rejected if its perplexity
-lies above its language's threshold, which is a quantile over that language's trusted documents.
+The model is of order five over characters as they are (code points), so neither its alphabet nor its
+size is bounded: what it gathers grows with the corpus. Nothing of it comes to the driver or is broadcast.
+
+1. Documents are packed into blocks. A block lists its distinct n-grams, each with its count in the block's
+   trusted training documents, and sends them to shards, which the first characters of an n-gram choose.
+2. Shards add up the counts. Continuation counts, context totals, discounts and back-off weights follow
+   level by level as aggregates, windows over a context and equi-joins with the next lower order, so that
+   each distinct n-gram of the corpus gets its probability once.
+3. Shards join the probabilities to the lists of the blocks; each block gets its n-grams back with their
+   logarithms and sums them by document.
+
+A document is rejected if its perplexity lies above its language's threshold: a quantile over that
+language's trusted documents that were held out of the training.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-ORDER, A = 4, 48
-#: Classes: 0 text boundary, 1 space, 2 line break, 3-28 a-z, then the groups below.
-UPPER, DIGIT, ACCENT, LETTER, OTHER = 29, 30, 31, 32, 47
-MARKS = {".": 36, ",": 37, "!": 38, "?": 38, "-": 39, "'": 40, "’": 40, '"': 41, ":": 42, ";": 42, "(": 43, ")": 43, "[": 43, "]": 43, "|": 44, "/": 45, "\\": 45}
-SYMBOLS = "#$%&*+<=>@^_`{}~"
+ORDER = 5
+#: Pads a text at both ends; in a text itself it counts as U+FFFD.
+EDGE = "\0"
+#: Characters of a block, and those that are sorted at a time.
+BLOCK_CHARS, CHUNK = 24_000_000, 1 << 18
+#: A block's alphabet must be smaller than this, so that an n-gram fits 64 bits; else the block is halved.
+ALPHABET = 7131
 #: Labelled trusted ids up to which they are broadcast (8 bytes each); beyond, a shuffle join.
 BROADCAST_IDS = 1_000_000
-#: The quantile of trusted log-perplexity, its margin, and the spread allowed to short texts (in standard errors).
-QUANTILE, MARGIN, ERRORS = 0.995, 0.02, 3.0
-BINS = 1000
-
-
-def class_table() -> np.ndarray:
-    """The class of every code point of the basic plane; the rest are OTHER."""
-    t = np.full(1 << 16, OTHER, np.uint8)
-    for i in range(0x80, 1 << 16):
-        c = chr(i)
-        if c.isalpha():
-            t[i] = ACCENT if i < 0x250 and c.islower() else UPPER if c.isupper() else LETTER + i // 256 % 4
-        elif c.isdigit():
-            t[i] = DIGIT
-        elif c.isspace():
-            t[i] = 1
-    for i in range(26):
-        t[97 + i], t[65 + i] = 3 + i, UPPER
-    t[48:58] = DIGIT
-    t[[9, 11, 12, 32]] = 1
-    t[[10, 13]] = 2
-    for c, k in MARKS.items():
-        t[ord(c)] = k
-    for c in SYMBOLS:
-        t[ord(c)] = 46
-    return t
-
-
-def grams(text: str, table: np.ndarray) -> np.ndarray:
-    """The codes of a text's n-grams: one per character and one for its end; three boundaries precede it."""
-    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.zeros(len(x) + ORDER, np.int32)
-    c[ORDER - 1 : -1] = np.where(x < 1 << 16, table[np.minimum(x, 0xFFFF)], OTHER)
-    out = c[: -ORDER + 1].copy()
+#: The quantile of held-out trusted log-perplexity; one trusted document in so many is held out; a language with
+#: fewer held-out documents than this has the quantile over all languages; log-perplexities are ranked in steps of 1 / BINS.
+QUANTILE, HOLD_OUT, LEAST_HELD, BINS = 0.99, 5, 50, 1000
+
+
+def pieces(text: str | None):
+    """A padded text, cut where it is long; each piece of n characters holds n - 4 n-grams, none is in two."""
+    p = EDGE * (ORDER - 1) + (text or "").replace(EDGE, "�") + EDGE
+    for a in range(0, len(p) - ORDER + 1, CHUNK):
+        yield p[a : a + CHUNK + ORDER - 1]
+
+
+def chunks(texts):
+    """``(owners, code points, ends)``: pieces put together to about CHUNK characters; the text of each and where it ends."""
+    owners, parts, held = [], [], 0
+    for i, t in enumerate(texts):
+        for p in pieces(t):
+            owners.append(i)
+            parts.append(p)
+            held += len(p)
+            if held >= CHUNK:
+                yield owners, np.frombuffer("".join(parts).encode("utf-32-le"), "<u4"), np.cumsum([len(x) for x in parts])
+                owners, parts, held = [], [], 0
+    if parts:
+        yield owners, np.frombuffer("".join(parts).encode("utf-32-le"), "<u4"), np.cumsum([len(x) for x in parts])
+
+
+def alphabet(texts) -> np.ndarray:
+    """The sorted code points of texts and EDGE."""
+    seen = np.zeros(0x110000, bool)
+    for _, x, _ in chunks(texts):
+        seen[x] = True
+    seen[0] = True
+    return np.nonzero(seen)[0].astype(np.uint32)
+
+
+def ranks(letters: np.ndarray) -> np.ndarray:
+    out = np.zeros(0x110000, np.uint64)
+    out[letters] = np.arange(len(letters), dtype=np.uint64)
+    return out
+
+
+def codes(x: np.ndarray, rank: np.ndarray, r: int) -> np.ndarray:
+    """The n-grams that start at each of ``x``, as numbers to base ``r``."""
+    d = rank[x]
+    n = len(d) - ORDER + 1
+    out = d[:n].copy()
     for k in range(1, ORDER):
-        out *= A
-        out += c[k : len(c) - ORDER + 1 + k]
+        out *= np.uint64(r)
+        out += d[k : n + k]
     return out
 
 
-def gram_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """``gram, c`` over all texts: dense partial counts per task, summed by Spark. Null texts give none."""
+def _inside(ends: np.ndarray) -> np.ndarray:
+    """Which windows of a chunk lie in one piece."""
+    ok = np.ones(int(ends[-1]) - ORDER + 1, bool)
+    at = (ends[:-1, None] - np.arange(1, ORDER)).ravel()
+    ok[at] = False
+    return ok
+
+
+def block_grams(texts: list, trained: list) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a block as rows of ORDER code points, in order, and their counts in its trained texts."""
+    letters = alphabet(texts)
+    rank, r = ranks(letters), len(letters)
+    found, times = [], []
+    for some, counted in (([t for t, y in zip(texts, trained) if y], True), ([t for t, y in zip(texts, trained) if not y], False)):
+        for _, x, ends in chunks(some):
+            u, n = np.unique(codes(x, rank, r)[_inside(ends)], return_counts=True)
+            found.append(u)
+            times.append(n if counted else np.zeros(len(u), np.int64))
+    u, where = np.unique(np.concatenate(found), return_inverse=True)
+    counts = np.bincount(where, np.concatenate(times)).astype(np.int64)
+    points = np.empty((len(u), ORDER), "<u4")
+    for k in range(ORDER - 1, -1, -1):
+        u, digit = np.divmod(u, np.uint64(r))
+        points[:, k] = letters[digit.astype(np.int64)]
+    return points, counts
+
+
+def shard_of(points: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of n-grams: a hash of their first three characters."""
+    z = np.zeros(len(points), np.uint64)
+    for k in range(3):
+        z = (z ^ points[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        z ^= z >> np.uint64(29)
+    return (z % np.uint64(shards)).astype(np.int64)
+
+
+def as_text(points: np.ndarray) -> str:
+    return points.astype("<u4").tobytes().decode("utf-32-le")
+
+
+def pack(docs: DataFrame, shards: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Blocks of ``docs(doc_id, lang, text, role)``: for each block a row with ``shard`` -1 and its documents in ``body``,
+    and a row for each shard with the n-grams it sends there, one after the other, and their counts.
+
+    ``role`` is 1 for training, 2 for trusted but held out, else 0.
+    """
+    schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("grams", pa.string()), ("counts", pa.binary()), ("body", pa.binary())])
+
+    def emit(table):
+        import uuid
+
+        texts, roles = table.column("text").to_pylist(), table.column("role").to_pylist()
+        if len(texts) > 1 and len(alphabet(texts)) >= ALPHABET:
+            half = len(texts) // 2
+            yield from emit(table.slice(0, half))
+            yield from emit(table.slice(half))
+            return
+        block = uuid.uuid4().int >> 65
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(table)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip([block, -1, None, None, sink.getvalue().to_pybytes()], schema)], schema=schema)
+        points, counts = block_grams(texts, [x == 1 for x in roles])
+        to = shard_of(points, shards)
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(shards + 1))
+        rows = []
+        for s in np.nonzero(np.diff(cuts))[0].tolist():
+            at = order[cuts[s] : cuts[s + 1]]
+            rows.append((block, s, as_text(points[at]), counts[at].astype("<i4").tobytes(), None))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.column(2).nbytes
+            if n >= block_chars:
+                yield from emit(pa.Table.from_batches(held).combine_chunks())
+                held, n = [], 0
+        if sum(len(b) for b in held):
+            yield from emit(pa.Table.from_batches(held).combine_chunks())
+        common.release_memory()
+
+    return docs.select("doc_id", "lang", "text", "role").mapInArrow(run, "block long, shard int, grams string, counts binary, body binary")
+
+
+def tally(messages: DataFrame, shards: int) -> DataFrame:
+    """``shard, gram, c``: the n-grams of all blocks with their counts in training text, one shard at a time."""
 
     def run(batches):
-        table, total = class_table(), None
+        shard, total = None, {}
+
+        def rows():
+            names = list(total)
+            for i in range(0, len(names), 50_000):
+                part = names[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(part), pa.int32()), pa.array(part), pa.array([total[g] for g in part], pa.int64())], ["shard", "gram", "c"])
+
         for b in batches:
-            for x in b.column(0):
-                if x.as_py() is None:
-                    continue
-                if total is None:
-                    total = np.zeros(A**ORDER, np.int64)
-                codes, n = np.unique(grams(x.as_py(), table), return_counts=True)
-                total[codes] += n
-        if total is not None:
-            at = np.nonzero(total)[0]
-            for i in range(0, len(at), 50_000):
-                part = at[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["gram", "c"])
-        total = None
+            for s, grams, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if s != shard:
+                    yield from rows()
+                    shard, total = s, {}
+                grams = grams.as_py()
+                for g, c in zip((grams[i : i + ORDER] for i in range(0, len(grams), ORDER)), np.frombuffer(counts.as_py(), "<i4").tolist()):
+                    total[g] = total.get(g, 0) + c
+        yield from rows()
         common.release_memory()
 
-    got = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "gram int, c long")
-    return got.groupBy("gram").agg(F.sum("c").alias("c"))
+    dealt = messages.select("shard", "grams", "counts").repartition(shards, "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "shard int, gram string, c long")
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -100,113 +211,156 @@ def discounts(n: list[int]) -> list[float]:
     return out
 
 
-def level_terms(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For one order's ``gram, c``: (gram, term) and (ctx, back), by joins of counts and context sums on the context.
+def shares(counts: DataFrame, n: int) -> DataFrame:
+    """``counts(gram, c)`` of order ``n`` with the discounted share of an n-gram in its context and the weight left to the lower order.
 
-    term: the discounted share of an n-gram in its context; back: the weight left to the lower order.
+    An n-gram that training text lacks has count 0: no share, and all the weight if its context is unseen, too.
     """
     seen = counts.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()
     d1, d2, d3 = discounts(list(seen))
-    ctx = (F.col("gram") / A).cast("int")
-    d = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-    keyed = counts.select("gram", "c", ctx.alias("ctx"), d.alias("d"))
-    sums = keyed.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("held"))
-    terms = keyed.join(sums, "ctx").select("gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("term"))
-    return terms, sums.select("ctx", (F.col("held") / F.col("total")).alias("back"))
+    d = F.when(F.col("c") == 0, 0.0).when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+    # A context is followed by at most as many n-grams as there are characters.
+    by = Window.partitionBy("ctx")
+    out = counts.withColumn("ctx", F.substring("gram", 1, n - 1)).withColumn("d", d)
+    out = out.withColumn("total", F.sum("c").over(by)).withColumn("held", F.sum("d").over(by)).drop("ctx")
+    share = F.when(F.col("total") > 0, (F.col("c") - F.col("d")) / F.col("total")).otherwise(0.0)
+    back = F.when(F.col("total") > 0, F.col("held") / F.col("total")).otherwise(1.0)
+    return out.withColumn("share", share).withColumn("back", back).drop("d", "total", "held")
 
 
-def _dense(df: DataFrame, size: int, empty: float) -> np.ndarray:
-    """A table of at most ``size`` rows (a power of A) as an array; collected in packed shards."""
-
-    def pack(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().astype("<i4").tobytes()]), pa.array([b.column(1).to_numpy().astype("<f8").tobytes()])], ["k", "v"])
-
-    out = np.full(size, empty)
-    for r in df.coalesce(4).mapInArrow(pack, "k binary, v binary").collect():
-        out[np.frombuffer(r.k, "<i4")] = np.frombuffer(r.v, "<f8")
-    return out
+def probabilities(counts: DataFrame) -> DataFrame:
+    """``shard, gram, nll``, written, from ``shard, gram, c``: interpolated from the lowest order, by joins on suffixes.
 
-
-def fit(trusted: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The natural logs of the model's probabilities, A**4 float32, by n-gram code.
-
-    Without any trusted text all classes are equally likely.
+    Below the single characters all seen ones and one more, for those unseen, are equally likely.
     """
-    counts = common.written(gram_counts(trusted, text_col), "grams")
-    levels, types = [], counts
-    for n in range(ORDER, 0, -1):
-        levels.append(level_terms(types))
-        if n > 1:  # lower orders count the distinct predecessors of an n-gram
-            types = types.groupBy((F.col("gram") % A ** (n - 1)).cast("int").alias("gram")).agg(F.count(F.lit(1)).alias("c"))
-            types = common.written(types, f"types{n - 1}")
-    p = np.full(A, 1.0 / A)
-    for n, (terms, back) in zip(range(1, ORDER + 1), reversed(levels)):
-        size = A**n
-        lower = np.tile(p, A) if n > 1 else p
-        p = _dense(terms, size, 0.0) + np.repeat(_dense(back, size // A, 1.0), A) * lower
-    return np.log(p).astype(np.float32)
-
-
-def score(docs: DataFrame, model: np.ndarray, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
-    """``doc_id, lang, n_grams, nll, spread``: mean negative log-probability of a document's n-grams and its standard error.
-
-    A null text scores like an empty one: the end of text alone.
+    levels = {ORDER: counts}
+    for n in range(ORDER - 1, 0, -1):  # lower orders count the distinct predecessors of an n-gram
+        low = levels[n + 1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count_if(F.col("c") > 0).alias("c"))
+        levels[n] = common.written(low, f"types{n}")
+    v = levels[1].where("c > 0").count() + 1
+    p = shares(levels[1], 1).select("gram", (F.col("share") + F.col("back") / v).alias("p"))
+    for n in range(2, ORDER + 1):
+        low = p.select(F.col("gram").alias("suffix"), F.col("p").alias("low"))
+        here = shares(levels[n], n).withColumn("suffix", F.substring("gram", 2, n - 1)).join(low, "suffix")
+        p = here.select(*(["shard"] if n == ORDER else []), "gram", (F.col("share") + F.col("back") * F.col("low")).alias("p"))
+    model = common.written(p.select("shard", "gram", (-F.log("p")).cast("float").alias("nll")), "model")
+    for n in range(1, ORDER):
+        common.discard(levels[n])
+    return model
+
+
+def replies(messages: DataFrame, model: DataFrame, shards: int) -> DataFrame:
+    """``block, grams, nll``: each shard's part of the model joined to what the blocks asked of it."""
+
+    def answer(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        held = dict(zip(right.column("gram").to_pylist(), right.column("nll").to_pylist()))
+        out = []
+        for g in left.column("grams"):
+            g = g.as_py()
+            out.append(np.array([held[g[i : i + ORDER]] for i in range(0, len(g), ORDER)], "<f4").tobytes())
+        return pa.table({"block": left.column("block"), "grams": left.column("grams"), "nll": pa.array(out, pa.binary())})
+
+    got = messages.select("block", "shard", "grams").groupBy("shard").cogroup(model.groupBy("shard"))
+    return got.applyInArrow(answer, "block long, grams string, nll binary")
+
+
+def text_scores(texts: list, grams: str, nll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text of a block its number of n-grams and the sum of their negative log-probabilities."""
+    letters = alphabet(texts)
+    rank, r = ranks(letters), len(letters)
+    own = codes(np.frombuffer(grams.encode("utf-32-le"), "<u4"), rank, r)[::ORDER]
+    order = np.argsort(own)
+    own, nll = own[order], nll[order].astype(np.float64)
+    n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    for owners, x, ends in chunks(texts):
+        ok = _inside(ends)
+        c = codes(x, rank, r)
+        c[~ok] = own[0]
+        u, where = np.unique(c, return_inverse=True)
+        upto = np.append(0.0, np.cumsum(np.where(ok, nll[np.searchsorted(own, u)][where], 0.0)))
+        first = np.append(0, ends[:-1])
+        last = ends - ORDER + 1
+        np.add.at(n, owners, last - first)
+        np.add.at(total, owners, upto[last] - upto[first])
+    return n, total
+
+
+def score(blocks: DataFrame, answers: str) -> DataFrame:
+    """``doc_id, lang, role, n_grams, nll``: the mean negative log-probability of each document's n-grams.
+
+    A block reads its own part of ``answers``, a folder of ``replies`` by block.
     """
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)  # A**4 floats, whatever the corpus
 
     def run(batches):
-        table, logs = class_table(), held.value
+        fs, root = common.open_fs(answers)
         for b in batches:
-            n, mean, err = [], [], []
-            for x in b.column(2):
-                got = logs[grams(x.as_py() or "", table)]
-                n.append(len(got))
-                mean.append(-float(got.mean(dtype=np.float64)))
-                err.append(float(got.std(dtype=np.float64)) / len(got) ** 0.5)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(mean, pa.float64()), pa.array(err, pa.float64())], ["doc_id", "lang", "n_grams", "nll", "spread"])
+            for block, body in zip(b.column(0).to_pylist(), b.column(1)):
+                table = pa.ipc.open_stream(body.as_buffer()).read_all()
+                got = pa.parquet.ParquetDataset(f"{root}/block={block}", filesystem=fs, partitioning=None).read(["grams", "nll"])
+                grams = "".join(got.column("grams").to_pylist())
+                values = np.frombuffer(b"".join(got.column("nll").to_pylist()), "<f4")
+                n, total = text_scores(table.column("text").to_pylist(), grams, values)
+                for x in pa.table({"doc_id": table.column("doc_id"), "lang": table.column("lang"), "role": table.column("role"), "n_grams": pa.array(n), "nll": pa.array(total / n)}).to_batches(max_chunksize=50_000):
+                    yield x
         common.release_memory()
 
-    got = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return got.mapInArrow(run, "doc_id long, lang string, n_grams long, nll double, spread double")
+    return blocks.where("shard < 0").select("block", "body").mapInArrow(run, "doc_id long, lang string, role int, n_grams long, nll double")
+
 
+def document_scores(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``doc_id, lang, role, n_grams, nll`` per row of ``docs(doc_id, lang, text, role)``, by a model of the rows of role 1."""
+    spark = docs.sparkSession
+    shards = common.partitions_for(spark)
+    blocks = common.written(pack(docs, shards, block_chars), "blocks")
+    messages = blocks.where("shard >= 0")
+    counts = common.written(tally(messages, shards), "grams")
+    model = probabilities(counts)
+    answers = common.new_path(spark, "replies")
+    with common.small_batches(spark):
+        replies(messages, model, shards).repartition(shards, "block").write.partitionBy("block").option("compression", "zstd").parquet(answers)
+    out = common.written(score(blocks, answers), "scores")
+    for table in (blocks, counts, model):
+        common.discard(table)
+    common.delete(spark, answers)
+    return out
 
-def thresholds(trusted_scores: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """``lang, threshold`` (of nll): the quantile over a language's trusted documents, by exact counts in bins of 1 / BINS.
 
-    A row with a null language holds the quantile over all; it serves languages without trusted text.
+def thresholds(held_out: DataFrame, quantile: float = QUANTILE, least: int = LEAST_HELD) -> DataFrame:
+    """``lang, threshold`` (of nll): the quantile over a language's held-out documents, by exact counts in bins of 1 / BINS.
+
+    A row with a null language holds the quantile over all; languages of fewer than ``least`` documents have no row.
     """
-    bins = trusted_scores.select("lang", F.ceil((F.col("nll") - ERRORS * F.col("spread")) * BINS).alias("bin"))
+    bins = held_out.select("lang", F.ceil(F.col("nll") * BINS).alias("bin"))
     per = bins.where("lang is not null").unionByName(bins.withColumn("lang", F.lit(None).cast("string"))).groupBy("lang", "bin").count()
-    from pyspark.sql import Window
-
     w = Window.partitionBy("lang")
     ranked = per.withColumn("upto", F.sum("count").over(w.orderBy("bin"))).withColumn("n", F.sum("count").over(w))
-    return ranked.where(F.col("upto") >= F.ceil(F.col("n") * quantile)).groupBy("lang").agg((F.min("bin") / BINS + margin).alias("threshold"))
+    ranked = ranked.where(F.col("upto") >= F.ceil(F.col("n") * quantile)).where((F.col("n") >= least) | F.col("lang").isNull())
+    return ranked.groupBy("lang").agg((F.min("bin") / BINS).alias("threshold"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, least: int = LEAST_HELD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, lang, n_grams, nll, perplexity, threshold, keep``, a row per row of ``docs``.
 
-    Trusted are the documents that ``labels`` calls of quality 1 (null ids and labels: not trusted). A
-    document goes if even ``ERRORS`` standard errors below its own perplexity it is above its threshold,
-    so that a short text is not judged by a few odd letters. Null or unknown languages have the
-    threshold over all; without trusted documents everything is kept.
+    Trusted are the documents that ``labels`` calls of quality 1 (null ids and labels: not trusted; repeated
+    labels count once). One in HOLD_OUT of them, chosen by a hash of the text so that copies stay together,
+    is not trained on; the thresholds are quantiles over those. Null or rare languages have the threshold
+    over all; without held-out documents everything is kept. A text equal to its threshold is kept. A null
+    text scores like an empty one: the end of text alone. Very long texts are scored whole, in pieces.
+    Rows of a repeated id are judged each for itself. Other columns play no part, whatever their names;
+    an empty table gives an empty result.
     """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_good")).distinct()
     few = good.count() <= BROADCAST_IDS
     pick = F.broadcast(good) if few else good
-    pair = docs.select("doc_id", "lang", "text")
-    model = fit(pair.join(pick, pair["doc_id"] == pick["_good"], "left_semi"))
-    scores = common.written(score(pair, model), "scores")
-    limits = thresholds(scores.join(pick, scores["doc_id"] == pick["_good"], "left_semi"), quantile, margin)
-    limits = common.written(limits, "thresholds")
+    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    held = F.pmod(F.xxhash64("text"), F.lit(HOLD_OUT)) == 0
+    role = F.when(F.col("_good").isNull(), 0).when(held, 2).otherwise(1).cast("int")
+    scores = document_scores(row.join(pick, row["doc_id"] == pick["_good"], "left").withColumn("role", role), block_chars)
+    limits = common.written(thresholds(scores.where("role = 2"), quantile, least), "thresholds")
     overall = limits.where("lang is null").select(F.col("threshold").alias("overall"))
     out = scores.join(limits.where("lang is not null"), "lang", "left").join(F.broadcast(overall), F.lit(True), "left")  # one row
     limit = F.coalesce("threshold", "overall")
-    low = F.col("nll") - ERRORS * F.col("spread")
-    return out.select("doc_id", "lang", "n_grams", "nll", F.exp("nll").alias("perplexity"), limit.alias("threshold"), F.coalesce(low <= limit, F.lit(True)).alias("keep"))
+    return out.select("doc_id", "lang", "n_grams", "nll", F.exp("nll").alias("perplexity"), limit.alias("threshold"), F.coalesce(F.col("nll") <= limit, F.lit(True)).alias("keep"))
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -283,43 +283,73 @@ def test_other_uses_are_counted_in_all_texts_and_once(spark, monkeypatch):
 # --- quality model
 
 
-def test_model_is_a_distribution(spark):
-    texts = spark.createDataFrame([("abc abd abe. ABC 12",), ("the cat sat",), (None,), ("",)], "text string")
-    p = np.exp(kneser_ney.fit(texts).astype(np.float64)).reshape(-1, kneser_ney.A)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4) and (p > 0).all()
-
-
-def test_model_against_plain_kneser_ney(spark):
-    texts = ["abracadabra abba", "a cab abates", "bad dab abd"]
-    table, n, a = kneser_ney.class_table(), kneser_ney.ORDER, kneser_ney.A
-    levels = [Counter(g for t in texts for g in kneser_ney.grams(t, table).tolist())]
-    for k in range(n - 1, 0, -1):
-        levels.append(Counter(g % a**k for g in levels[-1]))
-    levels = levels[::-1]
-
-    def prob(gram, k):
-        if k == 0:
-            return 1 / a
-        c = levels[k - 1]
-        d = kneser_ney.discounts([sum(v == i for v in c.values()) for i in (1, 2, 3, 4)])
-        own = {g: v for g, v in c.items() if g // a == gram // a}
-        low = prob(gram % a ** (k - 1), k - 1)
+def plain_kneser_ney(trained, order=5):
+    """The probability of (context, character) by a plain recursion over Counters."""
+    pad = lambda t: "\0" * (order - 1) + (t or "").replace("\0", "\ufffd") + "\0"
+    grams = lambda t: [pad(t)[i : i + order] for i in range(len(pad(t)) - order + 1)]
+    levels = {order: Counter(g for t in trained for g in grams(t))}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    cuts = {n: kneser_ney.discounts([sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]) for n, c in levels.items()}
+    followers = {n: {} for n in levels}
+    for n, c in levels.items():
+        for g, v in c.items():
+            followers[n].setdefault(g[:-1], []).append(v)
+
+    def prob(g):
+        n = len(g)
+        if not n:
+            return 1 / (len(levels[1]) + 1)
+        own, d = followers[n].get(g[:-1], []), cuts[n]
         if not own:
-            return low
-        total, cut = sum(own.values()), lambda v: d[min(v, 3) - 1]
-        back = sum(cut(v) for v in own.values()) / total
-        return max(own.get(gram, 0) - cut(own.get(gram, 1)), 0) / total * (gram in own) + back * low
+            return prob(g[1:])
+        cut = lambda v: d[min(v, 3) - 1] if v else 0
+        v = levels[n][g]
+        return (v - cut(v)) / sum(own) + sum(map(cut, own)) / sum(own) * prob(g[1:])
 
-    logs = kneser_ney.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
-    some = list(levels[-1])[:10] + [0, 1234567, a**4 - 1, 5 * a + 3]
-    assert np.allclose(logs[some], np.log([prob(g, n) for g in some]), atol=1e-5)
+    return prob, grams, set(levels[1])
 
 
-def test_judging(spark, sf, odd_docs, no_docs):
+TRAINED = ["abracadabra abba", "a cab abates", "bad dab abd bad dab", "漢字 😀 abc", "", None, "a cab abates"]
+
+
+def test_plain_model_is_a_distribution():
+    prob, _, letters = plain_kneser_ney(TRAINED)
+    for ctx in ("abra", "\0\0\0\0", "zzzz", " aba"):
+        assert sum(prob(ctx + c) for c in [*letters, "\uabcd"]) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("block_chars,chunk,letters", [(24_000_000, 1 << 18, 7131), (20, 7, 7131), (24_000_000, 50, 9)])
+def test_scores_against_plain_kneser_ney(spark, monkeypatch, block_chars, chunk, letters):
+    monkeypatch.setattr(kneser_ney, "CHUNK", chunk)
+    monkeypatch.setattr(kneser_ney, "ALPHABET", letters)  # blocks of larger alphabets are halved
+    texts = TRAINED + ["abracadabra abba", "unseen ж letters", "ab\0ab", "abba " * 40, "", None]
+    rows = [(i if i else None, "en", t, int(i < len(TRAINED))) for i, t in enumerate(texts)]
+    got = kneser_ney.document_scores(spark.createDataFrame(rows, "doc_id long, lang string, text string, role int"), block_chars).collect()
+    prob, grams, _ = plain_kneser_ney(TRAINED)
+    want = [(d, len(grams(t)), -sum(np.log(prob(g)) for g in grams(t)) / len(grams(t))) for d, _, t, _ in rows]
+    key = lambda x: (x[0] is None, x[0] or 0)
+    for (d, n, nll), r in zip(sorted(want, key=key), sorted(got, key=lambda r: key((r.doc_id,)))):
+        assert (d, n) == (r.doc_id, r.n_grams) and nll == pytest.approx(r.nll, abs=1e-5)
+
+
+def test_thresholds_are_quantiles_by_language(spark):
+    rng = np.random.default_rng(4)
+    rows = [("en", float(x)) for x in rng.uniform(1, 3, 400)] + [("de", float(x)) for x in rng.uniform(2, 3, 60)] + [("fr", 2.5)] * 3 + [(None, 9.0)]
+    got = {r.lang: r.threshold for r in kneser_ney.thresholds(spark.createDataFrame(rows, "lang string, nll double"), 0.9).collect()}
+    for lang, some in (("en", [x for k, x in rows if k == "en"]), ("de", [x for k, x in rows if k == "de"]), (None, [x for _, x in rows])):
+        exact = sorted(some)[-(-len(some) * 9 // 10) - 1]
+        assert exact <= got.pop(lang) <= exact + 1 / kneser_ney.BINS + 1e-9
+    assert not got  # fr has too few documents
+    assert kneser_ney.thresholds(spark.createDataFrame([], "lang string, nll double")).count() == 0
+
+
+def test_judging(spark, odd_docs, no_docs):
+    sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     got = kneser_ney.judge(docs, labels).join(labels, "doc_id").toPandas()
-    assert got[got.quality == 1].keep.mean() > 0.97 and got[got.quality == 0].keep.mean() < 0.25
-    few = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
+    assert got[got.quality == 1].keep.mean() > 0.97 and got[got.quality == 0].keep.mean() < 0.2
+    few = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (1, 1, 1), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
     assert kneser_ney.judge(odd_docs, few).count() == odd_docs.count()
     assert kneser_ney.judge(odd_docs, few.limit(0)).where("not keep").count() == 0
     assert kneser_ney.judge(no_docs, few).count() == 0
