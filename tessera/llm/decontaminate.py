@@ -1,10 +1,11 @@
 """Operator 8, benchmark decontamination by SimHash over item-sized windows. DataFrame functions only.
 
-1. Anchors: a window that is similar to an item shares a shingle with it, so the windows to look at are
-   those of an item's size that lay a shared shingle over its place in that item. The shingles of the
-   benchmark are broadcast only while they are few; else both sides are shuffled.
+1. Windows: a window of an item's size that is similar to it shares shingles with it. For each document and item,
+   running sums along the document give the weight of shared shingles in every window, and all windows whose shared
+   weight allows the similarity go on; a window may lie anywhere, also stick out of its document at either end.
+   The shingles of the benchmark are broadcast only while they are few; else both sides are shuffled.
 2. Each such window gets a 64-bit SimHash, its shingles weighted by their length in characters.
-3. Multi-index blocks: items and windows of one size meet if a block of the item's fingerprint is within
+3. Multi-index blocks: a window and an item that share shingles meet if a block of the item's fingerprint is within
    ``NEAR`` bits of the window's. With ``BLOCKS`` blocks this guarantees every pair within
    ``BLOCKS * (NEAR + 1) - 1`` bits; the item side, small by nature, lists the neighbours of its blocks.
 4. The weighted Jaccard similarity of the shingles, repeats counted, is computed exactly.
@@ -12,17 +13,16 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 K, SIMILARITY = 5, 0.8
-BLOCKS, NEAR = 5, 3
+#: The radius is 24 bits: a pair of similarity 0.8 differs in 9.7 of 64 bits on average, with a deviation of 2.9.
+BLOCKS, NEAR = 5, 4
 RADIUS = BLOCKS * (NEAR + 1) - 1
-#: Benchmark shingles (some 40 bytes each) and anchored documents (8 bytes) up to which they are broadcast.
+#: Benchmark shingles (some 40 bytes each) and documents with windows (8 bytes) up to which they are broadcast.
 BROADCAST_SHINGLES, BROADCAST_IDS = 1_000_000, 2_000_000
 
 
@@ -38,22 +38,38 @@ def shingles(hashes, k: int) -> F.Column:
     return F.when(F.size(hashes) >= k, F.transform(at, lambda i: F.xxhash64(*[F.element_at(hashes, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _elements(w, k) -> F.Column:
-    """Shingles of a short word list as ``(e, w)``: ``e`` tells repeats apart, ``w`` is the length in characters."""
-    at = F.sequence(F.lit(1), F.size(w) - k + 1)
-    part = F.transform(at, lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.transform(part, lambda x, i: F.struct(F.xxhash64(x, F.size(F.filter(F.slice(part, 1, i + 1), lambda y: y == x))).alias("e"), F.length(x).cast("long").alias("w")))
+def _lengths(n, k: int) -> F.Column:
+    """The lengths in characters of all ``k`` consecutive words, joined by one space, from the words' lengths."""
+    at = F.sequence(F.lit(1), F.size(n) - (k - 1))
+    return F.when(F.size(n) >= k, F.transform(at, lambda i: sum((F.element_at(n, i + j) for j in range(1, k)), F.element_at(n, i)) + (k - 1))).otherwise(F.array().cast("array<bigint>"))
+
+
+def texts(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """``doc_id, copy, text``; ``copy`` tells rows of one id apart by their text."""
+    row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return row.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("copy"), "text")
+
 
+def with_shingles(df: DataFrame, k: int, text_col="text") -> DataFrame:
+    """``df`` with ``h`` and ``len``: the hashes and lengths of the shingles of ``text_col`` in order."""
+    # Each array is a column of its own: inside a lambda function it would be computed for every element.
+    out = df.withColumn("_w", words(F.col(text_col)))
+    out = out.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x))).withColumn("_n", F.transform("_w", lambda x: F.length(x).cast("long")))
+    return out.withColumn("h", shingles(F.col("_h"), k)).withColumn("len", _lengths(F.col("_n"), k)).drop("_w", "_h", "_n")
 
-def _simhash(elements) -> F.Column:
-    """The sign of the weighted sum of ±1 for each of 64 bits, as a signed long."""
 
-    def bit(b):
-        total = F.aggregate(elements, F.lit(0).cast("long"), lambda acc, x: acc + F.when(F.getbit(x["e"], b) == 1, x["w"]).otherwise(-x["w"]))
-        return F.when(total > 0, F.expr("1L")).otherwise(F.expr("0L"))
+def elements(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, e, w``: the shingles ``(h, len)`` of each group of rows, ``e`` tells repeats apart."""
+    one = df.groupBy(*keys, "h").agg(F.max("len").alias("w"), F.count(F.lit(1)).alias("n"))
+    return one.select(*keys, "w", "h", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("j")).select(*keys, F.xxhash64("h", "j").alias("e"), "w")
 
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), bit)
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(x))
+
+def fingerprints(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, fp, total``: for each of 64 bits the sign of the weighted sum of ±1 over the elements, and the weights' sum."""
+    ones = [F.expr(f"sum(if(getbit(e, {b}) = 1, w, 0L)) AS b{b}") for b in range(64)]
+    sums = parts.groupBy(*keys).agg(F.sum("w").alias("total"), *ones)
+    fp = " | ".join(f"if(2 * b{b} > total, shiftleft(1L, {b}), 0L)" for b in range(64))
+    return sums.select(*keys, F.expr(fp).alias("fp"), "total")
 
 
 def _block_spans() -> list[tuple[int, int]]:
@@ -66,74 +82,90 @@ def _block(fp, start: int, size: int) -> F.Column:
 
 
 def benchmark_items(benchmark: DataFrame, id_col="item_id", text_col="text") -> DataFrame:
-    """``item_id, size, k, words, elements, fp``: items with at least one word; items under ``K`` words are one shingle."""
-    got = benchmark.select(F.col(id_col).cast("long").alias("item_id"), words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
-    got = got.select("item_id", F.size("words").alias("size"), F.least(F.size("words"), F.lit(K)).alias("k"), "words")
-    got = got.withColumn("elements", _elements(F.col("words"), F.col("k")))
-    return got.withColumn("fp", _simhash(F.col("elements")))
+    """``item_id, size, k, text``: items with at least one word; those under ``K`` words are one shingle. Repeated rows go."""
+    got = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+    got = got.withColumn("size", F.size(words(F.col("text")))).where(F.col("size") > 0)
+    return got.withColumn("k", F.least("size", F.lit(K))).withColumn("item", F.xxhash64("item_id", "text")).distinct()
 
 
-def anchors(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id, start, size, k``: distinct item-sized windows that lay a shared shingle over its place in an item.
+def item_shingles(items: DataFrame) -> DataFrame:
+    """``item, item_id, size, k, h, len``: a row per shingle of each item."""
+    sizes = [r[0] for r in items.select("k").distinct().collect()]  # at most K values
+    out = None
+    for k in sorted(sizes):
+        got = with_shingles(items.where(F.col("k") == k), k).select("item", "item_id", "size", "k", F.explode(F.arrays_zip("h", "len")).alias("x")).select("item", "item_id", "size", "k", "x.*")
+        out = got if out is None else out.unionByName(got)
+    return out
 
-    Word positions count from 0; a window may stick out of its document at either end.
-    """
-    sizes = sorted(r[0] for r in items.select("k").distinct().collect())  # at most K values
-    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.transform(words(F.col(text_col)), lambda x: F.xxhash64(x)).alias("hw")).where("doc_id is not null")
+
+def hits(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """``doc_id, copy, pos, item, size, k, len, total``: where the shingles of ``docs`` are shingles of items."""
+    sizes = sorted(r[0] for r in own.select("k").distinct().collect())
     out = None
     for k in sizes:
-        own = items.where(F.col("k") == k).withColumn("hw", F.transform("words", lambda x: F.xxhash64(x)))
-        own = own.select("size", F.posexplode(shingles(F.col("hw"), k)).alias("at", "h")).distinct()
-        own = common.written(own, "item_shingles")
-        own = F.broadcast(own) if own.count() <= BROADCAST_SHINGLES else own
-        met = hashed.select("doc_id", F.posexplode(shingles(F.col("hw"), k)).alias("pos", "h")).join(own, "h")
-        met = met.select("doc_id", (F.col("pos") - F.col("at")).alias("start"), "size", F.lit(k).alias("k"))
+        side = own.where(F.col("k") == k).select("h", "item", "size", "k", "len", "total")
+        side = F.broadcast(side) if side.count() <= BROADCAST_SHINGLES else side
+        hashed = docs.select("doc_id", "copy", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("hw"))
+        met = hashed.select("doc_id", "copy", F.posexplode(shingles(F.col("hw"), k)).alias("pos", "h")).join(side, "h").drop("h")
         out = met if out is None else out.unionByName(met)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, start int, size int, k int")
-    return out.distinct()
+    return out.distinct()  # rows that repeat an id and a text are one
+
 
+def windows(met: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """``doc_id, copy, start, item, size, k``: all windows of an item's size that may reach the similarity ``least`` with it.
 
-def windows(docs: DataFrame, found: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """The anchored windows with ``elements`` and ``fp``; only documents with anchors are cut into words again."""
-    ids = found.select(F.col("doc_id").alias("_id")).distinct()
+    The shared weight ``m`` of a similarity m / (a + b - m) of ``least`` or more is at least ``least`` times the
+    item's weight. A shingle at ``pos`` lies in the windows that start from ``pos - (size - k)`` to ``pos``, so
+    the sum of the weights of hits is a running sum along the starts, and stays the same between two changes.
+    """
+    change = F.array(F.struct((F.col("pos") - (F.col("size") - F.col("k"))).alias("start"), F.col("len").alias("by")), F.struct((F.col("pos") + 1).alias("start"), (-F.col("len")).alias("by")))
+    key = ["doc_id", "copy", "item", "size", "k", "total"]
+    steps = met.select(*key, F.explode(change).alias("x")).groupBy(*key, "x.start").agg(F.sum("x.by").alias("by"))
+    along = Window.partitionBy("doc_id", "copy", "item").orderBy("start")
+    held = steps.withColumn("m", F.sum("by").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("start").over(along))
+    held = held.where((F.col("m") > 0) & (F.col("m") >= F.col("total") * (least - 1e-9)))
+    return held.select("doc_id", "copy", "item", "size", "k", F.explode(F.sequence("start", F.col("next") - 1)).alias("start"))
+
+
+def window_elements(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc_id, copy, start, size, k, e, w`` of the windows; only documents that have windows are cut into words again."""
+    ids = found.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).distinct()
     few = ids.count() <= BROADCAST_IDS
-    row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    picked = row.join(F.broadcast(ids) if few else ids, row["doc_id"] == ids["_id"], "left_semi")
-    # Windows of a document are dealt by runs of its words, so that a long one is no hot group.
-    cut = picked.select("doc_id", words(F.col("text")).alias("w"))
-    per_doc = found.groupBy("doc_id", (F.col("start") / 4096).cast("int").alias("run")).agg(F.collect_set(F.struct("start", "size", "k")).alias("at"))
-    both = cut.join(per_doc, "doc_id")
-    first = lambda a: F.greatest(a["start"], F.lit(0))
-    take = lambda w, a: F.slice(w, first(a) + 1, F.least(a["start"] + a["size"], F.size(w)) - first(a))
-    parts = F.transform("at", lambda a: F.struct(a["start"].alias("start"), a["size"].alias("size"), a["k"].alias("k"), take(F.col("w"), a).alias("words")))
-    out = both.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.*").where(F.size("words") >= F.col("k")).distinct()
-    out = out.withColumn("elements", _elements(F.col("words"), F.col("k")))
-    return out.withColumn("fp", _simhash(F.col("elements"))).drop("words")
+    picked = docs.join(F.broadcast(ids) if few else ids, (docs["doc_id"] == F.col("_id")) & (docs["copy"] == F.col("_copy")), "left_semi").dropDuplicates(["doc_id", "copy"])
+    out = None
+    for k in sorted(r[0] for r in found.select("k").distinct().collect()):
+        cut = with_shingles(picked, k).select("doc_id", "copy", "h", "len")
+        # Windows of a document are dealt by runs of its words, so that a long one is no hot group.
+        at = found.where(F.col("k") == k).select("doc_id", "copy", "start", "size", "k").distinct()
+        both = cut.join(at, ["doc_id", "copy"])
+        first = F.greatest("start", F.lit(0))
+        n = F.least(F.col("start") + F.col("size") - (k - 1), F.size("h")) - first
+        part = F.arrays_zip(F.slice("h", first + 1, n).alias("h"), F.slice("len", first + 1, n).alias("len"))
+        got = both.where(n > 0).select("doc_id", "copy", "start", "size", "k", F.explode(part).alias("x")).select("doc_id", "copy", "start", "size", "k", F.col("x.h").alias("h"), F.col("x.len").alias("len"))
+        out = got if out is None else out.unionByName(got)
+    return elements(out, ["doc_id", "copy", "start", "size", "k"])
 
 
 def block_join(wins: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs of windows and items of one size within RADIUS bits, all of them, by multi-index blocks."""
+    """Pairs of ``wins(doc_id, copy, start, item, fp)`` and ``items(item, fp)`` within RADIUS bits, all of them, by multi-index blocks.
+
+    A window names the item whose shingles it holds, so the blocks of an item are met by its own windows only.
+    """
     own, other = [], []
     for i, (start, size) in enumerate(_block_spans()):
-        flips = [0] + [sum(1 << b for b in c) for n in range(1, NEAR + 1) for c in combinations(range(size), n)]
-        masks = F.array(*[F.lit(x).cast("long") for x in flips])
-        near = F.transform(masks, lambda m: F.struct(F.lit(i).alias("b"), _block(F.col("fp"), start, size).bitwiseXOR(m).alias("v")))
+        masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << size) - 1).cast("long")), lambda m: F.bit_count(m) <= NEAR)
+        near = F.transform(masks, lambda m: F.struct(F.lit(i).alias("b"), _block(F.col("fp"), start, size).bitwiseXOR(m).alias("v")))  # noqa: B023
         own.append(near)
         other.append(F.struct(F.lit(i).alias("b"), _block(F.col("fp"), start, size).alias("v")))
-    left = items.select("item_id", "size", F.col("fp").alias("item_fp"), F.explode(F.concat(*own)).alias("x")).select("item_id", "size", "item_fp", "x.*")
-    right = wins.select("doc_id", "start", "size", "fp", F.explode(F.array(*other)).alias("x")).select("doc_id", "start", "size", "fp", "x.*")
+    left = items.select("item", F.col("fp").alias("item_fp"), F.explode(F.concat(*own)).alias("x")).select("item", "item_fp", "x.*")
+    right = wins.select("doc_id", "copy", "start", "item", "fp", F.explode(F.array(*other)).alias("x")).select("doc_id", "copy", "start", "item", "fp", "x.*")
     # The listed neighbours are many times the items that Spark's estimate sees: never broadcast them.
-    pairs = right.join(left.hint("merge"), ["size", "b", "v"])
+    pairs = right.join(left.hint("merge"), ["item", "b", "v"])
     pairs = pairs.withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= RADIUS)
-    return pairs.select("doc_id", "start", "size", "item_id", "hamming").distinct()
+    return pairs.select("doc_id", "copy", "start", "item", "hamming").distinct()
 
 
-def similarity(a, b) -> F.Column:
-    """Weighted Jaccard similarity of two lists of ``(e, w)`` with distinct ``e``."""
-    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda acc, y: acc + y["w"])
-    shared = total(F.array_intersect(a, b))
-    return shared / (total(a) + total(b) - shared)
+NO_LEAKS = "doc_id long, item_id long, start int, n_words int, hamming int, similarity double"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -141,17 +173,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
 
     Ties go to the earliest window. Null texts and items without words match nothing; null document ids
     are left out; rows that repeat an id count as one document with all their windows. Repeated items are
-    reported under each of their ids. Empty tables give an empty result.
+    reported under each of their ids. Items of one word match every place of that word. Very long texts are
+    searched whole. Other columns play no part, whatever their names. Empty tables give an empty result.
     """
+    spark = docs.sparkSession
     items = common.written(benchmark_items(benchmark), "items")
-    found = common.written(anchors(docs, items), "anchors")
-    wins = common.written(windows(docs, found), "windows")
-    pairs = block_join(wins, items)
-    full = pairs.join(wins.select("doc_id", "start", "size", "elements"), ["doc_id", "start", "size"])
-    full = full.join(items.select("item_id", F.col("elements").alias("own")), "item_id")
-    full = full.withColumn("similarity", similarity(F.col("elements"), F.col("own"))).where(F.col("similarity") >= least)
-    best = full.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "size", "hamming")).alias("m"))
-    return best.select("doc_id", "item_id", F.col("m.start").alias("start"), F.col("m.size").alias("n_words"), F.col("m.hamming").cast("int").alias("hamming"), (-F.col("m.s")).alias("similarity"))
+    if items.isEmpty():
+        return spark.createDataFrame([], NO_LEAKS)
+    own = common.written(item_shingles(items), "item_shingles")
+    parts = common.written(elements(own, ["item"]), "item_elements")
+    marks = common.written(fingerprints(parts, ["item"]), "item_fingerprints")
+    rows = texts(docs)
+    distinct = own.groupBy("item", "size", "k", "h").agg(F.max("len").alias("len")).join(marks.select("item", "total"), "item")
+    found = common.written(windows(common.written(hits(rows, distinct), "hits"), least), "windows")
+    if found.isEmpty():
+        return spark.createDataFrame([], NO_LEAKS)
+    key = ["doc_id", "copy", "start", "size", "k"]
+    held = common.written(window_elements(rows, found), "window_elements")
+    wins = common.written(found.join(fingerprints(held, key), key), "window_fingerprints")
+    pairs = block_join(wins, marks).join(wins.select("doc_id", "copy", "start", "item", "size", "k", "total"), ["doc_id", "copy", "start", "item"])
+    pairs = pairs.join(marks.select("item", F.col("total").alias("item_total")), "item")
+    shared = pairs.join(held, key).join(parts.select("item", "e"), ["item", "e"])
+    full = shared.groupBy("doc_id", "copy", "start", "item", "size", "hamming", "total", "item_total").agg(F.sum("w").alias("m"))
+    full = full.withColumn("similarity", F.col("m") / (F.col("total") + F.col("item_total") - F.col("m"))).where(F.col("similarity") >= least)
+    named = full.join(items.select("item", "item_id"), "item")
+    best = named.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "size", "hamming")).alias("m"))
+    return best.select("doc_id", "item_id", F.col("m.start").cast("int").alias("start"), F.col("m.size").cast("int").alias("n_words"), F.col("m.hamming").cast("int").alias("hamming"), (-F.col("m.s")).alias("similarity"))
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -171,7 +218,7 @@ WITH d AS (
 ), dg AS (
   SELECT doc_id, k, i, array_to_string(w[i:i+k-1], ' ') AS g FROM (SELECT d.doc_id, d.w, s.k, unnest(range(1, greatest(len(d.w) - s.k + 2, 1))) AS i FROM d, (SELECT DISTINCT k FROM u) s)
 ), a AS (
-  SELECT DISTINCT doc_id, ug.k, size, dg.i - ug.i AS start FROM dg JOIN ug ON dg.g = ug.g AND dg.k = ug.k
+  SELECT DISTINCT doc_id, k, size, CAST(unnest(range(i - (size - k) - 1, i)) AS BIGINT) AS start FROM (SELECT DISTINCT doc_id, ug.k, size, dg.i FROM dg JOIN ug ON dg.g = ug.g AND dg.k = ug.k)
 ), x AS (
   SELECT DISTINCT a.doc_id, a.k, a.size, a.start, d.w[greatest(start, 0)+1 : least(start + size, len(d.w))] AS w FROM a JOIN d USING (doc_id)
 ), xg AS (

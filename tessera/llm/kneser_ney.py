@@ -28,8 +28,8 @@ from . import common
 ORDER = 5
 #: Pads a text at both ends; in a text itself it counts as U+FFFD.
 EDGE = "\0"
-#: Characters of a block, and those that are sorted at a time.
-BLOCK_CHARS, CHUNK = 24_000_000, 1 << 18
+#: Bytes of text from which a block is full (larger blocks list fewer n-grams per character), and characters that are sorted at a time.
+BLOCK_CHARS, CHUNK = 32_000_000, 1 << 18
 #: A block's alphabet must be smaller than this, so that an n-gram fits 64 bits; else the block is halved.
 ALPHABET = 7131
 #: Labelled trusted ids up to which they are broadcast (8 bytes each); beyond, a shuffle join.

@@ -220,8 +220,9 @@ def test_pii_query_and_bootstrap(spark, odd_docs, no_docs):
 
 
 def brute_leaks(docs, items):
+    """(doc, item): (start, similarity) of the best of all windows; the earliest of equals."""
     norm = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    out = set()
+    out = {}
     for d, t in docs:
         w = norm(t)
         for i, q in items:
@@ -235,23 +236,55 @@ def brute_leaks(docs, items):
                 a = grams(w[max(s, 0) : max(s + len(v), 0)])
                 if a:
                     m = sum(len(g) * min(n, b[g]) for g, n in a.items())
-                    if m / (sum(len(g) * n for g, n in a.items()) + sum(len(g) * n for g, n in b.items()) - m) >= 0.8:
-                        out.add((d, i))
+                    x = m / (sum(len(g) * n for g, n in a.items()) + sum(len(g) * n for g, n in b.items()) - m)
+                    if x >= 0.8 and ((d, i) not in out or x > out[d, i][1] + 1e-12 or x > out[d, i][1] - 1e-12 and s < out[d, i][0]):
+                        out[d, i] = (s, x)
     return out
 
 
+def same_leaks(got, want):
+    assert {(r.doc_id, r.item_id) for r in got} == set(want)
+    assert all((r.start, r.similarity) == (want[r.doc_id, r.item_id][0], pytest.approx(want[r.doc_id, r.item_id][1])) for r in got)
+
+
 def test_leaks_against_brute_force(spark, odd_docs, no_docs):
     item = "The quick brown fox, jumps over the lazy dog while seven wizards brew a strange green potion at night"
     words = item.split()
     near = " ".join(words[:9] + ["BIG"] + words[10:])
-    items = [(1, item), (2, "tiny text"), (3, None), (4, "!!!"), (5, item), (6, " ".join(f"z{i}" for i in range(60)))]
+    items = [(1, item), (2, "tiny text"), (3, None), (4, "!!!"), (5, item), (6, " ".join(f"z{i}" for i in range(60))), (7, "zebra"), (8, "go go go go go go go go go go"), (6, " ".join(f"z{i}" for i in range(60)))]
     docs = [(1, "a b c " + item.upper() + " d"), (2, near), (3, " ".join(words[:10])), (4, "some Tiny, text here"), (5, None), (None, item), (7, "q " + " ".join(f"z{i}" for i in range(1, 60))), (8, item + " " + item)]
+    docs += [(9, "zebra " * 50 + "one ZEBRA"), (10, "go " * 40), (11, "stop " + "go " * 9 + "stop"), (12, item), (12, item)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench)
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == brute_leaks(docs, items)
     assert all(r.hamming <= decontaminate.RADIUS for r in got.collect())
+    same_leaks(got.collect(), brute_leaks(docs, items))
     assert decontaminate.leaks(no_docs, bench).count() == 0 and decontaminate.leaks(odd_docs, bench.limit(0)).count() == 0
-    assert {r.doc_id for r in decontaminate.leaks(odd_docs, bench).collect()} == set()
+    assert {r.doc_id for r in decontaminate.leaks(odd_docs, bench.where("item_id <> 7")).collect()} == set()
+
+
+def test_leaks_with_words_put_in_and_left_out(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    items, docs = [], []
+    for i in range(60):
+        words = [word() for _ in range(rng.randint(14, 70))]
+        items.append((i, " ".join(words)))
+        for j in range(6):
+            out = list(words)
+            for _ in range(rng.randint(0, 2)):
+                at = rng.randrange(len(out))
+                n = rng.randint(1, 4)
+                if rng.random() < 0.5:
+                    out[at:at] = [word() for _ in range(n)]
+                else:
+                    del out[at : at + n]
+            docs.append((10 * i + j, " ".join([word() for _ in range(rng.randint(0, 30))] + out + [word() for _ in range(rng.randint(0, 30))])))
+    want = {}
+    for d in docs:  # no two items share a shingle
+        want |= brute_leaks([d], [items[d[0] // 10]])
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert 100 < len(want) < len(docs)
+    same_leaks(got, want)
 
 
 def test_blocks_meet_within_the_radius(spark):
@@ -263,8 +296,8 @@ def test_blocks_meet_within_the_radius(spark):
         for b in rng.choice(64, decontaminate.RADIUS, replace=False):
             y ^= 1 << int(b)
         pairs.append((i, x, y - (1 << 64) if y >> 63 else y))
-    wins = spark.createDataFrame([(i, 0, i, x) for i, x, _ in pairs], "doc_id long, start int, size int, fp long")
-    items = spark.createDataFrame([(i, i, y) for i, _, y in pairs], "item_id long, size int, fp long")
+    wins = spark.createDataFrame([(i, 0, 0, i, x) for i, x, _ in pairs], "doc_id long, copy long, start int, item long, fp long")
+    items = spark.createDataFrame([(i, y) for i, _, y in pairs], "item long, fp long")
     assert decontaminate.block_join(wins, items).count() == 40
 
 
