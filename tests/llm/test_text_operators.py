@@ -216,6 +216,88 @@ def test_pii_query_and_bootstrap(spark, odd_docs, no_docs):
     assert pii.find(odd_docs).count() == odd_docs.count() and pii.find(no_docs).count() == 0
 
 
+BADGES = [(i, f"contact mail: user{i}@x.example.com today") for i in range(60)]
+BADGES += [(100 + i, f"contact mail: QX-10{i}00-K today, badge no QX-10{i}00-K was seen") for i in range(12)]
+BADGES += [(200, "another badge no ZZ-55512-Q was seen"), (201, "plain ZZ-55512-Q here"), (202, "the mail: is late"), (203, "no badge no")]
+
+
+def plain_scores(rows):
+    """The rounds of the bootstrap over plain dictionaries; other uses by walking through the words."""
+    links, others = {}, Counter()
+    texts = {t for _, t in rows if t}
+    for t in texts:
+        spans = pii.base_spans(t)
+        places = [(a, b, True) for a, b, _ in spans] + [(a, b, pii.is_key(t[a:b])) for a, b in pii.candidates(t, spans)]
+        for a, b, seed in places:
+            for p in pii.context(t, a, b):
+                links.setdefault(p, {})[t[a:b].lower()] = seed
+                others[p] -= 1
+        flat = " ".join(t.lower().split())
+        words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W_]+", flat)]
+        for i, (a, b, w) in enumerate(words):
+            if not any(c.isalpha() for c in w):
+                continue
+            near = i and a - words[i - 1][1] <= pii.GAP
+            if i + 1 < len(words) and words[i + 1][0] - b <= pii.GAP:
+                others["<" + flat[a : words[i + 1][0]].rstrip()] += 1
+                if near:
+                    others["<" + flat[words[i - 1][0] : words[i + 1][0]].rstrip()] += 1
+            if near:
+                others[">" + flat[words[i - 1][1] : b].lstrip()] += 1
+    links = {p: x for p, x in links.items() if len(x) >= pii.LEAST_SEEDS}
+    n = {p: len(x) + max(others[p], 0) + 1 for p, x in links.items()}
+    links = {p: x for p, x in links.items() if len(x) / n[p] >= pii.CONFIDENCE}
+    seeds = {i for x in links.values() for i, s in x.items() if s}
+    trust = dict.fromkeys(seeds, 1.0)
+    while True:
+        score = {p: (sum(i in trust for i in x), sum(trust.get(i, 0) for i in x) / n[p]) for p, x in links.items()}
+        good = {p for p, (k, v) in score.items() if k >= pii.LEAST_SEEDS and v >= pii.CONFIDENCE}
+        new = dict.fromkeys(seeds, 1.0)
+        for i in {i for p in good for i in links[p]} - seeds:
+            new[i] = 1 - np.prod([1 - score[p][1] for p in good if i in links[p]])
+        if len(new) == len(trust):
+            return {p: v for p, v in score.items() if v[0]}
+        trust = new
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_bootstrap_learns_in_rounds_and_as_a_plain_one(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "BROADCAST_PATTERNS", most)
+    rows = BADGES + BADGES[:3]
+    seen, score = {}, pii.pattern_scores
+
+    def keep(*args, **options):
+        out = score(*args, **options)
+        seen.update({r.pattern: (r.seeds, r.score) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(pii, "pattern_scores", keep)
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_scores(rows)
+    assert seen.keys() == want.keys() and all(seen[p] == (want[p][0], pytest.approx(want[p][1])) for p in want)
+    assert not any("@" in t for _, t in rows if "badge" in t)  # no base seed shows this pattern
+    assert got[200] == "id:17:27" and got[201] == "" and got[100].count("id:") == 2
+
+
+def test_planted_keys_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("doc_id is not null")
+    got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    n = 0
+    for d, t in docs.collect():
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', t or ""):
+            n += 1
+            assert f"id:{m.start(1)}:{m.end(1)}" in got[d].split(",")
+    assert n >= 5
+
+
+def test_candidates_of_each_kind():
+    kinds = ["Tel 01 23 45 67 89 now", "call 555 123 4567.", "write jane.doe at host dot com please", "by (name [at] mail [dot] host)", "follow @some_body there", "key='AB-123-xyz'", "year 2023 and 1.2"]
+    want = [["01 23 45 67 89"], ["555 123 4567"], ["jane.doe at host dot com"], ["name [at] mail [dot] host"], ["@some_body"], ["AB-123-xyz"], []]
+    assert [[t[a:b] for a, b in pii.candidates(t, [])] for t in kinds] == want
+    assert pii.candidates("a@b.c 01 23 45 67 89", [(6, 20, "phone")]) == []
+    assert pii.candidates("x at " * 20_000 + "9" * 50_000 + " 1" * 20_000, [])  # in linear time
+
+
 # --- decontamination
 
 
