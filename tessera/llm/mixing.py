@@ -1,17 +1,18 @@
 """Operator 10, mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Documents fall into blocks by a hash of their id, at most ``blocks`` for a source, so that everything
-below the document level is small and of a size that does not grow with the corpus. A source's target
-is met by whole passes over its blocks and one partial pass over a permutation of them. The quotas of
-all sources (numbers of block draws) are then split exactly among output shards: a binary tree halves the shards,
-and each node draws how many of each source's draws go left from a multivariate hypergeometric law. A
-leaf thereby owns a range of each source's permuted draws, disjoint from all others, and its documents
-are shuffled locally by a keyed hash.
+Documents fall into groups by a hash of their id, at most ``groups`` for a source, and each group into blocks of some
+``block_words`` words, so that blocks stay small however large a source is. A source's target is met by whole
+passes over its groups and a partial pass over a permutation of them, and a group's draw draws all its blocks. The quotas of
+all sources (numbers of block draws) are then split exactly among output shards of ``shard_words`` words: a binary
+tree halves the shards, and each node draws how many of each source's draws go left from a multivariate hypergeometric law.
+A leaf thereby owns a range of each source's permuted draws, disjoint from all others, and its documents are
+shuffled locally by a keyed hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCKS = 1024
-SHARD_WORDS = 4_000_000
+GROUPS = 1024
+SHARD_WORDS, BLOCK_WORDS = 4_000_000, 65_536
+#: Block draws that the tree's law can split; where there would be more, blocks are made larger.
+MOST_DRAWS = 500_000_000
 SEED = 17
-#: Sources times blocks up to which the draw table is broadcast (some 40 bytes a row); beyond, a plain join.
+#: Draws (some 40 bytes a row) up to which their table is broadcast; beyond, a plain join.
 BROADCAST_ROWS = 500_000
 
 
@@ -75,19 +78,19 @@ def split_ranges(quotas: list[int], n_shards: int, seed: int, shard: int) -> lis
     return list(zip(left.tolist(), counts.tolist()))
 
 
-def pick_blocks(src: int, sizes: dict[int, int], target: float, capped: bool, most: int, seed: int) -> list[int]:
-    """The draws of one source in order: whole passes, then the blocks of a partial pass, each pass permuted.
+def pick_groups(src: int, sizes: dict[int, int], target: float, capped: bool, most: int, seed: int) -> list[int]:
+    """The draws of one source in order: whole passes, then the groups of a partial pass, each pass permuted.
 
-    Blocks of the partial pass are taken in permuted order as they fit. If the sum is off the target by a
-    thousandth or more, single draws are added, left out or exchanged while that brings it nearer; a block
+    Groups of the partial pass are taken in permuted order as they fit. If the sum is off the target by a
+    thousandth or more, single draws are added, left out or exchanged while that brings it nearer; a group
     is drawn ``most`` times at most.
     """
-    blocks = np.array(sorted(sizes))
-    words = np.array([sizes[b] for b in blocks.tolist()], np.int64)
+    groups = np.array(sorted(sizes))
+    words = np.array([sizes[b] for b in groups.tolist()], np.int64)
     total = int(words.sum())
     passes = most if capped else int(target // total) if total else 1
-    order = lambda p: np.random.default_rng(_seed(seed, "pass", src, p)).permutation(len(blocks))
-    times = np.full(len(blocks), passes)
+    order = lambda p: np.random.default_rng(_seed(seed, "pass", src, p)).permutation(len(groups))
+    times = np.full(len(groups), passes)
     if total and not capped:
         rest = target - passes * total
         for i in order(passes).tolist():
@@ -104,37 +107,53 @@ def pick_blocks(src: int, sizes: dict[int, int], target: float, capped: bool, mo
             if left[i, j] >= abs(rest):
                 break
             rest -= int(add[i] - drop[j])
-            if i < len(blocks):
+            if i < len(groups):
                 times[i] += 1
-            if j < len(blocks):
+            if j < len(groups):
                 times[j] -= 1
-    return [int(blocks[i]) for p in range(int(times.max(initial=0))) for i in order(p) if times[i] > p]
+    return [int(groups[i]) for p in range(int(times.max(initial=0))) for i in order(p) if times[i] > p]
 
 
-def draw_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(1, 2, 3), most=3, blocks=BLOCKS, shard_words=SHARD_WORDS, seed=SEED):
+def permutation(n: int, seed: int, src: int) -> tuple[int, int]:
+    """(a, c) of a permutation i -> (a i + c) mod n that spreads neighbours."""
+    a = max(1, round(n * 0.6180339887498949))
+    while math.gcd(a, n) != 1:
+        a += 1
+    return a, _seed(seed, "draws", src) % max(n, 1)
+
+
+def draw_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(1, 2, 3), most=3, groups=GROUPS, block_words=BLOCK_WORDS, shard_words=SHARD_WORDS, seed=SEED):
     """(sized, sources, draws): documents with sizes; one row per source; one row per draw of a block.
 
-    ``draws(src, block, pos, shard)``. Reruns agree: everything follows from ids, sizes and the seed.
+    ``draws(src, grp, sub, pos, shard)``. Reruns agree: everything follows from ids, sizes and the seed. The driver
+    holds some numbers per source, as the tree's law is one over all sources.
     """
     spark = docs.sparkSession
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     sized = common.written(sized, "sized")
-    sources = common.written(targets(sized, weights, most), "sources")
-    tagged = with_blocks(sized, sources, "doc_id", blocks, seed)
-    per_block = tagged.groupBy("src", "block").agg(F.sum("size").alias("words"))
+    sources = targets(sized, weights, most)
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    words = max(block_words, -(-total * most // MOST_DRAWS))
+    subs = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(float(words)) / F.least("n_docs", F.lit(groups)))).cast("long")
+    sources = common.written(sources.withColumn("subs", subs), "sources")
+    tagged = with_blocks(sized, sources, "doc_id", groups, seed)
+    per_group = tagged.groupBy("src", "grp").agg(F.sum("size").alias("words"))
     facts = sources.select("src", "target", "capped")
 
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:  # at most ``blocks`` rows, whatever the source's size
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:  # at most ``groups`` rows, whatever the source's size
         src = int(pdf.src.iloc[0])
-        got = pick_blocks(src, dict(zip(pdf.block.tolist(), pdf.words.tolist())), float(pdf.target.iloc[0]), bool(pdf.capped.iloc[0]), most, seed)
-        return pd.DataFrame({"src": src, "block": np.array(got, np.int64), "pos": np.arange(len(got), dtype=np.int64)})
+        got = pick_groups(src, dict(zip(pdf.grp.tolist(), pdf.words.tolist())), float(pdf.target.iloc[0]), bool(pdf.capped.iloc[0]), most, seed)
+        return pd.DataFrame({"src": src, "grp": np.array(got, np.int64), "nth": np.arange(len(got), dtype=np.int64)})
 
-    draws = per_block.join(facts, "src").groupBy("src").applyInPandas(plan, "src int, block long, pos long")
-    draws = common.written(draws, "draws")
-    quota = {r[0]: r[1] for r in draws.groupBy("src").count().collect()}  # one number per source
-    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    picked = per_group.join(facts, "src").groupBy("src").applyInPandas(plan, "src int, grp long, nth long")
+    picked = common.written(picked, "picked")
+    rows = picked.groupBy("src").count().join(sources.select("src", "subs"), "src").collect()  # one per source
+    quota = {r.src: r["count"] * r.subs for r in rows}
     n_shards = max(1, min(-(-int(total) // shard_words), sum(quota.values())))
     quotas = [quota.get(i, 0) for i in range(max(quota, default=-1) + 1)]
+    order = spark.createDataFrame([(i, q, *permutation(q, seed, i)) for i, q in quota.items()], "src int, quota long, a long, c long")
+    expanded = picked.join(sources.select("src", "subs"), "src").join(order, "src").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"))
+    draws = expanded.select("src", "grp", "sub", F.pmod(F.col("a") * (F.col("nth") * F.col("subs") + F.col("sub")) + F.col("c"), "quota").alias("pos"))
 
     def leaves(batches):
         for pdf in batches:
@@ -144,44 +163,46 @@ def draw_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sou
 
     tree = spark.range(n_shards).mapInPandas(leaves, "src int, shard long, first long, n long")
     tree = tree.select("src", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("pos"))
-    return sized, sources, draws.join(tree, ["src", "pos"])
+    draws = draws.join(tree, ["src", "pos"])
+    return sized, sources, F.broadcast(draws) if sum(quotas) <= BROADCAST_ROWS else draws
 
 
-def with_blocks(docs: DataFrame, sources: DataFrame, id_col="doc_id", blocks=BLOCKS, seed=SEED, source_col="source") -> DataFrame:
-    """``docs`` with ``src`` and ``block``; the source table has one row per source and is broadcast while small."""
-    tags = sources.select(F.col("source").alias("_source"), "src", F.least(F.col("n_docs"), F.lit(blocks)).alias("_blocks"))
+def with_blocks(docs: DataFrame, sources: DataFrame, id_col="doc_id", groups=GROUPS, seed=SEED, source_col="source") -> DataFrame:
+    """``docs`` with ``src``, ``grp`` and ``sub``: source, group and block; the source table has one row per source and is broadcast while small."""
+    tags = sources.select(F.col("source").alias("_source"), "src", F.least(F.col("n_docs"), F.lit(groups)).alias("_groups"), F.col("subs").alias("_subs"))
     tags = F.broadcast(tags) if tags.count() <= BROADCAST_ROWS else tags
     out = docs.join(tags, docs[source_col].eqNullSafe(F.col("_source")))
-    return out.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.col("_blocks"))).drop("_source", "_blocks")
-
+    out = out.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.col("_groups")))
+    return out.withColumn("sub", F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), F.col(id_col)), F.col("_subs"))).drop("_source", "_groups", "_subs")
 
-def _small(df: DataFrame, sources: DataFrame, blocks: int, most: int) -> DataFrame:
-    return F.broadcast(df) if sources.count() * blocks * most <= BROADCAST_ROWS else df
 
-
-def taken(docs: DataFrame, blocks=BLOCKS, most=3, **options) -> DataFrame:
+def taken(docs: DataFrame, groups=GROUPS, most=3, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken``, a row per row of ``docs``.
 
-    A null text or one without words has size 0; a null source is a source of its own, the last. Rows of
-    a repeated id are drawn together. An empty table gives an empty result.
+    A null text or one without words has size 0; a null source is a source of its own, the last; rows of a
+    null id are one block's. Rows of a repeated id are drawn together; a very long document is drawn whole. Other
+    columns play no part, whatever their names. An empty table gives an empty result.
     """
-    sized, sources, draws = draw_plan(docs, blocks=blocks, most=most, **options)
-    times = draws.groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
-    tagged = with_blocks(sized, sources, blocks=blocks, seed=options.get("seed", SEED))
-    out = tagged.join(_small(times, sources, blocks, 1), ["src", "block"], "left")
+    sized, sources, draws = draw_plan(docs, groups=groups, most=most, **options)
+    times = draws.groupBy("src", "grp", "sub").agg(F.count(F.lit(1)).alias("times"))
+    tagged = with_blocks(sized, sources, groups=groups, seed=options.get("seed", SEED))
+    out = tagged.join(times, ["src", "grp", "sub"], "left")
     facts = sources.select("src", "source_size", "target")
     facts = F.broadcast(facts) if sources.count() <= BROADCAST_ROWS else facts
     return out.join(facts, "src").select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
 
 
-def mix(docs: DataFrame, blocks=BLOCKS, most=3, seed=SEED, **options) -> DataFrame:
-    """The mixed corpus: the columns of ``docs`` (once per draw of a row's block), dealt by shard, shuffled within."""
-    sized, sources, draws = draw_plan(docs, blocks=blocks, most=most, seed=seed, **options)
+def mix(docs: DataFrame, groups=GROUPS, most=3, seed=SEED, **options) -> DataFrame:
+    """The mixed corpus: the columns of ``docs`` (once per draw of a row's block), dealt by shard, shuffled within.
+
+    Rows are treated as in ``taken``; equal keys of the shuffle, which only rows of one id have, stay side by side.
+    """
+    sized, sources, draws = draw_plan(docs, groups=groups, most=most, seed=seed, **options)
     names = docs.columns
     row = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"))  # clashing names stay apart
     row = row.select("_row", F.col("_row.doc_id").alias("_id"), F.col("_row.source").alias("_src"))
-    tagged = with_blocks(row, sources, "_id", blocks, seed, "_src")
-    out = tagged.join(_small(draws, sources, blocks, most), ["src", "block"])
+    tagged = with_blocks(row, sources, "_id", groups, seed, "_src")
+    out = tagged.join(draws, ["src", "grp", "sub"])
     out = out.withColumn("_key", F.xxhash64(F.lit(seed), "shard", "_id", "pos"))
     out = out.repartition(common.partitions_for(docs.sparkSession), "shard").sortWithinPartitions("shard", "_key")
     return out.select(*[F.col("_row").getField(c).alias(c) for c in names])

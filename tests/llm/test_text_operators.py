@@ -494,18 +494,63 @@ def test_tree_splits_exactly():
     assert max(sizes) - min(sizes) <= 4 and sum(sizes) == sum(quotas)
 
 
-def test_mix(spark, sf, odd_docs, no_docs):
+def test_draws_are_disjoint_and_spread():
+    for n in (1, 2, 3, 10, 97, 1024, 99_991):
+        a, c = mixing.permutation(n, 5, 0)
+        assert len({(a * i + c) % n for i in range(n)}) == n
+
+
+def plain_targets(docs, weights=(1, 2, 3), most=3):
+    """The size and the target of each source, by filling up in rounds."""
+    by = {}
+    for d, t, s in docs:
+        by.setdefault(s, []).append((d, len(re.findall("[^ \t\n\x0b\x0c\r]+", t or ""))))
+    names = sorted(by, key=lambda s: (s is None, s))
+    size = {s: sum(n for _, n in by[s]) for s in names}
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, target, left = sum(size.values()), {}, set(names)
+    while True:
+        rest = total - sum(target.values())
+        share = {s: rest * weight[s] / sum(weight[x] for x in left) for s in left}
+        over = {s for s in left if share[s] >= most * size[s]}
+        if not over:
+            target |= share
+            return size, target
+        target |= {s: most * size[s] for s in over}
+        left -= over
+        if not left:
+            return size, target
+
+
+@pytest.mark.parametrize("options", [{}, {"groups": 4, "block_words": 300, "shard_words": 2000}])
+def test_mix(spark, sf, odd_docs, no_docs, options):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    t = mixing.taken(docs).toPandas()
-    again = mixing.taken(docs.repartition(7)).toPandas()
+    t = mixing.taken(docs, **options).toPandas()
+    again = mixing.taken(docs.repartition(7), **options).toPandas()
     assert t.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
     assert (t.taken <= 3 * t["size"]).all() and len(t) == docs.count()
-    by = t.merge(docs.select("doc_id", "source").toPandas(), on="doc_id").groupby("source").agg({"taken": "sum", "target": "first"})
-    assert (abs(by.taken - by.target) <= 0.05 * by.target + 50).all()
-    n = mixing.mix(docs).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    by = t.merge(docs.select("doc_id", "source").toPandas(), on="doc_id").groupby("source", dropna=False).agg({"taken": "sum", "target": "first", "source_size": "first"})
+    size, target = plain_targets([tuple(r) for r in docs.select("doc_id", "text", "source").collect()])
+    assert all(r.source_size == size[s] and r.target == pytest.approx(target[s]) for s, r in by.iterrows())
+    if not options:
+        assert (abs(by.taken - by.target) <= 0.05 * by.target + 50).all()
+    n = mixing.mix(docs, **options).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
     assert all(n.get(r.doc_id, 0) * r["size"] == r.taken for _, r in t.iterrows())
-    assert mixing.taken(odd_docs).count() == odd_docs.count() and mixing.mix(odd_docs).columns == odd_docs.columns
-    assert mixing.taken(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
+    assert mixing.taken(odd_docs, **options).count() == odd_docs.count() and mixing.mix(odd_docs, **options).columns == odd_docs.columns
+    assert mixing.taken(no_docs, **options).count() == 0 and mixing.mix(no_docs, **options).count() == 0
+
+
+def test_shards_are_of_a_size_and_disjoint(spark, sf):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sized, sources, draws = mixing.draw_plan(docs, groups=8, block_words=500, shard_words=20_000)
+    rows = draws.collect()
+    assert len({(r.src, r.pos) for r in rows}) == len(rows) and sources.agg({"subs": "max"}).first()[0] > 3
+    words = mixing.with_blocks(sized, sources, groups=8).groupBy("src", "grp", "sub").sum("size").collect()
+    size = {r[:3]: r[3] for r in words}
+    shard = Counter()
+    for r in rows:
+        shard[r.shard] += size.get((r.src, r.grp, r.sub), 0)
+    assert len(shard) > 10 and max(shard.values()) < 3 * 20_000
 
 
 # --- token records
