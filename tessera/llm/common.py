@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a maximal run of bytes other than ASCII white space. ``bytes.split()`` cuts at exactly these.
@@ -17,11 +17,14 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary one is made.
+    Only where the session names none and runs on one machine (tests) a temporary one is made; on a cluster
+    that is an error, as executors would not see each other's files.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
@@ -106,14 +109,19 @@ def open_fs(path: str):
 BROADCAST_IDS = 1_000_000
 
 
-def filter_by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+def row_key(df: DataFrame) -> Column:
+    """A hash of a row's id and text: tells rows apart that have no id or share one."""
+    return F.xxhash64(df["doc_id"], df["text"])
+
+
+def filter_by_ids(df: DataFrame, ids: DataFrame, key: str | Column, how: str) -> DataFrame:
     """``df`` with (left_semi) or without (left_anti) the rows whose ``key`` is in the one column of ``ids``.
 
     The ids are counted first: few are broadcast, so that texts are not shuffled; many are not.
     """
     ids = ids.toDF("_id").where("_id is not null").distinct()
     few = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, df[key] == ids["_id"], how)
+    return df.join(F.broadcast(ids) if few else ids, (df[key] if isinstance(key, str) else key) == ids["_id"], how)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

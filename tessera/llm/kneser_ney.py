@@ -338,9 +338,11 @@ def thresholds(held_out: DataFrame, quantile: float = QUANTILE, least: int = LEA
     return ranked.groupBy("lang").agg((F.min("bin") / BINS).alias("threshold"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, least: int = LEAST_HELD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, least: int = LEAST_HELD, block_chars: int = BLOCK_CHARS, key=None) -> DataFrame:
     """``doc_id, lang, n_grams, nll, perplexity, threshold, keep``, a row per row of ``docs``.
 
+    If ``key`` is given, a column of ``docs`` that is long, it takes the place of ``doc_id`` in the result.
+
     Trusted are the documents that ``labels`` calls of quality 1 (null ids and labels: not trusted; repeated
     labels count once). One in HOLD_OUT of them, chosen by a hash of the text so that copies stay together,
     is not trained on; the thresholds are quantiles over those. Null or rare languages have the threshold
@@ -352,10 +354,10 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, least:
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_good")).distinct()
     few = good.count() <= BROADCAST_IDS
     pick = F.broadcast(good) if few else good
-    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("doc_id").cast("long") if key is None else key).alias("key"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     held = F.pmod(F.xxhash64("text"), F.lit(HOLD_OUT)) == 0
     role = F.when(F.col("_good").isNull(), 0).when(held, 2).otherwise(1).cast("int")
-    scores = document_scores(row.join(pick, row["doc_id"] == pick["_good"], "left").withColumn("role", role), block_chars)
+    scores = document_scores(row.join(pick, row["doc_id"] == pick["_good"], "left").withColumn("role", role).withColumn("doc_id", F.col("key")), block_chars)
     limits = common.written(thresholds(scores.where("role = 2"), quantile, least), "thresholds")
     overall = limits.where("lang is null").select(F.col("threshold").alias("overall"))
     out = scores.join(limits.where("lang is not null"), "lang", "left").join(F.broadcast(overall), F.lit(True), "left")  # one row
