@@ -29,7 +29,9 @@ ORDER = 5
 #: Pads a text at both ends; in a text itself it counts as U+FFFD.
 EDGE = "\0"
 #: Bytes of text from which a block is full (larger blocks list fewer n-grams per character), and characters that are sorted at a time.
-BLOCK_CHARS, CHUNK = 32_000_000, 1 << 18
+BLOCK_CHARS, CHUNK = 24_000_000, 1 << 18
+#: Listed n-grams from which a block's lists are merged.
+MERGE = 1_500_000
 #: A block's alphabet must be smaller than this, so that an n-gram fits 64 bits; else the block is halved.
 ALPHABET = 7131
 #: Labelled trusted ids up to which they are broadcast (8 bytes each); beyond, a shuffle join.
@@ -95,18 +97,32 @@ def _inside(ends: np.ndarray) -> np.ndarray:
     return ok
 
 
-def block_grams(texts: list, trained: list) -> tuple[np.ndarray, np.ndarray]:
+def strings(column):
+    """The texts of an Arrow column one by one."""
+    for x in column:
+        yield x.as_py()
+
+
+def merged(found: list, times: list) -> tuple[np.ndarray, np.ndarray]:
+    u, where = np.unique(np.concatenate(found), return_inverse=True)
+    return u, np.bincount(where, np.concatenate(times)).astype(np.int32)
+
+
+def block_grams(column, trained: list) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of a block as rows of ORDER code points, in order, and their counts in its trained texts."""
-    letters = alphabet(texts)
+    letters = alphabet(strings(column))
     rank, r = ranks(letters), len(letters)
-    found, times = [], []
-    for some, counted in (([t for t, y in zip(texts, trained) if y], True), ([t for t, y in zip(texts, trained) if not y], False)):
-        for _, x, ends in chunks(some):
+    found, times, held = [], [], 0
+    for counted in (True, False):
+        for _, x, ends in chunks(t for t, y in zip(strings(column), trained) if y == counted):
             u, n = np.unique(codes(x, rank, r)[_inside(ends)], return_counts=True)
             found.append(u)
-            times.append(n if counted else np.zeros(len(u), np.int64))
-    u, where = np.unique(np.concatenate(found), return_inverse=True)
-    counts = np.bincount(where, np.concatenate(times)).astype(np.int64)
+            times.append(n.astype(np.int32) if counted else np.zeros(len(u), np.int32))
+            held += len(u)
+            if held > MERGE:
+                u, n = merged(found, times)
+                found, times, held = [u], [n], 0
+    u, counts = merged(found, times)
     points = np.empty((len(u), ORDER), "<u4")
     for k in range(ORDER - 1, -1, -1):
         u, digit = np.divmod(u, np.uint64(r))
@@ -127,37 +143,42 @@ def as_text(points: np.ndarray) -> str:
     return points.astype("<u4").tobytes().decode("utf-32-le")
 
 
+PACKED = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("grams", pa.string()), ("counts", pa.binary()), ("body", pa.binary())])
+
+
+def pack_block(table: pa.Table, shards: int):
+    """The rows of one block, or of its halves where its alphabet is too large."""
+    import uuid
+
+    column = table.column("text")
+    if len(column) > 1 and len(alphabet(strings(column))) >= ALPHABET:
+        half = len(column) // 2
+        yield from pack_block(table.slice(0, half), shards)
+        yield from pack_block(table.slice(half), shards)
+        return
+    block = uuid.uuid4().int >> 65
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip([block, -1, None, None, sink.getvalue().to_pybytes()], PACKED)], schema=PACKED)
+    del sink
+    points, counts = block_grams(column, [x == 1 for x in table.column("role").to_pylist()])
+    to = shard_of(points, shards)
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(shards + 1))
+    rows = []
+    for s in np.nonzero(np.diff(cuts))[0].tolist():
+        at = order[cuts[s] : cuts[s + 1]]
+        rows.append((block, s, as_text(points[at]), counts[at].astype("<i4").tobytes(), None))
+    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), PACKED)], schema=PACKED)
+
+
 def pack(docs: DataFrame, shards: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Blocks of ``docs(doc_id, lang, text, role)``: for each block a row with ``shard`` -1 and its documents in ``body``,
     and a row for each shard with the n-grams it sends there, one after the other, and their counts.
 
     ``role`` is 1 for training, 2 for trusted but held out, else 0.
     """
-    schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("grams", pa.string()), ("counts", pa.binary()), ("body", pa.binary())])
-
-    def emit(table):
-        import uuid
-
-        texts, roles = table.column("text").to_pylist(), table.column("role").to_pylist()
-        if len(texts) > 1 and len(alphabet(texts)) >= ALPHABET:
-            half = len(texts) // 2
-            yield from emit(table.slice(0, half))
-            yield from emit(table.slice(half))
-            return
-        block = uuid.uuid4().int >> 65
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(table)
-        yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip([block, -1, None, None, sink.getvalue().to_pybytes()], schema)], schema=schema)
-        points, counts = block_grams(texts, [x == 1 for x in roles])
-        to = shard_of(points, shards)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(shards + 1))
-        rows = []
-        for s in np.nonzero(np.diff(cuts))[0].tolist():
-            at = order[cuts[s] : cuts[s + 1]]
-            rows.append((block, s, as_text(points[at]), counts[at].astype("<i4").tobytes(), None))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches):
         held, n = [], 0
@@ -165,10 +186,13 @@ def pack(docs: DataFrame, shards: int, block_chars: int = BLOCK_CHARS) -> DataFr
             held.append(b)
             n += b.column(2).nbytes
             if n >= block_chars:
-                yield from emit(pa.Table.from_batches(held).combine_chunks())
-                held, n = [], 0
+                table, held, n = pa.Table.from_batches(held), [], 0
+                yield from pack_block(table, shards)
+                table = None
+                common.release_memory()
         if sum(len(b) for b in held):
-            yield from emit(pa.Table.from_batches(held).combine_chunks())
+            yield from pack_block(pa.Table.from_batches(held), shards)
+        held = []
         common.release_memory()
 
     return docs.select("doc_id", "lang", "text", "role").mapInArrow(run, "block long, shard int, grams string, counts binary, body binary")
@@ -264,15 +288,15 @@ def replies(messages: DataFrame, model: DataFrame, shards: int) -> DataFrame:
     return got.applyInArrow(answer, "block long, grams string, nll binary")
 
 
-def text_scores(texts: list, grams: str, nll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def text_scores(column, grams: str, nll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each text of a block its number of n-grams and the sum of their negative log-probabilities."""
-    letters = alphabet(texts)
+    letters = alphabet(strings(column))
     rank, r = ranks(letters), len(letters)
     own = codes(np.frombuffer(grams.encode("utf-32-le"), "<u4"), rank, r)[::ORDER]
     order = np.argsort(own)
     own, nll = own[order], nll[order].astype(np.float64)
-    n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-    for owners, x, ends in chunks(texts):
+    n, total = np.zeros(len(column), np.int64), np.zeros(len(column))
+    for owners, x, ends in chunks(strings(column)):
         ok = _inside(ends)
         c = codes(x, rank, r)
         c[~ok] = own[0]
@@ -299,7 +323,7 @@ def score(blocks: DataFrame, answers: str) -> DataFrame:
                 got = pa.parquet.ParquetDataset(f"{root}/block={block}", filesystem=fs, partitioning=None).read(["grams", "nll"])
                 grams = "".join(got.column("grams").to_pylist())
                 values = np.frombuffer(b"".join(got.column("nll").to_pylist()), "<f4")
-                n, total = text_scores(table.column("text").to_pylist(), grams, values)
+                n, total = text_scores(table.column("text"), grams, values)
                 for x in pa.table({"doc_id": table.column("doc_id"), "lang": table.column("lang"), "role": table.column("role"), "n_grams": pa.array(n), "nll": pa.array(total / n)}).to_batches(max_chunksize=50_000):
                     yield x
         common.release_memory()
