@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +14,16 @@ from . import metrics
 
 
 def standardize(train: DataFrame, test: DataFrame, features: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides by the training side's means and population deviations; constant columns are divided by 1."""
-    n = len(train.select(features).first()[0])
-    stats = train.select(*[s for i in range(n) for s in (F.avg(F.get(features, F.lit(i))).alias(f"m{i}"), F.stddev_pop(F.get(features, F.lit(i))).alias(f"s{i}"))]).first()
-    mean = F.array(*[F.lit(float(stats[f"m{i}"])) for i in range(n)])
-    dev = F.array(*[F.lit(float(stats[f"s{i}"]) or 1.0) for i in range(n)])
-    z = F.zip_with(F.zip_with(features, mean, lambda x, m: x - m), dev, lambda x, s: x / s)
-    return tuple(df.withColumn("features", array_to_vector(z)) for df in (train, test))
+    """Both sides by the training side's means and population deviations; constant columns are divided by 1.
+
+    One pass over vectors however many columns there are; the statistics come back as one broadcast row.
+    """
+    held = train.select(array_to_vector(features).alias("v")).select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s"))
+    stats = held.select(vector_to_array("s.mean").alias("_mean"), vector_to_array("s.variance").alias("_var"), F.col("s.count").alias("_n"))
+    dev = F.transform("_var", lambda x: F.sqrt(F.greatest(x * (F.col("_n") - 1) / F.col("_n"), F.lit(0.0))))
+    stats = stats.select("_mean", F.transform(dev, lambda x: F.when(x > 0, x).otherwise(1.0)).alias("_dev"))
+    z = F.zip_with(F.zip_with(features, "_mean", lambda x, m: x - m), "_dev", lambda x, s: x / s)
+    return tuple(df.crossJoin(F.broadcast(stats)).withColumn("features", array_to_vector(z)).drop("_mean", "_dev") for df in (train, test))
 
 
 def fit_logistic(train: DataFrame, y: str, c: float = 1.0, l1_ratio: float = 0.0):
@@ -63,24 +67,50 @@ def principal_components(df: DataFrame, features: str, k: int) -> tuple[DataFram
 
 
 def average_linkage(dist: np.ndarray) -> np.ndarray:
-    """(n - 1) x 4 merges (left, right, height, size) by average linkage, for some thousand rows on one machine."""
+    """(n - 1) x 4 merges (left, right, height, size) by average linkage, lowest first, for some thousand rows on one machine.
+
+    Chains of nearest neighbours: each step looks at one row, so that all of it takes about n squared steps.
+    """
     n = len(dist)
     d = dist.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    ids, size, live = list(range(n)), np.ones(n), np.ones(n, bool)
-    out = []
-    for step in range(n - 1):
-        flat = np.where(live[:, None] & live[None, :], d, np.inf)
-        i, j = np.unravel_index(int(flat.argmin()), flat.shape)
+    size, live = np.ones(n), np.ones(n, bool)
+    found, chain = [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(live.argmax()))
+        while True:
+            i = chain[-1]
+            j = int(d[i].argmin())
+            if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        del chain[-2:]
         i, j = min(i, j), max(i, j)
-        a, b = sorted((ids[i], ids[j]))
-        out.append((a, b, d[i, j], size[i] + size[j]))
+        found.append((d[i, j], i, j))
         row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        row[~live] = np.inf
         d[i], d[:, i] = row, row
         d[i, i] = np.inf
+        d[j], d[:, j] = np.inf, np.inf
         live[j] = False
         size[i] += size[j]
-        ids[i] = n + step
+    out, top, count = [], list(range(n)), np.ones(2 * n - 1)
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for step, (height, i, j) in enumerate(sorted(found, key=lambda x: x[0])):
+        i, j = root(i), root(j)
+        a, b = sorted((top[i], top[j]))
+        count[n + step] = count[a] + count[b]
+        out.append((a, b, height, count[n + step]))
+        parent[j], top[i] = i, n + step
     return np.array(out)
 
 
@@ -98,9 +128,14 @@ def leaf_order(merges: np.ndarray) -> list[int]:
 
 
 def tsne(x: np.ndarray, perplexity: float = 30.0, rounds: int = 300, seed: int = 0) -> np.ndarray:
-    """Exact two-dimensional t-SNE by gradient descent, for a subsample of some hundred rows."""
+    """Exact two-dimensional t-SNE by gradient descent, for some thousand rows: a few n x n arrays."""
     n = len(x)
-    d = np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0)
+
+    def square(z):
+        own = (z * z).sum(axis=1)
+        return np.maximum(own[:, None] + own[None] - 2 * (z @ z.T), 0)
+
+    d = square(x)
     p = np.zeros((n, n))
     for i in range(n):
         lo, hi, beta = 0.0, np.inf, 1.0
@@ -117,7 +152,7 @@ def tsne(x: np.ndarray, perplexity: float = 30.0, rounds: int = 300, seed: int =
     rng = np.random.default_rng(seed)
     y, v = rng.normal(0, 1e-4, (n, 2)), np.zeros((n, 2))
     for t in range(rounds):
-        q = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(axis=2))
+        q = 1 / (1 + square(y))
         np.fill_diagonal(q, 0)
         w = ((p * (12 if t < 100 else 1)) - q / q.sum()) * q
         g = 4 * (w.sum(axis=1)[:, None] * y - w @ y)

@@ -137,7 +137,7 @@ def logreg_probe(spark, d):
 @query()
 def elastic_net(spark, d):
     """As above, with C and l1 ratio chosen by average precision in inner folds."""
-    e = load(spark, d, "embeddings").where("vec_id < 240").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"), (F.col("label") < 3).cast("int").alias("y"), (F.col("vec_id") % 2).alias("fold"), (F.col("vec_id") % 3).alias("inner"))
+    e = load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), (F.col("label") < 3).cast("int").alias("y"), (F.col("vec_id") % 2).alias("fold"), (F.col("vec_id") % 3).alias("inner"))
     got = models.cross_validate(e, "v", "y", "fold", ((1.0, 0.0), (0.01, 0.5)), "inner")
     return metrics.average_precision(got, ["fold"])
 
@@ -149,20 +149,33 @@ def pca_var(spark, d):
     return spark.createDataFrame([(i, float(s)) for i, s in enumerate(shares)], "component int, share double")
 
 
+#: Rows that operators with a table of all pairs on one machine take; more is an error, no cut.
+MOST_ROWS = 20_000
+
+
+def vectors(spark, d):
+    """All ids and vectors on the driver, for report-sized tables of a checked number of rows."""
+    import numpy as np
+
+    e = load(spark, d, "embeddings").select("vec_id", "embedding")
+    if (n := e.count()) > MOST_ROWS:
+        raise ValueError(f"{n} rows: draw a sample of at most {MOST_ROWS} first")
+    rows = e.orderBy("vec_id").collect()
+    return [r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(len(rows), -1)
+
+
 @query()
 def linkage(spark, d):
-    """Leaf order by average linkage on 1 - r, of the first 40 vectors (a report-sized operator)."""
+    """Leaf order of all vectors by average linkage on 1 - r."""
     import numpy as np
 
-    rows = load(spark, d, "embeddings").where("vec_id < 40").orderBy("vec_id").select("vec_id", "embedding").collect()
-    merges = models.average_linkage(1 - np.corrcoef(np.array([r[1] for r in rows], float)))
-    return spark.createDataFrame([(rows[x][0], i) for i, x in enumerate(models.leaf_order(merges))], "vec_id long, leaf int")
+    ids, x = vectors(spark, d)
+    merges = models.average_linkage(1 - np.corrcoef(x))
+    return spark.createDataFrame([(ids[k], i) for i, k in enumerate(models.leaf_order(merges))], "vec_id long, leaf int")
 
 
 @query()
 def tsne_map(spark, d):
-    import numpy as np
-
-    rows = load(spark, d, "embeddings").where("vec_id < 60").orderBy("vec_id").select("vec_id", "embedding").collect()
-    y = models.tsne(np.array([r[1] for r in rows], float), 10.0, 100)
-    return spark.createDataFrame([(r[0], float(a), float(b)) for r, (a, b) in zip(rows, y)], "vec_id long, x double, y double")
+    ids, x = vectors(spark, d)
+    y = models.tsne(x, 30.0, 100)
+    return spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in zip(ids, y)], "vec_id long, x double, y double")

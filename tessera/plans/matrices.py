@@ -68,9 +68,10 @@ def topk_variance(spark, d):
     return matrix.most_variable(cells(spark, d, None), 10).withColumn("variance", F.round("variance", 9))
 
 
-@query(FULL + ", s AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM c WHERE sample % 5 <> 0 GROUP BY 1) SELECT CAST(sample AS BIGINT) AS sample, round(sum((value - m) / CASE WHEN s = 0 THEN 1 ELSE s END), 6) AS z_sum, round(max((value - m) / CASE WHEN s = 0 THEN 1 ELSE s END), 6) AS z_max FROM c JOIN s USING (feature) WHERE sample % 5 <> 0 GROUP BY 1")
+@query(FULL + ", s AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM c WHERE sample % 5 <> 0 GROUP BY 1) SELECT CAST(sample AS BIGINT) AS sample, round(sum((value - m) / CASE WHEN s = 0 THEN 1 ELSE s END), 6) AS z_sum, round(max((value - m) / CASE WHEN s = 0 THEN 1 ELSE s END), 6) AS z_max FROM c JOIN s USING (feature) GROUP BY 1")
 def zscore(spark, d):
-    z = matrix.zscore(cells(spark, d, None).where("sample % 5 <> 0"))
+    """All samples by the statistics of the training fold."""
+    z = matrix.zscore(cells(spark, d, None), train=F.expr("sample % 5 <> 0"))
     return z.groupBy("sample").agg(F.round(F.sum("z"), 6).alias("z_sum"), F.round(F.max("z"), 6).alias("z_max"))
 
 
@@ -102,17 +103,17 @@ def coef_scatter(spark, d):
     return spark.range(64).select(F.col("id").cast("int").alias("feature")).join(F.broadcast(k), "feature", "left").na.fill(0.0, ["coef"])
 
 
-PAIRS = FULL + " SELECT a.sample AS i, b.sample AS j, corr(a.value, b.value) AS r FROM c a JOIN c b USING (feature) WHERE a.sample < b.sample AND a.sample < 40 AND b.sample < 40 GROUP BY ALL"
+PAIRS = FULL + " SELECT a.sample AS i, b.sample AS j, corr(a.value, b.value) AS r FROM c a JOIN c b USING (feature) WHERE a.sample < b.sample GROUP BY ALL"
 
 
 @query("SELECT i, j, round(r, 8) AS r FROM (" + PAIRS + ")")
 def corr_matrix(spark, d):
-    return matrix.correlations(cells(spark, d, None).where("sample < 40")).withColumn("r", F.round("r", 8))
+    return matrix.correlations(cells(spark, d, None)).withColumn("r", F.round("r", 8))
 
 
 @query("SELECT i, j, round(1 - r, 8) AS dist FROM (" + PAIRS + ")")
 def condensed_dist(spark, d):
-    return matrix.correlations(cells(spark, d, None).where("sample < 40")).select("i", "j", F.round(1 - F.col("r"), 8).alias("dist"))
+    return matrix.correlations(cells(spark, d, None)).select("i", "j", F.round(1 - F.col("r"), 8).alias("dist"))
 
 
 @query("SELECT vec_id, round(list_avg([CAST(x AS DOUBLE) FOR x IN embedding]), 8) AS pooled, CAST(len(embedding) AS INT) AS dim FROM embeddings")

@@ -161,19 +161,29 @@ def sqa_accuracy(spark, d):
     return letters(spark, d).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ok) * 100, 6).alias("accuracy"), F.round(F.avg(F.when(F.col("turn") == 0, ok)) * 100, 6).alias("image_accuracy"))
 
 
-@query("SELECT * FROM (VALUES (1, 'B'), (2, 'A'), (3, 'C'), (4, 'B'), (5, 'A')) t(id, letter)")
+CHOICES = (("A", "red rock"), ("B", "blue sea"), ("C", "Green tree"))
+NAMED = "WITH x AS (SELECT conv_id, turn, text || CASE conv_id % 3 WHEN 0 THEN ' So (' || ['A','B','C'][CAST(1 + turn % 3 AS INT)] || ') it is!' WHEN 1 THEN ' maybe ' || ['A','B','C'][CAST(1 + turn % 3 AS INT)] || ' !' ELSE ' it must be some kind of big green tree here' END AS t FROM conversations)"
+LAST = "x"
+for _c in (",", ".", "!", "?", ";", ":", "''"):  # the marks go one after the other
+    NAMED += f", x{ord(_c[0])} AS (SELECT conv_id, turn, regexp_replace(t, '^[{_c}]+|[{_c}]+$', '', 'g') AS t FROM {LAST})"
+    LAST = f"x{ord(_c[0])}"
+
+
+@query(NAMED + f", f AS (SELECT conv_id, turn, i, l, p, CASE p WHEN 3 THEN lower(' ' || t || ' ') ELSE ' ' || t || ' ' END AS h, CASE p WHEN 1 THEN '(' || l || ')' WHEN 2 THEN ' ' || l || ' ' ELSE lower(a) END AS form FROM {LAST}, (VALUES (1, 'A', 'red rock'), (2, 'B', 'blue sea'), (3, 'C', 'Green tree')) o(i, l, a), range(1, 4) q(p)), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY p, strpos(reverse(h), reverse(form)) + length(form), i) AS rn FROM f WHERE contains(h, form)) SELECT conv_id, turn, l AS letter FROM b WHERE rn = 1")
 def multi_choice(spark, d):
-    """Letters named last in free responses: in brackets, alone, or by an answer's text."""
-    rows = [(1, "The answer is (A) or rather (B)."), (2, "I think A"), (3, "it must be some kind of big green tree here"), (4, "A maybe, no B !"), (5, "(A)")]
-    o = F.array(*[F.struct(F.lit(k).alias("letter"), F.lit(v).alias("answer")) for k, v in (("A", "red rock"), ("B", "blue sea"), ("C", "Green tree"))])
-    return spark.createDataFrame(rows, "id int, t string").select("id", answers.multi_choice(F.col("t"), o).alias("letter"))
+    """Letters named last in free responses: in brackets, alone, or by an answer's text; a response to every turn of all conversations."""
+    letter = F.get(F.array(*[F.lit(k) for k, _ in CHOICES]), (F.col("turn") % 3).cast("int"))
+    m = F.col("conv_id") % 3
+    end = F.when(m == 0, F.concat(F.lit(" So ("), letter, F.lit(") it is!"))).when(m == 1, F.concat(F.lit(" maybe "), letter, F.lit(" !"))).otherwise(" it must be some kind of big green tree here")
+    o = F.array(*[F.struct(F.lit(k).alias("letter"), F.lit(v).alias("answer")) for k, v in CHOICES])
+    return load(spark, d, "conversations").select("conv_id", "turn", F.concat("text", end).alias("t")).select("conv_id", "turn", answers.multi_choice(F.col("t"), o).alias("letter"))
 
 
-@query("WITH x AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'OCR tokens: a b\nQuestion: ' || substr(text, 1, 20) || ' Short answer:' WHEN item_id % 3 = 1 THEN replace(substr(text, 1, 20), E'\n', ' ') || '\nReference OCR token: x\nAnswer' ELSE replace(substr(text, 1, 20), E'\n', ' ') || '\nAnswer briefly' END AS p FROM benchmark) SELECT item_id, lower(CASE WHEN p LIKE 'OCR tokens: %' THEN regexp_extract(p, '(?s)Question: (.*?) Short answer:', 1) ELSE split_part(p, E'\n', 1) END) AS question FROM x".replace("\n", "\\n").replace("'OCR tokens: a b\\n", "E'OCR tokens: a b\\n").replace("'\\nReference", "E'\\nReference").replace("'\\nAnswer briefly", "E'\\nAnswer briefly"))
+@query("WITH x AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'OCR tokens: a b\nQuestion: ' || text || ' Short answer:' WHEN item_id % 3 = 1 THEN replace(text, E'\n', ' ') || '\nReference OCR token: x\nAnswer' ELSE replace(text, E'\n', ' ') || '\nAnswer briefly' END AS p FROM benchmark) SELECT item_id, lower(CASE WHEN p LIKE 'OCR tokens: %' THEN regexp_extract(p, '(?s)Question: (.*?) Short answer:', 1) ELSE split_part(p, E'\n', 1) END) AS question FROM x".replace("\n", "\\n").replace("'OCR tokens: a b\\n", "E'OCR tokens: a b\\n").replace("'\\nReference", "E'\\nReference").replace("'\\nAnswer briefly", "E'\\nAnswer briefly"))
 def prompt_question(spark, d):
     """The question in each of three prompt layouts."""
-    flat = F.replace(F.substring("text", 1, 20), F.lit("\n"), F.lit(" "))
-    p = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("OCR tokens: a b\nQuestion: "), F.substring("text", 1, 20), F.lit(" Short answer:"))).when(F.col("item_id") % 3 == 1, F.concat(flat, F.lit("\nReference OCR token: x\nAnswer"))).otherwise(F.concat(flat, F.lit("\nAnswer briefly")))
+    flat = F.replace("text", F.lit("\n"), F.lit(" "))
+    p = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("OCR tokens: a b\nQuestion: "), F.col("text"), F.lit(" Short answer:"))).when(F.col("item_id") % 3 == 1, F.concat(flat, F.lit("\nReference OCR token: x\nAnswer"))).otherwise(F.concat(flat, F.lit("\nAnswer briefly")))
     lines = F.split("p", "\n")
     at = F.when(F.startswith("p", F.lit("Reference OCR token:")), F.get(lines, F.lit(1))).otherwise(F.get(lines, F.lit(0)))
     q = F.when(F.startswith("p", F.lit("OCR tokens: ")), F.regexp_extract("p", "(?s)Question: (.*?) Short answer:", 1)).when(F.contains("p", F.lit("Reference OCR token: ")) & (F.size(lines) == 3), at).when(F.size(lines) == 2, F.get(lines, F.lit(0))).otherwise(F.raise_error("unknown prompt layout"))
@@ -199,13 +209,13 @@ def category_answers(spark, d):
     return c.join(q, "conv_id", "left_semi").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == "user").alias("n_user"))
 
 
-ANSWERS = "WITH a AS (SELECT b.item_id, [substr(b.text, 1, CAST(3 + (b.item_id + i) % 3 AS INT)) FOR i IN range(10)] AS answers, substr(text, 1, 4) AS pred FROM benchmark b), m AS (SELECT *, CAST(len(list_filter(answers, lambda x: x = pred)) AS DOUBLE) AS m FROM a)"
+ANSWERS = "WITH a AS (SELECT b.item_id, [substr(b.text, CAST(1 + (b.item_id + i) % 3 AS INT)) FOR i IN range(10)] AS answers, substr(text, 2) AS pred FROM benchmark b), m AS (SELECT *, CAST(len(list_filter(answers, lambda x: x = pred)) AS DOUBLE) AS m FROM a)"
 
 
 def ten_answers(spark, d):
     b = load(spark, d, "benchmark")
-    ten = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.expr("text").substr(F.lit(1), (3 + (F.col("item_id") + i) % 3).cast("int")))
-    return b.select("item_id", ten.alias("answers"), F.substring("text", 1, 4).alias("pred"))
+    ten = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.expr("text").substr((1 + (F.col("item_id") + i) % 3).cast("int"), F.length("text")))
+    return b.select("item_id", ten.alias("answers"), F.expr("substr(text, 2)").alias("pred"))
 
 
 @query(ANSWERS + " SELECT item_id, round((m * least(1.0::DOUBLE, (m - 1) / 3) + (10 - m) * least(1.0::DOUBLE, m / 3)) / 10, 9) AS acc FROM m")
@@ -218,14 +228,14 @@ def exact_match(spark, d):
     return ten_answers(spark, d).select("item_id", scoring.exact_match(F.col("pred"), F.col("answers")).alias("hit"))
 
 
-ASCII = "regexp_replace(substr({0}, 1, 30), '[^ -~]', '', 'g')"
+ASCII = "regexp_replace({0}, '[^ -~]', '', 'g')"
 
 
-@query(f"WITH x AS (SELECT a.item_id, trim(lower({ASCII.format('a.text')})) AS p, [trim(lower({ASCII.format('b.text')})), trim(lower({ASCII.format('a.text')}))[2:]] AS g FROM benchmark a JOIN benchmark b ON b.item_id = (a.item_id + 1) % 40) SELECT item_id, round(list_max([CASE WHEN 1 - CAST(levenshtein(p, v) AS DOUBLE) / greatest(length(p), length(v)) < 0.5 THEN 0.0::DOUBLE ELSE 1 - CAST(levenshtein(p, v) AS DOUBLE) / greatest(length(p), length(v)) END FOR v IN g]), 9) AS anls FROM x")
+@query(f"WITH x AS (SELECT a.item_id, trim(lower({ASCII.format('a.text')})) AS p, [trim(lower({ASCII.format('b.text')})), trim(lower({ASCII.format('a.text')}))[2:]] AS g FROM (SELECT *, (item_id + 1) % (SELECT count(*) FROM benchmark) AS nxt FROM benchmark) a JOIN benchmark b ON b.item_id = a.nxt) SELECT item_id, round(list_max([CASE WHEN 1 - CAST(levenshtein(p, v) AS DOUBLE) / greatest(length(p), length(v)) < 0.5 THEN 0.0::DOUBLE ELSE 1 - CAST(levenshtein(p, v) AS DOUBLE) / greatest(length(p), length(v)) END FOR v IN g]), 9) AS anls FROM x")
 def anls(spark, d):
-    b = load(spark, d, "benchmark").select("item_id", F.regexp_replace(F.substring("text", 1, 30), "[^ -~]", "").alias("t"))
+    b = load(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("t"))
     nxt = b.select(F.col("item_id").alias("j"), F.col("t").alias("u"))
-    x = b.join(nxt, (F.col("item_id") + 1) % 40 == F.col("j"))
+    x = b.join(nxt, (F.col("item_id") + 1) % b.count() == F.col("j"))
     own = F.lower(F.trim("t"))
     return x.select("item_id", F.round(scoring.anls(F.col("t"), F.array("u", own.substr(F.lit(2), F.length(own)))), 9).alias("anls"))
 
@@ -249,12 +259,13 @@ def bleu4(spark, d):
     return scoring.bleu(load(spark, d, "benchmark").select("item_id", p.alias("p0"), F.col("text").alias("r0")).withColumnsRenamed({"p0": "pred", "r0": "ref"}), "pred", "ref", "item_id")
 
 
-@query("WITH a AS (SELECT item_id, lower(text) AS q FROM benchmark), r AS (SELECT item_id, text AS q FROM benchmark WHERE item_id % 2 = 0) SELECT r.item_id, CAST(length(a.q) AS INT) AS n FROM r JOIN a ON a.item_id = r.item_id AND a.q = lower(r.q)")
+@query("SELECT item_id, item_id % 2 AS result, CAST(length(text) AS INT) AS n FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id, text FROM benchmark WHERE item_id % 2 = 0)")
 def annotated_results(spark, d):
-    """Results joined with annotations on id and lower-cased question."""
-    a = load(spark, d, "benchmark").select("item_id", F.lower("text").alias("q"))
-    r = load(spark, d, "benchmark").where("item_id % 2 = 0").select("item_id", F.lower("text").alias("q"))
-    return r.join(a, ["item_id", "q"]).select("item_id", F.length("q").alias("n"))
+    """Results joined with annotations on id and lower-cased question; some ids have two results."""
+    b = load(spark, d, "benchmark")
+    notes = b.select("item_id", F.upper("text").alias("question"), (F.col("item_id") % 2).alias("result"))
+    results = b.unionByName(b.where("item_id % 2 = 0")).select("item_id", F.col("text").alias("question"))
+    return scoring.annotated(results, notes, "item_id", "question").select("item_id", "result", F.length("question").alias("n"))
 
 
 @query("WITH s AS (SELECT doc_id FROM documents WHERE doc_id % 4 = 0), p AS (SELECT doc_id, CAST(quality AS VARCHAR) AS t FROM labels) SELECT s.doc_id, coalesce(t, 'FAILED') AS pred FROM s LEFT JOIN p USING (doc_id)")

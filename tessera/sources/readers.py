@@ -42,8 +42,9 @@ def json_array(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, one row with the number of lines that aren't JSON of the schema)."""
-    got = spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path).cache()
-    return got.where("_corrupt_record is null").drop("_corrupt_record"), got.agg(F.count("_corrupt_record").alias("n_bad"))
+    form = F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    got = spark.read.text(path).where("trim(value) <> ''").select(form.alias("r"))
+    return got.where("r._corrupt_record is null").select("r.*").drop("_corrupt_record"), got.agg(F.count("r._corrupt_record").alias("n_bad"))
 
 
 def keyed_json(df: DataFrame, col: str, value: str) -> DataFrame:

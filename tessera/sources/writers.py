@@ -1,4 +1,4 @@
-"""Sinks: CSV, JSON lines, JSON arrays and objects, Markdown tables, manifests."""
+"""Sinks: CSV, JSON lines, JSON arrays and objects, .npy files, Markdown tables, manifests."""
 
 from __future__ import annotations
 
@@ -16,6 +16,36 @@ def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
+def npy(df: DataFrame, column: str, path: str) -> int:
+    """The vectors of ``column`` as .npy matrices in the folder ``path``, one per batch of a task; the number of rows.
+
+    A file is named by its partition and batch, so that a repeated task writes the same files again.
+    """
+
+    def run(batches):
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        target, root = fs.FileSystem.from_uri(path)
+        target.create_dir(root, recursive=True)
+        for k, b in enumerate(batches):
+            rows = b.column(0).to_pylist()
+            if not rows:
+                continue
+            held = io.BytesIO()
+            np.save(held, np.array(rows, np.float64))
+            with target.open_output_stream(f"{root}/part-{TaskContext.get().partitionId():06d}-{k:06d}.npy") as f:
+                f.write(held.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
+
+    rows = df.select(F.col(column).cast("array<double>").alias("v")).where("v is not null").mapInArrow(run, "n long")
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """One column ``json``: an object per row, nulls left out."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))

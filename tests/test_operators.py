@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import batching, folds, groups, matrix, metrics, models, sampling, scoring
 from tessera.plans import steps
-from tessera.sources import writers
+from tessera.sources import readers, writers
 
 
 @pytest.fixture(scope="module")
@@ -153,6 +153,64 @@ def test_models(spark):
     assert m[:, 2].tolist() == pytest.approx([1, 2, 5.5]) and m[-1, 3] == 4 and sorted(models.leaf_order(m)) == [0, 1, 2, 3]
 
 
+def test_linkage_and_map_at_published_sizes():
+    import time
+
+    rng = np.random.default_rng(3)
+    d = rng.random((60, 60))
+    d = d + d.T
+    plain, size, heights = d.copy(), {i: 1 for i in range(60)}, []
+    while len(size) > 1:
+        h, i, j = min((plain[i, j], i, j) for i in size for j in size if i < j)
+        heights.append(h)
+        plain[i] = (size[i] * plain[i] + size[j] * plain[j]) / (size[i] + size[j])
+        plain[:, i] = plain[i]
+        size[i] += size.pop(j)
+    m = models.average_linkage(d)
+    assert m[:, 2].tolist() == pytest.approx(heights) and m[-1, 3] == 60
+    began = time.time()
+    models.average_linkage(1 - np.corrcoef(rng.normal(0, 1, (2000, 50))))
+    assert time.time() - began < 10
+    x = np.repeat(np.eye(3) * 20, 40, axis=0) + rng.normal(0, 1, (120, 3))
+    y = models.tsne(x, 10.0, 150)
+    centre = y.reshape(3, 40, 2).mean(axis=1)
+    near = ((y[:, None] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert (near == np.repeat(range(3), 40)).mean() > 0.9
+
+
+def test_correlations_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(0, 1, (11, 6))
+    v[4] = 1.0
+    cells = spark.createDataFrame([(3 * i, j, float(v[i, j])) for i in range(11) for j in range(6)], "sample long, feature int, value double")
+    got = {(r.i, r.j): r.r for r in matrix.correlations(cells, block=4).collect()}
+    assert len(got) == 55
+    for (i, j), r in got.items():
+        assert r is None if 12 in (i, j) else r == pytest.approx(np.corrcoef(v[i // 3], v[j // 3])[0, 1])
+    assert matrix.correlations(cells.limit(0)).count() == 0
+
+
+def test_align_fills_gaps(spark):
+    values = spark.createDataFrame([("s", "c", 3.0), ("s", "a", 1.0), ("t", "x", 9.0), ("u", "e", 5.0)], "sample string, feature string, value double")
+    vocabulary = spark.createDataFrame([(k, i * 2) for i, k in enumerate("abcde")], "feature string, pos int")
+    got = {r.sample: (r.vector, r.n_missing) for r in matrix.align(values, vocabulary, "sample", "feature").collect()}
+    assert got == {"s": ([1.0, -10.0, 3.0, -10.0, -10.0], 3), "t": ([-10.0] * 5, 5), "u": ([-10.0] * 4 + [5.0], 4)}
+
+
+def test_results_need_annotations(spark):
+    notes = spark.createDataFrame([(1, "What?", "x"), (1, "what?", "y")], "id int, q string, note string")
+    good = spark.createDataFrame([(1, "WHAT?")], "id int, q string")
+    assert [r.note for r in scoring.annotated(good, notes, "id", "q").collect()] == ["y"]
+    with pytest.raises(Exception, match="no annotation of 2"):
+        scoring.annotated(good.unionByName(spark.createDataFrame([(2, "what?")], "id int, q string")), notes, "id", "q").collect()
+
+
+def test_vectors_as_array_files(spark, tmp_path):
+    x = spark.createDataFrame([(i, [float(i), 0.5]) for i in range(10)] + [(10, None)], "id int, v array<double>").repartition(3)
+    assert writers.npy(x, "v", f"file://{tmp_path}/a") == 10
+    assert sorted(r.vector[0] for r in readers.npy(spark, f"file://{tmp_path}/a").collect()) == [float(i) for i in range(10)]
+
+
 def test_steps():
     p = steps.Steps(stop_on_error=False)
     p.step("a")(lambda results: 1)
