@@ -33,6 +33,9 @@ MARKED = frozenset(
     "header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommended recommendations "
     "related reply respond replies share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Those of them that also stand in names of content (share-price, related-work): they count only among words of MARKED and PLAIN.
+WEAK = frozenset("banner disclaimer header notice notices overlay promo promotion related reply replies share sharing skip social subscription widget widgets".split())
+PLAIN = frozenset("area bar block bottom box btn button buttons col column container content div fixed group holder icon icons inner item items left link links list main module outer page panel post posts right row section site sticky text top wrap wrapper".split())
 #: Whole class or id names of wrappers that hold an article, whatever else they are called.
 CONTENT = frozenset("content article main post entry story body".split())
 MAIN = frozenset("article main".split())
@@ -58,11 +61,17 @@ def _boilerplate(tag: str, attrs: str, in_main: bool) -> bool:
             if not CONTENT.isdisjoint(names):
                 continue
             marked = MARKED - {"header"} if in_main else MARKED  # an article's own header holds its title
-            if any(x.lower() in marked for n in value.split() for x in _NAME.findall(n)):
+            if any(_marks([x.lower() for x in _NAME.findall(n)], marked) for n in value.split()):
                 return True
     return False
 
 
+def _marks(words: list[str], marked: frozenset) -> bool:
+    """Whether a name of these words marks boilerplate."""
+    found = [w for w in words if w in marked]
+    return any(w not in WEAK for w in found) or bool(found) and all(w in marked or w in PLAIN for w in words)
+
+
 def lines(page: str) -> list[tuple[str, int, int]]:
     """The page's lines as (text, characters outside links, number of the outermost article or main element, or 0)."""
     out: list[tuple[str, int, int]] = []
@@ -72,7 +81,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
 
     def flush():
         nonlocal plain
-        text = " ".join(_html.unescape("".join(parts)).split())
+        text = " ".join("".join(parts).split())
         if text:
             out.append((text, plain, main))
         parts.clear()
@@ -81,7 +90,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     def take(text: str):
         nonlocal plain
         if text and not skip_tag:
-            parts.append(text)
+            parts.append(_html.unescape(text))  # a reference ends with its run of text
             if not links:
                 plain += len(text.strip())
 
@@ -190,7 +199,12 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
 
 
 def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
-    """``page_id, url, text, n_chars`` per row. Null and empty pages have empty text; ids and urls pass through as they are."""
+    """``page_id, url, text, n_chars`` per row.
+
+    Null, empty and textless pages have empty text; very long pages are read whole; ids and urls pass through as they
+    are, repeated rows too. Other columns play no part, whatever their names. An empty table gives an empty result. Of
+    regions with equal text those inside article elements are kept.
+    """
 
     def run(batches):
         for b in batches:

@@ -626,6 +626,27 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+def test_names_and_references():
+    long = "text of the article " * 9
+    page = f"<article><p>{long}</p><div class='share-price'><p>{long}</p></div><div class='share-buttons'>Share</div><div class='related-posts widget'>x</div><p>a &amp<b>; b</b> &lt;i&gt;</p></article>"
+    assert html_text.main_text(page) == f"{long.strip()} {long.strip()} a &; b <i>"
+
+
+def test_surges_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        w = [rng.choice([0, 0, 0, 5, 40, 90, 300]) for _ in range(rng.randint(0, 25))]
+        total = lambda i: sum(w[i : i + 3])  # noqa: B023, E731
+        want, i = [], 0
+        while i < len(w):
+            if w[i] and total(i) >= 90:
+                j = next((k for k in range(i, len(w)) if total(k) == 0), len(w))
+                want.append((i, j))
+                i = j
+            i += 1
+        assert html_text.spans(w, 3, 90) == want
+
+
 def test_surges_choose_among_articles_and_the_rest():
     story = [f"line {i} of a long story " + "with many words " * 8 for i in range(6)]
     card = "card " + "teaser words " * 8
