@@ -30,7 +30,7 @@ def captures(pages: DataFrame, id_col="page_id", url_col="url", body_col="html")
 
 
 def _header(kind: str) -> F.Column:
-    uid = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "digest", F.coalesce("url", F.lit("")), F.col("row").cast("string")).cast("binary"))
+    uid = lambda page, row: F.md5(F.concat_ws("|", F.coalesce(F.col(page).cast("string"), F.lit("null")), "digest", F.col(row).cast("string")).cast("binary"))
     urn = lambda c: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(c, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     # A line break in a url would end the header line; it is percent-encoded.
@@ -38,7 +38,7 @@ def _header(kind: str) -> F.Column:
     parts = [
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.lit(kind)),
-        line("WARC-Record-ID", urn(uid)),
+        line("WARC-Record-ID", urn(uid("page_id", "row"))),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
@@ -47,6 +47,7 @@ def _header(kind: str) -> F.Column:
     if kind == "revisit":
         parts += [
             line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+            line("WARC-Refers-To", urn(uid("owner.page_id", "owner.row"))),
             line("X-Refers-To-Page-ID", F.coalesce(F.col("owner.page_id").cast("string"), F.lit(""))),
             line("Content-Length", F.lit("0")),
         ]
@@ -56,7 +57,8 @@ def _header(kind: str) -> F.Column:
 
 
 def write_archive(pages: DataFrame, folder: str, least: int = LEAST, **columns) -> None:
-    """Writes ``folder/headers`` and ``folder/payloads`` (Parquet).
+    """Writes ``folder/headers`` and ``folder/payloads`` (Parquet). A null or empty body is an empty payload; very long ones
+    are stored whole; other columns play no part, whatever their names; an empty table gives an empty archive.
 
     Every input row gives one record, repeated rows and null ids included: among equal payloads the
     smallest page id leads, nulls last, and one row of several with that id. Only digests, ids and
@@ -97,7 +99,8 @@ def records(spark, folder: str) -> DataFrame:
 def read_back(spark, folder: str) -> DataFrame:
     """Per record ``page_id, payload_bytes, payload_digest, record_type, refers_to, url``, from the archive's bytes.
 
-    Lengths and digests are taken anew from the stored payload bytes, the rest from the header blocks.
+    Lengths and digests are taken anew from the stored payload bytes, the rest from the header blocks. A payload that
+    is not of its digest, or a header whose Content-Length is not that of the record's block, is an error.
     The join carries these facts, not the bytes, so that a payload is not copied for each revisit.
     """
     stored = spark.read.parquet(f"{folder}/payloads")
@@ -109,9 +112,13 @@ def read_back(spark, folder: str) -> DataFrame:
         F.nullif(field("X-Page-ID"), F.lit("")).cast("long").alias("page_id"),
         field("WARC-Type").alias("record_type"),
         F.nullif(field("X-Refers-To-Page-ID"), F.lit("")).cast("long").alias("refers_to"),
+        field("Content-Length").cast("long").alias("block_bytes"),
         "url",
     )
-    return headers.join(facts, "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    block = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)
+    wrong = F.raise_error(F.concat(F.lit("archive: Content-Length does not fit the payload of "), F.col("digest"))).cast("long")
+    checked = F.when(F.col("block_bytes") == block, F.col("payload_bytes")).otherwise(wrong)
+    return headers.join(facts, "digest").select("page_id", checked.alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url")
 
 
 def export_files(spark, folder: str, out: str, files: int | None = None) -> DataFrame:

@@ -67,6 +67,19 @@ def test_archive_finds_damage(spark):
         warc_store.read_back(spark, folder).collect()
 
 
+def test_archive_checks_lengths_and_names_its_records(spark):
+    folder = common.new_path(spark, "archive")
+    warc_store.write_archive(spark.createDataFrame([(1, "u", "x" * 120), (2, "v", "x" * 120), (3, "w", "long " * 400_000)], "page_id long, url string, html string"), folder)
+    heads = {r.page_id: r.header.decode() for r in spark.read.parquet(f"{folder}/headers").collect()}
+    assert heads[1].split("WARC-Record-ID: ")[1].split("\r")[0] == heads[2].split("WARC-Refers-To: ")[1].split("\r")[0]
+    assert {r.page_id: r.payload_bytes for r in warc_store.read_back(spark, folder).collect()} == {1: 120, 2: 120, 3: 2_000_000}
+    bad = [(*r[:7], bytearray(r.header.replace(b"Content-Length: 120", b"Content-Length: 121"))) for r in spark.read.parquet(f"{folder}/headers").collect()]
+    schema = spark.read.parquet(f"{folder}/headers").schema
+    spark.createDataFrame(bad, schema).write.mode("overwrite").parquet(f"{folder}/headers")
+    with pytest.raises(Exception, match="Content-Length"):
+        warc_store.read_back(spark, folder).collect()
+
+
 def test_archive_of_nothing(spark):
     folder = common.new_path(spark, "archive")
     warc_store.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), folder)
