@@ -140,6 +140,7 @@ def search(table: DataFrame, is_query, k: int = 20, rerank: int = RERANK, id_col
     non-finite vectors take no part, nor do vectors of another length than most (ties: the longer) have.
     Rows of the query's own id are left out; other repeated ids are candidates each. Queries and blocks
     of rows meet in pairs of bounded size; a block gives its ``k`` best after exact ranking.
+    Other columns play no part, whatever their names; an empty table gives an empty result.
     """
     spark = table.sparkSession
     rows = usable(table, id_col, vec_col)

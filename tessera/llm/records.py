@@ -333,7 +333,9 @@ def read_records(manifest: DataFrame, files: int | None = None) -> DataFrame:
 def tokenize_and_read(docs: DataFrame, tokenizer: str | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Writes ``docs`` as record files in the shared folder and reads them back.
 
-    ``cache_words`` trades a task's memory (some 140 bytes a word) for time; it changes no result."""
+    A null text counts as empty; very long texts are encoded whole; rows that are alike get records of their own, in
+    any order among each other. Other columns play no part, whatever their names; an empty table gives an empty
+    result. ``cache_words`` trades a task's memory (some 140 bytes a word) for time; it changes no result."""
     folder = common.new_path(docs.sparkSession, "records")
     return read_records(write_records(docs, folder, tokenizer, cache_words=cache_words))
 
