@@ -6,12 +6,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import sampling
+from . import ordered, sampling
 
 
 def megabatches(df: DataFrame, id_col: str, length: str, size: int, seed: int) -> DataFrame:
     """``megabatch`` and ``place`` (from 0, longest first) of every row."""
-    got = sampling.with_row_numbers(df.withColumn("_h", sampling.order_of(id_col, seed)[0]), ["_h", id_col]).drop("_h", "n_rows")
+    got = ordered.with_row_numbers(df.withColumn("_h", sampling.order_of(id_col, seed)[0]), ["_h", id_col]).drop("_h", "n_rows")
     got = got.withColumn("megabatch", F.floor(F.col("row_number") / size).cast("long")).drop("row_number")
     w = Window.partitionBy("megabatch").orderBy(F.desc(length), id_col)
     return got.withColumn("place", F.row_number().over(w) - 1)
@@ -60,7 +60,7 @@ def modality_batches(df: DataFrame, id_col: str, length: str, batch: int, worker
         parts.append(own.crossJoin(F.broadcast(last)))  # one row
     both = parts[0].unionByName(parts[1])
     full = both.where("megabatch < last").withColumn("h", F.md5(F.concat("modality", F.lit(":"), F.col("megabatch").cast("string"), F.lit(f":{seed}")).cast("binary")))
-    order = sampling.with_row_numbers(full.select("modality", "megabatch", "h").distinct(), ["h", "modality", "megabatch"]).withColumn("n", F.col("row_number") + 1)
+    order = ordered.with_row_numbers(full.select("modality", "megabatch", "h").distinct(), ["h", "modality", "megabatch"]).withColumn("n", F.col("row_number") + 1)
     full = full.join(order.select("modality", "megabatch", "n"), ["modality", "megabatch"]).select("id", "length", "modality", F.col("n").cast("long").alias("megabatch"), "place")
     mixed = both.where("megabatch = last").withColumn("at", F.row_number().over(Window.orderBy(F.desc("modality"), "place")) - 1)  # two megabatches at most
     n_mixed = mixed.agg(F.count(F.lit(1)).alias("n_mixed"))

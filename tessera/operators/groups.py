@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import quantiles
+
 TOTAL = "TOTAL"
 
 
@@ -54,10 +56,12 @@ def mad_flags(df: DataFrame, size: str, detected: str, k: float = 3.0) -> DataFr
     The two medians come back as one row; a MAD of zero counts as 1e-9, so nothing is flagged for noise.
     """
     x = df.withColumn("_l", F.log10(F.greatest(F.col(size).cast("double"), F.lit(1.0)))).withColumn("_d", F.col(detected).cast("double"))
-    med = x.agg(F.median("_l").alias("ml"), F.median("_d").alias("md"))
-    dev = x.crossJoin(F.broadcast(med)).agg(F.median(F.abs(F.col("_l") - F.col("ml"))).alias("al"), F.median(F.abs(F.col("_d") - F.col("md"))).alias("ad"))
+    median = lambda rows, of, name: quantiles(rows, of, [0.5]).select(F.col("q")[0].alias(name))
+    med = median(x, F.col("_l"), "ml").crossJoin(median(x, F.col("_d"), "md"))  # one row each
+    off = x.crossJoin(F.broadcast(med))
+    dev = median(off, F.abs(F.col("_l") - F.col("ml")), "al").crossJoin(median(off, F.abs(F.col("_d") - F.col("md")), "ad"))
     width = lambda c: F.lit(k * 1.4826) * F.when(F.col(c) == 0, F.lit(1e-9)).otherwise(F.col(c))
-    out = x.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(dev))  # one row each
+    out = off.crossJoin(F.broadcast(dev))  # one row each
     out = out.withColumn("outlier_lo", F.col("_l") < F.col("ml") - width("al")).withColumn("outlier_hi", F.col("_l") > F.col("ml") + width("al")).withColumn("outlier_low_detection", F.col("_d") < F.col("md") - width("ad"))
     return out.select(*df.columns, "outlier_lo", "outlier_hi", "outlier_low_detection")
 

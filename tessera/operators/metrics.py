@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import quantiles, running_sums
+
 
 def confusion(df: DataFrame, keys: list[str], y: str = "y", score: str = "score", at: float = 0.5) -> DataFrame:
     """Counts, accuracy, sensitivity, specificity, precision and F1 per key; 0 where a ratio has no base."""
@@ -18,9 +20,7 @@ def confusion(df: DataFrame, keys: list[str], y: str = "y", score: str = "score"
 def score_steps(df: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
     """Per key and distinct score: positives and negatives at it, and at it or above (``tp``, ``fp``), with the key's totals."""
     steps = df.groupBy(*keys, score).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    down = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*keys)
-    return steps.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).withColumn("n_pos", F.sum("pos").over(every)).withColumn("n_neg", F.sum("neg").over(every))
+    return running_sums(steps, keys, [F.desc(score)], {"pos": ("tp", "n_pos"), "neg": ("fp", "n_neg")})
 
 
 def roc_auc(df: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
@@ -41,9 +41,10 @@ def average_precision(df: DataFrame, keys: list[str], y: str = "y", score: str =
 def pr_trapezoid(df: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
     """The trapezoid integral of the same curve, begun at recall 0 and precision 1: another number than the step integral."""
     s = score_steps(df, keys, y, score).where("n_pos > 0")
-    s = s.withColumn("r", F.col("tp").cast("double") / F.col("n_pos")).withColumn("p", F.col("tp").cast("double") / (F.col("tp") + F.col("fp")))
-    w = Window.partitionBy(*keys).orderBy(F.desc(score))
-    area = (F.col("r") - F.lag("r", 1, 0.0).over(w)) * (F.col("p") + F.lag("p", 1, 1.0).over(w)) / 2
+    tp, seen = F.col("tp").cast("double"), F.col("tp") + F.col("fp")
+    tp0, seen0 = tp - F.col("pos"), seen - F.col("pos") - F.col("neg")  # at the score before
+    r, r0, p, p0 = tp / F.col("n_pos"), tp0 / F.col("n_pos"), tp / seen, F.coalesce(F.try_divide(tp0, seen0), F.lit(1.0))
+    area = (r - r0) * (p + p0) / 2
     return s.withColumn("a", area).groupBy(*keys).agg(F.round(F.sum("a"), 9).alias("pr_auc"))
 
 
@@ -81,6 +82,6 @@ def calibration(df: DataFrame, bins: int, y: str = "y", score: str = "score") ->
 
 def quantile_bins(df: DataFrame, bins: int, y: str = "y", score: str = "score") -> DataFrame:
     """As ``calibration``, in bins between exact quantiles of the score; the edges are one row."""
-    edges = df.agg(F.percentile(score, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
+    edges = quantiles(df, F.col(score), [i / bins for i in range(1, bins)]).withColumnRenamed("q", "edges")
     x = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(score))))
     return x.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 9).alias("mean_score"), F.round(F.avg(F.col(y).cast("double")), 9).alias("positive_share"))

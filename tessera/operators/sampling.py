@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import with_row_numbers
+
 
 def order_of(id_col: str, seed: int) -> list[Column]:
     return [F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")).cast("binary")), F.col(id_col)]
@@ -54,13 +56,3 @@ def chunks(df: DataFrame, order: list, k: int) -> DataFrame:
     """
     return with_row_numbers(df, order).withColumn("chunk", F.floor(F.col("row_number") / F.ceil(F.col("n_rows") / F.lit(k))).cast("int"))
 
-
-def with_row_numbers(df: DataFrame, order: list) -> DataFrame:
-    """``row_number`` from 0 in the given order and ``n_rows``, by two passes over a range-partitioned sort."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is never coalesced
-    parts = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    local = parts.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n_rows", F.sum("_n").over(Window.partitionBy()))
-    out = local.join(F.broadcast(before.drop("_n")), "_part")  # one row per partition
-    return out.withColumn("row_number", F.col("_rn") + F.col("_before")).drop("_part", "_rn", "_before")

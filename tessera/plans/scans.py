@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import nets
 from tessera.sources import readers, writers
-from tessera.session import load
+from tessera.session import load, shared_path
 from tessera.streaming import ingest
 
 from .registry import DEMO_NETS, query, sql_first
 
 
-def scratch(spark, name: str) -> str:
-    """A fresh folder that driver and executors share: below spark.checkpoint.dir; on one machine without it a temporary one."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT count(*) AS n_rows, max(doc_id) + 1 AS n_ids FROM documents")
 def table_shape(spark, d):
     return load(spark, d, "documents").agg(F.count(F.lit(1)).alias("n_rows"), (F.max("doc_id") + 1).alias("n_ids"))
@@ -62,7 +48,7 @@ def byte_decode(spark, d):
 @query("SELECT p_partkey, p_name, CAST(p_size AS INT) AS p_size FROM part")
 def csv_dimension(spark, d):
     """A dimension written as CSV and read again with its schema, columns pruned."""
-    path = scratch(spark, "part") + ".csv"
+    path = shared_path(spark, "part") + ".csv"
     writers.csv(load(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), path)
     return readers.table(spark, path, "p_partkey long, p_name string, p_size int, p_retailprice double").select("p_partkey", "p_name", "p_size")
 
@@ -70,7 +56,7 @@ def csv_dimension(spark, d):
 @query("SELECT count(*) FILTER (event_id % 13 <> 0) AS n_good, count(*) FILTER (event_id % 13 = 0) AS n_bad, CAST(sum(CASE WHEN event_id % 13 <> 0 THEN user_id END) AS BIGINT) AS users FROM events")
 def json_lines_damage(spark, d):
     """JSON lines of which some are cut off: good rows and the number of bad lines."""
-    path = scratch(spark, "events")
+    path = shared_path(spark, "events")
     e = load(spark, d, "events").select("event_id", "user_id")
     line = F.to_json(F.struct("event_id", "user_id"))
     e.select(F.when(F.col("event_id") % 13 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(path)
@@ -90,7 +76,7 @@ def keyed_json(spark, d):
 @query("SELECT CAST(conv_id % 3 AS VARCHAR) AS part, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1")
 def shard_merge(spark, d):
     """Answer shards in directories of their own, merged by one scan; the shard number is read from the name."""
-    path = scratch(spark, "shards")
+    path = shared_path(spark, "shards")
     c = load(spark, d, "conversations").withColumn("shard", F.col("conv_id") % 3)
     c.write.partitionBy("shard").json(path)
     got = readers.shards(spark, path, "*.json", "conv_id long, turn long, role string, text string")
@@ -147,7 +133,7 @@ def answers_default(spark, d):
 @query("WITH p AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS i FROM benchmark), q AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents) SELECT CAST(p.i - 1 AS BIGINT) AS place, item_id, doc_id FROM p JOIN q USING (i)")
 def positional_zip(spark, d):
     """Two tables side by side by explicit ordinals; what one has more is left out."""
-    from tessera.operators.sampling import with_row_numbers
+    from tessera.operators.ordered import with_row_numbers
 
     a = with_row_numbers(load(spark, d, "benchmark").select("item_id"), ["item_id"]).select(F.col("row_number").alias("place"), "item_id")
     b = with_row_numbers(load(spark, d, "documents").select("doc_id"), ["doc_id"]).select(F.col("row_number").alias("place"), "doc_id")
@@ -186,8 +172,8 @@ def record_build(spark, d):
 @query("SELECT doc_id, " + sql_first("text", DEMO_NETS, nets.UNLABELED) + " AS category FROM documents")
 def stream_labels(spark, d):
     """Documents labelled as a stream over their directory, all that has landed."""
-    out, mark = scratch(spark, "labels"), scratch(spark, "mark")
-    src = scratch(spark, "landing")
+    out, mark = shared_path(spark, "labels"), shared_path(spark, "mark")
+    src = shared_path(spark, "landing")
     load(spark, d, "documents").write.parquet(src)
     s = ingest.landing(spark, src, spark.read.parquet(src).schema)
     ingest.run_available(ingest.label_stream(s, "text", DEMO_NETS).select("doc_id", "category"), out, mark)
@@ -197,7 +183,7 @@ def stream_labels(spark, d):
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, d):
     """Event-time windows per day and type: the events as a stream, its watermark so wide that old files count, too."""
-    out = scratch(spark, "windows")
+    out = shared_path(spark, "windows")
     # As a pattern the path may be a folder or a single file.
     stream = ingest.landing(spark, f"{d}/events.parque[t]", load(spark, d, "events").schema)
     kind = stream.schema["ts"].dataType.simpleString()
@@ -229,7 +215,7 @@ def last_wins(spark, d):
 @query("SELECT CAST(i - 1 AS INT) AS dim, count(*) AS n, round(sum(CAST(embedding[i] AS DOUBLE)), 6) AS total FROM embeddings, range(1, 65) r(i) GROUP BY 1")
 def npy_scan(spark, d):
     """All vectors written as array files and read again: rows and sum by dimension."""
-    out = scratch(spark, "arrays")
+    out = shared_path(spark, "arrays")
     writers.npy(load(spark, d, "embeddings"), "embedding", out)
     x = readers.npy(spark, out).select(F.posexplode("vector").alias("dim", "v"))
     return x.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 6).alias("total"))

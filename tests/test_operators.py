@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import batching, folds, groups, matrix, metrics, models, sampling, scoring
+from tessera.operators import batching, folds, groups, matrix, metrics, models, ordered, sampling, scoring
 from tessera.plans import steps
 from tessera.sources import readers, writers
 
@@ -234,3 +234,33 @@ def test_sinks(spark):
     assert writers.markdown(x).splitlines()[2:] == ["| 1 | a |", "| 2 |  |"]
     assert writers.as_object(x, "k", "v").first()[0].startswith('{"1":"a"')
     assert steps.predict(x, lambda p: p.assign(n=len(p))[["k", "n"]], 1, "k int, n long").where("n = 1").count() == 2
+
+
+def test_row_numbers_of_a_sampled_order(spark):
+    """More rows than the range bounds' sample holds, with columns that counting doesn't need."""
+    df = spark.range(60_000).select(F.xxhash64("id").alias("h"), "id", F.sha2(F.col("id").cast("string"), 256).alias("s"))
+    got = ordered.with_row_numbers(df, ["h"]).toPandas().sort_values("row_number")
+    assert got.row_number.tolist() == list(range(60_000))
+    assert got.h.is_monotonic_increasing and (got.n_rows == 60_000).all()
+    assert ordered.with_row_numbers(df.where("id < 0"), ["h"]).count() == 0
+
+
+def test_running_sums_share_out_a_hot_key(spark):
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, (F.col("id") % 50).cast("string"))
+    df = spark.range(30_000).select(key.alias("k"), F.xxhash64("id").alias("o"), (F.col("id") % 7).alias("n"), "id")
+    got = ordered.running_sums(df, ["k"], [F.desc("o")], {"n": ("upto", "total")})
+    assert got.columns == ["k", "o", "n", "id", "upto", "total"]
+    want = df.toPandas().sort_values("o", ascending=False)
+    want["upto"] = want.groupby("k", dropna=False).n.cumsum()
+    want["total"] = want.groupby("k", dropna=False).n.transform("sum")
+    have = got.toPandas().set_index("id").sort_index()
+    want = want.set_index("id").sort_index()
+    assert have.upto.tolist() == want.upto.tolist() and have.total.tolist() == want.total.tolist()
+
+
+def test_exact_quantiles(spark):
+    at = [0.0, 0.1, 1 / 3, 0.5, 0.95, 1.0]
+    xs = [float(random.Random(3).randrange(40)) for _ in range(9)] + [i * 0.37 % 5 for i in range(4_000)] + [2.5] * 2_000
+    df = spark.createDataFrame([(x,) for x in [*xs, None]], "x double").repartition(7)
+    assert ordered.quantiles(df, F.col("x"), at).first().q == pytest.approx(np.quantile(xs, at).tolist(), abs=1e-12)
+    assert ordered.quantiles(df.where("x < 0"), F.col("x"), [0.5]).first().q == [None]
