@@ -50,19 +50,22 @@ def in_priority_order(df: DataFrame, col: str, order: list[str]) -> DataFrame:
     return df.orderBy(F.when(rank > 0, rank).asc_nulls_last(), col)
 
 
+def medians(df: DataFrame, values: dict) -> dict:
+    """The exact median of each named value, as a literal; null without values."""
+    got = {r["name"]: r["q"][0] for r in quantiles(df, values, [0.5]).collect()}  # one number a name
+    return {c: F.lit(got.get(c)).cast("double") for c in values}
+
+
 def mad_flags(df: DataFrame, size: str, detected: str, k: float = 3.0) -> DataFrame:
     """Outlier flags by median ± k * 1.4826 * MAD: on log10 of the size both ways, on the detection low only.
 
-    The two medians come back as one row; a MAD of zero counts as 1e-9, so nothing is flagged for noise.
+    The medians come back as one number each; a MAD of zero counts as 1e-9, so nothing is flagged for noise.
     """
     x = df.withColumn("_l", F.log10(F.greatest(F.col(size).cast("double"), F.lit(1.0)))).withColumn("_d", F.col(detected).cast("double"))
-    median = lambda rows, of, name: quantiles(rows, of, [0.5]).select(F.col("q")[0].alias(name))
-    med = median(x, F.col("_l"), "ml").crossJoin(median(x, F.col("_d"), "md"))  # one row each
-    off = x.crossJoin(F.broadcast(med))
-    dev = median(off, F.abs(F.col("_l") - F.col("ml")), "al").crossJoin(median(off, F.abs(F.col("_d") - F.col("md")), "ad"))
-    width = lambda c: F.lit(k * 1.4826) * F.when(F.col(c) == 0, F.lit(1e-9)).otherwise(F.col(c))
-    out = off.crossJoin(F.broadcast(dev))  # one row each
-    out = out.withColumn("outlier_lo", F.col("_l") < F.col("ml") - width("al")).withColumn("outlier_hi", F.col("_l") > F.col("ml") + width("al")).withColumn("outlier_low_detection", F.col("_d") < F.col("md") - width("ad"))
+    med = medians(x, {"_l": F.col("_l"), "_d": F.col("_d")})
+    dev = medians(x, {c: F.abs(F.col(c) - med[c]) for c in med})
+    edge = {c: F.lit(k * 1.4826) * F.when(dev[c] == 0, F.lit(1e-9)).otherwise(dev[c]) for c in med}
+    out = x.withColumn("outlier_lo", F.col("_l") < med["_l"] - edge["_l"]).withColumn("outlier_hi", F.col("_l") > med["_l"] + edge["_l"]).withColumn("outlier_low_detection", F.col("_d") < med["_d"] - edge["_d"])
     return out.select(*df.columns, "outlier_lo", "outlier_hi", "outlier_low_detection")
 
 

@@ -82,6 +82,6 @@ def calibration(df: DataFrame, bins: int, y: str = "y", score: str = "score") ->
 
 def quantile_bins(df: DataFrame, bins: int, y: str = "y", score: str = "score") -> DataFrame:
     """As ``calibration``, in bins between exact quantiles of the score; the edges are one row."""
-    edges = quantiles(df, F.col(score), [i / bins for i in range(1, bins)]).withColumnRenamed("q", "edges")
+    edges = quantiles(df, {"score": F.col(score)}, [i / bins for i in range(1, bins)]).agg(F.first("q").alias("edges"))
     x = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(score))))
     return x.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 9).alias("mean_score"), F.round(F.avg(F.col(y).cast("double")), 9).alias("positive_share"))

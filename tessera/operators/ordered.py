@@ -60,10 +60,12 @@ def running_sums(df: DataFrame, keys: list[str], order: list, sums: dict[str, tu
     return out.select(*df.columns, *[x for names in sums.values() for x in names])
 
 
-def quantiles(df: DataFrame, value: Column, at: list[float]) -> DataFrame:
-    """One row with ``q``, the exact quantiles of the non-null values, linear between neighbours; nulls without values."""
-    steps = df.select(value.cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    s = running_sums(steps, [], ["v"], {"n": ("upto", "total")})
+def quantiles(df: DataFrame, values: dict[str, Column], at: list[float]) -> DataFrame:
+    """``name, q``: the exact quantiles of each named value, linear between neighbours; nulls don't count, and a name
+    without values has no row. All values are dealt and written together, as distinct values with their counts."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("v")) for k, v in values.items()])
+    steps = df.select(F.explode(pairs).alias("x")).select("x.*").where("v is not null").groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
+    s = running_sums(steps, ["name"], ["v"], {"n": ("upto", "total")})
     holds = lambda place: (F.col("upto") > place) & (F.col("upto") - F.col("n") <= place)
     got, out = [F.max("total").alias("total")], []
     for i, p in enumerate(at):
@@ -71,4 +73,4 @@ def quantiles(df: DataFrame, value: Column, at: list[float]) -> DataFrame:
         got += [F.max(F.when(holds(F.floor(place)), F.col("v"))).alias(f"lo{i}"), F.max(F.when(holds(F.ceil(place)), F.col("v"))).alias(f"hi{i}")]
         lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
         out.append(F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi))
-    return s.agg(*got).select(F.array(*out).alias("q"))
+    return s.groupBy("name").agg(*got).select("name", F.array(*out).alias("q"))

@@ -262,5 +262,7 @@ def test_exact_quantiles(spark):
     at = [0.0, 0.1, 1 / 3, 0.5, 0.95, 1.0]
     xs = [float(random.Random(3).randrange(40)) for _ in range(9)] + [i * 0.37 % 5 for i in range(4_000)] + [2.5] * 2_000
     df = spark.createDataFrame([(x,) for x in [*xs, None]], "x double").repartition(7)
-    assert ordered.quantiles(df, F.col("x"), at).first().q == pytest.approx(np.quantile(xs, at).tolist(), abs=1e-12)
-    assert ordered.quantiles(df.where("x < 0"), F.col("x"), [0.5]).first().q == [None]
+    got = dict(ordered.quantiles(df, {"x": F.col("x"), "minus": -F.col("x"), "none": F.lit(None)}, at).collect())
+    assert got["x"] == pytest.approx(np.quantile(xs, at).tolist(), abs=1e-12)
+    assert got["minus"] == pytest.approx((-np.quantile(xs, [1 - p for p in at])).tolist(), abs=1e-12)
+    assert set(got) == {"x", "minus"}
