@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import OP5_SQL, op5_ann
+from .byte_bpe import op11_byte_bpe
 from .decontaminate import OP8_SQL, op8_decontamination
 from .html_text import op1_html_text
 from .kneser_ney import op4_quality_classifier
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_mixing": op10_mixing,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
