@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import OP5_SQL, op5_ann
 from .byte_bpe import op11_byte_bpe
+from .collocations import OP12_SQL, op12_collocations
 from .decontaminate import OP8_SQL, op8_decontamination
 from .html_text import op1_html_text
 from .kneser_ney import op4_quality_classifier
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_mixing": op10_mixing,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op5_ann": OP5_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op8_decontamination": OP8_SQL,
+    "op12_collocations": OP12_SQL,
 }
