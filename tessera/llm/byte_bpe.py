@@ -11,6 +11,7 @@ Merges of one rank go from left to right, the lowest rank first, as the referenc
 from __future__ import annotations
 
 import base64
+import struct
 import sys
 from itertools import islice
 
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pre-tokens in a task's cache (some 200 bytes each), and their longest length; longer ones are encoded each time.
-CACHE, CACHED_LENGTH = 500_000, 64
+#: Pre-tokens in a Python worker's cache (some 230 bytes each), and their longest length; longer ones are encoded each time.
+CACHE, CACHED_LENGTH = 800_000, 64
 #: Characters from which on a text's pre-tokens are taken some thousands at a time.
 LONG, PART = 1_000_000, 50_000
 
@@ -39,7 +40,6 @@ class Encoder:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token
-        self.longest = max(map(len, ranks))
         # Two levels of bitmap words, each of about the square root of the ranks in bits; all zero between two calls.
         self.shift = -(-len(self.bytes).bit_length() // 2)
         self.words = [0] * ((len(self.bytes) >> self.shift) + 1)
@@ -51,7 +51,7 @@ class Encoder:
         whole = ranks.get(token)
         if whole is not None:
             return [whole]
-        n, rank_of, words, shift, longest = len(token), ranks.get, self.words, self.shift, self.longest
+        n, rank_of, words, shift = len(token), ranks.get, self.words, self.shift
         low = (1 << shift) - 1
         after = list(range(1, n + 2))  # where the part that starts at a position ends
         before = list(range(-1, n + 1))  # the start of the part on its left
@@ -66,8 +66,9 @@ class Encoder:
                 buckets[rank].append(i)
             else:
                 buckets[rank] = [i]
-                words[rank >> shift] |= 1 << (rank & low)
-                top |= 1 << (rank >> shift)
+                w = rank >> shift
+                words[w] |= 1 << (rank & low)
+                top |= 1 << w
         while top:
             w = (top & -top).bit_length() - 1
             word = words[w]
@@ -78,30 +79,43 @@ class Encoder:
             todo = buckets.pop(rank)
             if len(todo) > 1:
                 todo.sort()
-            for k, i in enumerate(todo):
+            done = 0
+            for i in todo:
+                done += 1
                 if pair[i] != rank:
                     continue  # stale: the part is gone or has another neighbour
                 j = after[i]
                 end = after[j]
                 after[i] = end
-                pair[j] = None
                 before[end] = i
-                left, lower = before[i], False
-                for x, y in ((i, after[end] if end < n else 0), (left, end if left >= 0 else 0)):
-                    new = rank_of(token[x:y]) if 0 < y - x <= longest else None
-                    if x >= 0:
-                        pair[x] = new
-                    if new is None:
-                        continue
-                    if new in buckets:
-                        buckets[new].append(x)
-                    else:
-                        buckets[new] = [x]
-                        words[new >> shift] |= 1 << (new & low)
-                        top |= 1 << (new >> shift)
-                    lower = lower or new < rank
-                if lower and k + 1 < len(todo):  # a lower rank has come up: it goes first
-                    buckets[rank] = todo[k + 1 :]
+                pair[j] = pair[i] = None
+                lower = False
+                if end < n:
+                    new = rank_of(token[i : after[end]])
+                    if new is not None:
+                        pair[i] = new
+                        lower = new < rank
+                        if new in buckets:
+                            buckets[new].append(i)
+                        else:
+                            buckets[new] = [i]
+                            w = new >> shift
+                            words[w] |= 1 << (new & low)
+                            top |= 1 << w
+                left = before[i]
+                if left >= 0:
+                    pair[left] = new = rank_of(token[left:end])
+                    if new is not None:
+                        lower = lower or new < rank
+                        if new in buckets:
+                            buckets[new].append(left)
+                        else:
+                            buckets[new] = [left]
+                            w = new >> shift
+                            words[w] |= 1 << (new & low)
+                            top |= 1 << w
+                if lower and done < len(todo):  # a lower rank has come up: it goes first
+                    buckets[rank] = todo[done:]
                     words[rank >> shift] |= 1 << (rank & low)
                     top |= 1 << (rank >> shift)
                     break
@@ -150,16 +164,39 @@ class _Cache(dict):
 
     def __missing__(self, token: str) -> bytes:
         ids = self.encoder.pieces(token.encode("utf-8"))
-        packed = b"".join([x.to_bytes(4, "little") for x in ids])
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(token) <= CACHED_LENGTH:
             self[token] = packed
         return packed
 
 
+def parse_ranks(data: bytes) -> dict[bytes, int]:
+    """A rank file's lines: a token's base64 and its rank."""
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, data.splitlines()))}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
-    """A rank file: a line per token, its base64 and its rank."""
     with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, f))}
+        return parse_ranks(f.read())
+
+
+def shared_encoder(spark, ranks: str | None, pattern: str | None, cache: int):
+    """A function for tasks that gives the encoder of their Python worker.
+
+    The rank file (a megabyte at most for 50,000 ranks) is broadcast as it is. A worker that serves several tasks gets the
+    same broadcast object each time and keeps its encoder there, with the pre-tokens that it knows by then.
+    """
+    with open(ranks or default_ranks(), "rb") as f:
+        shared = spark.sparkContext.broadcast({"file": f.read()})
+    pattern = pattern or default_pattern()
+
+    def get() -> Encoder:
+        held = shared.value
+        if "encoder" not in held:
+            held["encoder"] = Encoder(parse_ranks(held["file"]), pattern, cache)
+        return held["encoder"]
+
+    return get
 
 
 def default_ranks() -> str:
@@ -177,20 +214,20 @@ def default_pattern() -> str:
 def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, id_col="doc_id", text_col="text", cache: int = CACHE) -> DataFrame:
     """``doc_id, n_tokens, ids`` per row: a text's ids, packed as little-endian unsigned 32-bit integers.
 
-    ``ranks``: path of a rank file that every executor has. A null or empty text has no ids. Texts are encoded whole,
+    ``ranks``: path of a rank file on the driver. A null or empty text has no ids. Texts are encoded whole,
     whatever their length; rows that repeat an id or a text, or have no id, are encoded each. Nothing is shuffled.
     Other columns play no part, whatever their names; an empty table gives an empty result.
     """
 
+    get = shared_encoder(docs.sparkSession, ranks, pattern, cache)
+
     def run(batches):
-        encoder = None
+        encoder = get()
         for b in batches:
-            if encoder is None:
-                encoder = Encoder(load_ranks(ranks or default_ranks()), pattern or default_pattern(), cache)
             # One text at a time is a Python string: a batch of long ones is not held twice.
             ids = [encoder.encode(x.as_py() or "") for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
-        encoder = b = ids = None
+        b = ids = None
         common.release_memory()
 
     with common.small_batches(docs.sparkSession):
@@ -199,13 +236,11 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
 
 def decode(encoded: DataFrame, ranks: str | None = None, ids_col="ids") -> DataFrame:
     """``encoded`` with ``decoded``: the bytes of each row's packed ids (null for null). An unknown id is an error."""
-    columns = encoded.columns
+    get = shared_encoder(encoded.sparkSession, ranks, None, 0)
 
     def run(batches):
-        encoder = None
+        encoder = get()
         for b in batches:
-            if encoder is None:
-                encoder = Encoder(load_ranks(ranks or default_ranks()), default_pattern(), 0)
             got = [None if not x.is_valid else encoder.decode(x.as_py()) for x in b.column(columns.index(ids_col))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], [*columns, "decoded"])
 
