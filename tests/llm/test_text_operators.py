@@ -338,7 +338,6 @@ def test_leaks_against_brute_force(spark, odd_docs, no_docs):
     docs += [(9, "zebra " * 50 + "one ZEBRA"), (10, "go " * 40), (11, "stop " + "go " * 9 + "stop"), (12, item), (12, item)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench)
-    assert all(r.hamming <= decontaminate.RADIUS for r in got.collect())
     same_leaks(got.collect(), brute_leaks(docs, items))
     assert decontaminate.leaks(no_docs, bench).count() == 0 and decontaminate.leaks(odd_docs, bench.limit(0)).count() == 0
     assert {r.doc_id for r in decontaminate.leaks(odd_docs, bench.where("item_id <> 7")).collect()} == set()
@@ -378,9 +377,36 @@ def test_blocks_meet_within_the_radius(spark):
         for b in rng.choice(64, decontaminate.RADIUS, replace=False):
             y ^= 1 << int(b)
         pairs.append((i, x, y - (1 << 64) if y >> 63 else y))
-    wins = spark.createDataFrame([(i, 0, 0, i, x) for i, x, _ in pairs], "doc_id long, copy long, start int, item long, fp long")
-    items = spark.createDataFrame([(i, y) for i, _, y in pairs], "item long, fp long")
-    assert decontaminate.block_join(wins, items).count() == 40
+    wins = spark.createDataFrame([(7, x) for _, x, _ in pairs], "size int, fp long")
+    items = spark.createDataFrame([(i, 7, y) for i, _, y in pairs] + [(100 + i, 8, y) for i, _, y in pairs], "item long, size int, fp long")
+    found = decontaminate.block_join(wins, items).collect()
+    assert {r.item for r in found} == set(range(40)) and all(r.hamming <= decontaminate.RADIUS for r in found)
+
+
+def test_what_blocks_leave_is_verified_too(spark):
+    """Two windows at 1 and at 40 bits, both named by their shared weight: the first comes of the blocks, the second is added."""
+    wins = spark.createDataFrame([(1, 0, 3, 9, 5, 77, 0b1, 50), (2, 0, 4, 9, 5, 77, (1 << 40) - 1, 50)], "doc_id long, copy long, start int, size int, k int, item long, fp long, total long")
+    marks = spark.createDataFrame([(77, 0, 50, 9), (78, 0b11, 50, 9)], "item long, fp long, total long, size int")
+    got = {(r.doc_id, r.item, r.hamming, r.by_blocks) for r in decontaminate.candidates(wins, marks).collect()}
+    assert got == {(1, 77, 1, True), (1, 78, 1, True), (2, 77, 40, False)}
+
+
+def test_short_items_at_document_edges(spark):
+    """Items of one to ten words of which a document holds all but one, at its start, its end or alone: none is lost."""
+    rng = random.Random(88)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 14)))
+    items, docs, want = [], [], {}
+    for i in range(3000):
+        words = [word() + str(i) for _ in range(rng.choice([1, 2, 5, 7, 9, 10, 10, 10]))]
+        items.append((i, " ".join(words)))
+        part = words[:-1] if i % 2 else words[1:]
+        docs.append((i, " ".join([*(["pre"] if i % 6 == 1 else []), *(part or words), *(["post"] if i % 6 == 2 else [])])))
+        want |= brute_leaks([docs[-1]], [items[-1]])
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 1500
+    same_leaks(got, want)
+    beyond = sum(r.hamming > decontaminate.RADIUS for r in got)
+    assert 0 < beyond < len(got)  # the blocks alone would lose these
 
 
 def test_other_uses_are_counted_in_all_texts_and_once(spark, monkeypatch):
