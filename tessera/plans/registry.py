@@ -41,3 +41,13 @@ def sql_net(col: str, words) -> str:
 
 def sql_first(col: str, table: dict, default: str) -> str:
     return "CASE " + " ".join(f"WHEN {sql_net(col, w)} THEN '{n}'" for n, w in table.items()) + f" ELSE '{default}' END"
+
+
+def _person_sql() -> str:
+    from tessera.functions import entity
+
+    return "lower(trim(regexp_extract({text}, '(?i)(?:^|[,;\\n])\\s*(?:" + "|".join(entity.KEYS) + ")\\s*[:=]\\s*([^,;\\n]+)', 1)))"
+
+
+#: The value of a text's first person key, in lower case; a form with the place ``text``.
+PERSON_SQL = _person_sql()
