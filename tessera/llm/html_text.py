@@ -6,6 +6,10 @@ lines the text lengths are summed in a sliding window; where the sums surge the
 they dive it ends, and the text between is kept. A region in an article or main element is widened to that
 element, so short closing or opening lines are not lost. Regions outside of such elements are kept if they hold
 more text than those inside; else they are left out.
+
+Class and id names only advise: ``no-sidebar`` or ``comments-open`` mark nothing, and where leaving out forms and elements with
+longer names (``sidebar-layout-x``) leaves no surge and no article, these elements are opened, level by level, and the sums
+decide. Elements whose whole name marks them (``comments``, ``sidebar-left``) stay out.
 """
 
 from __future__ import annotations
@@ -19,6 +23,10 @@ from pyspark.sql import functions as F
 
 #: Lines per window; the window's sum that is a surge (characters outside links).
 WINDOW, SURGE = 3, 90
+#: Characters outside links from which on a further article without a surge is kept if it closes with a full stop.
+SHORT = 20
+#: Levels of marked elements that are opened one by one where nothing else has text; after these all are.
+LEVELS = 8
 
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,41 +47,60 @@ PLAIN = frozenset("area bar block bottom box btn button buttons col column conta
 #: Whole class or id names of wrappers that hold an article, whatever else they are called.
 CONTENT = frozenset("content article main post entry story body".split())
 MAIN = frozenset("article main".split())
+#: Words that turn a marking word beside them into a statement on the page: before it, after it.
+BEFORE = frozenset("no not non without with has have hide show below after".split())
+AFTER = frozenset("open opened closed free required enabled disabled".split())
+#: A line that only says whose the page is.
+OWNER = re.compile(r"(?:©|\(c\)|copyright\b)\s*(?:©|\(c\))?\s*\d{4}.{0,160}|©.{0,160}", re.I | re.S)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*'|['\"])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _boilerplate(tag: str, attrs: str, in_main: bool) -> bool:
+def _boilerplate(tag: str, attrs: str, in_main: bool) -> str:
+    """"firm" for an element that is no part of the text, "soft" for one that may yet be opened, else empty."""
+    if tag == "form":
+        return "soft"
     if tag in APART or tag == "header" and not in_main:
-        return True
+        return "firm"
     if not attrs or tag in ("html", "body") or tag in MAIN:
-        return False
+        return ""
+    found = ""
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return "firm"
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return "firm"
         if name in ("class", "id"):
-            names = value.lower().split()
-            if not CONTENT.isdisjoint(names):
-                continue
             marked = MARKED - {"header"} if in_main else MARKED  # an article's own header holds its title
-            if any(_marks([x.lower() for x in _NAME.findall(n)], marked) for n in value.split()):
-                return True
-    return False
+            names = [[x.lower() for x in _NAME.findall(n)] for n in value.split()]
+            if any(_content(n) for n in names):
+                continue
+            marks = [_marks(n, marked) for n in names]
+            found = "firm" if "firm" in marks else "soft" if "soft" in marks else found
+    return found
+
+
+def _content(words: list[str]) -> bool:
+    """Whether a name of these words is that of a wrapper of content."""
+    return not CONTENT.isdisjoint(words) and all(w in CONTENT or w in PLAIN for w in words)
+
 
+def _marks(words: list[str], marked: frozenset) -> str:
+    """"firm" or "soft" if a name of these words marks boilerplate; it is firm if it has no other words."""
+    found = [w for i, w in enumerate(words) if w in marked and not (i and words[i - 1] in BEFORE) and not (i + 1 < len(words) and words[i + 1] in AFTER)]
+    whole = bool(found) and all(w in marked or w in PLAIN for w in words)
+    return "firm" if whole else "soft" if any(w not in WEAK for w in found) else ""
 
-def _marks(words: list[str], marked: frozenset) -> bool:
-    """Whether a name of these words marks boilerplate."""
-    found = [w for w in words if w in marked]
-    return any(w not in WEAK for w in found) or bool(found) and all(w in marked or w in PLAIN for w in words)
 
+def lines(page: str, opened: set[int] | None = None, closed: set[int] | None = None) -> list[tuple[str, int, int]]:
+    """The page's lines as (text, characters outside links, number of the outermost article or main element, or 0).
 
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """The page's lines as (text, characters outside links, number of the outermost article or main element, or 0)."""
+    Softly marked elements are left out unless the place of their tag is in ``opened`` (None: all are opened); the places
+    of those left out are added to ``closed``.
+    """
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     plain = at = skip_depth = main = n_main = main_depth = links = 0
@@ -138,9 +165,14 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                     main = n_main
                 main_depth += 1
             continue
-        if not close and tag not in VOID and _boilerplate(tag, m[3], bool(main)):
+        if not close and tag not in VOID and (mark := _boilerplate(tag, m[3], bool(main))):
             if m[0].endswith("/>"):
                 continue
+            if mark == "soft":
+                if opened is None or m.start() in opened:
+                    continue
+                if closed is not None:
+                    closed.add(m.start())
             flush()
             skip_tag, skip_depth = tag, 1
     take(page[at:])
@@ -175,7 +207,29 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     """The main text of one page; empty if there is none."""
     if not page:
         return ""
-    got = lines(page)
+    closed: set[int] = set()
+    got = lines(page, set(), closed)
+    if closed and not _has_text(got, window, surge):
+        opened, level = set(closed), 1
+        while True:
+            more: set[int] = set()
+            wider = lines(page, opened if level <= LEVELS else None, more)
+            if _has_text(wider, window, surge):
+                got = wider
+                break
+            if not more or level > LEVELS:
+                break  # no surge anywhere: what stands outside of marked elements is all there is
+            opened |= more
+            level += 1
+    return " ".join(_kept(got, window, surge))
+
+
+def _has_text(got: list[tuple[str, int, int]], window: int, surge: int) -> bool:
+    return any(m and w for _, w, m in got) or bool(spans([w for _, w, _ in got], window, surge))
+
+
+def _kept(got: list[tuple[str, int, int]], window: int, surge: int) -> list[str]:
+    """The lines of the main text."""
     weights = [w for _, w, _ in got]
     found = spans(weights, window, surge)
     size: dict[int, int] = {}
@@ -190,12 +244,24 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         held = {m for _, _, m in got if m}
     if found and outside:
         within = {k for a, b in found for k in range(a, b)}
-        keep = [t for k, (t, _, m) in enumerate(got) if m in held or k in within]
+        keep = [k for k, (_, _, m) in enumerate(got) if m in held or k in within]
     elif held:
-        keep = [t for t, _, m in got if m in held]
+        held |= _short_articles(got) - held
+        keep = [k for k, (_, _, m) in enumerate(got) if m in held]
     else:
-        keep = [t for t, w, _ in got if w]
-    return " ".join(keep)
+        keep = [k for k, (_, w, _) in enumerate(got) if w]
+    while keep and not got[keep[-1]][2] and OWNER.fullmatch(got[keep[-1]][0]):
+        keep.pop()  # the owner's line right after the text
+    return [got[k][0] for k in keep]
+
+
+def _short_articles(got: list[tuple[str, int, int]]) -> set[int]:
+    """Articles too short for a surge that are text all the same: most of it outside links, and closed like a sentence."""
+    plain, every, last = {}, {}, {}
+    for t, w, m in got:
+        if m:
+            plain[m], every[m], last[m] = plain.get(m, 0) + w, every.get(m, 0) + len(t), t
+    return {m for m in plain if plain[m] >= SHORT and 2 * plain[m] > every[m] and last[m].endswith((".", "!", "?", "…", "。"))}
 
 
 def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:

@@ -686,6 +686,60 @@ def test_surges_choose_among_articles_and_the_rest():
     assert second == f"{text} {card.strip()} end"
 
 
+@pytest.mark.parametrize("name", ["layout no-sidebar", "has-sidebar main-content", "page-wrapper modal-open", "site comments-open", "content-with-nav", "ad-free-page", "login-required article-body", "entry-content has-footer", "sidebar-left-layout grid", "cookie-x-wrapper"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_with_class_words_empty_no_page(name, inner):
+    text = "A line of the story, with some more words than a window needs for a surge of text. " * 2
+    page = f"<body><nav><a href=x>menu</a></nav><div class='{name}'><{inner}><p>{text}</p><p>End.</p></{inner}><div class='comments'><p>{'reader says so ' * 30}</p></div></div><div class='sidebar'>x</div></body>"
+    assert html_text.main_text(page) == f"{text.strip()} End."
+    assert html_text.main_text(f"<form action=x>{page}</form>") == f"{text.strip()} End."
+    assert html_text.main_text(page.replace("<body>", "<body><form><div id='ads-of-x'>").replace("</body>", "</div></form></body>")) == f"{text.strip()} End."
+
+
+def test_marked_elements_stay_out_of_pages_with_text():
+    text = "A line of the story, with some more words than a window needs for a surge of text. " * 2
+    other = "and this is as long as the story itself, or longer still, but no part of it. " * 5
+    for marked in (f"<form>{other}</form>", f"<div class='sidebar-x-y'>{other}</div>", f"<div class='comments'>{other}</div>", f"<div class='comment-list'><article>{other}</article></div>"):
+        assert html_text.main_text(f"<div><p>{text}</p></div>{marked}") == text.strip()
+        assert html_text.main_text(f"<article><p>short</p></article>{marked}") == "short"
+    assert html_text.main_text(f"<div class='comments'>{other}</div><p>hi</p>") == "hi"
+    assert html_text.main_text("<form>name <input> password <input></form>") == ""
+    assert html_text.main_text("<div class='modal-x'>" * 30 + f"<p>{text}</p>") == text.strip()
+
+
+def test_short_articles_and_owners():
+    text = "A line of the story, with some more words than a window needs for a surge of text. " * 2
+    assert html_text.main_text(f"<article><p>{text}</p></article><article><p>A second one, short but whole.</p></article><article><a href=x>Read more about this.</a></article>") == f"{text.strip()} A second one, short but whole."
+    for owner in ("© 2024 The Owner. All rights reserved.", "Copyright (c) 2020 A B", "(c) 1999 x"):
+        assert html_text.main_text(f"<div><p>{text}</p><p>{owner}</p></div>") == text.strip()
+    assert html_text.main_text(f"<div><p>{text}</p><p>Copyright law is old.</p></div>") == f"{text.strip()} Copyright law is old."
+
+
+def test_pages_by_construction():
+    """Random pages of nested wrappers whose article is known, as an independent form of the rules."""
+    rng = random.Random(17)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    wrap = ["<div>{}</div>", "<section class='page'>{}</section>", "<div class='layout has-sidebar'>{}</div>", "<div id='site-content'>{}</div>", "<table><tr><td>{}</td></tr></table>", "<form method=post>{}</form>", "<div class='nav-x-layout'>{}</div>"]
+    apart = ["<nav>{}</nav>", "<aside>{}</aside>", "<div class='comments'>{}</div>", "<div role=banner>{}</div>", "<footer>{}</footer>", "<div id='cookie-bar'>{}</div>", "<script>{}</script>", "<ul class='menu'><li>{}</li></ul>", "<div style='display: none'>{}</div>", "<div class='related-posts'>{}</div>", "<!-- {} -->", "<button>{}</button>"]
+    for _ in range(400):
+        want, body = [], []
+        for _ in range(rng.randint(1, 6)):
+            text = words(rng.randint(16, 60))
+            want.append(text)
+            cut = text.split(" ")
+            cut[1], cut[3] = f"<b>{cut[1]}</b>", f"<i>{cut[3]}</i> \n"
+            body.append(f"<p>{' '.join(cut)}</p>")
+            if rng.random() < 0.4:
+                body.append(rng.choice(apart).format(words(rng.randint(1, 80))))
+        page = "".join(body)
+        if rng.random() < 0.5:
+            page = f"<article>{page}</article>"
+        for _ in range(rng.randint(0, 4)):
+            page = rng.choice(wrap).format(page)
+            page = "".join(rng.choice(apart).format(words(rng.randint(1, 80))) if rng.random() < 0.5 else "" for _ in range(2)) + page
+        assert html_text.main_text(f"<!doctype html><html><head><title>{words(3)}</title></head><body>{page}</body></html>") == " ".join(want), page
+
+
 def test_pages_query(spark, sf):
     rows = [(i, None if i == 2 else f"u{i}", p, "extra") for i, (p, _) in enumerate(PAGES)] + [(None, None, "<p" * 20_000, "x")]
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
