@@ -263,3 +263,26 @@ def toy_corpus(spark, d):
     size = toy.counts(spark, 60, 400).groupBy("sample_index").agg(F.sum("count").alias("library_size"))
     label = nets.first_match(nets.haystack(F.col("title"), F.col("source_name_ch1"), F.col("characteristics_ch1")), nets.DISEASE_NETS)
     return s.join(size, "sample_index", "left").groupBy(label.alias("category")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("library_size", F.lit(0))).alias("mean_size"))
+
+
+@query("SELECT item_id, text FROM benchmark")
+def json_array_scan(spark, d):
+    """A table written as one JSON array over several files and read again in parts."""
+    out = shared_path(spark, "json_array")
+    b = load(spark, d, "benchmark").select("item_id", "text")
+    writers.json_array(b, out, ["item_id"])
+    return readers.json_array(spark, out, b.schema)
+
+
+@query("SELECT conv_id AS id, turn - min(turn) OVER (PARTITION BY conv_id) AS place, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS \"from\", text AS value FROM conversations")
+def nested_array_scan(spark, d):
+    """Instruction samples, a record with its list of turns each, as a JSON array; read again and opened."""
+    out = shared_path(spark, "samples")
+    c = load(spark, d, "conversations")
+    who = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
+    turn = F.struct("turn", who.alias("from"), F.col("text").alias("value"))
+    samples = c.groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(turn)).alias("conversations"))
+    writers.json_array(samples, out, ["id"])
+    back = readers.json_array(spark, out, samples.schema)
+    first = F.col("conversations")[0]["turn"]
+    return back.select("id", first.alias("first"), F.explode("conversations").alias("x")).select("id", (F.col("x.turn") - F.col("first")).alias("place"), "x.from", "x.value")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import json_arrays
+
 
 def table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Parquet or CSV, by the path's ending."""
@@ -37,7 +39,8 @@ def decoded(col, errors: str = "replace") -> F.Column:
 
 
 def json_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """The elements of JSON arrays of objects; a file is read in as many tasks as it has splits."""
+    return json_arrays.read(spark, path, schema)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import json_arrays
+
 
 def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
@@ -16,6 +18,11 @@ def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
+def json_array(df: DataFrame, path: str, order: list) -> None:
+    """One JSON array in the given order, over the part files of a folder."""
+    json_arrays.write(df, path, order)
+
+
 def npy(df: DataFrame, column: str, path: str) -> int:
     """The vectors of ``column`` as .npy matrices in the folder ``path``, one per batch of a task; the number of rows.
 
