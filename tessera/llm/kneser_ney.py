@@ -32,7 +32,8 @@ EDGE = "\0"
 BLOCK_CHARS, CHUNK = 32_000_000, 1 << 18
 #: Listed n-grams from which a block's lists are merged.
 MERGE = 1_500_000
-#: A block's alphabet must be smaller than this, so that an n-gram fits 64 bits; else the block is halved.
+#: An alphabet smaller than this lets an n-gram fit 64 bits; a block beyond it is halved, and a single text beyond it
+#: has its n-grams as strings of bytes.
 ALPHABET = 7131
 #: Labelled trusted ids up to which they are broadcast (8 bytes each); beyond, a shuffle join.
 BROADCAST_IDS = 1_000_000
@@ -79,9 +80,16 @@ def ranks(letters: np.ndarray) -> np.ndarray:
 
 
 def codes(x: np.ndarray, rank: np.ndarray, r: int) -> np.ndarray:
-    """The n-grams that start at each of ``x``, as numbers to base ``r``."""
+    """The n-grams that start at each of ``x``: numbers to base ``r``, or where these don't fit 64 bits the bytes of their ranks.
+
+    Both sort alike; byte strings are of one length, so zeros at their ends, which numpy does not show, tell none apart.
+    """
     d = rank[x]
     n = len(d) - ORDER + 1
+    if r >= ALPHABET:
+        if n <= 0:
+            return np.empty(0, f"S{4 * ORDER}")
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(d.astype(">u4"), ORDER)).view(f"S{4 * ORDER}").ravel()
     out = d[:n].copy()
     for k in range(1, ORDER):
         out *= np.uint64(r)
@@ -89,6 +97,17 @@ def codes(x: np.ndarray, rank: np.ndarray, r: int) -> np.ndarray:
     return out
 
 
+def points_of(u: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The code points of n-grams as ``codes`` gives them, a row each."""
+    if u.dtype.kind == "S":
+        return letters[np.frombuffer(u.tobytes(), ">u4").reshape(-1, ORDER).astype(np.int64)].astype("<u4")
+    points = np.empty((len(u), ORDER), "<u4")
+    for k in range(ORDER - 1, -1, -1):
+        u, digit = np.divmod(u, np.uint64(len(letters)))
+        points[:, k] = letters[digit.astype(np.int64)]
+    return points
+
+
 def _inside(ends: np.ndarray) -> np.ndarray:
     """Which windows of a chunk lie in one piece."""
     ok = np.ones(int(ends[-1]) - ORDER + 1, bool)
@@ -123,11 +142,7 @@ def block_grams(column, trained: list) -> tuple[np.ndarray, np.ndarray]:
                 u, n = merged(found, times)
                 found, times, held = [u], [n], 0
     u, counts = merged(found, times)
-    points = np.empty((len(u), ORDER), "<u4")
-    for k in range(ORDER - 1, -1, -1):
-        u, digit = np.divmod(u, np.uint64(r))
-        points[:, k] = letters[digit.astype(np.int64)]
-    return points, counts
+    return points_of(u, letters), counts
 
 
 def shard_of(points: np.ndarray, shards: int) -> np.ndarray:
@@ -352,6 +367,7 @@ def document_scores(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFram
 def thresholds(held_out: DataFrame, quantile: float = QUANTILE, least: int = LEAST_HELD) -> DataFrame:
     """``lang, threshold`` (of nll): the quantile over a language's held-out documents, by exact counts in bins of 1 / BINS.
 
+    The quantile is rounded up to a bin's end: a document less than 1 / BINS of log-perplexity above it is kept, too.
     A row with a null language holds the quantile over all; languages of fewer than ``least`` documents have no row.
     """
     bins = held_out.select("lang", F.ceil(F.col("nll") * BINS).alias("bin"))
