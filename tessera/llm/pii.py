@@ -359,9 +359,10 @@ def pattern_scores(links: DataFrame, docs: DataFrame, confidence: float = CONFID
 
 
 def find(docs: DataFrame, id_col="doc_id", text_col="text", confidence: float = CONFIDENCE) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` per row.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_key, n_unseen`` per row.
 
-    The counts and the hash are of base spans; ``spans`` also has those of kind ``id``. A null or empty text has no
+    The counts and the hash are of base spans; ``spans`` also has those of kind ``id``: ``n_key`` of them are generated
+    keys, which the rule ``is_key`` had made seeds, ``n_unseen`` are identifiers that no rule names and patterns alone found. A null or empty text has no
     spans; very long texts are searched whole. Rows of one id or of one text are judged each for itself; the scores
     count distinct strings, and other uses once per distinct text. Spans that start at one place go by kind. Other columns
     play no part, whatever their names; an empty table gives an empty result.
@@ -372,8 +373,8 @@ def find(docs: DataFrame, id_col="doc_id", text_col="text", confidence: float =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     links = common.written(links, "links")
     good = pattern_scores(links, texts, confidence).where((F.col("score") >= confidence) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern")
-    new = each.where("not base").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi")
-    added = new.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("added"))
+    new = each.where("not base").select("row", "start", "end", "seed", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi").drop("pattern").distinct()
+    added = new.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("added"), F.count_if("seed").alias("n_key"), F.count_if(~F.col("seed")).alias("n_unseen"))
     out = rows.drop("found").join(added, "row", "left")
     # All spans by start, then kind: base spans never overlap added ones, so starts differ.
     old = F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ","))
@@ -383,7 +384,7 @@ def find(docs: DataFrame, id_col="doc_id", text_col="text", confidence: float =
     rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.split(s, ":")[0])
     ordered = F.array_sort(F.transform(order, lambda x: F.struct(x["start"].alias("start"), rank(x["s"]).alias("k"), x["s"].alias("s"))))
     spans = F.array_join(F.transform(ordered, lambda x: x["s"]), ",")
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS[:4]], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), F.when(F.col("added").isNull(), F.col("base")).otherwise(spans).alias("spans"))
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS[:4]], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), F.when(F.col("added").isNull(), F.col("base")).otherwise(spans).alias("spans"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_key", "n_unseen")])
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
