@@ -21,10 +21,13 @@ from . import common
 #: Distinct fingerprints of one key that are compared pairwise; those that one task searches; beyond, the key is cut again.
 GROUP, LIMIT = 64, 16384
 #: The near-dedup stage: words of a shingle, and the radii of the forests of large groups. Sets of similarity 0.8
-#: differ in 9.7 bits on average, with a deviation of 2.9; the last radius is also that of all candidates.
-SHINGLE, RADII = 5, (3, 8, 13, 18, 24)
+#: differ in 9.7 bits on average, with a deviation of 2.9; the last radius is also that of all candidates, except
+#: where a set has fewer than SMALL shingles, as each of these decides many bits: there all bits may differ.
+SHINGLE, RADII, SMALL = 5, (3, 8, 13, 18, 24), 100
 #: Anchors of a set that are compared before whole sets are.
 SAMPLE = 64
+#: Documents of other components that each document of a dense group is compared with after the forests, round by round.
+NEAREST = (4, 16)
 
 
 def shingles(text: bytes, k: int = 3) -> list[int]:
@@ -207,13 +210,18 @@ def alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
 
 
+def close_by(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether fingerprints of sets of sizes ``n`` and ``m`` may be of sets of similarity 0.8."""
+    return ((np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= RADII[-1]) | (np.minimum(n, m) < SMALL)) & alike(n, m)
+
+
 def forests(fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs: for each radius of RADII a spanning forest of the fingerprints within it and of sizes ``n``
-    that are alike, so that a dense group gives a few links a member, and the nearest ones first."""
+    """Index pairs: for each radius of RADII, and for small sets one of all bits, a spanning forest of the fingerprints
+    within it and of sizes ``n`` that are alike, so that a dense group gives a few links a member, and the nearest ones first."""
     u = fp.view(np.uint64)
     a, b = [], []
-    for r in RADII:
-        rest = np.arange(len(u))
+    for r in (*RADII, 64):
+        rest = np.arange(len(u)) if r < 64 else np.nonzero(n < SMALL)[0]
         while len(rest):
             queue, rest = [rest[:1]], rest[1:]
             while queue and len(rest):
@@ -257,10 +265,10 @@ def anchors(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def near_pairs(nodes: DataFrame) -> DataFrame:
-    """``(a, b)``: candidates, ids that share an anchor, have sets of sizes that are alike and fingerprints within RADII[-1] bits.
+    """``(a, b)``: candidates, ids that share an anchor, have sets of sizes that are alike and, unless small, fingerprints within RADII[-1] bits.
 
     Under an anchor of up to GROUP documents all pairs are compared; of more, the spanning forests of
-    their fingerprints; documents of an anchor beyond LIMIT meet by whole blocks (``links``) instead.
+    their fingerprints (``dense_pairs`` then adds to them); documents of an anchor beyond LIMIT meet by whole blocks (``links``) instead.
     """
     parts = common.partitions_for(nodes.sparkSession)
 
@@ -273,7 +281,7 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
             a, b, off = [], [], 1
             while off < len(few) and (same := bits[few[off:]] == bits[few[:-off]]).any():
                 x, y = few[:-off][same], few[off:][same]
-                close = (np.bitwise_count(fp[x].view(np.uint64) ^ fp[y].view(np.uint64)) <= RADII[-1]) & alike(sets[x], sets[y])
+                close = close_by(fp[x], fp[y], sets[x], sets[y])
                 a.append(x[close])
                 b.append(y[close])
                 off += 1
@@ -301,8 +309,53 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def nearest_outside(fp: np.ndarray, n: np.ndarray, comp: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs: for each member outside of the group's largest component its ``k`` nearest members of other components,
+    of those that are close by."""
+    names, number, size = np.unique(comp, return_inverse=True, return_counts=True)
+    a, b = [], []
+    if len(names) > 1:
+        rest = np.nonzero(number != size.argmax())[0]
+        u = fp.view(np.uint64)
+        for x in rest.tolist():
+            fine = np.nonzero((number != number[x]) & close_by(fp[x : x + 1], fp, n[x : x + 1], n))[0]
+            if len(fine) > k:
+                far = np.bitwise_count(u[fine] ^ u[x])
+                fine = fine[np.argpartition(far, k)[:k]]
+            a.append(np.full(len(fine), x))
+            b.append(fine)
+    empty = np.empty(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
+
+
+def dense_pairs(nodes: DataFrame, k: int) -> DataFrame:
+    """``(a, b)``: further candidates of ``nodes(doc_id, fp, n, bits, comp)`` under anchors of more than GROUP documents.
+
+    Forests leave out links between members that are in a tree already. So each document is compared with the nearest ones
+    that verified links have not joined to it yet.
+    """
+    parts = common.partitions_for(nodes.sparkSession)
+
+    def compare(batches):
+        for t in _sorted_groups(batches):
+            bits, fp, ids, sets, comp = (t[c].to_numpy() for c in ("bits", "fp", "doc_id", "n", "comp"))
+            at = np.r_[0, np.nonzero(bits[1:] != bits[:-1])[0] + 1, len(fp)]
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                x, y = nearest_outside(fp[i:j], sets[i:j], comp[i:j], k)
+                u, v = ids[i:j][x], ids[i:j][y]
+                for e in range(0, len(u), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(f(u[e : e + 100_000], v[e : e + 100_000])) for f in (np.minimum, np.maximum)], ["a", "b"])
+
+    keyed = nodes.select("doc_id", "fp", "n", "comp", F.explode("bits").alias("bits"))
+    # Groups within one component have nothing to add.
+    sizes = keyed.groupBy("bits").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    dense = sizes.where((F.col("size") > GROUP) & (F.col("size") <= LIMIT) & (F.col("lo") < F.col("hi"))).select("bits")
+    met = keyed.join(dense, "bits", "left_semi").withColumn("t", F.lit(0))
+    return met.repartition(parts, "bits").sortWithinPartitions("bits").mapInArrow(compare, "a long, b long").distinct()
+
+
 def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the ``pairs`` that may be similar by their anchors alone, so that few whole sets are moved to be compared.
+    """Written: those of the ``pairs`` that may be similar by their anchors alone, so that few whole sets are moved to be compared.
 
     Below the lesser of two sets' last anchors both sets are known, and their elements there are a random sample of
     ``u`` of the union; at similarity 0.8 the number in common falls six deviations below 0.8 u once in some 1e8 pairs.
@@ -313,7 +366,7 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     low = lambda x: F.filter(x, lambda y: y <= F.col("last"))
     both = both.withColumn("sa", low("sa")).withColumn("sb", low("sb")).withColumn("c", F.size(F.array_intersect("sa", "sb")))
     u = F.size("sa") + F.size("sb") - F.col("c")
-    return both.where(F.col("c") >= 0.8 * u - 6 * F.sqrt(0.16 * u)).select("a", "b").distinct()
+    return common.written(both.where(F.col("c") >= 0.8 * u - 6 * F.sqrt(0.16 * u)).select("a", "b").distinct(), "pairs")
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -345,9 +398,24 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     copies = common.written(rows.select("doc_id", "whole").join(first, "whole").where("doc_id <> rep").select("doc_id", "rep"), "copies")
     nodes = common.filter_by_ids(rows.select("doc_id", "fp", "n", "bits"), copies.select("doc_id"), "doc_id", "left_anti")
     near = common.written(near_pairs(nodes), "near")
-    pairs = common.written(likely_pairs(near, nodes), "pairs")
-    common.discard(near)
-    edges = similar_pairs(docs, pairs).unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    edges = common.written(similar_pairs(docs, likely_pairs(near, nodes)), "edges")
+    tried = [near]
+    for k in NEAREST:
+        joined = common.connected_components(edges).select(F.col("node").alias("_node"), "component")
+        placed = nodes.join(joined, nodes["doc_id"] == F.col("_node"), "left").select(*nodes.columns, F.coalesce("component", "doc_id").alias("comp"))
+        more = dense_pairs(placed, k)
+        for old in tried:
+            more = more.join(old, ["a", "b"], "left_anti")
+        tried.append(common.written(more, "near"))
+        if tried[-1].isEmpty():
+            break
+        found = common.written(similar_pairs(docs, likely_pairs(tried[-1], nodes)), "edges")
+        if found.isEmpty():
+            break
+        edges = edges.unionByName(found)
+    for old in tried:
+        common.discard(old)
+    edges = edges.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     comp = common.connected_components(edges)
     gone = comp.where("component < node").select(F.col("node").alias("doc_id"))
     kept = common.filter_by_ids(docs, gone, "doc_id", "left_anti")

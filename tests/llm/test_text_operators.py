@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import decontaminate, html_text, kneser_ney, mixing, pii, records, simhash_dedup, substring_dedup
@@ -138,6 +139,59 @@ def test_near_copies_are_those_of_shingle_similarity(spark, group, limit, monkey
     assert got == {i for i in range(len(texts)) if find(i) == i}
 
 
+def similar_components(texts):
+    sets = [{tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)} for x in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_short_texts_are_compared_at_all_bits(spark):
+    """Texts of some ten shingles, whose fingerprints may lie far apart: no copy of 0.8 is missed."""
+    rng = random.Random(4)
+    word = lambda i: "".join(rng.choice("abcdefghijklmnop") for _ in range(5)) + str(i)
+    texts = []
+    for i in range(1500):
+        words = [word(i) for _ in range(rng.choice([8, 9, 10, 12, 13]))]
+        texts += [" ".join(words), " ".join(words[: len(words) - (len(words) - 4) // 5])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in simhash_dedup.without_near_copies(docs).collect()}
+    assert not any(2 * i + 1 in got for i in range(1500) if 5 * (len(texts[2 * i + 1].split()) - 4) >= 4 * (len(texts[2 * i].split()) - 4))
+
+
+def test_dense_groups_keep_most_links(spark):
+    """Hundreds of documents under one anchor at similarities around 0.8: nine of ten that a chain of similar ones links to a smaller id go."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for n in (60, 150, 400):
+        base = [word() for _ in range(n)]
+        for _ in range(250):
+            other = list(base)
+            for i in rng.sample(range(n), rng.randint(0, max(2, n // 20))):
+                other[i] = word()
+            texts.append(" ".join(other))
+    rng.shuffle(texts)
+    root = similar_components(texts)
+    gone = {i for i in range(len(texts)) if root[i] != i}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = set(range(len(texts))) - {r.doc_id for r in simhash_dedup.without_near_copies(docs).collect()}
+    assert got <= gone and len(gone) > 300
+    print(f"dense groups: {len(got)} of {len(gone)} found")
+    assert len(got) >= 0.9 * len(gone)
+
+
 # --- repeated windows
 
 
@@ -409,6 +463,13 @@ def test_short_items_at_document_edges(spark):
     assert 0 < beyond < len(got)  # the blocks alone would lose these
 
 
+def test_keys_and_unseen_identifiers_are_told_apart(spark):
+    """Patterns of e-mail addresses find account numbers that no rule names; keys beside the same words are counted as keys."""
+    rows = [(i, f"write to account user{i}@mail.example.com today") for i in range(12)] + [(20, "write to account QX-77812-K today"), (21, "account 9f8e7d6c5b4a3f2e1d0c9b8a today"), (22, "nothing")]
+    got = {r.doc_id: (r.spans, r.n_key, r.n_unseen) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[20] == ("id:17:27", 0, 1) and got[21] == ("id:8:32", 1, 0) and got[22] == ("", 0, 0)
+
+
 def test_other_uses_are_counted_in_all_texts_and_once(spark, monkeypatch):
     seeds = [(i, f"number user{i}@mail.example.com") for i in range(12)]
     found = [(20, "number QX-77812-K")]
@@ -454,6 +515,20 @@ def plain_kneser_ney(trained, order=5):
 TRAINED = ["abracadabra abba", "a cab abates", "bad dab abd bad dab", "漢字 😀 abc", "", None, "a cab abates"]
 
 
+def test_one_text_with_a_large_alphabet(spark):
+    """9,000 distinct characters in one text: its n-grams are told apart, and scores are those of the plain model."""
+    big = "".join(chr(0x4E00 + i) for i in range(9000)) + "abra" + chr(0x4E00) * 20_000
+    points, counts = kneser_ney.block_grams(pa.array([big]), [True])
+    want = Counter(("\0" * 4 + big + "\0")[i : i + 5] for i in range(len(big) + 1))
+    assert {kneser_ney.as_text(p[None]): int(c) for p, c in zip(points, counts)} == dict(want)
+    texts = [*TRAINED, big[:9100], "abra " * 5]
+    rows = [(i, "en", t, int(i < len(TRAINED) + 1)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in kneser_ney.document_scores(spark.createDataFrame(rows, "doc_id long, lang string, text string, role int")).collect()}
+    prob, grams, _ = plain_kneser_ney(texts[:-1])
+    for d, _, t, _ in rows:
+        assert got[d].n_grams == len(grams(t)) and got[d].nll == pytest.approx(-sum(np.log(prob(g)) for g in grams(t)) / len(grams(t)), abs=1e-5)
+
+
 def test_plain_model_is_a_distribution():
     prob, _, letters = plain_kneser_ney(TRAINED)
     for ctx in ("abra", "\0\0\0\0", "zzzz", " aba"):
