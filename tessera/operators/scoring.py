@@ -59,13 +59,14 @@ def bleu(df: DataFrame, pred: str, ref: str, id_col: str, order: int = 4) -> Dat
     return total.select(F.col("lp").alias("pred_words"), F.col("lr").alias("ref_words"), F.round(score, 9).alias("bleu"))
 
 
-def annotated(results: DataFrame, notes: DataFrame, key: str, question: str) -> DataFrame:
+def annotated(results: DataFrame, notes: DataFrame, key: str, question: str, at: str | None = None) -> DataFrame:
     """Each result with its annotation's columns, joined on ``key`` and the lower-cased question.
 
-    Of annotations that repeat a key one counts, the largest. A result without an annotation is an error.
+    Of annotations that repeat a key the last by ``at`` counts, without it the largest. A result without an annotation is an error.
     """
-    more = [c for c in notes.columns if c not in (key, question)]
-    side = notes.groupBy(F.col(key).alias("_k"), F.lower(question).alias("_q")).agg(F.max(F.struct(*more)).alias("_note"))
+    more = [c for c in notes.columns if c not in (key, question, at)]
+    note = F.struct(*more)
+    side = notes.groupBy(F.col(key).alias("_k"), F.lower(question).alias("_q")).agg((F.max_by(note, at) if at else F.max(note)).alias("_note"))
     got = results.join(side, (results[key] == F.col("_k")) & (F.lower(results[question]) == F.col("_q")), "left")
     note = F.when(F.col("_k").isNull(), F.raise_error(F.concat(F.lit("no annotation of "), F.col(key).cast("string")))).otherwise(F.col("_note"))
     return got.withColumn("_note", note).select(*results.columns, "_note.*")

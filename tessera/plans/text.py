@@ -259,13 +259,14 @@ def bleu4(spark, d):
     return scoring.bleu(load(spark, d, "benchmark").select("item_id", p.alias("p0"), F.col("text").alias("r0")).withColumnsRenamed({"p0": "pred", "r0": "ref"}), "pred", "ref", "item_id")
 
 
-@query("SELECT item_id, item_id % 2 AS result, CAST(length(text) AS INT) AS n FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id, text FROM benchmark WHERE item_id % 2 = 0)")
+@query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN -1 ELSE item_id % 2 END AS result, CAST(length(text) AS INT) AS n FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id, text FROM benchmark WHERE item_id % 2 = 0)")
 def annotated_results(spark, d):
-    """Results joined with annotations on id and lower-cased question; some ids have two results."""
+    """Results joined with annotations on id and lower-cased question; some ids have two results, some two annotations, of which the last counts."""
     b = load(spark, d, "benchmark")
-    notes = b.select("item_id", F.upper("text").alias("question"), (F.col("item_id") % 2).alias("result"))
+    notes = b.select("item_id", F.upper("text").alias("question"), (F.col("item_id") % 2).alias("result"), F.lit(1).alias("line"))
+    notes = notes.unionByName(b.where("item_id % 3 = 0").select("item_id", F.col("text").alias("question"), F.lit(-1).cast("long").alias("result"), F.lit(2).alias("line")))
     results = b.unionByName(b.where("item_id % 2 = 0")).select("item_id", F.col("text").alias("question"))
-    return scoring.annotated(results, notes, "item_id", "question").select("item_id", "result", F.length("question").alias("n"))
+    return scoring.annotated(results, notes, "item_id", "question", "line").select("item_id", "result", F.length("question").alias("n"))
 
 
 @query("WITH s AS (SELECT doc_id FROM documents WHERE doc_id % 4 = 0), p AS (SELECT doc_id, CAST(quality AS VARCHAR) AS t FROM labels) SELECT s.doc_id, coalesce(t, 'FAILED') AS pred FROM s LEFT JOIN p USING (doc_id)")

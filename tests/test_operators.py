@@ -266,3 +266,18 @@ def test_exact_quantiles(spark):
     assert got["x"] == pytest.approx(np.quantile(xs, at).tolist(), abs=1e-12)
     assert got["minus"] == pytest.approx((-np.quantile(xs, [1 - p for p in at])).tolist(), abs=1e-12)
     assert set(got) == {"x", "minus"}
+
+
+def test_align_keeps_the_last_of_repeated_features(spark):
+    values = spark.createDataFrame([(1, "a", 9.0, 0), (1, "a", 2.0, 5), (1, "b", 3.0, 1), (2, "x", 1.0, 0), (3, "c", 4.0, 2), (3, "c", 7.0, 1)], "s int, g string, value double, at int")
+    vocab = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "pos int, g string")
+    got = {r.s: (list(r.vector), r.n_missing) for r in matrix.align(values, vocab, "s", "g", at="at").collect()}
+    assert got == {1: ([2.0, 3.0, -10.0], 1), 2: ([-10.0] * 3, 3), 3: ([-10.0, -10.0, 4.0], 2)}
+    got = {r.s: list(r.vector) for r in matrix.align(values, vocab, "s", "g").collect()}
+    assert got[1] == [9.0, 3.0, -10.0] and got[3] == [-10.0, -10.0, 7.0]
+
+
+def test_the_last_annotation_counts(spark):
+    notes = spark.createDataFrame([(1, "Q?", "z", 1), (1, "q?", "a", 2)], "id int, q string, note string, line int")
+    results = spark.createDataFrame([(1, "q?")], "id int, q string")
+    assert [tuple(r) for r in scoring.annotated(results, notes, "id", "q", "line").collect()] == [(1, "q?", "a")]
