@@ -33,12 +33,17 @@ def assign(groups: list[tuple], k: int, seed: int = 0) -> dict:
     return out
 
 
-def grouped_folds(df: DataFrame, group: str, y: str, k: int, seed: int = 0) -> DataFrame:
-    """``df`` with ``fold``. Only one row per group comes to the driver; too few groups raise. Null groups share a fold."""
+def group_folds(df: DataFrame, group: str, y: str, k: int, seed: int = 0) -> DataFrame:
+    """``_g, fold``: a row per group."""
     stats = df.groupBy(group).agg(F.count_if(F.col(y) != 1).alias("n0"), F.count_if(F.col(y) == 1).alias("n1")).collect()
     folds = assign([tuple(r) for r in stats], k, seed)
     kind = df.schema[group].dataType.simpleString()
-    table = df.sparkSession.createDataFrame([(g, f) for g, f in folds.items()], f"_g {kind}, fold int")
+    return df.sparkSession.createDataFrame([(g, f) for g, f in folds.items()], f"_g {kind}, fold int")
+
+
+def grouped_folds(df: DataFrame, group: str, y: str, k: int, seed: int = 0) -> DataFrame:
+    """``df`` with ``fold``. Only one row per group comes to the driver; too few groups raise. Null groups share a fold."""
+    table = group_folds(df, group, y, k, seed)
     return df.join(table, df[group].eqNullSafe(table["_g"])).drop("_g")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import quantiles
+from .ordered import quantiles, temporary
 
 TOTAL = "TOTAL"
 
@@ -52,7 +52,8 @@ def in_priority_order(df: DataFrame, col: str, order: list[str]) -> DataFrame:
 
 def medians(df: DataFrame, values: dict) -> dict:
     """The exact median of each named value, as a literal; null without values."""
-    got = {r["name"]: r["q"][0] for r in quantiles(df, values, [0.5]).collect()}  # one number a name
+    with temporary(df.sparkSession):
+        got = {r["name"]: r["q"][0] for r in quantiles(df, values, [0.5]).collect()}  # one number a name
     return {c: F.lit(got.get(c)).cast("double") for c in values}
 
 

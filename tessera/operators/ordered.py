@@ -2,27 +2,56 @@
 
 The dealt rows are written to the shared folder before they are counted. Range bounds come of a random sample, so
 two readers of one plan could be dealt differently; a written table is the same for both, and survives lost executors.
+Running sums of up to SMALL rows, which are counted first, are one window's work and nothing is written for them.
+Who takes a result to the driver deletes such tables at once (``temporary``); those of a result that is still to be computed stay.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import shared_path
 
+#: Rows up to which one task orders all of them (some 100 bytes each).
+SMALL = 100_000
 #: Bits of a monotonically increasing id that number the rows of a partition.
 PLACE_BITS = 33
 
 
+_made: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark):
+    """Deletes the tables that were written within, at its end: for results that have been collected by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, bool]:
+    """(``df``, kept so that counting and using it compute it once; whether it has at most SMALL rows)."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return held, held.count() <= SMALL
+
+
 def in_order(df: DataFrame, order: list) -> DataFrame:
     """``df`` as a written table with ``_part``, the range a row is in, and ``_place``, its place there from 0."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     path = shared_path(spark, "ordered")
+    if _made:
+        _made[-1].append(path)
     dealt.write.parquet(path)
     rows = spark.read.schema(dealt.schema).parquet(path)
     return rows.withColumn("_part", F.shiftright("_at", PLACE_BITS)).withColumn("_place", F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))).drop("_at")
@@ -44,7 +73,13 @@ def running_sums(df: DataFrame, keys: list[str], order: list, sums: dict[str, tu
     A key's rows may lie in many ranges, so a hot key is shared out; null keys count as a key. Rows should be
     distinct in keys and order.
     """
-    rows = in_order(df, [*keys, *order])
+    held, small = counted(df)
+    if small:
+        key = Window.partitionBy(*keys)
+        upto = key.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return held.select(*df.columns, *[x for c, (name, total) in sums.items() for x in (F.sum(c).over(upto).alias(name), F.sum(c).over(key).alias(total))])
+    rows = in_order(held, [*keys, *order])
+    held.unpersist()
     per = rows.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
     key, earlier = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select(

@@ -1,12 +1,13 @@
 """Operators against independent computations."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import batching, folds, groups, matrix, metrics, models, ordered, sampling, scoring
+from tessera.operators import batching, blocks, folds, grid, groups, matrix, metrics, models, ordered, sampling, scoring
 from tessera.plans import steps
 from tessera.sources import readers, writers
 
@@ -245,7 +246,9 @@ def test_row_numbers_of_a_sampled_order(spark):
     assert ordered.with_row_numbers(df.where("id < 0"), ["h"]).count() == 0
 
 
-def test_running_sums_share_out_a_hot_key(spark):
+@pytest.mark.parametrize("small", [0, ordered.SMALL])
+def test_running_sums_share_out_a_hot_key(spark, monkeypatch, small):
+    monkeypatch.setattr(ordered, "SMALL", small)
     key = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, (F.col("id") % 50).cast("string"))
     df = spark.range(30_000).select(key.alias("k"), F.xxhash64("id").alias("o"), (F.col("id") % 7).alias("n"), "id")
     got = ordered.running_sums(df, ["k"], [F.desc("o")], {"n": ("upto", "total")})
@@ -258,7 +261,18 @@ def test_running_sums_share_out_a_hot_key(spark):
     assert have.upto.tolist() == want.upto.tolist() and have.total.tolist() == want.total.tolist()
 
 
-def test_exact_quantiles(spark):
+def test_tables_of_collected_results_are_deleted(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SMALL", 0)
+    made, real = [], ordered.shared_path
+    monkeypatch.setattr(ordered, "shared_path", lambda *a: made.append(real(*a)) or made[-1])
+    df = spark.range(100).withColumn("x", F.col("id") % 7)
+    assert groups.mad_flags(df, "id", "x").count() == 100
+    assert made and not any(os.path.exists(p.removeprefix("file://")) for p in made)
+
+
+@pytest.mark.parametrize("small", [0, ordered.SMALL])
+def test_exact_quantiles(spark, monkeypatch, small):
+    monkeypatch.setattr(ordered, "SMALL", small)
     at = [0.0, 0.1, 1 / 3, 0.5, 0.95, 1.0]
     xs = [float(random.Random(3).randrange(40)) for _ in range(9)] + [i * 0.37 % 5 for i in range(4_000)] + [2.5] * 2_000
     df = spark.createDataFrame([(x,) for x in [*xs, None]], "x double").repartition(7)
@@ -281,3 +295,76 @@ def test_the_last_annotation_counts(spark):
     notes = spark.createDataFrame([(1, "Q?", "z", 1), (1, "q?", "a", 2)], "id int, q string, note string, line int")
     results = spark.createDataFrame([(1, "q?")], "id int, q string")
     assert [tuple(r) for r in scoring.annotated(results, notes, "id", "q", "line").collect()] == [(1, "q?", "a")]
+
+
+def noisy(spark, n=300, d=8, seed=1):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d)) * rng.uniform(0.5, 5, d) + rng.normal(size=d)
+    x[:, 3] = 2.0  # a constant column
+    y = (x[:, 0] / 5 + x[:, 1] / 3 + rng.normal(size=n) > 0.5).astype(int)
+    return x, y, spark.createDataFrame([(i, x[i].tolist(), int(y[i]), i % 30) for i in range(n)], "id int, v array<double>, y int, g int")
+
+
+def test_grid_fits_are_those_of_separate_fits(spark):
+    x, y, df = noisy(spark)
+    halves = [np.arange(300) % 2 == 0, np.arange(300) % 3 > 0]
+    weights = [np.where(m, np.where(y == 1, m.sum() / (2 * (y[m] == 1).sum()), m.sum() / (2 * (y[m] == 0).sum())), 0.0) for m in halves]
+    wide = df.join(spark.createDataFrame([(i, float(weights[0][i]), float(weights[1][i])) for i in range(300)], "id int, a double, b double"), "id")
+    points = [(s, c, r) for s in (0, 1) for c in (0.01, 1.0, 100.0) for r in (0.1, 0.9)]
+    w, b, passes = grid.fit(blocks.pack(wide, "v", ["y", "a", "b"]), 8, 0, [1, 2], points)
+    assert passes < 400
+    for k in (0, 1):
+        part = wide.where("a > 0" if k == 0 else "b > 0")
+        train, _ = models.standardize(part, part, "v")
+        mean, dev = x[halves[k]].mean(axis=0), x[halves[k]].std(axis=0)
+        dev[dev < 1e-9] = 1
+        for i, (s, c, r) in enumerate(points):
+            if s == k and r == 0.9:
+                m = models.fit_logistic(train, "y", c, r)
+                want = m.coefficients.toArray() / dev
+                assert np.abs(want - w[:, i]).max() < 1e-4 and abs(m.intercept - (want * mean).sum() - b[i]) < 1e-4
+
+
+def test_nested_folds_choose_as_separate_fits_do(spark):
+    _, _, df = noisy(spark, 240)
+    points = [(0.003, 0.5), (1.0, 0.5)]
+    got = grid.nested(df, "v", "y", "g", 3, 2, [c for c, _ in points], [0.5])
+    rows = got.toPandas()
+    assert sorted(rows.id) == list(range(240)) and got.columns == ["id", "y", "g", "fold", "c", "l1_ratio", "score"]
+    assert rows.groupby("g").fold.nunique().max() == 1 and rows.groupby("fold").c.nunique().max() == 1
+    whole = folds.grouped_folds(df, "g", "y", 3)
+    for k in range(3):
+        train = whole.where(F.col("fold") != k).drop("fold")
+        inner = folds.grouped_folds(train, "g", "y", 2, 1)
+        means = []
+        for c, r in points:
+            ap = []
+            for j in range(2):
+                a, b = models.standardize(inner.where(F.col("fold") != j), inner.where(F.col("fold") == j), "v")
+                scored = models.fit_logistic(a, "y", c, r).transform(b).select("y", models.vector_to_array("probability")[1].alias("score"))
+                ap.append(metrics.average_precision(scored, []).first()[0])
+            means.append(-np.mean(ap))
+        assert rows[rows.fold == k].c.unique().tolist() == [points[int(np.argmin(means))][0]]
+
+
+def test_principal_components_of_dense_and_sparse_rows(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 20)) @ rng.normal(size=(20, 20))
+    want = np.linalg.eigvalsh(np.cov(x.T, bias=True))[::-1]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, v array<double>")
+    out, shares = models.principal_components(df, "v", 5)
+    assert shares == pytest.approx((want / want.sum())[:5].tolist(), abs=1e-9)
+    s = np.array([r.scores for r in out.orderBy("id").collect()])
+    assert s.var(axis=0).tolist() == pytest.approx(want[:5].tolist(), rel=1e-6) and np.abs(np.corrcoef(s.T) - np.eye(5)).max() < 1e-6
+    at = F.filter(F.sequence(F.lit(0), F.lit(19)), lambda i: F.get("v", i) != 0)
+    sparse = df.select("id", F.struct(at.alias("indices"), F.transform(at, lambda i: F.get("v", i)).alias("values")).alias("v"))
+    assert models.principal_components(sparse, "v", 5, width=20)[1] == pytest.approx(shares, abs=1e-9)
+
+
+def test_wide_components(spark):
+    """As many columns as a genome has genes: a few values a row, two strong directions."""
+    rng = np.random.default_rng(5)
+    rows = [(i, ([1, 40_000], [float(5 * rng.normal()), float(3 * rng.normal())]) if i % 2 else ([int(rng.integers(67_000))], [0.01])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, v struct<indices: array<int>, values: array<double>>")
+    _, shares = models.principal_components(df, "v", 2, width=67_000, rounds=15)
+    assert sum(shares) > 0.99 and shares[0] > shares[1] > 0.1
