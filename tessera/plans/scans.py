@@ -10,6 +10,7 @@ from tessera.sources import readers, writers
 from tessera.session import load, shared_path
 from tessera.streaming import ingest
 
+from . import steps
 from .registry import DEMO_NETS, query, sql_first
 
 
@@ -286,3 +287,70 @@ def nested_array_scan(spark, d):
     back = readers.json_array(spark, out, samples.schema)
     first = F.col("conversations")[0]["turn"]
     return back.select("id", first.alias("first"), F.explode("conversations").alias("x")).select("id", (F.col("x.turn") - F.col("first")).alias("place"), "x.from", "x.value")
+
+
+def event_stream(spark, d):
+    """The events as a stream, with the type their times have in the table; as a pattern the path may be a folder or a file."""
+    stream = ingest.landing(spark, f"{d}/events.parque[t]", load(spark, d, "events").schema)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")), stream.schema["ts"].dataType.simpleString()
+
+
+@query("SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start FROM events) GROUP BY ALL")
+def sliding_windows(spark, d):
+    """Two-day windows that start each day, by type, of the events as a stream."""
+    out = shared_path(spark, "windows")
+    stream, kind = event_stream(spark, d)
+    ingest.run_totals(ingest.windowed_counts(stream, "ts", "event_type", "value", "2 days", "7 days", "1 day"), f"{out}/totals", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/totals").withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast(kind))
+
+
+@query(
+    """
+WITH g AS (SELECT user_id, ts, value, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+, s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k
+"""
+)
+def event_sessions(spark, d):
+    """Sessions of users, ended by six hours without an event, of the events as a stream."""
+    out = shared_path(spark, "sessions")
+    stream, kind = event_stream(spark, d)
+    ingest.run_totals(ingest.session_counts(stream, "ts", "user_id", "value", "6 hours", "7 days"), f"{out}/totals", f"{out}/checkpoint")
+    got = spark.read.parquet(f"{out}/totals")
+    return got.select("user_id", F.col("start").cast(kind).alias("start"), F.col("end").cast(kind).alias("end"), "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def distinct_arrivals(spark, d):
+    """Events of which some land twice, as a stream without the repeats, counted by type."""
+    out = shared_path(spark, "arrivals")
+    e = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e.unionByName(e.where("event_id % 3 = 0")).write.parquet(f"{out}/landing")
+    stream = ingest.landing(spark, f"{out}/landing", e.schema)
+    ingest.run_available(ingest.first_arrivals(stream, "ts", ["event_id"], "36500 days"), f"{out}/events", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT event_id, event_type, round((value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w > 0 THEN stddev_pop(value) OVER w ELSE 1 END, 6) AS z FROM events WINDOW w AS (PARTITION BY event_type)")
+def two_pass_zscore(spark, d):
+    """Statistics by type from a stream over all files, then all rows mapped with them."""
+    out = shared_path(spark, "two_pass")
+    stream, _ = event_stream(spark, d)
+    ingest.land_sums(stream, "event_type", "value", f"{out}/sums", f"{out}/checkpoint")
+    got = ingest.standardized(load(spark, d, "events"), "event_type", "value", f"{out}/sums")
+    return got.select("event_id", "event_type", F.round("z", 6).alias("z"))
+
+
+@query("SELECT conv_id || ':' || turn AS question_id, CASE WHEN contains(lower(text), 'the') THEN 'yes' ELSE 'no' END AS text, CAST(length(text) AS BIGINT) AS n FROM conversations WHERE role = 'user'")
+def resumed_predictions(spark, d):
+    """Every question answered once by a stand-in model, in two runs of which the first ends after three chunks."""
+    out = shared_path(spark, "answers")
+    q = load(spark, d, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), "text")
+
+    def model(pdf):
+        return pdf.assign(n=pdf.text.str.len(), text=pdf.text.str.lower().str.contains("the", regex=False).map({True: "yes", False: "no"}))[["question_id", "text", "n"]]
+
+    schema = "question_id string, text string, n long"
+    for most in (3, None):
+        steps.answer_pending(q, "question_id", model, 64, schema, out, most=most)
+    return spark.read.schema(schema).json(out)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from pyspark.sql import functions as F
+
 
 class Steps:
     def __init__(self, stop_on_error: bool = True):
@@ -51,6 +53,27 @@ def predict(df, function, batch: int, schema: str):
     return df.mapInPandas(run, schema)
 
 
+def answer_pending(questions, key: str, function, batch: int, schema: str, out: str, chunks: int = 8, most: int | None = None) -> int:
+    """Answers the ``questions`` that ``out`` lacks, as JSON lines appended chunk by chunk; returns how many were open.
+
+    ``key`` tells questions apart and is a column of ``schema``. A chunk is one append, so that a run that ends early, by a fault or
+    by ``most`` chunks, leaves whole answers; the next run leaves out what it finds answered, and each question is answered once.
+    Null keys are never answered; of repeated ones one row is.
+    """
+    spark = questions.sparkSession
+    asked = questions.where(F.col(key).isNotNull()).dropDuplicates([key])
+    spark.createDataFrame([], schema).write.mode("append").json(out)  # so that a first run finds a table
+    done = spark.read.schema(schema).json(out).select(key)
+    part = F.pmod(F.xxhash64(key), F.lit(chunks)).alias("chunk")
+    open_ = asked.join(done, key, "left_anti").groupBy(part).count().orderBy("chunk").collect()  # a row per chunk
+    for r in open_[:most]:
+        # What is answered is read again: a chunk of before may have ended halfway.
+        done = spark.read.schema(schema).json(out).select(key)
+        rows = asked.where(part == r.chunk).join(done, key, "left_anti")
+        predict(rows, function, batch, schema).write.mode("append").json(out)
+    return sum(r["count"] for r in open_)
+
+
 class Registry:
     """Models by a part of their name; of several that match the last registered counts."""
 
