@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import with_row_numbers
+
 
 def assign(groups: list[tuple], k: int, seed: int = 0) -> dict:
     """{group: fold} of (group, n_negative, n_positive), greedily: uneven groups first, each where shares stay closest.
@@ -20,29 +22,44 @@ def assign(groups: list[tuple], k: int, seed: int = 0) -> dict:
     total = np.maximum(counts.sum(axis=0), 1)
     mixed = [hashlib.md5(f"{g[0]}:{seed}".encode()).hexdigest() for g in groups]
     order = sorted(range(len(groups)), key=lambda i: (-counts[i].std(), mixed[i]))
-    held, out = np.zeros((k, counts.shape[1])), {}
+    held, out, spot = np.zeros((k, counts.shape[1])), {}, np.eye(k)[:, :, None]
     for i in order:
-        best = None
-        for f in range(k):
-            trial = held.copy()
-            trial[f] += counts[i]
-            key = (round(float((trial / total).std(axis=0).mean()), 12), trial[f].sum(), f)
-            best = min(best, key) if best else key
-        held[best[2]] += counts[i]
-        out[groups[i][0]] = best[2]
+        trial = held[None] + spot * counts[i]  # one table for each fold that the group may go to
+        key = np.round((trial / total).std(axis=1).mean(axis=1), 12)
+        best = min(range(k), key=lambda f: (key[f], held[f].sum(), f))  # noqa: B023
+        held[best] += counts[i]
+        out[groups[i][0]] = best
     return out
 
 
+#: Groups up to which all are assigned greedily on the driver (some 100 bytes each); beyond, the largest of them are.
+GREEDY = 20_000
+
+
 def group_folds(df: DataFrame, group: str, y: str, k: int, seed: int = 0) -> DataFrame:
-    """``_g, fold``: a row per group."""
-    stats = df.groupBy(group).agg(F.count_if(F.col(y) != 1).alias("n0"), F.count_if(F.col(y) == 1).alias("n1")).collect()
-    folds = assign([tuple(r) for r in stats], k, seed)
+    """``_g, fold``: a row per group.
+
+    The largest GREEDY groups go to the driver, which assigns them one by one. All others are smaller than these: ordered by
+    their class counts they are dealt out to and fro over the folds, by row numbers, without leaving the executors.
+    """
+    stats = df.groupBy(F.col(group).alias("_g")).agg(F.count_if(F.col(y) != 1).alias("n0"), F.count_if(F.col(y) == 1).alias("n1"))
     kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame([(g, f) for g, f in folds.items()], f"_g {kind}, fold int")
+    held = stats.withColumn("_size", F.col("n0") + F.col("n1")).withColumn("_mix", F.xxhash64(F.col("_g").cast("string"), F.lit(seed))).persist()
+    n = held.count()
+    largest = held.orderBy(F.desc("_size"), "_mix").limit(GREEDY).select("_g", "n0", "n1")
+    folds = assign([tuple(r) for r in largest.collect()], k, seed)
+    out = df.sparkSession.createDataFrame([(g, f) for g, f in folds.items()], f"_g {kind}, fold int")
+    if n > GREEDY:
+        rest = held.join(out.select(F.col("_g").alias("_known"), F.lit(True).alias("_done")), F.col("_g").eqNullSafe(F.col("_known")), "left").where("_done is null").select("_g", "n0", "n1", "_mix")
+        at = F.pmod(F.col("row_number"), F.lit(2 * k))
+        dealt = with_row_numbers(rest, [F.desc("n1"), F.desc("n0"), "_mix"]).select("_g", F.when(at < k, at).otherwise(2 * k - 1 - at).cast("int").alias("fold"))
+        out = out.unionByName(dealt)
+    held.unpersist()
+    return out
 
 
 def grouped_folds(df: DataFrame, group: str, y: str, k: int, seed: int = 0) -> DataFrame:
-    """``df`` with ``fold``. Only one row per group comes to the driver; too few groups raise. Null groups share a fold."""
+    """``df`` with ``fold``, see ``group_folds``; too few groups raise. Null groups share a fold."""
     table = group_folds(df, group, y, k, seed)
     return df.join(table, df[group].eqNullSafe(table["_g"])).drop("_g")
 

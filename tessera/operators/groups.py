@@ -5,32 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import quantiles, temporary
+from .ordered import quantiles, quantiles_of, temporary
 
 TOTAL = "TOTAL"
 
 
+QUARTILES = {"median": 0.5, "q1": 0.25, "q3": 0.75}
+
+
 def spread(col, prefix: str, digits: int = 6) -> list:
-    """Mean, exact quartiles by linear interpolation, minimum, maximum and number of a column; nulls don't count."""
+    """Mean, minimum, maximum and number of a column; nulls don't count. The quartiles come of ``quartiles``."""
     c = F.col(col) if isinstance(col, str) else col
-    q = lambda p, n: F.round(F.percentile(c, F.lit(p)), digits).alias(f"{prefix}_{n}")
-    return [F.round(F.avg(c), digits).alias(f"{prefix}_mean"), q(0.5, "median"), q(0.25, "q1"), q(0.75, "q3"), F.min(c).alias(f"{prefix}_min"), F.max(c).alias(f"{prefix}_max"), F.count(c).alias(f"{prefix}_n")]
+    return [F.round(F.avg(c), digits).alias(f"{prefix}_mean"), F.min(c).alias(f"{prefix}_min"), F.max(c).alias(f"{prefix}_max"), F.count(c).alias(f"{prefix}_n")]
+
+
+def quartiles(steps: DataFrame, prefix: str, digits: int = 6) -> DataFrame:
+    """``g, t`` and the exact quartiles, linear between neighbours, of each group out of ``g, t, v, n``: distinct values and their counts."""
+    q = quantiles_of(steps.where("v is not null"), ["g", "t"], list(QUARTILES.values()))
+    return q.select("g", "t", *[F.round(F.col("q")[i], digits).alias(f"{prefix}_{n}") for i, n in enumerate(QUARTILES)])
 
 
 def breakdown(df: DataFrame, group: str, person: str, series: str, measure: str, resolved: str, categories: list[str] | None = None) -> DataFrame:
     """The report per group and, as TOTAL, over all rows (distinct counts aren't additive, so it is computed anew).
 
-    Rows per person come of a first aggregate by group and person; the rest of a second by group. Both are
-    partial aggregates, so a hot group moves as partial sums. Listed categories without rows appear with
+    Rows per person come of a first aggregate by group and person; the rest of a second by group; grouping sets make the
+    total beside the groups. All are partial aggregates, so a hot group moves as partial sums; exact quartiles come of
+    running sums over distinct values, so no group is in one buffer. Listed categories without rows appear with
     zero counts and null spreads. A null group is a group of its own.
     """
-    both = df.select(F.explode(F.array(F.struct(F.col(group).alias("g"), F.lit(0).alias("t")), F.struct(F.lit(None).cast("string").alias("g"), F.lit(1).alias("t")))).alias("k"), person, series, measure, resolved).select("k.*", person, series, measure, resolved)
-    per = both.groupBy("g", "t", person).agg(F.count(F.lit(1)).alias("n"), F.count_if(resolved).alias("nr"))
+    x = df.select(F.col(group).cast("string").alias("g"), F.col(person).alias("_person"), F.col(series).alias("_series"), F.col(measure).alias("_measure"), F.col(resolved).alias("_resolved"))
+    both = lambda *more: x.groupingSets([["g", *more], [*more]], "g", *more)
+    t = F.grouping("g").cast("int").alias("t")
+    per = both("_person").agg(t, F.count(F.lit(1)).alias("n"), F.count_if("_resolved").alias("nr"))
     people = per.groupBy("g", "t").agg(
-        F.count(person).alias("n_patients"), F.sum("n").alias("n_samples"), *spread("n", "spp"), F.sum("nr").alias("n_samples_resolved"), F.count_if((F.col("nr") > 0) & F.col(person).isNotNull()).alias("n_patients_resolved"),
+        F.count("_person").alias("n_patients"), F.sum("n").alias("n_samples"), *spread("n", "spp"), F.sum("nr").alias("n_samples_resolved"), F.count_if((F.col("nr") > 0) & F.col("_person").isNotNull()).alias("n_patients_resolved"),
     )
-    rest = both.groupBy("g", "t").agg(F.count_distinct(series).alias("n_series"), *spread(measure, "measure"))
-    out = people.join(rest, people["g"].eqNullSafe(rest["g"]) & (people["t"] == rest["t"])).drop(rest["g"], rest["t"])
+    rest = both().agg(t, F.count_distinct("_series").alias("n_series"), *spread("_measure", "measure"))
+    middle = [
+        quartiles(per.groupBy("g", "t", F.col("n").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")), "spp"),
+        quartiles(both("_measure").agg(t, F.count(F.lit(1)).alias("n")).select("g", "t", F.col("_measure").cast("double").alias("v"), "n"), "measure"),
+    ]
+    out = people
+    for i, more in enumerate([rest, *middle]):
+        more = more.withColumnsRenamed({"g": f"_g{i}", "t": f"_t{i}"})
+        out = out.join(more, out["g"].eqNullSafe(more[f"_g{i}"]) & (out["t"] == more[f"_t{i}"]), "left").drop(f"_g{i}", f"_t{i}")
     name = F.when(F.col("t") == 1, TOTAL).otherwise(F.col("g"))
     out = out.withColumn("category", name).drop("g", "t")
     out = out.withColumn("resolution_pct", F.round(F.coalesce(F.try_divide(F.col("n_samples_resolved") * 100.0, "n_samples"), F.lit(0.0)), 4))

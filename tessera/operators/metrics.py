@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import quantiles, running_sums
+from .ordered import quantiles, running_sums, with_next
 
 
 def confusion(df: DataFrame, keys: list[str], y: str = "y", score: str = "score", at: float = 0.5) -> DataFrame:
@@ -65,8 +65,7 @@ def interpolate(curve: DataFrame, keys: list[str], grid: int) -> DataFrame:
     Segments name the grid points they cover, so each is produced from its own segment: no range join.
     """
     top = curve.groupBy(*keys, "x").agg(F.max("y").alias("y"))
-    w = Window.partitionBy(*keys).orderBy("x")
-    seg = top.withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w))
+    seg = with_next(top, keys, ["x"], {"x": "x2", "y": "y2"})
     first, last = F.ceil(F.round(F.col("x") * grid, 9)).cast("int"), F.when(F.col("x2").isNull(), F.lit(grid)).otherwise(F.ceil(F.round(F.col("x2") * grid, 9)).cast("int") - 1)
     seg = seg.withColumn("a", first).withColumn("b", F.least(last, F.lit(grid))).where("a <= b").withColumn("i", F.explode(F.sequence("a", "b")))
     at = F.col("i") / F.lit(float(grid))

@@ -100,7 +100,12 @@ def quantiles(df: DataFrame, values: dict[str, Column], at: list[float]) -> Data
     without values has no row. All values are dealt and written together, as distinct values with their counts."""
     pairs = F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("v")) for k, v in values.items()])
     steps = df.select(F.explode(pairs).alias("x")).select("x.*").where("v is not null").groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
-    s = running_sums(steps, ["name"], ["v"], {"n": ("upto", "total")})
+    return quantiles_of(steps, ["name"], at)
+
+
+def quantiles_of(steps: DataFrame, keys: list[str], at: list[float]) -> DataFrame:
+    """``keys, q``: the exact quantiles of each key out of its distinct values, rows ``keys, v, n``; null keys are keys."""
+    s = running_sums(steps, keys, ["v"], {"n": ("upto", "total")})
     holds = lambda place: (F.col("upto") > place) & (F.col("upto") - F.col("n") <= place)
     got, out = [F.max("total").alias("total")], []
     for i, p in enumerate(at):
@@ -108,4 +113,25 @@ def quantiles(df: DataFrame, values: dict[str, Column], at: list[float]) -> Data
         got += [F.max(F.when(holds(F.floor(place)), F.col("v"))).alias(f"lo{i}"), F.max(F.when(holds(F.ceil(place)), F.col("v"))).alias(f"hi{i}")]
         lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
         out.append(F.when(lo == hi, lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi))
-    return s.groupBy("name").agg(*got).select("name", F.array(*out).alias("q"))
+    return s.groupBy(*keys).agg(*got).select(*keys, F.array(*out).alias("q"))
+
+
+def with_next(df: DataFrame, keys: list[str], order: list[str], following: dict[str, str]) -> DataFrame:
+    """``df`` with the values that the columns of ``following`` have in the key's next row, under its names; null in the last row.
+
+    A range's last row takes them from the first row of the next range that has rows: one row a range is carried over.
+    Null keys count as a key.
+    """
+    held, small = counted(df)
+    if small:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return held.select(*df.columns, *[F.lead(c).over(w).alias(name) for c, name in following.items()])
+    rows = in_order(held, [*keys, *order])
+    held.unpersist()
+    within = Window.partitionBy("_part").orderBy("_place")
+    first = rows.where("_place = 0").select("_part", F.struct(*keys, *following).alias("_row"))
+    carried = first.select("_part", F.lead("_row").over(Window.orderBy("_part")).alias("_carried"))
+    got = rows.withColumn("_next", F.lead(F.struct(*keys, *following)).over(within)).join(F.broadcast(carried), "_part")  # a row per range
+    got = got.withColumn("_next", F.coalesce("_next", "_carried"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_next.{k}")) for k in keys], F.col("_next").isNotNull())
+    return got.select(*df.columns, *[F.when(same, F.col(f"_next.{c}")).alias(name) for c, name in following.items()])

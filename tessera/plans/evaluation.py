@@ -112,12 +112,19 @@ def fold_table(spark, d):
     return folds.fold_table(scored(spark, d), "source", "y")
 
 
-@query(SCORED + " SELECT CAST(5 AS BIGINT) AS n_folds, (SELECT count(*) FROM x) AS n_rows, (SELECT count(DISTINCT source) FROM x) AS n_groups, CAST(0 AS BIGINT) AS n_leaking")
+@query(SCORED + " SELECT CAST(5 AS BIGINT) AS n_folds, (SELECT count(*) FROM x) AS n_rows, (SELECT count(DISTINCT source) FROM x) AS n_groups, (SELECT count_if(y = 1) FROM x) AS n_pos, CAST(0 AS BIGINT) AS n_leaking, true AS stratified, true AS even")
 def fold_leakage(spark, d):
-    """Folds by source: every row has one, and no source is in two."""
+    """Folds by source: every row has one, no source is in two, each fold's share of positives is within 0.1 of the whole's, and
+    no two folds differ in rows by more than the largest source."""
     x = folds.grouped_folds(scored(spark, d).drop("fold"), "source", "y", 5)
     leak = folds.leaking_groups(x, "source").agg(F.count(F.lit(1)).alias("n_leaking"))
-    return x.agg(F.count_distinct("fold").alias("n_folds"), F.count("fold").alias("n_rows"), F.count_distinct("source").alias("n_groups")).crossJoin(leak)  # one row each
+    per = x.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("share"), F.count_if(F.col("y") == 1).alias("pos"))
+    largest = x.groupBy("source").count().agg(F.max("count").alias("largest"))
+    whole = per.agg(F.count(F.lit(1)).alias("n_folds"), F.sum("n").alias("n_rows"), F.sum("pos").alias("n_pos"), F.max(F.struct("share")).alias("hi"), F.min(F.struct("share")).alias("lo"), (F.max("n") - F.min("n")).alias("gap"))
+    groups = x.agg(F.count_distinct("source").alias("n_groups"))
+    share = F.col("n_pos") / F.col("n_rows")
+    got = whole.crossJoin(groups).crossJoin(leak).crossJoin(largest)  # one row each
+    return got.select("n_folds", "n_rows", "n_groups", "n_pos", "n_leaking", ((F.col("hi.share") - share <= 0.1) & (share - F.col("lo.share") <= 0.1)).alias("stratified"), (F.col("gap") <= F.col("largest")).alias("even"))
 
 
 @query()

@@ -368,3 +368,42 @@ def test_wide_components(spark):
     df = spark.createDataFrame(rows, "id int, v struct<indices: array<int>, values: array<double>>")
     _, shares = models.principal_components(df, "v", 2, width=67_000, rounds=15)
     assert sum(shares) > 0.99 and shares[0] > shares[1] > 0.1
+
+
+@pytest.mark.parametrize("small", [0, ordered.SMALL])
+def test_next_rows_over_range_borders(spark, monkeypatch, small):
+    monkeypatch.setattr(ordered, "SMALL", small)
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, (F.col("id") % 20).cast("string"))
+    df = spark.range(3_000).select(key.alias("k"), F.xxhash64("id").alias("x"), "id")
+    got = ordered.with_next(df, ["k"], ["x"], {"x": "x2", "id": "id2"}).toPandas().set_index("id").sort_index()
+    want = df.toPandas().sort_values("x")
+    want["x2"], want["id2"] = want.groupby("k", dropna=False).x.shift(-1), want.groupby("k", dropna=False).id.shift(-1)
+    want = want.set_index("id").sort_index()
+    assert got.id2.fillna(-1).tolist() == want.id2.fillna(-1).tolist()
+    assert got.x2.isna().sum() == got.id2.isna().sum() == df.select("k").distinct().count()
+
+
+@pytest.mark.parametrize("small", [0, ordered.SMALL])
+def test_quartiles_by_group(spark, monkeypatch, small):
+    monkeypatch.setattr(ordered, "SMALL", small)
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), f"p{rng.randint(0, 60)}", f"s{rng.randint(0, 9)}", rng.choice([None, rng.randint(0, 50)]), rng.random() < 0.5) for _ in range(700)]
+    got = {r.category: r for r in groups.breakdown(spark.createDataFrame(rows, "g string, p string, s string, m int, r boolean"), "g", "p", "s", "m", "r").collect()}
+    assert set(got) == {"a", "b", None, "TOTAL"}
+    for name, r in got.items():
+        own = [x for x in rows if name == "TOTAL" or x[0] == name]
+        m = [x[3] for x in own if x[3] is not None]
+        per = list(__import__("collections").Counter(x[1] for x in own).values())
+        assert (r.measure_q1, r.measure_median, r.measure_q3) == pytest.approx(np.quantile(m, [0.25, 0.5, 0.75]).tolist(), abs=1e-6)
+        assert (r.spp_q1, r.spp_median, r.spp_q3) == pytest.approx(np.quantile(per, [0.25, 0.5, 0.75]).tolist(), abs=1e-6)
+        assert (r.n_samples, r.n_patients, r.measure_n) == (len(own), len(per), len(m))
+
+
+def test_many_groups_are_dealt_without_the_driver(spark, monkeypatch):
+    df = spark.range(60_000).select(F.concat(F.lit("g"), F.floor(F.sqrt(F.col("id") * 100)).cast("string")).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).cast("int").alias("y"))
+    whole = folds.fold_table(folds.grouped_folds(df, "g", "y", 5), "g", "y").collect()
+    monkeypatch.setattr(folds, "GREEDY", 100)
+    got = folds.grouped_folds(df, "g", "y", 5)
+    assert folds.leaking_groups(got, "g").count() == 0 and got.count() == 60_000
+    for r in [*folds.fold_table(got, "g", "y").collect(), *whole]:
+        assert abs(r.n / 12_000 - 1) < 0.01 and abs(r.n_pos / (60_000 / 25) - 1) < 0.05
