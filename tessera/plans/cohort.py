@@ -31,14 +31,15 @@ def _spread_sql(c: str, p: str) -> str:
     return f"round(avg({c}),6) AS {p}_mean, round(quantile_cont({c},0.5),6) AS {p}_median, round(quantile_cont({c},0.25),6) AS {p}_q1, round(quantile_cont({c},0.75),6) AS {p}_q3, CAST(min({c}) AS BIGINT) AS {p}_min, CAST(max({c}) AS BIGINT) AS {p}_max, count({c}) AS {p}_n"
 
 
-@query(
-    PERSONS
-    + f"""
+def breakdown_sql(persons: str, order: list[str]) -> str:
+    return (
+        persons
+        + f"""
 , b AS (SELECT category, person, source, n_chars, resolved FROM s UNION ALL SELECT 'TOTAL', person, source, n_chars, resolved FROM s)
 , p AS (SELECT category, person, count(*) AS n, count_if(resolved) AS nr FROM b GROUP BY ALL)
 , pp AS (SELECT category, count(*) AS n_patients, sum(n) AS n_samples, {_spread_sql("n", "spp")}, sum(nr) AS nsr, count_if(nr > 0) AS npr FROM p GROUP BY category)
 , m AS (SELECT category, count(DISTINCT source) AS n_series, {_spread_sql("n_chars", "measure")} FROM b GROUP BY category)
-, c AS (SELECT unnest(['{"','".join([*ORDER, "TOTAL"])}']) AS category)
+, c AS (SELECT unnest(['{"','".join([*order, "TOTAL"])}']) AS category)
 SELECT c.category, CAST(coalesce(n_patients,0) AS BIGINT) AS n_patients, CAST(coalesce(n_samples,0) AS BIGINT) AS n_samples,
   CASE WHEN c.category <> 'TOTAL' THEN CAST(coalesce(n_series,0) AS BIGINT) END AS n_series,
   spp_mean, spp_median, spp_q1, spp_q3, spp_min, spp_max, CAST(coalesce(spp_n,0) AS BIGINT) AS spp_n,
@@ -47,7 +48,10 @@ SELECT c.category, CAST(coalesce(n_patients,0) AS BIGINT) AS n_patients, CAST(co
   coalesce(round(nsr * 100.0::DOUBLE / n_samples, 4), 0.0) AS resolution_pct
 FROM c LEFT JOIN pp USING (category) LEFT JOIN m USING (category)
 """
-)
+    )
+
+
+@query(breakdown_sql(PERSONS, ORDER))
 def breakdown(spark, d):
     out = groups.breakdown(samples(spark, d), "category", "person", "source", "n_chars", "resolved", [*ORDER, groups.TOTAL])
     return groups.in_priority_order(out, "category", [*ORDER, groups.TOTAL])
@@ -265,3 +269,50 @@ def relabel_audit(spark, d):
 def display_names(spark, d):
     x = spark.createDataFrame([(k,) for k in nets.DISPLAY_NAMES], "slug string")
     return x.select("slug", nets.display_name(F.col("slug")).alias("name"))
+
+
+#: Words of all built-in nets: titles of samples are made of them, so that every net and subtype occurs.
+TITLE_WORDS = sorted({w for table in (nets.DISEASE_NETS, nets.SUBTYPE_NETS, {"": nets.TISSUE_NET}) for words in table.values() for w in words})
+TITLES = f"""SELECT doc_id, source, n_chars, CASE WHEN doc_id % 5 = 0 THEN 'control, no. ' || doc_id ELSE 'RNA-seq of ' || w[doc_id % {len(TITLE_WORDS)} + 1] || '; ' || source || '; ' || upper(w[(doc_id * 7 + 3) % {len(TITLE_WORDS)} + 1]) END AS title
+ FROM documents, (SELECT [{", ".join(f"'{w}'" for w in TITLE_WORDS)}] AS w)"""
+DISEASES = [*nets.DISEASE_NETS, nets.UNLABELED]
+
+
+def titles(spark, d):
+    """Documents as samples whose titles name diseases and tissues."""
+    w = F.array(*[F.lit(x) for x in TITLE_WORDS])
+    pick = lambda at: F.element_at(w, (at % len(TITLE_WORDS) + 1).cast("int"))
+    named = F.concat(F.lit("RNA-seq of "), pick(F.col("doc_id")), F.lit("; "), "source", F.lit("; "), F.upper(pick(F.col("doc_id") * 7 + 3)))
+    title = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("control, no. "), F.col("doc_id").cast("string"))).otherwise(named)
+    return load(spark, d, "documents").select("doc_id", "source", "n_chars", title.alias("title"))
+
+
+_CARDIO, _TISSUE = sql_net("title", nets.DISEASE_NETS["cardiovascular"]), sql_net("title", nets.TISSUE_NET)
+
+
+@query(
+    f"""
+WITH t AS ({TITLES}), m AS (SELECT doc_id, lower(title) AS title, {sql_first("title", nets.DISEASE_NETS, nets.UNLABELED)} AS category, {" || ".join(f"CASE WHEN {sql_net('title', w)} THEN ['{n}'] ELSE [] END" for n, w in nets.DISEASE_NETS.items())} AS every, {_CARDIO} AS dis, {_TISSUE} AS tis FROM t)
+SELECT doc_id, category, array_to_string(every, ',') AS matched, CAST(len(every) AS INTEGER) AS n_matched, dis AS is_disease, tis AS is_tissue,
+  CASE WHEN NOT (dis OR tis) THEN NULL WHEN NOT dis THEN '{nets.TISSUE_ONLY}' ELSE {sql_first("title", nets.SUBTYPE_NETS, nets.UNRESOLVED)} END AS subtype,
+  CASE category {" ".join(f"WHEN '{k}' THEN '{nets.DISPLAY_NAMES[k]}'" for k in DISEASES)} END AS shown
+FROM m
+"""
+)
+def disease_labels(spark, d):
+    """The built-in nets over titles: first and all categories, subtypes, tissue hits and the category's name in reports."""
+    hay = nets.haystack(F.col("title"))
+    x = titles(spark, d).select("doc_id", hay.alias("hay")).withColumn("every", nets.all_matches(F.col("hay"), nets.DISEASE_NETS))
+    x = x.withColumn("is_disease", F.array_contains("every", "cardiovascular")).withColumn("is_tissue", nets.hits(F.col("hay"), nets.TISSUE_NET))
+    category = F.coalesce(F.get("every", F.lit(0)), F.lit(nets.UNLABELED))
+    subtype = F.when(F.col("is_disease") | F.col("is_tissue"), nets.subtype(F.col("hay"), F.col("is_disease")))
+    return x.select("doc_id", category.alias("category"), F.array_join("every", ",").alias("matched"), F.size("every").alias("n_matched"), "is_disease", "is_tissue", subtype.alias("subtype"), nets.display_name(category).alias("shown"))
+
+
+@query(breakdown_sql(PERSONS.replace(CATEGORY_SQL, sql_first("title", nets.DISEASE_NETS, nets.UNLABELED)).replace("FROM documents", f"FROM ({TITLES})"), DISEASES))
+def disease_breakdown(spark, d):
+    """The report by disease category over the built-in nets."""
+    ok = F.col("doc_id") % 5 != 0
+    key = F.when(ok, F.concat_ws("::", "source", (F.col("doc_id") % 50).cast("string"))).otherwise(F.concat(F.lit("__unresolved__::"), F.col("doc_id").cast("string")))
+    x = titles(spark, d).select("source", "n_chars", nets.first_match(F.lower("title"), nets.DISEASE_NETS).alias("category"), key.alias("person"), ok.alias("resolved"))
+    return groups.in_priority_order(groups.breakdown(x, "category", "person", "source", "n_chars", "resolved", [*DISEASES, groups.TOTAL]), "category", [*DISEASES, groups.TOTAL])

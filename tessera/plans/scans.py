@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import nets
-from tessera.sources import readers, writers
+from tessera.sources import matrix_files, readers, writers
 from tessera.session import load, shared_path
 from tessera.streaming import ingest
 
@@ -354,3 +354,12 @@ def resumed_predictions(spark, d):
     for most in (3, None):
         steps.answer_pending(q, "question_id", model, 64, schema, out, most=most)
     return spark.read.schema(schema).json(out)
+
+
+@query("SELECT CAST(i - 11 AS INT) AS dim, count(*) AS n, round(sum(CAST(embedding[i] AS DOUBLE)), 6) AS total FROM embeddings, range(11, 21) r(i) GROUP BY 1")
+def npy_columns(spark, d):
+    """Ten columns of all vectors, read from array files without the others."""
+    out = shared_path(spark, "arrays")
+    writers.npy(load(spark, d, "embeddings"), "embedding", out)
+    x = matrix_files.npy_slices(spark, out, columns="10:20").select(F.posexplode("vector").alias("dim", "v"))
+    return x.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 6).alias("total"))

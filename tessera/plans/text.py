@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import answers, chat, geometry
+from tessera.functions import answers, chat, geometry, images
 from tessera.operators import scoring
 from tessera.session import load
 
@@ -318,3 +318,28 @@ def tiles(spark, d):
 def resize_pad(spark, d):
     f = geometry.fit_and_pad(F.col("w"), F.col("h"), F.lit(672), F.lit(336))
     return dims(spark, d).withColumn("f", f).select("p_partkey", "f.new_width", "f.new_height", "f.x", "f.y", geometry.square_offsets(F.col("w"), F.col("h"))["side"].alias("side"))
+
+
+@query(
+    f"""
+WITH x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' ELSE 'jpeg' END AS kind, CAST(100 + n_chars % 1900 AS INT) AS w, CAST(80 + doc_id % 1200 AS INT) AS h FROM documents)
+, c AS (SELECT * FROM (VALUES {', '.join(f'({i},{a},{b})' for i, (a, b) in enumerate(SIZES))}) t(i, cw, ch))
+, e AS (SELECT *, least(CAST(trunc(w * least(CAST(cw AS DOUBLE)/w, CAST(ch AS DOUBLE)/h)) AS BIGINT) * CAST(trunc(h * least(CAST(cw AS DOUBLE)/w, CAST(ch AS DOUBLE)/h)) AS BIGINT), CAST(w AS BIGINT) * h) AS eff FROM x, c)
+, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY eff DESC, cw * ch - eff, i) AS rn FROM e)
+SELECT doc_id, kind, w AS width, h AS height, CAST(cw AS INT) AS best_w, CAST(ch AS INT) AS best_h FROM r WHERE rn = 1
+"""
+)
+def image_sizes(spark, d):
+    """Pictures as base64 text, their sizes read from the headers, and the resolution that fits each best."""
+    w, h = 100 + F.col("n_chars") % 1900, 80 + F.col("doc_id") % 1200
+    hexed = lambda c, n: F.lpad(F.hex(c), 2 * n, "0")
+    swapped = lambda c: F.concat(F.substring(hexed(c, 2), 3, 2), F.substring(hexed(c, 2), 1, 2))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hexed(w, 4), hexed(h, 4), F.lit("0802000000"))
+    gif = F.concat(F.lit("474946383961"), swapped(w), swapped(h), F.lit("F70000"))
+    comment = F.concat(F.lit("FFFE"), hexed(F.octet_length("text") % 60000 + 2, 2), F.hex(F.substring(F.encode("text", "UTF-8"), F.lit(1), F.octet_length("text") % 60000)))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000"), comment, F.lit("FFC2001108"), hexed(h, 2), hexed(w, 2), F.lit("03012200"))
+    data = F.when(F.col("doc_id") % 3 == 0, png).when(F.col("doc_id") % 3 == 1, gif).otherwise(jpeg)
+    text = F.concat(F.lit("data:image/x;base64,"), F.base64(F.unhex(data)))
+    got = load(spark, d, "documents").select("doc_id", images.size(images.from_base64(text)).alias("s")).select("doc_id", "s.*")
+    got = got.withColumn("b", geometry.best_resolution(F.col("width"), F.col("height"), list(SIZES)))
+    return got.select("doc_id", "kind", "width", "height", F.col("b.width").alias("best_w"), F.col("b.height").alias("best_h"))
