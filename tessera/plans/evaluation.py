@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import folds, grid, metrics, models
+from tessera.operators import folds, grid, metrics, models, sampling
 from tessera.session import load
 
 from .registry import query
@@ -158,33 +158,28 @@ def pca_var(spark, d):
     return own.select("component", "variance", F.element_at(F.array(*[F.lit(float(s)) for s in shares]), F.col("component") + 1).alias("share"))
 
 
-#: Rows that operators with a table of all pairs on one machine take; more is an error, no cut.
-MOST_ROWS = 20_000
-
-
-def vectors(spark, d):
-    """All ids and vectors on the driver, for report-sized tables of a checked number of rows."""
-    import numpy as np
-
-    e = load(spark, d, "embeddings").select("vec_id", "embedding")
-    if (n := e.count()) > MOST_ROWS:
-        raise ValueError(f"{n} rows: draw a sample of at most {MOST_ROWS} first")
-    rows = e.orderBy("vec_id").collect()
-    return [r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(len(rows), -1)
+#: Samples of the drawn maps, as published: all pairs of them are looked at by one machine.
+DRAWN = 2000
 
 
 @query()
 def linkage(spark, d):
-    """Leaf order of all vectors by average linkage on 1 - r."""
+    """Leaf order by average linkage on 1 - r of a draw of samples, all of them if they are fewer."""
     import numpy as np
 
-    ids, x = vectors(spark, d)
+    e = sampling.draw(load(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", DRAWN, 7).orderBy("vec_id").collect()
+    ids, x = [r.vec_id for r in e], np.array([r.embedding for r in e], float).reshape(len(e), -1)
     merges = models.average_linkage(1 - np.corrcoef(x))
     return spark.createDataFrame([(ids[k], i) for i, k in enumerate(models.leaf_order(merges))], "vec_id long, leaf int")
 
 
 @query()
 def tsne_map(spark, d):
-    ids, x = vectors(spark, d)
-    y = models.tsne(x, 30.0, 100)
-    return spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in zip(ids, y)], "vec_id long, x double, y double")
+    """A map of a draw of samples, by their first principal components over all samples."""
+    import numpy as np
+
+    e = load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    scored, _ = models.principal_components(e, "v", 50)
+    rows = sampling.draw(scored.select("vec_id", "scores"), "vec_id", DRAWN, 7).orderBy("vec_id").collect()
+    y = models.tsne(np.array([r.scores for r in rows], float), 30.0, 100)
+    return spark.createDataFrame([(r.vec_id, float(a), float(b)) for r, (a, b) in zip(rows, y)], "vec_id long, x double, y double")

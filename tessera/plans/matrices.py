@@ -98,11 +98,20 @@ def beta_series(spark, d):
     return b.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("fold", "rank", "feature", F.round("a", 8).alias("abs_coef"))
 
 
-@query("WITH k AS (SELECT * FROM (VALUES (0, 1.5::DOUBLE), (7, -2.0::DOUBLE), (63, 0.25::DOUBLE)) t(feature, coef)) SELECT CAST(i AS INT) AS feature, coalesce(coef, 0.0::DOUBLE) AS coef FROM range(64) r(i) LEFT JOIN k ON k.feature = i")
+@query(
+    FULL
+    + """, v AS (SELECT feature, var_pop(value) AS variance, avg(value) FILTER (sample % 2 = 0) - avg(value) FILTER (sample % 2 = 1) AS coef FROM c GROUP BY 1)
+, k AS (SELECT feature, coef FROM v ORDER BY round(variance, 12) DESC, feature LIMIT 10)
+SELECT CAST(v.feature AS INT) AS feature, round(coalesce(k.coef, 0.0::DOUBLE), 9) AS coef FROM v LEFT JOIN k USING (feature)"""
+)
 def coef_scatter(spark, d):
-    """Coefficients of chosen features laid out over the full width."""
-    k = spark.createDataFrame([(0, 1.5), (7, -2.0), (63, 0.25)], "feature int, coef double")
-    return spark.range(64).select(F.col("id").cast("int").alias("feature")).join(F.broadcast(k), "feature", "left").na.fill(0.0, ["coef"])
+    """Coefficients of the ten most variable features laid out over the full width, zeros elsewhere."""
+    c = cells(spark, d, None)
+    mean = lambda odd: F.avg(F.when(F.col("sample") % 2 == odd, F.col("value")))
+    fitted = c.groupBy("feature").agg((mean(0) - mean(1)).alias("coef"))
+    chosen = matrix.most_variable(c, 10).select("feature")
+    kept = fitted.join(F.broadcast(chosen), "feature")  # ten rows
+    return fitted.select("feature").join(kept, "feature", "left").select("feature", F.round(F.coalesce("coef", F.lit(0.0)), 9).alias("coef"))
 
 
 PAIRS = FULL + " SELECT a.sample AS i, b.sample AS j, corr(a.value, b.value) AS r FROM c a JOIN c b USING (feature) WHERE a.sample < b.sample GROUP BY ALL"

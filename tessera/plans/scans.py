@@ -257,11 +257,12 @@ def json_export(spark, d):
 
 @query()
 def toy_corpus(spark, d):
-    """A synthetic corpus labelled and summed: positives by net and mean library size."""
+    """A synthetic count corpus with a sample per document, labelled and summed: samples by net and mean library size."""
     from tessera.sources import toy
 
-    s = toy.samples(spark, 400)
-    size = toy.counts(spark, 60, 400).groupBy("sample_index").agg(F.sum("count").alias("library_size"))
+    ids = load(spark, d, "documents").select("doc_id")
+    s = toy.samples(spark, ids)
+    size = toy.counts(spark, 60, ids).groupBy("sample_index").agg(F.sum("count").alias("library_size"))
     label = nets.first_match(nets.haystack(F.col("title"), F.col("source_name_ch1"), F.col("characteristics_ch1")), nets.DISEASE_NETS)
     return s.join(size, "sample_index", "left").groupBy(label.alias("category")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("library_size", F.lit(0))).alias("mean_size"))
 
