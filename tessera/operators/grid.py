@@ -164,3 +164,17 @@ def scores(df: DataFrame, features: str, columns: list[str], w: np.ndarray, b: n
                 yield pa.RecordBatch.from_arrays([*t.columns[1:], pa.array(np.full(len(t), m, np.int32)), pa.array(p[:, m])], [*columns, "model", "score"])
 
     return df.select(features, *columns).mapInArrow(run, kind.add("model", "integer").add("score", "double"))
+
+
+def cross_validate(df: DataFrame, features: str, y: str, k: int, fold: str = "fold", c: float = 1.0, l1_ratio: float = 0.0) -> DataFrame:
+    """The rows of ``df`` without features, with ``score``: held-out scores of each of the folds 0 to k - 1 by a balanced model of
+    the others. All folds are fitted in the same passes."""
+    keep = [x for x in df.columns if x != features]
+    pos = F.col(y) == 1
+    inside = [F.col(fold) != j for j in range(k)]
+    n = df.agg(*[F.count_if(m).alias(f"n{j}") for j, m in enumerate(inside)], *[F.count_if(m & pos).alias(f"p{j}") for j, m in enumerate(inside)]).first()
+    weight = lambda j: F.when(inside[j], F.when(pos, n[f"n{j}"] / (2.0 * max(n[f"p{j}"], 1))).otherwise(n[f"n{j}"] / (2.0 * max(n[f"n{j}"] - n[f"p{j}"], 1)))).otherwise(0.0)
+    packed = B.pack(df.select(F.col(features), pos.cast("double").alias("_y"), *[weight(j).alias(f"_w{j}") for j in range(k)]), features, ["_y", *[f"_w{j}" for j in range(k)]])
+    w, b, _ = fit(packed, df.select(F.size(features)).first()[0], 0, list(range(1, k + 1)), [(j, c, l1_ratio) for j in range(k)])
+    packed.unpersist()
+    return scores(df, features, keep, w, b).where(F.col("model") == F.col(fold)).drop("model")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cohort, evaluation, matrices, scans, selection, text  # noqa: F401  (they register their queries)
+from . import cohort, evaluation, matrices, runs, scans, selection, text  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,3 +94,16 @@ def resolve(names: list[str], pattern: str, explicit: str | None = None) -> str:
     if not found:
         raise FileNotFoundError(pattern)
     return found[0]
+
+
+def first_scalar(spark: SparkSession, paths: list[str], keys: list[str]) -> float | None:
+    """The number under the first of ``keys`` in the first of the JSON files that exists; None if there is none."""
+    for path in paths:
+        try:
+            text = spark.read.text(path, wholetext=True).agg(F.max("value").alias("t"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        return text.select(F.coalesce(*[F.get_json_object("t", f"$.{k}").cast("double") for k in keys]).alias("x")).first().x
+    return None

@@ -75,3 +75,8 @@ def markdown(df: DataFrame, headers: dict[str, str] | None = None) -> str:
     head = [(headers or {}).get(c, c) for c in names]
     rows = ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.collect()]
     return "\n".join(["| " + " | ".join(head) + " |", "|" + "---|" * len(names), *rows])
+
+
+def report(sections: list[tuple[str, DataFrame]], headers: dict[str, str] | None = None) -> str:
+    """A Markdown report: a heading and a report-sized table per section."""
+    return "\n\n".join(f"## {title}\n\n{markdown(df, headers)}" for title, df in sections) + "\n"

@@ -407,3 +407,20 @@ def test_many_groups_are_dealt_without_the_driver(spark, monkeypatch):
     assert folds.leaking_groups(got, "g").count() == 0 and got.count() == 60_000
     for r in [*folds.fold_table(got, "g", "y").collect(), *whole]:
         assert abs(r.n / 12_000 - 1) < 0.01 and abs(r.n_pos / (60_000 / 25) - 1) < 0.05
+
+
+def test_folds_fitted_side_by_side(spark):
+    _, _, df = noisy(spark)
+    x = df.withColumn("fold", (F.col("id") % 3).cast("int"))
+    a = grid.cross_validate(x, "v", "y", 3).toPandas().set_index("id").score.sort_index()
+    b = models.cross_validate(x, "v", "y", "fold").toPandas().set_index("id").score.sort_index()
+    assert len(a) == 300 and np.abs(a - b).max() < 1e-4
+
+
+def test_reports_and_reference_numbers(spark, tmp_path):
+    x = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    assert writers.report([("One", x), ("Two", x.limit(0))], {"k": "Key"}) == "## One\n\n| Key | v |\n|---|---|\n| 1 | a |\n| 2 |  |\n\n## Two\n\n| Key | v |\n|---|---|\n"
+    (tmp_path / "b.json").write_text('{"n": 3, "auc": 0.75}')
+    path = lambda n: f"file://{tmp_path}/{n}.json"
+    assert readers.first_scalar(spark, [path("a"), path("b")], ["mean_auc", "auc", "n"]) == 0.75
+    assert readers.first_scalar(spark, [path("b")], ["x"]) is None and readers.first_scalar(spark, [path("a")], ["x"]) is None
