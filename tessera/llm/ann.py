@@ -106,7 +106,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def usable(table: DataFrame, id_col="vec_id", vec_col="embedding") -> DataFrame:
     """``vec_id, v, dim``: rows with an id whose vector has finite numbers only and isn't all zeros."""
     v = F.col(vec_col).cast("array<double>")
-    fine = F.size(v).between(1, 1 << 20) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    fine = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(fine & F.col("vec_id").isNotNull()).withColumn("dim", F.size("v"))
 
 

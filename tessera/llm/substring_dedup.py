@@ -217,7 +217,7 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", block_bytes: int =
 
     A null text has no words; texts under WINDOW words lose none. A row without an id is kept whole and
     takes no windows from others. Rows of one id take nothing from each other, as neither id is smaller.
-    Very long texts are cut into blocks with the overlap that windows need. Other columns play no part, whatever
+    A document is in one block, however long it is, and a task holds a block's words several times over. Other columns play no part, whatever
     their names; an empty table gives an empty result.
     """
     return _run(docs, id_col, text_col, block_bytes, False)
