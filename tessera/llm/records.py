@@ -28,8 +28,8 @@ POLY, MASK = 0x82F63B78, 0xA282EAD8
 CHUNK = 512
 HEADER = "<BBxxq"
 END_ID = 1
-#: Characters tokenized at a time, words kept in a task's cache.
-SLICE_CHARS, CACHE_WORDS = 4_000_000, 600_000
+#: Characters tokenized at a time, words kept in a Python worker's cache.
+SLICE_CHARS, CACHE_WORDS = 4_000_000, 900_000
 #: Text bytes per file: a task knows a word once, so fewer and larger files cost less.
 FILE_BYTES = 64 << 20
 #: Words whose letters and closing stops the tokenizer keeps apart; composed letters only.
@@ -195,6 +195,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
     key = key.withColumn("h", F.xxhash64("text"))
     n = files or max(1, -(-(key.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
     order = ["doc_id", "h", "salt"]  # the salt lets rows that are alike be dealt to several files
+    shared = spark.sparkContext.broadcast({})  # a worker that serves several tasks keeps its encoder and known words with it
     dealt = key.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("h", "salt")
 
     def run(batches):
@@ -212,7 +213,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
             cuts = cuts[cuts <= len(sizes)]
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if encoder is None:
-                    encoder = WordEncoder(path, end_id, cache_words)
+                    held = shared.value
+                    if "encoder" not in held:
+                        held["encoder"] = WordEncoder(path, end_id, cache_words)
+                    encoder = held["encoder"]
                     fs, at = common.open_fs(target)
                     fs.create_dir(os.path.dirname(at), recursive=True)
                     out = fs.open_output_stream(at + ".rec")
