@@ -115,8 +115,8 @@ def pick_groups(src: int, sizes: dict[int, int], target: float, capped: bool, mo
 
 
 def permutation(n: int, seed: int, src: int) -> tuple[int, int]:
-    """(a, c) of a permutation i -> (a i + c) mod n that spreads neighbours."""
-    a = max(1, round(n * 0.6180339887498949))
+    """(a, c) of a permutation i -> (a i + c) mod n that spreads neighbours; both follow the seed, so another one gives other neighbours."""
+    a = max(1, round(n * 0.6180339887498949) - _seed(seed, "step", src) % max(n // 8, 1))
     while math.gcd(a, n) != 1:
         a += 1
     return a, _seed(seed, "draws", src) % max(n, 1)
@@ -177,19 +177,20 @@ def with_blocks(docs: DataFrame, sources: DataFrame, id_col="doc_id", groups=GRO
 
 
 def taken(docs: DataFrame, groups=GROUPS, most=3, **options) -> DataFrame:
-    """``doc_id, size, source_size, target, taken``, a row per row of ``docs``.
+    """``doc_id, size, source_size, target, taken, shards``, a row per row of ``docs``.
 
+    ``shards`` are the output shards that the splitting tree deals the row's draws to, in order, comma-joined: ``most`` at most.
     A null text or one without words has size 0; a null source is a source of its own, the last; rows of a
     null id are one block's. Rows of a repeated id are drawn together; a very long document is drawn whole. Other
     columns play no part, whatever their names. An empty table gives an empty result.
     """
     sized, sources, draws = draw_plan(docs, groups=groups, most=most, **options)
-    times = draws.groupBy("src", "grp", "sub").agg(F.count(F.lit(1)).alias("times"))
+    times = draws.groupBy("src", "grp", "sub").agg(F.count(F.lit(1)).alias("times"), F.array_join(F.sort_array(F.collect_list("shard")), ",").alias("shards"))
     tagged = with_blocks(sized, sources, groups=groups, seed=options.get("seed", SEED))
     out = tagged.join(times, ["src", "grp", "sub"], "left")
     facts = sources.select("src", "source_size", "target")
     facts = F.broadcast(facts) if sources.count() <= BROADCAST_ROWS else facts
-    return out.join(facts, "src").select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
+    return out.join(facts, "src").select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"), F.coalesce("shards", F.lit("")).alias("shards"))
 
 
 def mix(docs: DataFrame, groups=GROUPS, most=3, seed=SEED, **options) -> DataFrame:

@@ -824,3 +824,29 @@ def test_pages_query(spark, sf):
         blocks = [" ".join(__import__("html").unescape(re.sub(r"</?b>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", body)]
         assert html_text.main_text(r.html) == " ".join(x for x in blocks if x)
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_shards_of_the_query_are_those_of_the_tree(spark):
+    rng = random.Random(31)
+    rows = [(i, "w " * rng.randint(0, 60), f"s{rng.randint(0, 4)}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"block_words": 100, "shard_words": 1500}
+    got = {r.doc_id: r for r in mixing.taken(docs, **options).collect()}
+    _, sources, draws = mixing.draw_plan(docs, **options)
+    per = Counter(r.shard for r in draws.collect())
+    assert len(per) > 3 and max(per.values()) - min(per.values()) <= 1  # the tree splits draws evenly
+    for d, t, _ in rows:
+        shards = [int(x) for x in got[d].shards.split(",") if x]
+        assert shards == sorted(shards) and got[d].taken == len(shards) * got[d].size and len(shards) <= 3
+    mixed = mixing.mix(docs, **options).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in mixed} == {d: len(r.shards.split(",")) for d, r in got.items() if r.shards}
+
+
+def test_permutations_follow_the_seed():
+    for n in (1, 2, 7, 64, 1000, 99_991):
+        steps = set()
+        for seed in range(12):
+            a, c = mixing.permutation(n, seed, 0)
+            assert len({(a * i + c) % n for i in range(n)}) == n
+            steps.add(a)
+        assert len(steps) > 2 or n < 64
