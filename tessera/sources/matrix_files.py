@@ -3,12 +3,14 @@
     spark.dataSource.register(NpySource)
     spark.read.format("npy_slices").option("rows", "100:110").option("columns", "5:8").load(path)
 
-Files have one or two dimensions of numbers. ``rows`` and ``columns`` are ranges of each file; conditions on ``row`` narrow the range
+Files have one or two dimensions of numbers; where a folder has a ``_manifest`` (``writers.npy``), its files are read. ``rows`` and ``columns`` are ranges of each file; conditions on ``row`` narrow the range
 further where Spark hands filters on (its setting PUSHDOWN, and the option ``pushdown``), and are checked by Spark again.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
@@ -54,6 +56,10 @@ class NpyReader(DataSourceReader):
         system, root = fs.FileSystem.from_uri(self.path)
         info = system.get_file_info(root)
         files = [info] if info.is_file else [x for x in system.get_file_info(fs.FileSelector(root, recursive=True)) if x.is_file and x.base_name.endswith(".npy")]
+        lists = [] if info.is_file else [x for x in system.get_file_info(fs.FileSelector(f"{root}/_manifest", allow_not_found=True)) if x.base_name.endswith(".json")]
+        if lists:  # only what attempts that ended well have written
+            known = {json.loads(line)["file"] for x in lists for line in system.open_input_stream(x.path).read().splitlines()}
+            files = [x for x in files if x.base_name in known]
         out = []
         for x in sorted(files, key=lambda x: x.path):
             with system.open_input_file(x.path) as f:

@@ -64,7 +64,7 @@ def shards(spark: SparkSession, path: str, pattern: str, schema: str, fmt: str =
 
 
 def npy(spark: SparkSession, path: str) -> DataFrame:
-    """``file, row, vector`` of .npy files of one or two dimensions."""
+    """``file, row, vector`` of .npy files of one or two dimensions; where a folder has a ``_manifest``, of those that it lists."""
     import io
 
     import numpy as np
@@ -76,7 +76,14 @@ def npy(spark: SparkSession, path: str) -> DataFrame:
                 x = np.atleast_2d(np.load(io.BytesIO(data.as_py()), allow_pickle=False)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(x)), pa.array(np.arange(len(x))), pa.array(list(x), pa.list_(pa.float64()))], ["file", "row", "vector"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row long, vector array<double>")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+    try:
+        listed = spark.read.schema("file string").json(f"{path}/_manifest")
+        files = files.join(listed, F.substring_index("path", "/", -1) == F.col("file"), "left_semi")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return files.mapInArrow(run, "file string, row long, vector array<double>")
 
 
 def in_order(df: DataFrame, key: str, wanted: list) -> DataFrame:

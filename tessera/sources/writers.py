@@ -24,13 +24,15 @@ def json_array(df: DataFrame, path: str, order: list) -> None:
 
 
 def npy(df: DataFrame, column: str, path: str) -> int:
-    """The vectors of ``column`` as .npy matrices in the folder ``path``, one per batch of a task; the number of rows.
+    """The vectors of ``column`` as .npy matrices in the folder ``path``, some per task; the number of rows.
 
-    A file is named by its partition and batch, so that a repeated task writes the same files again.
+    Each attempt of a task writes under names of its own, and ``_manifest`` below ``path``, JSON lines that Spark commits at the end,
+    lists the files of those that ended well. Readers go by it, so what a lost attempt left behind is never read.
     """
 
     def run(batches):
         import io
+        import uuid
 
         import numpy as np
         import pyarrow as pa
@@ -39,18 +41,21 @@ def npy(df: DataFrame, column: str, path: str) -> int:
 
         target, root = fs.FileSystem.from_uri(path)
         target.create_dir(root, recursive=True)
+        attempt = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         for k, b in enumerate(batches):
             rows = b.column(0).to_pylist()
             if not rows:
                 continue
             held = io.BytesIO()
             np.save(held, np.array(rows, np.float64))
-            with target.open_output_stream(f"{root}/part-{TaskContext.get().partitionId():06d}-{k:06d}.npy") as f:
+            name = f"{attempt}-{k:06d}.npy"
+            with target.open_output_stream(f"{root}/{name}") as f:
                 f.write(held.getvalue())
-            yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)], pa.int64())], ["file", "n"])
 
-    rows = df.select(F.col(column).cast("array<double>").alias("v")).where("v is not null").mapInArrow(run, "n long")
-    return rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    listed = df.select(F.col(column).cast("array<double>").alias("v")).where("v is not null").mapInArrow(run, "file string, n long")
+    listed.write.mode("overwrite").json(f"{path}/_manifest")
+    return df.sparkSession.read.schema("file string, n long").json(f"{path}/_manifest").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def as_json(df: DataFrame) -> DataFrame:

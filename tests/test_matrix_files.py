@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources import matrix_files, writers
+from tessera.sources import matrix_files, readers, writers
 
 
 def rows(df):
@@ -76,3 +76,13 @@ def test_written_vectors(spark, tmp_path):
     assert writers.npy(df, "v", f"file://{tmp_path}/out") == 50
     got = matrix_files.npy_slices(spark, f"file://{tmp_path}/out", columns="0:1")
     assert sorted(r.vector[0] for r in got.collect()) == list(range(50))
+
+
+def test_files_of_lost_attempts_are_not_read(spark, tmp_path):
+    df = spark.range(50).select(F.array(F.col("id").cast("double")).alias("v")).repartition(3)
+    out = f"file://{tmp_path}/out"
+    assert writers.npy(df, "v", out) == 50
+    np.save(tmp_path / "out" / "part-000001-lost-000000.npy", np.ones((9, 1)))
+    assert readers.npy(spark, out).count() == 50 and matrix_files.npy_slices(spark, out).count() == 50
+    assert writers.npy(df.limit(7), "v", out) == 7  # written again: the earlier files are no longer listed
+    assert readers.npy(spark, out).count() == 7 and matrix_files.npy_slices(spark, out).count() == 7
