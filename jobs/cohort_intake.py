@@ -44,13 +44,14 @@ def label(rows: DataFrame, config: dict) -> DataFrame:
     hay = nets.haystack(*[F.col(c) for c in config["text"]])
     body = F.concat_ws(", ", *[F.coalesce(F.col(c), F.lit("")) for c in config["text"]])
     series, pid = F.coalesce(F.col(config["series"]), F.lit("")), entity.patient_id(body)
-    got = rows.select(
+    got = rows.withColumn("_hay", hay).select(
         F.col(config["id"]).cast("bigint").alias("doc_id"), series.alias("series"), F.col(config["measure"]).cast("bigint").alias("measure"),
-        nets.all_matches(hay, categories(config)).alias("matched"), nets.first_match(hay, config["subtypes"], nets.UNRESOLVED).alias("subtype"), pid.alias("pid"),
+        nets.all_matches(F.col("_hay"), categories(config)).alias("matched"), F.col("_hay").alias("hay"), pid.alias("pid"),
     )
+    subtype = nets.first_match(F.col("hay"), config["subtypes"], nets.UNRESOLVED)
     category = F.coalesce(F.get("matched", F.lit(0)), F.lit(nets.UNLABELED))
     return got.select(
-        "doc_id", "series", "measure", F.size("matched").alias("n_matched"), "matched", F.when(category == config["subtyped"], F.col("subtype")).alias("subtype"),
+        "doc_id", "series", "measure", F.size("matched").alias("n_matched"), "matched", F.when(category == config["subtyped"], subtype).alias("subtype"),
         entity.patient_key(F.col("series"), F.col("pid"), F.col("doc_id").cast("string"), F.col("doc_id")).alias("person"), (F.col("pid").isNotNull() & (F.col("series") != "")).alias("resolved"), category.alias("category"),
     )
 

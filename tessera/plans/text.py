@@ -340,6 +340,7 @@ def image_sizes(spark, d):
     jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000"), comment, F.lit("FFC2001108"), hexed(h, 2), hexed(w, 2), F.lit("03012200"))
     data = F.when(F.col("doc_id") % 3 == 0, png).when(F.col("doc_id") % 3 == 1, gif).otherwise(jpeg)
     text = F.concat(F.lit("data:image/x;base64,"), F.base64(F.unhex(data)))
-    got = load(spark, d, "documents").select("doc_id", images.size(images.from_base64(text)).alias("s")).select("doc_id", "s.*")
+    got = load(spark, d, "documents").select("doc_id", images.from_base64(text).alias("data"))
+    got = got.select("doc_id", images.size(F.col("data")).alias("s")).select("doc_id", "s.*")
     got = got.withColumn("b", geometry.best_resolution(F.col("width"), F.col("height"), list(SIZES)))
     return got.select("doc_id", "kind", "width", "height", F.col("b.width").alias("best_w"), F.col("b.height").alias("best_h"))
