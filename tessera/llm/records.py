@@ -182,20 +182,21 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int | None = END_ID, files: int | None = None, id_col="doc_id", text_col="text", cache_words: int = CACHE_WORDS) -> DataFrame:
+def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int | None = END_ID, files: int | None = None, id_col="doc_id", text_col="text", cache_words: int = CACHE_WORDS, keep: bool = False) -> DataFrame:
     """Writes all rows in ascending id order as record files under ``folder``; returns the manifest.
 
     Manifest: a row per file with ``part, file, records, tokens, start`` (``start``: ids in all files
     before). Rows with a null id come first; a null text counts as empty and has the end id only. Rows
     of one id follow each other in the order of their texts' hashes; they may go to different files. A task
-    writes under a name of its own, and only the attempt that ends well gets into the manifest.
+    writes under a name of its own, and only the attempt that ends well gets into the manifest. ``keep``: a Python worker keeps
+    its encoder and known words from task to task, which takes less time and more memory.
     """
     spark = docs.sparkSession
     key = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     key = key.withColumn("h", F.xxhash64("text"))
     n = files or max(1, -(-(key.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
     order = ["doc_id", "h", "salt"]  # the salt lets rows that are alike be dealt to several files
-    shared = spark.sparkContext.broadcast({})  # a worker that serves several tasks keeps its encoder and known words with it
+    shared = spark.sparkContext.broadcast({}) if keep else None  # a worker has the same object in all its tasks
     dealt = key.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("h", "salt")
 
     def run(batches):
@@ -213,10 +214,11 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
             cuts = cuts[cuts <= len(sizes)]
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if encoder is None:
-                    held = shared.value
+                    held = shared.value if keep else {}
                     if "encoder" not in held:
                         held["encoder"] = WordEncoder(path, end_id, cache_words)
                     encoder = held["encoder"]
+                    held = None
                     fs, at = common.open_fs(target)
                     fs.create_dir(os.path.dirname(at), recursive=True)
                     out = fs.open_output_stream(at + ".rec")
@@ -334,16 +336,16 @@ def read_records(manifest: DataFrame, files: int | None = None) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenize_and_read(docs: DataFrame, tokenizer: str | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
+def tokenize_and_read(docs: DataFrame, tokenizer: str | None = None, cache_words: int = CACHE_WORDS, keep: bool = False) -> DataFrame:
     """Writes ``docs`` as record files in the shared folder and reads them back.
 
     A null text counts as empty; very long texts are encoded whole; rows that are alike get records of their own, in
     any order among each other. Other columns play no part, whatever their names; an empty table gives an empty
     result. ``cache_words`` trades a task's memory (some 140 bytes a word) for time; it changes no result."""
     folder = common.new_path(docs.sparkSession, "records")
-    return read_records(write_records(docs, folder, tokenizer, cache_words=cache_words))
+    return read_records(write_records(docs, folder, tokenizer, cache_words=cache_words, keep=keep))
 
 
 def op2_token_records(spark, sf_dir: str) -> DataFrame:
     """The contract's query over all of ``documents``."""
-    return tokenize_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return tokenize_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=True)

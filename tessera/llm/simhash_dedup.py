@@ -171,6 +171,7 @@ def links(fps: DataFrame, r: int = 2, m: int = 4) -> DataFrame:
             got = [group_links(np.repeat(np.arange(len(size)), size)[few], fp[few], r)]
             got += [spanning_links(fp[at[i] : at[i + 1]], r) for i in np.nonzero(size > GROUP)[0].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in got])) for k in (0, 1)], ["a", "b"])
+        common.release_memory()
 
     keyed = _keyed(fps.select("fp"), masks)
     sizes = common.written(_sizes(keyed, ["t", "bits"]), "blocks")
@@ -293,6 +294,7 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
             for i in range(0, len(x), 100_000):
                 u, v = x[i : i + 100_000], y[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+        common.release_memory()
 
     keyed = nodes.select("doc_id", "fp", "n", F.explode("bits").alias("bits")).withColumn("t", F.lit(0))
     sizes = common.written(_sizes(keyed, ["bits"]), "anchors")
@@ -345,6 +347,7 @@ def dense_pairs(nodes: DataFrame, k: int) -> DataFrame:
                 u, v = ids[i:j][x], ids[i:j][y]
                 for e in range(0, len(u), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(f(u[e : e + 100_000], v[e : e + 100_000])) for f in (np.minimum, np.maximum)], ["a", "b"])
+        common.release_memory()
 
     keyed = nodes.select("doc_id", "fp", "n", "comp", F.explode("bits").alias("bits"))
     # Groups within one component have nothing to add.
@@ -376,6 +379,8 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, k: int = SHINGLE) -> DataFr
         for b in batches:
             sets = [np.unique(np.array(shingles(x.as_py() or b"", k), np.uint64)).view(np.int64) for x in b.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "s"])
+        b = sets = None
+        common.release_memory()
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     some = common.filter_by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids, "doc_id", "left_semi")
