@@ -14,10 +14,10 @@ SEGMENTS = 64
 
 
 def number(data: Column, at, size: int, little: bool = False) -> Column:
-    """The unsigned integer in ``size`` bytes from ``at`` (from 0), null beyond the end."""
+    """The unsigned integer in ``size`` bytes from ``at`` (from 0), null beyond the end and beyond 31 bits."""
     part = F.hex(F.substring(data, at + 1 if isinstance(at, Column) else F.lit(at + 1), F.lit(size)))
     digits = F.concat(*[F.substring(part, 2 * i + 1, 2) for i in reversed(range(size))]) if little else part
-    return F.when(F.length(part) == 2 * size, F.conv(digits, 16, 10).cast("int"))
+    return F.when(F.length(part) == 2 * size, F.conv(digits, 16, 10).try_cast("int"))
 
 
 def _jpeg(data: Column) -> Column:

@@ -24,7 +24,7 @@ def jpeg(w, h, frame=0xC0, before=()):
 CASES = [
     (png(1, 2), "png", 1, 2), (png(100_000, 70_000), "png", 100_000, 70_000), (gif(513, 258), "gif", 513, 258), (gif(5, 6, b"87a"), "gif", 5, 6),
     (jpeg(640, 480), "jpeg", 640, 480), (jpeg(65_535, 1, 0xC2, [(0xE0, b"JFIF\0"), (0xE1, b"\xff\xc0" * 30_000), (0xC4, b"huffman"), (0xFE, b"")]), "jpeg", 65_535, 1),
-    (b"\xff\xd8\xff\xff\xff\xc0" + struct.pack(">HBHH", 17, 8, 3, 4), "jpeg", 4, 3), (png(1, 2)[:20], None, None, None), (jpeg(7, 8)[:8], None, None, None), (b"\xff\xd8", None, None, None), (b"BM text", None, None, None), (b"", None, None, None), (None, None, None, None),
+    (b"\xff\xd8\xff\xff\xff\xc0" + struct.pack(">HBHH", 17, 8, 3, 4), "jpeg", 4, 3), (png(1, 2)[:20], None, None, None), (png(4_000_000_000, 2), None, None, None), (jpeg(7, 8)[:8], None, None, None), (b"\xff\xd8", None, None, None), (b"BM text", None, None, None), (b"", None, None, None), (None, None, None, None),
 ]
 
 
