@@ -299,7 +299,8 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
     keyed = nodes.select("doc_id", "fp", "n", F.explode("bits").alias("bits")).withColumn("t", F.lit(0))
     sizes = common.written(_sizes(keyed, ["bits"]), "anchors")
     met = keyed.join(sizes.where(F.col("n") <= LIMIT).select("bits"), "bits", "left_semi")
-    out = met.repartition(parts, "bits").sortWithinPartitions("bits").mapInArrow(compare, "a long, b long")
+    # In the order of ids the trees of one family are alike under all its anchors: the same pairs come again and again, not others.
+    out = met.repartition(parts, "bits").sortWithinPartitions("bits", "doc_id").mapInArrow(compare, "a long, b long")
     big = sizes.where(F.col("n") > LIMIT).select("bits")
     if not big.isEmpty():
         held = common.written(keyed.join(big, "bits", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("rep")), "hot")
@@ -354,7 +355,7 @@ def dense_pairs(nodes: DataFrame, k: int) -> DataFrame:
     sizes = keyed.groupBy("bits").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     dense = sizes.where((F.col("size") > GROUP) & (F.col("size") <= LIMIT) & (F.col("lo") < F.col("hi"))).select("bits")
     met = keyed.join(dense, "bits", "left_semi").withColumn("t", F.lit(0))
-    return met.repartition(parts, "bits").sortWithinPartitions("bits").mapInArrow(compare, "a long, b long").distinct()
+    return met.repartition(parts, "bits").sortWithinPartitions("bits", "doc_id").mapInArrow(compare, "a long, b long").distinct()
 
 
 def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
