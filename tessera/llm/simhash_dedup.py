@@ -20,14 +20,13 @@ from . import common
 
 #: Distinct fingerprints of one key that are compared pairwise; those that one task searches; beyond, the key is cut again.
 GROUP, LIMIT = 64, 16384
-#: The near-dedup stage: words of a shingle, and the radii of the forests of large groups. Sets of similarity 0.8
-#: differ in 9.7 bits on average, with a deviation of 2.9; the last radius is also that of all candidates, except
-#: where a set has fewer than SMALL shingles, as each of these decides many bits: there all bits may differ.
-SHINGLE, RADII, SMALL = 5, (3, 8, 13, 18, 24), 100
-#: Anchors of a set that are compared before whole sets are.
-SAMPLE = 64
-#: Documents of other components that each document of a dense group is compared with after the forests, round by round.
-NEAREST = (4, 16)
+#: The near-dedup stage: words of a shingle, the least and most bits of a set's parity sketch, and the radius within which a
+#: family is searched first. Sets of similarity 0.8 differ in 9.7 bits of their SimHash on average, with a deviation of 2.9.
+SHINGLE, PARITY, RADIUS = 5, (128, 16384), 24
+#: Documents of one anchor that are compared pairwise at once; of more, a spanning forest is looked for.
+FEW = 4
+#: Shingles of a family that one task holds (twice: tasks are pairs of parts); larger families are cut.
+FAMILY = 2_000_000
 
 
 def shingles(text: bytes, k: int = 3) -> list[int]:
@@ -206,39 +205,74 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def parities(flat: np.ndarray, row: np.ndarray, rows: int, width: int) -> np.ndarray:
+    """Per row the parity of the number of its hashes in each of ``width`` buckets, as 64-bit words."""
+    odd = np.bincount(row * width + (flat & np.uint64(width - 1)).astype(np.int64), minlength=rows * width) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(rows, width), axis=1).view(np.uint64)
+
+
+def parity_bits(n: int) -> int:
+    """Bits of the sketch of a set of ``n``: half of it at least, as unlike sets could not be told apart by fewer."""
+    return min(max(PARITY[0], 1 << max(0, (n + 1) // 2 - 1).bit_length()), PARITY[1])
+
+
 def alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Whether sets of these sizes can have a similarity of 0.8."""
     return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
 
 
-def close_by(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Whether fingerprints of sets of sizes ``n`` and ``m`` may be of sets of similarity 0.8."""
-    return ((np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= RADII[-1]) | (np.minimum(n, m) < SMALL)) & alike(n, m)
+class Sketches:
+    """Sizes and parity sketches of sets, and which pairs of them can have a similarity of 0.8.
 
+    Sets of similarity 0.8 differ in at most (n + m) / 9 elements, and each of these changes the parity of one bucket. So a
+    pair whose sketches differ in more is denied, and never wrongly. Sketches of alike sets are of one width or of one and
+    its double, which folds to the half by exclusive or.
+    """
 
-def forests(fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs: for each radius of RADII, and for small sets one of all bits, a spanning forest of the fingerprints
-    within it and of sizes ``n`` that are alike, so that a dense group gives a few links a member, and the nearest ones first."""
-    u = fp.view(np.uint64)
-    a, b = [], []
-    for r in (*RADII, 64):
-        rest = np.arange(len(u)) if r < 64 else np.nonzero(n < SMALL)[0]
+    def __init__(self, n: np.ndarray, sketches: list[bytes]):
+        self.n, self.place = n, np.zeros(len(n), np.int64)
+        self.width = np.array([len(x) for x in sketches], np.int64)
+        self.own, self.half = {}, {}
+        for w in np.unique(self.width).tolist():
+            at = np.nonzero(self.width == w)[0]
+            self.place[at] = np.arange(len(at))
+            m = self.own[w] = np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1)
+            self.half[w] = m[:, : w // 16] ^ m[:, w // 16 :]
+
+    def possible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For each pair of indices of ``x`` and ``y``."""
+        ok = alike(self.n[x], self.n[y])
+        i = np.nonzero(ok)[0]
+        x, y = x[i], y[i]
+        swap = self.width[x] > self.width[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        far, wx, wy = np.empty(len(i), np.int64), self.width[x], self.width[y]
+        for w in np.unique(wx).tolist():
+            for v, of in ((w, self.own), (2 * w, self.half)):
+                k = np.nonzero((wx == w) & (wy == v))[0]
+                if len(k):
+                    far[k] = np.bitwise_count(self.own[w][self.place[x[k]]] ^ of[v][self.place[y[k]]]).sum(axis=1, dtype=np.int64)
+        ok[i] = 9 * far <= self.n[x] + self.n[y]
+        return ok
+
+    def forest(self, start: int, end: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Pairs of indices from ``start`` to ``end``: a spanning forest of the possible ones."""
+        a, b, rest = [], [], np.arange(start, end)
         while len(rest):
             queue, rest = [rest[:1]], rest[1:]
             while queue and len(rest):
                 for x in queue.pop():
-                    close = (np.bitwise_count(u[rest] ^ u[x]) <= r) & alike(n[rest], n[x])
-                    if close.any():
-                        found, rest = rest[close], rest[~close]
+                    ok = self.possible(np.full(len(rest), x), rest)
+                    if ok.any():
+                        found, rest = rest[ok], rest[~ok]
                         a.append(np.full(len(found), x))
                         b.append(found)
                         queue.append(found)
-    empty = np.empty(0, np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
+        return a, b
 
 
 def anchors(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp, n, whole, bits)`` per row with an id: SimHash, size and digest of the set of ``k``-word
+    """``(doc_id, n, whole, parity, bits)`` per row with an id: size, digest and parity sketch of the set of ``k``-word
     shingles, and its anchors, the smallest fifth of its hashes and one.
 
     Two sets of a similarity of 0.8 or more have an anchor in common: of a set of n hashes the partner
@@ -249,177 +283,161 @@ def anchors(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         from xxhash import xxh128_digest
 
         for b in batches:
-            fps, sizes, whole, keys = [], [], [], []
+            sizes, whole, odd, keys = [], [], [], []
             for x in b.column(1).cast(pa.large_binary()):
                 h = np.unique(np.array(shingles(x.as_py() or b"", k), np.uint64))
-                fps.append(simhash(h))
                 sizes.append(len(h))
                 whole.append(xxh128_digest(h.tobytes()))
+                odd.append(parities(h, np.zeros(len(h), np.int64), 1, parity_bits(len(h))).tobytes())
                 keys.append((h[: len(h) - (4 * len(h) + 4) // 5 + 1] ^ np.uint64(1 << 63)).view(np.int64))  # in the same order when signed
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), keys], ["doc_id", "fp", "n", "whole", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(odd, pa.binary()), keys], ["doc_id", "n", "whole", "parity", "bits"])
         common.release_memory()
 
     pair = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return pair.where("doc_id is not null").mapInArrow(run, "doc_id long, fp long, n long, whole binary, bits array<long>")
+    return pair.where("doc_id is not null").mapInArrow(run, "doc_id long, n long, whole binary, parity binary, bits array<long>")
 
 
-def near_pairs(nodes: DataFrame) -> DataFrame:
-    """``(a, b)``: candidates, ids that share an anchor, have sets of sizes that are alike and, unless small, fingerprints within RADII[-1] bits.
-
-    Under an anchor of up to GROUP documents all pairs are compared; of more, the spanning forests of
-    their fingerprints (``dense_pairs`` then adds to them); documents of an anchor beyond LIMIT meet by whole blocks (``links``) instead.
-    """
-    parts = common.partitions_for(nodes.sparkSession)
+def _in_parts(rows: DataFrame, sizes: DataFrame, key: str, size: str, limit: int) -> DataFrame:
+    """``rows`` joined with ``sizes(key, size)``, with ``t``: groups of up to ``limit`` whole, larger ones cut into parts of which
+    every two meet under one ``t``, so that a task holds at most some two parts, and every two rows of a group meet."""
+    rows = rows.join(sizes.withColumn("_parts", F.ceil(F.col(size) / limit).cast("int")), key).withColumn("_o", F.pmod(F.xxhash64("doc_id"), "_parts").cast("int"))
+    others = F.when(F.col("_parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("_parts") - 1), lambda z: z != F.col("_o")))
+    rows = rows.withColumn("_z", F.explode(others))
+    pair = F.least("_o", "_z").cast("long") * F.col("_parts") + F.greatest("_o", "_z")
+    return rows.withColumn("t", pair).drop("_o", "_z", "_parts", size)
 
-    def compare(batches):
-        for t in _sorted_groups(batches):
-            bits, fp, ids, sets = (t[c].to_numpy() for c in ("bits", "fp", "doc_id", "n"))
-            at = np.r_[0, np.nonzero(bits[1:] != bits[:-1])[0] + 1, len(fp)]
-            size = np.diff(at)
-            few = np.nonzero(np.repeat(size <= GROUP, size))[0]
-            a, b, off = [], [], 1
-            while off < len(few) and (same := bits[few[off:]] == bits[few[:-off]]).any():
-                x, y = few[:-off][same], few[off:][same]
-                close = close_by(fp[x], fp[y], sets[x], sets[y])
-                a.append(x[close])
-                b.append(y[close])
-                off += 1
-            for i in np.nonzero(size > GROUP)[0].tolist():
-                x, y = forests(fp[at[i] : at[i + 1]], sets[at[i] : at[i + 1]])
-                a.append(x + at[i])
-                b.append(y + at[i])
-            x, y = (ids[np.concatenate([np.empty(0, np.int64), *v])] for v in (a, b))
-            for i in range(0, len(x), 100_000):
-                u, v = x[i : i + 100_000], y[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
-        common.release_memory()
 
-    keyed = nodes.select("doc_id", "fp", "n", F.explode("bits").alias("bits")).withColumn("t", F.lit(0))
-    sizes = common.written(_sizes(keyed, ["bits"]), "anchors")
-    met = keyed.join(sizes.where(F.col("n") <= LIMIT).select("bits"), "bits", "left_semi")
-    out = met.repartition(parts, "bits").sortWithinPartitions("bits").mapInArrow(compare, "a long, b long")
-    big = sizes.where(F.col("n") > LIMIT).select("bits")
-    if not big.isEmpty():
-        held = common.written(keyed.join(big, "bits", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("rep")), "hot")
-        one = lambda side: held.select(F.col("fp").alias(side), F.col("rep").alias(f"r{side}"))
-        far = links(held, 5, 7).join(one("a"), "a").join(one("b"), "b")
-        out = out.unionByName(far.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")))
-        same = keyed.join(big, "bits", "left_semi").select("doc_id", "fp").distinct().join(held, "fp").where("doc_id <> rep")
-        out = out.unionByName(same.select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")))
-    return out.where("a <> b").distinct()
-
-
-def nearest_outside(fp: np.ndarray, n: np.ndarray, comp: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs: for each member outside of the group's largest component its ``k`` nearest members of other components,
-    of those that are close by."""
-    names, number, size = np.unique(comp, return_inverse=True, return_counts=True)
-    a, b = [], []
-    if len(names) > 1:
-        rest = np.nonzero(number != size.argmax())[0]
-        u = fp.view(np.uint64)
-        for x in rest.tolist():
-            fine = np.nonzero((number != number[x]) & close_by(fp[x : x + 1], fp, n[x : x + 1], n))[0]
-            if len(fine) > k:
-                far = np.bitwise_count(u[fine] ^ u[x])
-                fine = fine[np.argpartition(far, k)[:k]]
-            a.append(np.full(len(fine), x))
-            b.append(fine)
-    empty = np.empty(0, np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
+def _groups(t: pa.Table) -> np.ndarray:
+    ts, bits = t["t"].to_numpy(), t["bits"].to_numpy()
+    return np.r_[0, np.nonzero((ts[1:] != ts[:-1]) | (bits[1:] != bits[:-1]))[0] + 1, len(ts)]
 
 
-def dense_pairs(nodes: DataFrame, k: int) -> DataFrame:
-    """``(a, b)``: further candidates of ``nodes(doc_id, fp, n, bits, comp)`` under anchors of more than GROUP documents.
+def near_pairs(nodes: DataFrame) -> DataFrame:
+    """``(a, b)``: pairs of ids that share an anchor and can have a similarity of 0.8 (``Sketches``); they connect just what all such pairs connect.
 
-    Forests leave out links between members that are in a tree already. So each document is compared with the nearest ones
-    that verified links have not joined to it yet.
+    An anchor of more than FEW documents gives a spanning forest of its pairs, so fewer pairs than members. One of more
+    than LIMIT is cut into parts of which every two meet in a task.
     """
     parts = common.partitions_for(nodes.sparkSession)
 
     def compare(batches):
         for t in _sorted_groups(batches):
-            bits, fp, ids, sets, comp = (t[c].to_numpy() for c in ("bits", "fp", "doc_id", "n", "comp"))
-            at = np.r_[0, np.nonzero(bits[1:] != bits[:-1])[0] + 1, len(fp)]
-            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-                x, y = nearest_outside(fp[i:j], sets[i:j], comp[i:j], k)
-                u, v = ids[i:j][x], ids[i:j][y]
-                for e in range(0, len(u), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(f(u[e : e + 100_000], v[e : e + 100_000])) for f in (np.minimum, np.maximum)], ["a", "b"])
+            ids, sizes, at = t["doc_id"].to_numpy(), t["n"].to_numpy(), _groups(t)
+            sets = Sketches(sizes, t["parity"].to_pylist())
+            size = np.diff(at)
+            group = np.repeat(np.arange(len(size)), size)
+            few = np.nonzero(size[group] <= FEW)[0]
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for off in range(1, min(FEW, len(few))):
+                same = group[few[off:]] == group[few[:-off]]
+                x, y = few[:-off][same], few[off:][same]
+                ok = sets.possible(x, y)
+                a.append(x[ok])
+                b.append(y[ok])
+            for i in np.nonzero(size > FEW)[0].tolist():
+                x, y = sets.forest(at[i], at[i + 1])
+                a += x
+                b += y
+            # Neighbours in a family share many anchors: what one batch finds twice goes once.
+            x, y = ids[np.concatenate(a)], ids[np.concatenate(b)]
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y], axis=0)
+            for i in range(0, len(pairs), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 100_000, c]) for c in (0, 1)], ["a", "b"])
         common.release_memory()
 
-    keyed = nodes.select("doc_id", "fp", "n", "comp", F.explode("bits").alias("bits"))
-    # Groups within one component have nothing to add.
-    sizes = keyed.groupBy("bits").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    dense = sizes.where((F.col("size") > GROUP) & (F.col("size") <= LIMIT) & (F.col("lo") < F.col("hi"))).select("bits")
-    met = keyed.join(dense, "bits", "left_semi").withColumn("t", F.lit(0))
-    return met.repartition(parts, "bits").sortWithinPartitions("bits").mapInArrow(compare, "a long, b long").distinct()
+    sizes = common.written(_sizes(nodes.select(F.explode("bits").alias("bits")), ["bits"]), "anchors")
+    keyed = nodes.select("doc_id", "n", "parity", F.explode("bits").alias("bits"))
+    dealt = _in_parts(keyed, sizes.withColumnRenamed("n", "_rows"), "bits", "_rows", LIMIT)
+    return dealt.repartition(parts, "bits", "t").sortWithinPartitions("bits", "t", "doc_id").mapInArrow(compare, "a long, b long").distinct()
 
 
-def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Written: those of the ``pairs`` that may be similar by their anchors alone, so that few whole sets are moved to be compared.
+def family_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs: links of a Jaccard similarity of 0.8 or more, exactly, which connect just what all such links connect.
 
-    Below the lesser of two sets' last anchors both sets are known, and their elements there are a random sample of
-    ``u`` of the union; at similarity 0.8 the number in common falls six deviations below 0.8 u once in some 1e8 pairs.
+    A breadth-first search compares each member with those within RADIUS bits that it has not reached. Then each member outside
+    of the largest component is compared with the members of all other components that its parity sketch does not tell apart, at whatever bits.
     """
-    side = lambda x: nodes.select(F.col("doc_id").alias(x), F.slice("bits", 1, SAMPLE).alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.withColumn("last", F.least(F.element_at("sa", -1), F.element_at("sb", -1)))
-    low = lambda x: F.filter(x, lambda y: y <= F.col("last"))
-    both = both.withColumn("sa", low("sa")).withColumn("sb", low("sb")).withColumn("c", F.size(F.array_intersect("sa", "sb")))
-    u = F.size("sa") + F.size("sb") - F.col("c")
-    return common.written(both.where(F.col("c") >= 0.8 * u - 6 * F.sqrt(0.16 * u)).select("a", "b").distinct(), "pairs")
-
+    n = np.array([len(s) for s in sets])
+    start = np.r_[0, np.cumsum(n)]
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(n)), n)
+    odd = parities(flat, row, len(n), 1 << max(6, int(n.max() - 1).bit_length()))
+    fp = np.array([simhash(s) for s in sets], np.uint64)
+    names, codes = np.unique(flat, return_inverse=True)
+    mark = np.zeros(len(names), bool)
+    comp = np.arange(len(n))
+    a, b = [], []
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Those of the ``pairs`` (a, b) of ids whose sets of ``k``-word shingles have a Jaccard similarity of 0.8 or more, exactly."""
+    def similar(x: int, some: np.ndarray) -> np.ndarray:
+        some = some[alike(n[some], n[x])]
+        some = some[9 * np.bitwise_count(odd[some] ^ odd[x]).sum(axis=1, dtype=np.int64) <= n[some] + n[x]]
+        own = codes[start[x] : start[x + 1]]
+        mark[own] = True
+        both = np.array([np.count_nonzero(mark[codes[start[y] : start[y + 1]]]) for y in some.tolist()], np.int64)
+        mark[own] = False
+        return some[9 * both >= 4 * (n[some] + n[x])]
 
-    def run(batches):
-        for b in batches:
-            sets = [np.unique(np.array(shingles(x.as_py() or b"", k), np.uint64)).view(np.int64) for x in b.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "s"])
-        b = sets = None
+    rest = np.arange(len(n))
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            found = similar(x, rest[np.bitwise_count(fp[rest] ^ fp[x]) <= RADIUS])
+            if len(found):
+                rest = np.setdiff1d(rest, found, assume_unique=True)
+                comp[found] = comp[x]
+                a += [x] * len(found)
+                b += found.tolist()
+                queue += found.tolist()
+    for x in np.nonzero(comp != np.bincount(comp).argmax())[0].tolist():
+        for y in similar(x, np.nonzero(comp != comp[x])[0]).tolist():
+            if comp[y] != comp[x]:
+                comp[comp == comp[y]] = comp[x]
+                a.append(x)
+                b.append(y)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def similar_pairs(docs: DataFrame, families: DataFrame, nodes: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """``(a, b)``: links of ids whose sets of ``k``-word shingles have a Jaccard similarity of 0.8 or more, exactly: of each of the
+    ``families(node, component)`` as many as connect what all of them do. Texts are moved once for each pair of a family's parts."""
+    parts = common.partitions_for(docs.sparkSession)
+
+    def search(batches):
+        for t in _sorted_groups(batches):
+            ids, at, a, b = t["doc_id"].to_numpy(), _groups(t).tolist(), [], []
+            for i, j in zip(at[:-1], at[1:]):
+                sets = [np.unique(np.array(shingles(x.as_py() or b"", k), np.uint64)) for x in t["text"].slice(i, j - i).cast(pa.large_binary())]
+                x, y = family_links(sets)
+                a.append(ids[i:j][x])
+                b.append(ids[i:j][y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], ["a", "b"])
         common.release_memory()
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    some = common.filter_by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids, "doc_id", "left_semi")
-    sets = common.written(some.mapInArrow(run, "doc_id long, s array<long>"), "sets")
-    one = lambda side: sets.select(F.col("doc_id").alias(side), F.col("s").alias(f"s{side}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
-    n = F.size(F.array_intersect("sa", "sb"))
-    return both.where(5 * n >= 4 * (F.size("sa") + F.size("sb") - n)).select("a", "b").distinct()
+    own = nodes.groupBy("doc_id").agg(F.sum("n").alias("n"))
+    own = own.join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("bits")), "doc_id")
+    members = common.written(_in_parts(own, own.groupBy("bits").agg(F.sum("n").alias("_n")), "bits", "_n", FAMILY).select(F.col("doc_id").alias("_id"), "bits", "t"), "families")
+    if members.count() <= common.BROADCAST_IDS:
+        members = F.broadcast(members)
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(members, F.col("doc_id") == F.col("_id")).drop("_id")
+    return some.repartition(parts, "bits", "t").sortWithinPartitions("bits", "t").mapInArrow(search, "a long, b long").where("a <> b").distinct()
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies, that of the smallest id.
 
-    Near copies have a Jaccard similarity of 0.8 or more between their sets of five-word shingles: pairs
-    that share an anchor and are near by SimHash are verified exactly, and only verified links make
-    groups. Rows that repeat an id are taken for copies: of each such id one row stays. Rows with a null id stay.
+    Near copies have a Jaccard similarity of 0.8 or more between their sets of five-word shingles. Families of documents that
+    share anchors and that no bound tells apart are searched by SimHash and closed exactly, so no link is lost, and only
+    verified links make groups. Rows that repeat an id are taken for copies: of each such id one row stays. Rows with a null id stay.
     """
     rows = common.written(anchors(docs), "anchored")
     first = rows.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = common.written(rows.select("doc_id", "whole").join(first, "whole").where("doc_id <> rep").select("doc_id", "rep"), "copies")
-    nodes = common.filter_by_ids(rows.select("doc_id", "fp", "n", "bits"), copies.select("doc_id"), "doc_id", "left_anti")
-    near = common.written(near_pairs(nodes), "near")
-    edges = common.written(similar_pairs(docs, likely_pairs(near, nodes)), "edges")
-    tried = [near]
-    for k in NEAREST:
-        joined = common.connected_components(edges).select(F.col("node").alias("_node"), "component")
-        placed = nodes.join(joined, nodes["doc_id"] == F.col("_node"), "left").select(*nodes.columns, F.coalesce("component", "doc_id").alias("comp"))
-        more = dense_pairs(placed, k)
-        for old in tried:
-            more = more.join(old, ["a", "b"], "left_anti")
-        tried.append(common.written(more, "near"))
-        if tried[-1].isEmpty():
-            break
-        found = common.written(similar_pairs(docs, likely_pairs(tried[-1], nodes)), "edges")
-        if found.isEmpty():
-            break
-        edges = edges.unionByName(found)
-    for old in tried:
-        common.discard(old)
+    copies = common.written(rows.select("doc_id", "whole").join(first, "whole").where("doc_id <> rep").select("doc_id", "rep", F.xxhash64("doc_id", "whole").alias("row")), "copies")
+    nodes = common.filter_by_ids(rows, copies.select("row"), F.xxhash64(rows["doc_id"], rows["whole"]), "left_anti")
+    families = common.connected_components(near_pairs(nodes))
+    edges = similar_pairs(docs, families, nodes)
     edges = edges.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     comp = common.connected_components(edges)
     gone = comp.where("component < node").select(F.col("node").alias("doc_id"))

@@ -192,6 +192,42 @@ def test_dense_groups_keep_most_links(spark):
     assert len(got) >= 0.9 * len(gone)
 
 
+@pytest.mark.parametrize("limit, family", [(16384, 2_000_000), (40, 9_000)])
+def test_dense_groups_lose_no_link(spark, limit, family, monkeypatch):
+    """As above, but every link counts, also where anchors and families are cut into parts."""
+    monkeypatch.setattr(simhash_dedup, "LIMIT", limit)
+    monkeypatch.setattr(simhash_dedup, "FAMILY", family)
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for n in (30, 150, 400):
+        base = [word() for _ in range(n)]
+        for _ in range(120):
+            other = list(base)
+            for i in rng.sample(range(n), rng.randint(0, max(2, n // 20))):
+                other[i] = word()
+            texts.append(" ".join(other))
+    rng.shuffle(texts)
+    root = similar_components(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in simhash_dedup.without_near_copies(docs).collect()}
+    assert got == {i for i in range(len(texts)) if root[i] == i} and 50 < len(got) < 300
+
+
+def test_sketches_deny_no_similar_pair():
+    rng = np.random.default_rng(5)
+    for n in (3, 60, 250, 260, 600, 2000, 40_000):
+        sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64)]
+        for m in (0, n // 9, n // 4):  # similarities of 1, 0.8 and 0.6
+            sets.append(np.r_[sets[0][: n - m], rng.integers(0, 1 << 63, m, dtype=np.uint64)])
+        sets.append(np.r_[sets[0], rng.integers(0, 1 << 63, n // 4, dtype=np.uint64)])  # longer: of 0.8, maybe of another width
+        sets.append(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        widths = [simhash_dedup.parity_bits(len(s)) for s in sets]
+        odd = [simhash_dedup.parities(s, np.zeros(len(s), np.int64), 1, w).tobytes() for s, w in zip(sets, widths)]
+        got = simhash_dedup.Sketches(np.array([len(s) for s in sets]), odd).possible(np.zeros(5, np.int64), np.arange(1, 6))
+        assert got[[0, 1, 3]].all() and (n < 60 or n > 20_000 or not got[4])
+
+
 # --- repeated windows
 
 
