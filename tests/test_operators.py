@@ -191,6 +191,19 @@ def test_correlations_in_blocks(spark):
     assert matrix.correlations(cells.limit(0)).count() == 0
 
 
+def test_correlations_move_no_copies_of_vectors(spark):
+    """Each vector goes into one block; blocks meet without being copied for each other block, so little is shuffled."""
+    v = np.random.default_rng(3).normal(0, 1, (200, 8))
+    vectors = spark.createDataFrame([(i, v[i].tolist()) for i in range(200)], "id long, v array<double>")
+    got = matrix.vector_correlations(vectors, block=10)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    want = np.corrcoef(v)
+    rows = got.collect()
+    assert len({(r.i, r.j) for r in rows}) == len(rows) == 200 * 199 // 2
+    assert all(r.i < r.j and r.r == pytest.approx(want[r.i, r.j]) for r in rows)
+
+
 def test_align_fills_gaps(spark):
     values = spark.createDataFrame([("s", "c", 3.0), ("s", "a", 1.0), ("t", "x", 9.0), ("u", "e", 5.0)], "sample string, feature string, value double")
     vocabulary = spark.createDataFrame([(k, i * 2) for i, k in enumerate("abcde")], "feature string, pos int")
