@@ -36,19 +36,28 @@ def assign(groups: list[tuple], k: int, seed: int = 0) -> dict:
 GREEDY = 20_000
 
 
+def class_counts(df: DataFrame, group: str, y: str) -> DataFrame:
+    """``_g, n0, n1``: a row per group with its negatives and positives."""
+    return df.groupBy(F.col(group).alias("_g")).agg(F.count_if(F.col(y) != 1).alias("n0"), F.count_if(F.col(y) == 1).alias("n1"))
+
+
 def group_folds(df: DataFrame, group: str, y: str, k: int, seed: int = 0) -> DataFrame:
     """``_g, fold``: a row per group.
 
     The largest GREEDY groups go to the driver, which assigns them one by one. All others are smaller than these: ordered by
     their class counts they are dealt out to and fro over the folds, by row numbers, without leaving the executors.
     """
-    stats = df.groupBy(F.col(group).alias("_g")).agg(F.count_if(F.col(y) != 1).alias("n0"), F.count_if(F.col(y) == 1).alias("n1"))
-    kind = df.schema[group].dataType.simpleString()
+    return folds_of_counts(class_counts(df, group, y), k, seed)
+
+
+def folds_of_counts(stats: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """As ``group_folds``, out of the groups' ``class_counts``."""
+    kind = stats.schema["_g"].dataType.simpleString()
     held = stats.withColumn("_size", F.col("n0") + F.col("n1")).withColumn("_mix", F.xxhash64(F.col("_g").cast("string"), F.lit(seed))).persist()
     n = held.count()
     largest = held.orderBy(F.desc("_size"), "_mix").limit(GREEDY).select("_g", "n0", "n1")
     folds = assign([tuple(r) for r in largest.collect()], k, seed)
-    out = df.sparkSession.createDataFrame([(g, f) for g, f in folds.items()], f"_g {kind}, fold int")
+    out = stats.sparkSession.createDataFrame([(g, f) for g, f in folds.items()], f"_g {kind}, fold int")
     if n > GREEDY:
         rest = held.join(out.select(F.col("_g").alias("_known"), F.lit(True).alias("_done")), F.col("_g").eqNullSafe(F.col("_known")), "left").where("_done is null").select("_g", "n0", "n1", "_mix")
         at = F.pmod(F.col("row_number"), F.lit(2 * k))

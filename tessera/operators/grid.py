@@ -20,6 +20,20 @@ CS = tuple(float(c) for c in np.logspace(-4, 4, 10))
 RATIOS = (0.1, 0.3, 0.5, 0.7, 0.9)
 # Fixed values end.
 
+#: Rows of a block that a step takes at once: what it makes of them for one training set stays in the processor's cache.
+ROWS = 1024
+#: Bytes of packed rows in a partition.
+PART_BYTES = 64 << 20
+
+
+def logistic(z: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-z)), in the place of ``z``."""
+    np.clip(z, -500, 500, out=z)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
 
 def statistics(blocks: DataFrame, sets: list[int], d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, means, population deviations) of each training set; ``sets``: the columns of ``e`` that hold its weights, 0 for rows outside."""
@@ -78,14 +92,25 @@ def fit(blocks: DataFrame, d: int, y: int, sets: list[int], columns: list[tuple[
         on = np.nonzero(live)[0]  # settled models take no part in later passes
         a = u[:, on] / sd[:, on]
         k = c[on] - (mu[:, on] * a).sum(axis=0)
-        cols, size = which[at[on]], n[at[on]]
-
-        def gradient(x, e, a=a, k=k, cols=cols, size=size):
-            z = x @ a + k
-            r = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - e[:, y : y + 1]) * e[:, cols] / size
-            return np.concatenate([(x.T @ r).ravel(), r.sum(axis=0)])
-
-        s = B.total(blocks, gradient, (d + 1) * len(on))
+        owned = [(which[i], m, a[:, m], k[m]) for i in np.unique(at[on]) for m in [np.nonzero(at[on] == i)[0]]]
+
+        def gradient(x, e, owned=owned, g=len(on)):
+            out = np.zeros((d + 1, g))
+            for i in range(0, len(x), ROWS):
+                part, extra = x[i : i + ROWS], e[i : i + ROWS]
+                for column, m, own_a, own_k in owned:
+                    inside = np.nonzero(extra[:, column])[0]  # rows outside a training set add nothing to its models
+                    own, weight = part[inside], extra[inside]
+                    r = own @ own_a
+                    r += own_k
+                    logistic(r)
+                    r -= weight[:, y : y + 1]
+                    r *= weight[:, column : column + 1]
+                    out[:d, m] += own.T @ r
+                    out[d, m] += r.sum(axis=0)
+            return out.ravel()
+
+        s = (B.total(blocks, gradient, (d + 1) * len(on)).reshape(d + 1, -1) / n[at[on]]).ravel()
         low = s[d * len(on) :]
         up = (s[: d * len(on)].reshape(d, -1) - mu[:, on] * low) / sd[:, on] + l2[on] * u[:, on]
         moved = u[:, on] - step[on] * up
@@ -115,14 +140,20 @@ def nested(df: DataFrame, features: str, y: str, group: str, outer: int = 5, inn
     """
     points = [(float(c), float(r)) for c in cs for r in ratios]
     keep = [c for c in df.columns if c != features]
-    rows = folds.grouped_folds(df, group, y, outer, seed)
+    # Folds are of groups: all of them come out of one table of the groups' class counts, and the rows are joined once.
+    stats = folds.class_counts(df, group, y).persist()
+    table = stats.join(folds.folds_of_counts(stats, outer, seed).withColumnRenamed("_g", "_own"), F.col("_g").eqNullSafe(F.col("_own"))).drop("_own").persist()
+    every = table.select("_g", "fold")
     names: list[tuple[int, int | None]] = []
     for k in range(outer):
-        train = rows.where(F.col("fold") != k)
-        fits = folds.inner_folds(train.select(group).distinct().count(), inner)
-        own = folds.group_folds(train, group, y, fits, seed + 1).select(F.col("_g").alias(f"_g{k}"), F.col("fold").alias(f"_inner{k}"))
-        rows = rows.join(own, (F.col("fold") != k) & rows[group].eqNullSafe(own[f"_g{k}"]), "left").drop(f"_g{k}")
+        train = table.where(F.col("fold") != k).select("_g", "n0", "n1")
+        fits = folds.inner_folds(train.count(), inner)
+        own = folds.folds_of_counts(train, fits, seed + 1).select(F.col("_g").alias("_own"), F.col("fold").alias(f"_inner{k}"))
+        every = every.join(own, F.col("_g").eqNullSafe(F.col("_own")), "left").drop("_own")
         names += [(k, None), *[(k, j) for j in range(fits)]]
+    every = every.persist()
+    every.count()
+    rows = df.join(every, df[group].eqNullSafe(every["_g"])).drop("_g")
     inside = [(F.col("fold") != k) if j is None else (F.col("fold") != k) & (F.col(f"_inner{k}") != j) for k, j in names]
     pos = F.col(y) == 1
     counts = rows.agg(*[F.count_if(m).alias(f"n{i}") for i, m in enumerate(inside)], *[F.count_if(m & pos).alias(f"p{i}") for i, m in enumerate(inside)]).first()
@@ -132,38 +163,47 @@ def nested(df: DataFrame, features: str, y: str, group: str, outer: int = 5, inn
         return F.when(inside[i], F.when(pos, n / (2.0 * max(p, 1))).otherwise(n / (2.0 * max(n - p, 1)))).otherwise(0.0)
 
     d = rows.select(F.size(features)).first()[0]
+    # Every pass has a task per partition: as many as cores, more only if these would hold too much.
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-sum(counts[f"n{i}"] for i, (_, j) in enumerate(names) if j is None) * 8 * (d + 1 + len(names)) // (max(outer - 1, 1) * PART_BYTES)))
+    rows = rows.repartition(parts)
     packed = B.pack(rows.select(F.col(features), pos.cast("double").alias("_y"), *[weight(i).alias(f"_w{i}") for i in range(len(names))]), features, ["_y", *[f"_w{i}" for i in range(len(names))]])
     tuned = [i for i, (_, j) in enumerate(names) if j is not None]
     models = [(i, *p) for i in range(len(tuned)) for p in points]
     w, b, _ = fit(packed, d, 0, [1 + i for i in tuned], models, rounds)
-    marks = [names[tuned[m[0]]] for m in models]
-    scored = scores(rows, features, [y, "fold", *[f"_inner{k}" for k in range(outer)]], w, b)
-    k_of, j_of = (np.array([m[x] for m in marks]) for x in (0, 1))
-    of = lambda v: F.element_at(F.array(*[F.lit(int(x)) for x in v]), F.col("model") + 1)
-    held = F.element_at(F.array(*[F.col(f"_inner{k}") for k in range(outer)]), F.col("k") + 1)
-    valid = scored.withColumn("k", of(k_of)).withColumn("j", of(j_of)).withColumn("held", held).where((F.col("fold") != F.col("k")) & (F.col("held") == F.col("j")))
-    valid = valid.select((F.col("model") % len(points)).alias("point"), "k", "j", F.col(y).alias("y"), "score")
-    ap = metrics.average_precision(valid, ["k", "point", "j"]).groupBy("k", "point").agg(F.avg(F.coalesce("average_precision", F.lit(0.0))).alias("ap")).collect()  # a row per outer fold and grid point
+    # A row is scored by those models that its inner fold was held out of; it has no inner fold where its outer one is held out.
+    held = [(f"_inner{names[i][0]}", names[i][1], range(at * len(points), (at + 1) * len(points))) for at, i in enumerate(tuned)]
+    valid = scores(rows.withColumn("y", F.col(y)), features, ["y"], w, b, held)
+    k_of = F.element_at(F.array(*[F.lit(names[i][0]) for i in tuned]), (F.floor(F.col("model") / len(points)) + 1).cast("int"))
+    ap = metrics.average_precision(valid, ["model"]).groupBy(k_of.alias("k"), (F.col("model") % len(points)).alias("point")).agg(F.avg(F.coalesce("average_precision", F.lit(0.0))).alias("ap")).collect()  # a row per outer fold and grid point
     best = [min((-r.ap, r.point) for r in ap if r.k == k)[1] for k in range(outer)]
     finals = [i for i, (_, j) in enumerate(names) if j is None]
     w, b, _ = fit(packed, d, 0, [1 + i for i in finals], [(k, *points[best[k]]) for k in range(outer)], rounds)
-    packed.unpersist()
+    for kept in (packed, table, stats):
+        kept.unpersist()
     chosen = lambda x: F.element_at(F.array(*[F.lit(points[best[k]][x]) for k in range(outer)]), F.col("fold") + 1)
-    return scores(rows, features, [*keep, "fold"], w, b).where("model = fold").select(*keep, "fold", chosen(0).alias("c"), chosen(1).alias("l1_ratio"), "score")
+    return scores(rows, features, [*keep, "fold"], w, b, [("fold", k, [k]) for k in range(outer)]).select(*keep, "fold", chosen(0).alias("c"), chosen(1).alias("l1_ratio"), "score")
 
 
-def scores(df: DataFrame, features: str, columns: list[str], w: np.ndarray, b: np.ndarray) -> DataFrame:
-    """``columns, model, score``: each row's probability by each of the models."""
+def scores(df: DataFrame, features: str, columns: list[str], w: np.ndarray, b: np.ndarray, held: list[tuple[str, int, list[int]]]) -> DataFrame:
+    """``columns, model, score``: the probability of each row by those models that it is held out for. ``held``: (column, its value in
+    such rows, models)."""
     kind = df.select(*columns).schema
+    marks = list(dict.fromkeys(c for c, _, _ in held))
 
     def run(batches):
         for t in batches:
-            z = B.matrix_of(t.column(0)) @ w + b if len(t) else np.zeros((0, len(b)))
-            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            for m in range(len(b)):
-                yield pa.RecordBatch.from_arrays([*t.columns[1:], pa.array(np.full(len(t), m, np.int32)), pa.array(p[:, m])], [*columns, "model", "score"])
+            if not len(t):
+                continue
+            x = B.matrix_of(t.column(0))
+            seen = {c: t.column(1 + len(columns) + i).to_numpy(zero_copy_only=False) for i, c in enumerate(marks)}
+            for c, value, models in held:
+                at, models = np.nonzero(seen[c] == value)[0], np.array(models)
+                if len(at):
+                    p = logistic(x[at] @ w[:, models] + b[models])
+                    again = pa.array(np.tile(at, len(models)))
+                    yield pa.RecordBatch.from_arrays([*[t.column(1 + i).take(again) for i in range(len(columns))], pa.array(np.repeat(models, len(at)).astype(np.int32)), pa.array(p.T.ravel())], [*columns, "model", "score"])
 
-    return df.select(features, *columns).mapInArrow(run, kind.add("model", "integer").add("score", "double"))
+    return df.select(features, *columns, *[F.col(c).cast("int").alias(f"_mark{i}") for i, c in enumerate(marks)]).mapInArrow(run, kind.add("model", "integer").add("score", "double"))
 
 
 def cross_validate(df: DataFrame, features: str, y: str, k: int, fold: str = "fold", c: float = 1.0, l1_ratio: float = 0.0) -> DataFrame:
@@ -177,4 +217,4 @@ def cross_validate(df: DataFrame, features: str, y: str, k: int, fold: str = "fo
     packed = B.pack(df.select(F.col(features), pos.cast("double").alias("_y"), *[weight(j).alias(f"_w{j}") for j in range(k)]), features, ["_y", *[f"_w{j}" for j in range(k)]])
     w, b, _ = fit(packed, df.select(F.size(features)).first()[0], 0, list(range(1, k + 1)), [(j, c, l1_ratio) for j in range(k)])
     packed.unpersist()
-    return scores(df, features, keep, w, b).where(F.col("model") == F.col(fold)).drop("model")
+    return scores(df, features, keep, w, b, [(fold, j, [j]) for j in range(k)]).drop("model")

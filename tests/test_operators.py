@@ -412,6 +412,22 @@ def test_quartiles_by_group(spark, monkeypatch, small):
         assert (r.n_samples, r.n_patients, r.measure_n) == (len(own), len(per), len(m))
 
 
+def test_nested_folds_score_held_out_rows_only(spark, monkeypatch):
+    """A row is scored by the models it is held out for, and a pass has a task per core, however the input is cut."""
+    _, _, df = noisy(spark, 240)
+    packed, scored, pack, scores = [], [], grid.B.pack, grid.scores
+
+    def counted(*a):
+        scored.append(scores(*a).count())
+        return scores(*a)
+
+    monkeypatch.setattr(grid.B, "pack", lambda x, *a: packed.append(x.rdd.getNumPartitions()) or pack(x, *a))
+    monkeypatch.setattr(grid, "scores", counted)
+    got = grid.nested(df.repartition(17), "v", "y", "g", 3, 2, [0.01, 1.0], [0.5], rounds=5)
+    assert got.count() == 240
+    assert scored == [240 * 2 * 2, 240] and packed == [spark.sparkContext.defaultParallelism]  # rows x outer folds they train in x points
+
+
 def test_many_groups_are_dealt_without_the_driver(spark, monkeypatch):
     df = spark.range(60_000).select(F.concat(F.lit("g"), F.floor(F.sqrt(F.col("id") * 100)).cast("string")).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).cast("int").alias("y"))
     whole = folds.fold_table(folds.grouped_folds(df, "g", "y", 5), "g", "y").collect()
