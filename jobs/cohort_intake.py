@@ -20,6 +20,7 @@ under a new name each.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +47,9 @@ def label(rows: DataFrame, config: dict) -> DataFrame:
     series, pid = F.coalesce(F.col(config["series"]), F.lit("")), entity.patient_id(body)
     got = rows.withColumn("_hay", hay).select(
         F.col(config["id"]).cast("bigint").alias("doc_id"), series.alias("series"), F.col(config["measure"]).cast("bigint").alias("measure"),
-        nets.all_matches(F.col("_hay"), categories(config)).alias("matched"), F.col("_hay").alias("hay"), pid.alias("pid"),
+        nets.all_matches_of_lower(F.col("_hay"), categories(config)).alias("matched"), nets.all_matches_of_lower(F.col("_hay"), config["subtypes"]).alias("subtypes"), pid.alias("pid"),
     )
-    subtype = nets.first_match(F.col("hay"), config["subtypes"], nets.UNRESOLVED)
+    subtype = F.coalesce(F.get("subtypes", F.lit(0)), F.lit(nets.UNRESOLVED))
     category = F.coalesce(F.get("matched", F.lit(0)), F.lit(nets.UNLABELED))
     return got.select(
         "doc_id", "series", "measure", F.size("matched").alias("n_matched"), "matched", F.when(category == config["subtyped"], subtype).alias("subtype"),
@@ -67,14 +68,22 @@ def take_batch(rows: DataFrame, batch: int, out: str, config: dict) -> tuple[int
     def put(df: DataFrame, name: str, *by: str) -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *by).parquet(f"{out}/{name}")
 
+    def written(name: str, schema: str) -> DataFrame:
+        """The batch's own folder only: the cost of a batch does not grow with those before it."""
+        try:
+            return spark.read.schema(schema).option("basePath", f"{out}/{name}").parquet(f"{out}/{name}/batch={batch}")
+        except AnalysisException as e:  # a batch without such rows has no folder
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
+
     put(label(rows.where(known), config).select("*", own), "labels", "category")
     # Rows of one batch are counted from what was written, so that texts are read and matched once.
-    written = spark.read.schema(LABELS).parquet(f"{out}/labels").where(F.col("batch") == batch)
-    counts = written.groupBy("category", "series").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_matched") > 1).alias("n_multi"), F.count_if("resolved").alias("n_resolved"), F.sum("measure").alias("measure"))
+    counts = written("labels", LABELS).groupBy("category", "series").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_matched") > 1).alias("n_multi"), F.count_if("resolved").alias("n_resolved"), F.sum("measure").alias("measure"))
     put(counts.select("*", own), "counts")
+    n = written("counts", COUNTS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     put(rows.where(~known).select(F.to_json(F.struct("*")).alias("row"), own), "refused")
-    refused = spark.read.schema("row string, batch bigint").parquet(f"{out}/refused").where(F.col("batch") == batch).count()
-    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    refused = written("refused", "row string, batch bigint").count()
     common.LOG.info("batch %d: %d samples labelled, %d refused, in %s", batch, n, refused, out)
     return n, refused
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +83,24 @@ def all_matches(text: Column, nets: dict) -> Column:
     return F.filter(F.array(*[F.when(hits(text, words), name) for name, words in nets.items()]), lambda x: x.isNotNull())
 
 
+def all_matches_of_lower(text: Column, nets: dict) -> Column:
+    """As ``all_matches`` of text that is in lower case already and not null, for many nets over long texts.
+
+    Java tries each word of a net at each character; Arrow's expressions read a text once per net, however many words it has.
+    """
+    names, patterns = list(nets), [pattern(words) for words in nets.values()]
+
+    @F.arrow_udf("array<string>")
+    def matched(hay: pa.Array) -> pa.Array:
+        hit = np.zeros((len(hay), len(names)), bool)
+        for i, p in enumerate(patterns):
+            hit[:, i] = pc.match_substring_regex(hay, pattern=p).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], hit.sum(axis=1).cumsum()]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(names, pa.string()).take(pa.array(np.nonzero(hit)[1])))
+
+    return matched(text)
+
+
 def subtype(text: Column, is_disease: Column, nets: dict = SUBTYPE_NETS) -> Column:
     """Without a disease hit a tissue-only label, whatever else matches; with one the first subtype, or unresolved."""
     return F.when(~is_disease, TISSUE_ONLY).otherwise(first_match(text, nets, UNRESOLVED))

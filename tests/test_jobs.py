@@ -85,6 +85,30 @@ def test_intake_of_an_empty_folder(spark, tmp_path, config):
     assert cohort_intake.run(spark, *paths, config | {"schema": SAMPLES}).count() == 2
 
 
+def test_nets_are_searched_by_arrow_with_the_same_matches(spark, config):
+    """Words are not tried one by one in Java; matches, their order and odd characters are as ``nets.all_matches`` has them."""
+    odd = config | {"nets": {"odd": ("a.b", "ción de", "(x)", "two\nlines", "-?"), "none": ()}}
+    texts = [None, "", "A.B axb", "CIÓN DE", "İ ſ K Σς Ω HIV", "two\nlines hiv lupus", "(X)", "\x00hiv", "ardsarrhythmia 😀 adrenal insufficiency", "-?*", "renal " * 50_000 + "copd"]
+    rows = spark.createDataFrame([(i, "s", t, 1) for i, t in enumerate(texts)], SAMPLES)
+    got = cohort_intake.label(rows, odd)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" not in plan.upper() and "ArrowEvalPython" in plan
+    want = rows.select("doc_id", nets.all_matches(nets.haystack(F.col("text")), cohort_intake.categories(odd)).alias("m"), nets.first_match(nets.haystack(F.col("text")), odd["subtypes"], nets.UNRESOLVED).alias("s")).collect()
+    found = {r.doc_id: r for r in got.collect()}
+    assert len(found) == len(texts) and {r.doc_id: r.m for r in want} == {k: r.matched for k, r in found.items()}
+    assert all(found[r.doc_id].subtype == (r.s if found[r.doc_id].category == "cardiovascular" else None) for r in want)
+    assert found[2].matched == ["odd"] and found[3].matched == ["odd"] and found[10].category == "respiratory" and found[10].matched == ["respiratory", "renal"]
+
+
+def test_a_batch_without_samples_or_refused_rows(spark, tmp_path, config):
+    landing, out, mark = (f"file://{tmp_path}/{x}" for x in ("landing", "out", "mark"))
+    land(spark, landing, [(None, "GSE3", "cancer", 1)])
+    assert cohort_intake.run(spark, landing, out, mark, config).count() == 0
+    land(spark, landing, ROWS[:2])
+    assert cohort_intake.run(spark, landing, out, mark, config).count() == 2 and summary(spark, out) == [("cardiovascular", 2, 1, 1, 1)]
+    assert spark.read.parquet(f"{out}/refused").count() == 1
+
+
 TURNS = "conv_id long, turn long, role string, text string"
 TALK = [
     (1, 0, "user", "What is this?"), (1, 1, "assistant", "A heart."), (1, 2, "user", "Sure?"), (1, 3, "assistant", None),
