@@ -171,7 +171,8 @@ def candidates(wins: DataFrame, marks: DataFrame) -> DataFrame:
     """
     key = ["doc_id", "copy", "start", "size"]
     near = block_join(wins.select("size", "fp").distinct(), marks)
-    found = wins.select(*key, "k", "fp", "total").distinct().join(near, ["size", "fp"]).select(*key, "k", "total", "item", "hamming", F.lit(True).alias("by_blocks"))
+    # Written, as the rest is what these leave: the search is planned and run once.
+    found = common.written(wins.select(*key, "k", "fp", "total").distinct().join(near, ["size", "fp"]).select(*key, "k", "total", "item", "hamming", F.lit(True).alias("by_blocks")), "found_by_blocks")
     left = wins.join(found.select(*key, "item"), [*key, "item"], "left_anti").join(marks.select("item", F.col("fp").alias("item_fp")), "item")
     left = left.select(*key, "k", "total", "item", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("hamming"), F.lit(False).alias("by_blocks"))
     return found.unionByName(left)
@@ -196,7 +197,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
     parts = common.written(elements(own, ["item"]), "item_elements")
     marks = common.written(fingerprints(parts, ["item"]).join(items.select("item", "size").distinct(), "item"), "item_fingerprints")
     rows = texts(docs)
-    distinct = own.groupBy("item", "size", "k", "h").agg(F.max("len").alias("len")).join(marks.select("item", "total"), "item")
+    distinct = common.written(own.groupBy("item", "size", "k", "h").agg(F.max("len").alias("len")).join(marks.select("item", "total"), "item"), "item_weights")
     met = common.written(hits(rows, distinct), "hits")
     found = common.written(windows(met, least), "windows")
     common.discard(met)
@@ -205,7 +206,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
     key = ["doc_id", "copy", "start", "size", "k"]
     held = common.written(window_elements(rows, found), "window_elements")
     wins = common.written(found.join(fingerprints(held, key), key), "window_fingerprints")
-    pairs = candidates(wins, marks).join(marks.select("item", F.col("total").alias("item_total")), "item")
+    # Each step is a query of its own: one plan for all of them, with twenty jobs at a time, took the driver's memory.
+    pairs = common.written(candidates(wins, marks), "candidates").join(marks.select("item", F.col("total").alias("item_total")), "item")
     shared = pairs.join(held, key).join(parts.select("item", "e"), ["item", "e"])
     full = shared.groupBy("doc_id", "copy", "start", "item", "size", "hamming", "total", "item_total").agg(F.sum("w").alias("m"))
     full = full.withColumn("similarity", F.col("m") / (F.col("total") + F.col("item_total") - F.col("m"))).where(F.col("similarity") >= least)

@@ -278,13 +278,16 @@ def probabilities(counts: DataFrame) -> DataFrame:
         levels[n] = common.written(low, f"types{n}")
     v = levels[1].where("c > 0").count() + 1
     p = shares(levels[1], 1).select("gram", (F.col("share") + F.col("back") / v).alias("p"))
+    lower = []
     for n in range(2, ORDER + 1):
         low = p.select(F.col("gram").alias("suffix"), F.col("p").alias("low"))
         here = shares(levels[n], n).withColumn("suffix", F.substring("gram", 2, n - 1)).join(low, "suffix")
         p = here.select(*(["shard"] if n == ORDER else []), "gram", (F.col("share") + F.col("back") * F.col("low")).alias("p"))
+        if n < ORDER:  # written, so that the driver never plans and runs all orders at once
+            lower.append(p := common.written(p, f"p{n}"))
     model = common.written(p.select("shard", "gram", (-F.log("p")).cast("float").alias("nll")), "model")
-    for n in range(1, ORDER):
-        common.discard(levels[n])
+    for table in [*lower, *(levels[n] for n in range(1, ORDER))]:
+        common.discard(table)
     return model
 
 

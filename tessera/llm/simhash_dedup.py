@@ -417,7 +417,7 @@ def similar_pairs(docs: DataFrame, families: DataFrame, nodes: DataFrame, k: int
         common.release_memory()
 
     own = nodes.groupBy("doc_id").agg(F.sum("n").alias("n"))
-    own = own.join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("bits")), "doc_id")
+    own = common.written(own.join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("bits")), "doc_id"), "family_sizes")
     members = common.written(_in_parts(own, own.groupBy("bits").agg(F.sum("n").alias("_n")), "bits", "_n", FAMILY).select(F.col("doc_id").alias("_id"), "bits", "t"), "families")
     if members.count() <= common.BROADCAST_IDS:
         members = F.broadcast(members)

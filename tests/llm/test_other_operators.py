@@ -153,6 +153,18 @@ def test_filter_by_ids_both_ways(spark, monkeypatch):
         assert common.filter_by_ids(df, ids, "k", "left_semi").count() == 2 and common.filter_by_ids(df, ids, "k", "left_anti").count() == 8
 
 
+def test_filter_by_ids_computes_them_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    ids = spark.range(3).mapInArrow(count, "id long")
+    assert common.filter_by_ids(spark.range(10).toDF("k"), ids, "k", "left_anti").count() == 7 and seen.value == 3
+
+
 @pytest.fixture(scope="module")
 def stages():
     import corpus_pipeline
@@ -174,6 +186,19 @@ def test_pipeline_stages(spark, sf, stages):
     assert stages.run(spark, sf).count() == counts[4]
 
 
+def test_pipeline_plans_stay_small(spark, sf, stages, monkeypatch):
+    """All jobs of a plan run at once, and the driver holds what each of them sends."""
+    plain, found = common.written, []
+
+    def written(df, name, *more):
+        found.append((df._jdf.queryExecution().executedPlan().toString().count("Exchange "), name))
+        return plain(df, name, *more)
+
+    monkeypatch.setattr(common, "written", written)
+    stages.run(spark, sf)
+    assert len(found) > 20 and max(found)[0] <= 16, sorted(found)[-5:]
+
+
 def test_pipeline_on_odd_and_no_rows(spark, sf, stages, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         names = docs.columns
