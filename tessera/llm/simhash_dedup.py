@@ -299,10 +299,10 @@ def anchors(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return pair.where("doc_id is not null").mapInArrow(run, "doc_id long, n long, whole binary, parity binary, bits array<long>")
 
 
-def _in_parts(rows: DataFrame, sizes: DataFrame, key: str, size: str, limit: int) -> DataFrame:
-    """``rows`` joined with ``sizes(key, size)``, with ``t``: groups of up to ``limit`` whole, larger ones cut into parts of which
+def _in_parts(rows: DataFrame, size: str, limit: int) -> DataFrame:
+    """``rows``, which hold the ``size`` of their group, with ``t``: groups of up to ``limit`` whole, larger ones cut into parts of which
     every two meet under one ``t``, so that a task holds at most some two parts, and every two rows of a group meet."""
-    rows = rows.join(sizes.withColumn("_parts", F.ceil(F.col(size) / limit).cast("int")), key).withColumn("_o", F.pmod(F.xxhash64("doc_id"), "_parts").cast("int"))
+    rows = rows.withColumn("_parts", F.ceil(F.col(size) / limit).cast("int")).withColumn("_o", F.pmod(F.xxhash64("doc_id"), "_parts").cast("int"))
     others = F.when(F.col("_parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("_parts") - 1), lambda z: z != F.col("_o")))
     rows = rows.withColumn("_z", F.explode(others))
     pair = F.least("_o", "_z").cast("long") * F.col("_parts") + F.greatest("_o", "_z")
@@ -314,9 +314,21 @@ def _groups(t: pa.Table) -> np.ndarray:
     return np.r_[0, np.nonzero((ts[1:] != ts[:-1]) | (bits[1:] != bits[:-1]))[0] + 1, len(ts)]
 
 
+def anchor_sets(nodes: DataFrame) -> DataFrame:
+    """``(bits, size)``: of all anchors that just the same ``size`` rows share, two at least, the smallest.
+
+    Near copies share a fifth of their shingles, but are one set of rows, and a further anchor of a set gives no further pair.
+    A set is known by its size, its first and last row and an exclusive or of 64-bit hashes; only row numbers are moved.
+    """
+    keyed = nodes.select("row", F.explode("bits").alias("bits"))
+    own = keyed.groupBy("bits").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("low"), F.max("row").alias("high"), F.bit_xor(F.xxhash64("row")).alias("rows"))
+    return own.where("size > 1").groupBy("size", "low", "high", "rows").agg(F.min("bits").alias("bits")).select("bits", "size")
+
+
 def near_pairs(nodes: DataFrame) -> DataFrame:
     """``(a, b)``: pairs of ids that share an anchor and can have a similarity of 0.8 (``Sketches``); they connect just what all such pairs connect.
 
+    ``nodes`` are rows of ``anchors`` with a number of their own, ``row``. Sketches go only to one anchor of each set of rows (``anchor_sets``).
     An anchor of more than FEW documents gives a spanning forest of its pairs, so fewer pairs than members. One of more
     than LIMIT is cut into parts of which every two meet in a task.
     """
@@ -347,9 +359,10 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 100_000, c]) for c in (0, 1)], ["a", "b"])
         common.release_memory()
 
-    sizes = common.written(_sizes(nodes.select(F.explode("bits").alias("bits")), ["bits"]), "anchors")
-    keyed = nodes.select("doc_id", "n", "parity", F.explode("bits").alias("bits"))
-    dealt = _in_parts(keyed, sizes.withColumnRenamed("n", "_rows"), "bits", "_rows", LIMIT)
+    sets = common.written(anchor_sets(nodes), "anchors")
+    few = sets.count() <= common.BROADCAST_IDS
+    members = common.written(nodes.select("row", F.explode("bits").alias("bits")).join(F.broadcast(sets) if few else sets, "bits"), "members")
+    dealt = _in_parts(members.join(nodes.select("row", "doc_id", "n", "parity"), "row").drop("row"), "size", LIMIT)
     return dealt.repartition(parts, "bits", "t").sortWithinPartitions("bits", "t", "doc_id").mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -418,7 +431,8 @@ def similar_pairs(docs: DataFrame, families: DataFrame, nodes: DataFrame, k: int
 
     own = nodes.groupBy("doc_id").agg(F.sum("n").alias("n"))
     own = common.written(own.join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("bits")), "doc_id"), "family_sizes")
-    members = common.written(_in_parts(own, own.groupBy("bits").agg(F.sum("n").alias("_n")), "bits", "_n", FAMILY).select(F.col("doc_id").alias("_id"), "bits", "t"), "families")
+    own = own.join(own.groupBy("bits").agg(F.sum("n").alias("_n")), "bits")
+    members = common.written(_in_parts(own, "_n", FAMILY).select(F.col("doc_id").alias("_id"), "bits", "t"), "families")
     if members.count() <= common.BROADCAST_IDS:
         members = F.broadcast(members)
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(members, F.col("doc_id") == F.col("_id")).drop("_id")
@@ -432,10 +446,10 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     share anchors and that no bound tells apart are searched by SimHash and closed exactly, so no link is lost, and only
     verified links make groups. Rows that repeat an id are taken for copies: of each such id one row stays. Rows with a null id stay.
     """
-    rows = common.written(anchors(docs), "anchored")
+    rows = common.written(anchors(docs).withColumn("row", F.monotonically_increasing_id()), "anchored")
     first = rows.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = common.written(rows.select("doc_id", "whole").join(first, "whole").where("doc_id <> rep").select("doc_id", "rep", F.xxhash64("doc_id", "whole").alias("row")), "copies")
-    nodes = common.filter_by_ids(rows, copies.select("row"), F.xxhash64(rows["doc_id"], rows["whole"]), "left_anti")
+    copies = common.written(rows.select("doc_id", "whole", "row").join(first, "whole").where("doc_id <> rep").select("doc_id", "rep", "row"), "copies")
+    nodes = common.filter_by_ids(rows, copies.select("row"), "row", "left_anti")
     families = common.connected_components(near_pairs(nodes))
     edges = similar_pairs(docs, families, nodes)
     edges = edges.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))

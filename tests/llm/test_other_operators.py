@@ -2,9 +2,11 @@
 
 import math
 import os
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import ann, common, queries, warc_store
 
@@ -165,6 +167,20 @@ def test_filter_by_ids_computes_them_once(spark):
     assert common.filter_by_ids(spark.range(10).toDF("k"), ids, "k", "left_anti").count() == 7 and seen.value == 3
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {x for top in folders for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
+    before, key = held(), common._CLEAN_KEY
+    set_to = spark.conf.get(key, None)
+    df = spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 10).alias("k")).count()
+    out = common.written(df, "counts")
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not held() - before and spark.conf.get(key, None) == set_to
+    assert out.count() == 10 and df.count() == 10
+
+
 @pytest.fixture(scope="module")
 def stages():
     import corpus_pipeline

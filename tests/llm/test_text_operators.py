@@ -214,6 +214,22 @@ def test_dense_groups_lose_no_link(spark, limit, family, monkeypatch):
     assert got == {i for i in range(len(texts)) if root[i] == i} and 50 < len(got) < 300
 
 
+def test_rows_that_share_many_anchors_meet_under_one(spark):
+    """Sketches go to an anchor of each set of rows, not to each anchor; rows that are alike count as rows."""
+    rng = random.Random(3)
+    held = {row: rng.sample(range(100), rng.randint(1, 6)) for row in range(60)}
+    for row in range(60, 90):  # near copies and copies of three documents
+        held[row] = [1000 * (row % 3) + i for i in range(200)] + [5000 + row % 2]
+    want = {}
+    for a in {a for x in held.values() for a in x}:
+        rows = frozenset(row for row, x in held.items() if a in x)
+        if len(rows) > 1:
+            want[rows] = min(a, want.get(rows, a))
+    nodes = spark.createDataFrame([(row // 2, row, x) for row, x in held.items()], "doc_id long, row long, bits array<long>")
+    got = {r.bits: r["size"] for r in simhash_dedup.anchor_sets(nodes).collect()}
+    assert got == {a: len(rows) for rows, a in want.items()} and len(got) < 110
+
+
 def test_sketches_deny_no_similar_pair():
     rng = np.random.default_rng(5)
     for n in (3, 60, 250, 260, 600, 2000, 40_000):
