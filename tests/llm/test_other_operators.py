@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.llm import ann, common, queries, warc_store
 
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
@@ -170,7 +171,7 @@ def test_filter_by_ids_computes_them_once(spark):
 def test_written_tables_leave_no_shuffle_files(spark):
     folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
     held = lambda: {x for top in folders for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
-    before, key = held(), common._CLEAN_KEY
+    before, key = held(), session.CLEAN_KEY
     set_to = spark.conf.get(key, None)
     df = spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 10).alias("k")).count()
     out = common.written(df, "counts")

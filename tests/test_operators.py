@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -191,6 +192,29 @@ def test_correlations_in_blocks(spark):
     assert matrix.correlations(cells.limit(0)).count() == 0
 
 
+def test_vectors_lie_once_besides_their_correlations(spark):
+    """Of vectors of single precision one copy of four bytes a value is written, and no shuffle files stay."""
+    from tessera.session import CLEAN_KEY
+
+    v = np.random.default_rng(8).normal(0, 1, (700, 64)).astype(np.float32)
+    ids = np.random.default_rng(9).permutation(700) * 3 - 900
+    vectors = spark.createDataFrame([(int(i), x) for i, x in zip(ids, v.astype(float).tolist())], "id long, v array<double>")
+    folders = [spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), *[f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]]
+    held = lambda: {p: os.path.getsize(p) for top in folders for d, _, names in os.walk(top) for x in names if os.path.exists(p := f"{d}/{x}") and (top == folders[0] or x.startswith("shuffle_"))}
+    before, set_to = held(), spark.conf.get(CLEAN_KEY, None)
+    got = matrix.vector_correlations(vectors, block=100)
+    until = time.time() + 20
+    more = lambda: sum(n for p, n in held().items() if p not in before)
+    while more() > 1.3 * v.nbytes and time.time() < until:
+        time.sleep(0.2)
+    assert more() <= 1.3 * v.nbytes and spark.conf.get(CLEAN_KEY, None) == set_to
+    want = dict(zip(ids.tolist(), range(700)))
+    r = np.corrcoef(v.astype(float))
+    rows = got.collect()
+    assert len({(x.i, x.j) for x in rows}) == len(rows) == 700 * 699 // 2
+    assert all(x.i < x.j for x in rows) and np.allclose([x.r for x in rows], [r[want[x.i], want[x.j]] for x in rows], atol=1e-12)
+
+
 def test_correlations_move_no_copies_of_vectors(spark):
     """Each vector goes into one block; blocks meet without being copied for each other block, so little is shuffled."""
     v = np.random.default_rng(3).normal(0, 1, (200, 8))
